@@ -186,6 +186,17 @@ def high_cardinality_columns(df: DataFrame, threshold: float = 0.9,
     return [r["column"] for r in ratios if r["distinct_ratio"] > threshold]
 
 
+def high_cardinality_report(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:
+    """C05 as a Spark result: (column, high_cardinality) from one exact
+    distinct-count aggregate (partial aggregation per task), long form."""
+    wide = df.agg(F.count(F.lit(1)).alias("__n"),
+                  *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
+    pairs = ", ".join(f"'{c}', d{i}" for i, c in enumerate(cols))
+    long = wide.selectExpr("__n", f"stack({len(cols)}, {pairs}) as (column, n_distinct)")
+    return long.select("column", (F.col("n_distinct") / F.col("__n") > threshold)
+                       .alias("high_cardinality"))
+
+
 def standardize_label(df: DataFrame, target: str = "Label") -> DataFrame:
     """C06 + C07: first label column renamed to ``Label``; string labels trimmed
     (all white space) and lower-cased."""
@@ -406,7 +417,7 @@ def file_filter(df: DataFrame, length: str = "length", content: str = "content",
 # PII patterns masked by C21.
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE_RE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
-IP_RE = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
+IP_RE = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 
 
 def mask_pii(c: Column) -> Column:
