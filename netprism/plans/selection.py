@@ -1,3 +1,123 @@
-"""Queries: selection."""
+"""Queries: feature selection."""
 
 from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from ..functions.safe import r6
+from ..operators import select as sel
+from ..sources.tables import FLOWS_SQL, flows, table
+from .catalog import query, with_ctes
+
+# lineitem numeric columns plus a perfectly correlated copy (FIXTURES B3) and a
+# constant column, so that L02-L04 have hits.
+SEL_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "qty2"]
+SEL_SQL = """li AS (
+  SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, l_quantity * 2 AS qty2,
+         l_tax * 0 AS const_col, l_returnflag AS Label FROM lineitem)"""
+
+
+def sel_frame(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber",
+                     (F.col("l_quantity") * 2).alias("qty2"), (F.col("l_tax") * 0).alias("const_col"),
+                     F.col("l_returnflag").alias("Label"))
+
+
+CORR_SQL = "corrs AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, abs(corr({a}, {b})) AS abs_r FROM li"
+    for a, b in combinations(SEL_COLS, 2)) + ")"
+VAR_SQL = "vars AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, var_samp({c}) AS variance FROM li" for c in SEL_COLS + ["const_col"]) + ")"
+
+
+@query("L01_abs_correlation", with_ctes(
+    "SELECT feature_a, feature_b, round(abs_r, 6) AS abs_r FROM corrs", SEL_SQL, CORR_SQL))
+def l01(spark, sf):
+    c = sel.correlation_pairs(sel_frame(spark, sf), SEL_COLS)
+    return c.select("feature_a", "feature_b", r6("abs_r").alias("abs_r"))
+
+
+@query("L02_high_correlation_pairs", with_ctes(
+    "SELECT feature_a, feature_b, round(abs_r, 6) AS abs_r FROM corrs WHERE abs_r > 0.95",
+    SEL_SQL, CORR_SQL))
+def l02(spark, sf):
+    c = sel.high_correlation_pairs(sel.correlation_pairs(sel_frame(spark, sf), SEL_COLS))
+    return c.select("feature_a", "feature_b", r6("abs_r").alias("abs_r"))
+
+
+RED_SQL = """red AS (
+  SELECT DISTINCT CASE WHEN va.variance < vb.variance THEN c.feature_a ELSE c.feature_b END AS feature
+  FROM corrs c JOIN vars va ON va.feature = c.feature_a JOIN vars vb ON vb.feature = c.feature_b
+  WHERE c.abs_r > 0.95)"""
+
+
+@query("L03_redundant_features", with_ctes("SELECT feature FROM red", SEL_SQL, CORR_SQL, VAR_SQL, RED_SQL))
+def l03(spark, sf):
+    df = sel_frame(spark, sf)
+    pairs = sel.high_correlation_pairs(sel.correlation_pairs(df, SEL_COLS))
+    return sel.redundant_features(pairs, sel.variances(df, SEL_COLS))
+
+
+@query("L04_low_variance", with_ctes(
+    "SELECT feature, round(variance, 6) AS variance FROM vars WHERE variance < 1e-6", SEL_SQL, VAR_SQL))
+def l04(spark, sf):
+    v = sel.variances(sel_frame(spark, sf), SEL_COLS + ["const_col"])
+    return v.where(F.col("variance") < sel.VAR_THRESHOLD).select("feature", r6("variance").alias("variance"))
+
+
+_JUST_IN = "Discriminative power, real-time extractable, low correlation with other features"
+_JUST_CORR = "High correlation (>0.95) with other features; redundant information"
+_JUST_VAR = "Very low variance (< 1e-6); no discriminative power"
+
+
+@query("L05_selection_table", with_ctes(
+    "SELECT v.feature AS Feature, 'Network Traffic' AS Module,"
+    " CASE WHEN r.feature IS NOT NULL OR v.variance < 1e-6 THEN 'Excluded' ELSE 'Included' END AS Status,"
+    f" CASE WHEN r.feature IS NOT NULL THEN '{_JUST_CORR}' WHEN v.variance < 1e-6 THEN '{_JUST_VAR}'"
+    f" ELSE '{_JUST_IN}' END AS Justification FROM vars v LEFT JOIN red r USING (feature)",
+    SEL_SQL, CORR_SQL, VAR_SQL, RED_SQL))
+def l05(spark, sf):
+    _, tbl = sel.select_features(sel_frame(spark, sf), label="Label")
+    return tbl
+
+
+@query("L06_near_constant", with_ctes(
+    "SELECT feature, round(top_share, 6) AS top_share, top_share > 0.99 AS near_constant FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, max(n) * 1.0 / sum(n) AS top_share FROM (SELECT count(*) AS n FROM flows"
+        f" GROUP BY {c})" for c in ["protocol", "syn_flag_count", "ack_flag_count", "fin_flag_count",
+                                    "total_fwd_packets"]) + ")", FLOWS_SQL))
+def l06(spark, sf):
+    cols = ["protocol", "syn_flag_count", "ack_flag_count", "fin_flag_count", "total_fwd_packets"]
+    nc = sel.near_constant_features(flows(spark, sf), cols)
+    return nc.select("feature", r6("top_share").alias("top_share"), "near_constant")
+
+
+_MI_COLS = ["total_fwd_packets", "total_backward_packets", "flow_iat_mean", "destination_port"]
+
+
+def _mi_sql():
+    parts = []
+    for c in _MI_COLS:
+        b = (f"coalesce(CAST(least(floor(({c} - (SELECT min({c}) FROM flows)) * 1.0 /"
+             f" ((SELECT max({c}) FROM flows) - (SELECT min({c}) FROM flows)) * 10), 9) AS INTEGER), -1)")
+        parts.append(f"SELECT '{c}' AS feature, {b} AS bin, label AS y FROM flows")
+    return "mi_long AS (" + " UNION ALL ".join(parts) + """),
+joint AS (SELECT feature, bin, y, count(*) AS nxy FROM mi_long GROUP BY ALL),
+px AS (SELECT feature, bin, sum(nxy) AS nx FROM joint GROUP BY ALL),
+py AS (SELECT feature, y, sum(nxy) AS ny FROM joint GROUP BY ALL),
+nn AS (SELECT feature, sum(nxy) AS n FROM joint GROUP BY ALL)"""
+
+
+@query("L07_mutual_information", with_ctes(
+    "SELECT feature, round(mi, 6) AS mutual_information, mi > 0.01 AS selected FROM ("
+    " SELECT j.feature, sum((nxy * 1.0 / n) * ln((nxy * 1.0 * n) / (nx * ny))) AS mi FROM joint j"
+    " JOIN px USING (feature, bin) JOIN py USING (feature, y) JOIN nn USING (feature) GROUP BY j.feature)",
+    FLOWS_SQL, _mi_sql()))
+def l07(spark, sf):
+    mi = sel.mutual_information(flows(spark, sf), _MI_COLS, "label", bins=10)
+    return mi.select("feature", r6("mutual_information").alias("mutual_information"),
+                     (F.col("mutual_information") > 0.01).alias("selected"))
