@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import find_by_keywords, find_column
 from ..functions.safe import INF
+from ..session import ensure_checkpoint_dir
 from .features import epoch_micros
 
 
@@ -43,6 +44,13 @@ def dense_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id",
         "__mid", F.monotonically_increasing_id())
     # rows of partition p carry ids (p << 33) + i; the local index is the low 33 bits
     local = local.withColumn("__local", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33))
+    # The range bounds come from sampling, which may differ between two plans
+    # over the same data (column pruning changes the scan); the numbered rows are
+    # therefore written once to the reliable checkpoint folder and both the
+    # per-partition counts and the result read that copy.  This also cuts the
+    # lineage, so a lost executor cannot renumber rows.
+    ensure_checkpoint_dir(spark)
+    local = local.checkpoint(eager=True)
     counts = dict(local.groupBy("__pid").count().collect())
     offsets, acc = [], 0
     for p in range(max(counts) + 1 if counts else 0):
@@ -174,3 +182,36 @@ def sequences(df: DataFrame, key: str, order_by: Sequence[str], value: str, leng
 
 __all__ = ["dense_row_id", "positional_groups", "wids_features", "per_window_source_stats",
            "previous_rows_stats", "interarrival_stats", "sequences", "epoch_micros"]
+
+
+def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
+                     name: str = "rank_in_group", partitions: int | None = None,
+                     broadcast_limit: int = 2_000_000) -> DataFrame:
+    """0-based position of each row inside its group in ``order_by`` order.
+
+    A ``row_number()`` window sends a whole group to one task; a group holding a
+    third of all rows would be one task.  Here the rows are range-partitioned
+    on (group, order, rest), so a hot group spreads over many partitions; the
+    count per (partition, group) - at most partitions x groups small rows -
+    gives each partition's offset inside the group.  The offsets are joined
+    back (broadcast when their row count, checked first, is small).
+    """
+    spark = df.sparkSession
+    keys = list(group_by) + [c for c in total_order(df, order_by) if c not in group_by]
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    local = (ranged.withColumn("__pid", F.spark_partition_id())
+             .withColumn("__mid", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(spark)
+    local = local.checkpoint(eager=True)  # one numbering for counts and result (see dense_row_id)
+    # index inside (partition, group): id minus the first id of the group in the partition
+    counts = local.groupBy("__pid", *group_by).agg(F.count(F.lit(1)).alias("__n"),
+                                                   F.min("__mid").alias("__first"))
+    w = Window.partitionBy(*group_by).orderBy("__pid")
+    offsets = counts.select("__pid", *group_by, "__first",
+                            (F.sum("__n").over(w) - F.col("__n")).alias("__off"))
+    n_off = offsets.count()
+    side = F.broadcast(offsets) if n_off <= broadcast_limit else offsets
+    j = local.join(side, ["__pid", *group_by], "inner")
+    return j.withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first")).drop(
+        "__pid", "__mid", "__first", "__off")

@@ -34,5 +34,5 @@ def with_ctes(body: str, *ctes: str) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import (cleaning, content, evaluation, featuring, modeling, profiling,  # noqa: F401
-                   selection, sources, streams, weblogs, windowing)
+    from . import (cleaning, content, encoding, evaluation, featuring, modeling,  # noqa: F401
+                   profiling, selection, sources, streams, weblogs, windowing)
