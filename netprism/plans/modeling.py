@@ -1,3 +1,138 @@
-"""Queries: modeling."""
+"""Queries: models (M01-M08) and the model bundle round trip."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.safe import r6
+from ..operators import clean, encode, models
+from ..operators import windows as win
+from ..session import scratch_path
+from ..sources.tables import flows, table
+from .catalog import query
+
+DOC_FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share", "lang", "source"]
+
+
+def doc_training_set(spark, sf):
+    """documents joined with labels (partial cover): the supervised set."""
+    d = table(spark, sf, "documents")
+    lab = table(spark, sf, "labels")
+    t = F.col("text")
+    n = F.greatest(F.length(t), F.lit(1))
+    feats = d.select(
+        "doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(t, r"\s+")).cast("double").alias("n_words"),
+        F.size(F.split(t, "\n")).cast("double").alias("n_lines"),
+        (F.regexp_count(t, F.lit("[0-9]")) / n).alias("digit_share"),
+        (F.regexp_count(t, F.lit("[A-Z]")) / n).alias("upper_share"))
+    j = feats.join(lab, "doc_id", "inner").withColumn("label", F.col("quality").cast("string"))
+    return encode.stratified_split(j, "label", ["doc_id"], 0.2, seed=42)
+
+
+def _fit(spark, sf, min_instances=2):
+    data = doc_training_set(spark, sf)
+    pipe, inputs = models.forest_pipeline(DOC_FEATURES, "label", categorical=["lang", "source"],
+                                          num_trees=100, max_depth=30, min_instances=min_instances)
+    train = data.where(F.col("split") == "train")
+    return pipe.fit(train), inputs, data
+
+
+@query("M01_random_forest")
+def m01(spark, sf):
+    model, _, data = _fit(spark, sf)
+    p = models.predict_with_confidence(model, data.where(F.col("split") == "test"), "label")
+    return p.select("doc_id", "label", F.col("predicted_label").alias("prediction"),
+                    r6("confidence").alias("confidence"))
+
+
+@query("M02_random_forest_defaults")
+def m02(spark, sf):
+    model, _, data = _fit(spark, sf, min_instances=1)
+    p = models.predict_with_confidence(model, data, "label")
+    return p.select("doc_id", "split", "label", F.col("predicted_label").alias("prediction"))
+
+
+@query("M03_class_probabilities")
+def m03(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    model, _, data = _fit(spark, sf)
+    p = models.predict_with_confidence(model, data.where(F.col("split") == "test"), "label")
+    return p.select("doc_id", vector_to_array("probability").alias("probability"), "confidence")
+
+
+@query("M04_feature_importance")
+def m04(spark, sf):
+    model, inputs, _ = _fit(spark, sf)
+    return models.feature_importances(model, inputs, top=10)
+
+
+def wids_matrix(spark, sf):
+    """Anomaly-module features: positional groups of 100 flows, the eight group
+    features, +-inf -> median, standard scaling (population std)."""
+    g = win.positional_groups(flows(spark, sf), ["flow_id"], 100)
+    f = win.wids_features(g)
+    cols = list(win.WIDS_FEATURES)
+    f, _ = clean.replace_infinite_then_median(f, cols)
+    f, _ = encode.standard_scale(f, cols)
+    return f.select("row_id", "flow_id", *cols), cols
+
+
+@query("M05_isolation_forest")
+def m05(spark, sf):
+    x, cols = wids_matrix(spark, sf)
+    forest = models.fit_isolation_forest(x, cols, n_trees=200, sample_size=256, seed=42)
+    # scores are read by the quantile passes and the result: written once
+    scored = models.score_isolation_forest(x, forest).checkpoint(eager=True)
+    flagged, _ = models.flag_by_contamination(scored, "score", 0.05)
+    return flagged.select("row_id", "flow_id", r6("score").alias("score"), "anomaly", "is_anomaly")
+
+
+@query("M06_contamination_threshold",
+       "SELECT count(*) AS total, count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95) FROM events))"
+       " AS anomalies, round(count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95) FROM events))"
+       " * 100.0 / count(*), 6) AS anomaly_pct FROM events")
+def m06(spark, sf):
+    e = table(spark, sf, "events").select((F.col("value") / 100.0).alias("score"))
+    flagged, _ = models.flag_by_contamination(e, "score", 0.05)
+    return flagged.agg(F.count(F.lit(1)).alias("total"), F.sum("is_anomaly").alias("anomalies"),
+                       r6(F.avg("is_anomaly") * 100).alias("anomaly_pct"))
+
+
+@query("M07_baselines", "SELECT round(max(n) * 1.0 / sum(n), 6) AS majority_accuracy,"
+       " round(1.0 / count(*), 6) AS random_accuracy FROM (SELECT quality, count(*) AS n FROM labels"
+       " GROUP BY quality)")
+def m07(spark, sf):
+    c = table(spark, sf, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    return c.agg(r6(F.max("n") / F.sum("n")).alias("majority_accuracy"),
+                 r6(1.0 / F.count(F.lit(1))).alias("random_accuracy"))
+
+
+@query("M08_two_stage_cascade")
+def m08(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    e = table(spark, sf, "embeddings")
+    arr = F.col("embedding")
+    feats = [f"e{i}" for i in range(8)]
+    df = e.select("vec_id", F.col("label").cast("string").alias("label"),
+                  *[F.element_at(arr, i + 1).cast("double").alias(f"e{i}") for i in range(8)])
+    s = encode.stratified_split(df, "label", ["vec_id"], 0.2, seed=42)
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    out = models.two_stage(train, test, feats, "label", "0", num_trees=30)
+    return out.select("vec_id", "label", "final_prediction")
+
+
+@query("S07_model_bundle_roundtrip")
+def s07(spark, sf):
+    from pyspark.ml import PipelineModel
+
+    model, _, data = _fit(spark, sf)
+    path = scratch_path(spark, "rf-bundle")
+    model.write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    test = data.where(F.col("split") == "test")
+    a = models.predict_with_confidence(model, test, "label").select("doc_id", F.col("prediction").alias("p1"))
+    b = models.predict_with_confidence(again, test, "label").select("doc_id", F.col("prediction").alias("p2"))
+    return a.join(b, "doc_id").select("doc_id", (F.col("p1") == F.col("p2")).alias("same_prediction"))
