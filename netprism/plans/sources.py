@@ -1,3 +1,83 @@
-"""Queries: sources."""
+"""Queries: sources and sinks (S01-S06, S08, S10).  Files are written under the
+session's checkpoint folder (shared on a cluster), each run in a fresh folder."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.safe import r6
+from ..operators import clean
+from ..session import scratch_path
+from ..sources import files
+from ..sources.tables import FLOWS_SQL, flows, table
+from .catalog import query, with_ctes
+from .profiling import RETENTION_SQL, retention_inputs
+
+
+@query("S01_csv_with_header", "SELECT * FROM lineitem")
+def s01(spark, sf):
+    li = table(spark, sf, "lineitem")
+    path = scratch_path(spark, "lineitem-csv")
+    files.write_dataset(li, path, fmt="csv")
+    return files.read_csv(spark, path, schema=li.schema)
+
+
+@query("S02_headerless_fixed_schema", "SELECT * FROM customer")
+def s02(spark, sf):
+    cust = table(spark, sf, "customer")
+    path = scratch_path(spark, "customer-headerless")
+    cust.write.mode("overwrite").option("header", False).csv(path)
+    return files.read_headerless(spark, path, cust.schema, check_arity=True)
+
+
+@query("S03_read_parquet", "SELECT * FROM orders")
+def s03(spark, sf):
+    return table(spark, sf, "orders")
+
+
+@query("S04_discover_inputs", "SELECT replace(c_mktsegment, '_', '-') || '-flows' AS dataset, count(*) AS n"
+       " FROM customer GROUP BY c_mktsegment")
+def s04(spark, sf):
+    cust = table(spark, sf, "customer")
+    root = scratch_path(spark, "inbox")
+    segments = [r[0] for r in cust.select("c_mktsegment").distinct().collect()]  # a handful of names
+    for seg in segments:
+        part = cust.where(F.col("c_mktsegment") == seg)
+        files.write_dataset(part, f"{root}/{seg}_flows.csv", fmt="csv")
+    # an already cleaned copy must be skipped
+    files.write_dataset(cust.where(F.col("c_mktsegment") == segments[0]),
+                        f"{root}/{segments[0]}_flows_cleaned.csv", fmt="csv")
+    found = files.discover_folders(spark, root, schema=cust.schema)
+    return found.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S05_first_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
+def s05(spark, sf):
+    return files.sample_rows(table(spark, sf, "orders"), ["o_orderkey"], 5)
+
+
+@query("S06_write_cleaned_partitioned", with_ctes(
+    "SELECT flow_id, destination_port, coalesce(protocol, (SELECT protocol FROM flows WHERE protocol IS NOT NULL"
+    " GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1), 'Unknown') AS protocol FROM flows", FLOWS_SQL))
+def s06(spark, sf):
+    f, _ = clean.impute_mode(flows(spark, sf).select("flow_id", "destination_port", "protocol"), ["protocol"])
+    path = scratch_path(spark, "flows-cleaned")
+    files.write_dataset(f, path, partition_by=["protocol"])
+    return spark.read.parquet(path).select("flow_id", "destination_port", "protocol")
+
+
+@query("S08_before_after_counts", RETENTION_SQL)
+def s08(spark, sf):
+    from ..operators.profile import retention
+
+    before, after = retention_inputs(spark, sf)
+    r = retention(before, after)
+    return r.select("dataset", "rows_before", "rows_after", r6("retention_pct").alias("retention_pct"))
+
+
+@query("S10_binary_files")
+def s10(spark, sf):
+    """The given tables' own files read as a binary corpus: name, size, magic bytes."""
+    b = files.read_binary_files(spark, sf, glob="*.parquet", min_bytes=1)
+    return b.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length",
+                    F.decode(F.substring("content", 1, 4), "US-ASCII").alias("magic"))

@@ -133,3 +133,15 @@ def read_binary_files(spark: SparkSession, path: str, glob: str = "*",
     if max_bytes is not None:
         df = df.where(F.col("length") <= max_bytes)
     return df
+
+
+def discover_folders(spark: SparkSession, root: str, pattern: str = "*.csv",
+                     schema: T.StructType | None = None) -> DataFrame:
+    """S04 for data written by Spark (a folder of part files per data set): the
+    data set name comes from the folder, cleaned copies are skipped."""
+    r = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+         .option("header", True))
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+    df = r.csv(root).withColumn("__dir", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    df = df.where(~F.col("__dir").rlike(r"[_-]clean(ed)?(\.[^.]*)?$"))
+    return df.withColumn("dataset", dataset_name_expr(F.col("__dir"))).drop("__dir")
