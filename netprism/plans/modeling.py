@@ -14,18 +14,22 @@ from .catalog import query
 DOC_FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share", "lang", "source"]
 
 
-def doc_training_set(spark, sf):
-    """documents joined with labels (partial cover): the supervised set."""
-    d = table(spark, sf, "documents")
-    lab = table(spark, sf, "labels")
+def doc_features(d):
+    """Per-document features (batch or streaming frame)."""
     t = F.col("text")
     n = F.greatest(F.length(t), F.lit(1))
-    feats = d.select(
+    return d.select(
         "doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
         F.size(F.split(t, r"\s+")).cast("double").alias("n_words"),
         F.size(F.split(t, "\n")).cast("double").alias("n_lines"),
         (F.regexp_count(t, F.lit("[0-9]")) / n).alias("digit_share"),
         (F.regexp_count(t, F.lit("[A-Z]")) / n).alias("upper_share"))
+
+
+def doc_training_set(spark, sf):
+    """documents joined with labels (partial cover): the supervised set."""
+    feats = doc_features(table(spark, sf, "documents"))
+    lab = table(spark, sf, "labels")
     j = feats.join(lab, "doc_id", "inner").withColumn("label", F.col("quality").cast("string"))
     return encode.stratified_split(j, "label", ["doc_id"], 0.2, seed=42)
 

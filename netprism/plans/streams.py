@@ -1,3 +1,91 @@
-"""Queries: streams."""
+"""Queries: Structured Streaming (Z01-Z05) over a file stream of the events table.
+
+Each query runs its stream with ``availableNow`` (everything present, then
+stop) into a sink under the checkpoint folder and returns the written result.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.safe import r6
+from ..session import scratch_path
+from ..sources.tables import table
+from ..streaming import flows as zs
+from .catalog import query
+
+
+def events_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return zs.file_stream(spark, sf, schema, glob="events.parquet")
+
+
+@query("Z01_incremental_windows", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, user_id,"
+       " count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def z01(spark, sf):
+    out = zs.windowed_counts_to_table(spark, events_stream(spark, sf), "complete", "z01", ts="ts",
+                                      key="user_id", duration="1 minute", watermark="10 minutes",
+                                      value="value")
+    return out.select("window_start", "user_id", "n", r6("mean_value").alias("mean_value"))
+
+
+@query("Z01_append_closed_windows")
+def z01a(spark, sf):
+    """Append mode: only windows closed by the watermark are emitted (open ones
+    stay in the state store until later data moves the watermark)."""
+    out = zs.windowed_counts_to_table(spark, events_stream(spark, sf), "append", "z01a", ts="ts",
+                                      key="user_id", duration="1 minute", watermark="10 minutes",
+                                      value="value")
+    return out.select("window_start", "user_id", "n", r6("mean_value").alias("mean_value"))
+
+
+@query("Z02_sliding_windows", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k) AS window_start,"
+       " user_id, count(*) AS n FROM events, range(0, 5) r(k) GROUP BY ALL")
+def z02(spark, sf):
+    out = zs.windowed_counts_to_table(spark, events_stream(spark, sf), "complete", "z02", ts="ts",
+                                      key="user_id", duration="5 minutes", slide="1 minute",
+                                      watermark="10 minutes")
+    return out.select("window_start", "user_id", "n")
+
+
+@query("Z04_alert_burst_update", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS alerts"
+       " FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) > 10")
+def z04(spark, sf):
+    errors = events_stream(spark, sf).where(F.col("event_type") == "error")
+    alerts = zs.burst_alerts(errors, "ts", "6 hours", 10, watermark="1 hour")
+    out = scratch_path(spark, "z04-out")
+    zs.run_available(alerts, "update", zs.append_sink(out), scratch_path(spark, "z04-ckpt"))
+    # update mode re-emits a window when its count grows: keep the latest count
+    return spark.read.parquet(out).groupBy("window_start").agg(F.max("alerts").alias("alerts"))
+
+
+@query("Z05_dedup_within_watermark", "SELECT event_id, user_id, event_type, value FROM events")
+def z05(spark, sf):
+    ev = table(spark, sf, "events")
+    folder = scratch_path(spark, "z05-in")
+    ev.write.mode("overwrite").parquet(f"{folder}/a")
+    ev.write.mode("overwrite").parquet(f"{folder}/b")  # every event arrives twice
+    stream = (spark.readStream.schema(ev.schema).option("recursiveFileLookup", True)
+              .parquet(folder))
+    dedup = zs.dedup_within_watermark(stream, "ts", ["event_id"], watermark="1 hour")
+    out = scratch_path(spark, "z05-out")
+    zs.run_available(dedup, "append", "parquet", scratch_path(spark, "z05-ckpt"), out)
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
+
+
+@query("Z03_score_stream_alerts")
+def z03(spark, sf):
+    from ..operators import evaluate as ev
+    from ..operators import models
+    from .modeling import _fit, doc_features
+
+    model, _, _ = _fit(spark, sf)
+    schema = table(spark, sf, "documents").schema
+    stream = zs.file_stream(spark, sf, schema, glob="documents.parquet")
+    scored = models.predict_with_confidence(model, doc_features(stream), "label")
+    alerts = ev.attack_alerts(scored.withColumn("prediction_name", F.col("predicted_label")),
+                              prediction="prediction_name", normal=("1",))
+    out = scratch_path(spark, "z03-out")
+    zs.run_available(alerts.select("doc_id", "prediction_name", "confidence", "priority"), "append",
+                     zs.append_sink(out), scratch_path(spark, "z03-ckpt"))
+    return spark.read.parquet(out)
