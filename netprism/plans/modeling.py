@@ -76,7 +76,9 @@ def wids_matrix(spark, sf):
     """Anomaly-module features: positional groups of 100 flows, the eight group
     features, +-inf -> median, standard scaling (population std)."""
     g = win.positional_groups(flows(spark, sf), ["flow_id"], 100)
-    f = win.wids_features(g)
+    # group means are floating-point sums after a shuffle; the table is read by
+    # the median, scaling, sampling and scoring passes: write it once
+    f = win.wids_features(g).checkpoint(eager=True)
     cols = list(win.WIDS_FEATURES)
     f, _ = clean.replace_infinite_then_median(f, cols)
     f, _ = encode.standard_scale(f, cols)
