@@ -29,11 +29,11 @@ def b01(spark, sf):
 
 
 @query("B02_string_profile",
-       f"SELECT doc_id, len(regexp_extract_all(text, '{_q(ct.PRINTABLE_RUN)}')) AS n_strings,"
+       f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_q(ct.PRINTABLE_RUN)}')) AS INTEGER) AS n_strings,"
        f" round(list_avg(list_transform(regexp_extract_all(text, '{_q(ct.PRINTABLE_RUN)}'), lambda x: length(x))), 6)"
-       f" AS mean_string_length, len(regexp_extract_all(text, '{_q(ct.URL_RE)}')) AS n_urls,"
-       f" len(regexp_extract_all(text, '{_q(ct.IPV4_RE)}')) AS n_ips,"
-       f" len(regexp_extract_all(text, '{_q(ct.SUSPICIOUS_RE)}')) AS n_suspicious FROM documents")
+       f" AS mean_string_length, CAST(len(regexp_extract_all(text, '{_q(ct.URL_RE)}')) AS INTEGER) AS n_urls,"
+       f" CAST(len(regexp_extract_all(text, '{_q(ct.IPV4_RE)}')) AS INTEGER) AS n_ips,"
+       f" CAST(len(regexp_extract_all(text, '{_q(ct.SUSPICIOUS_RE)}')) AS INTEGER) AS n_suspicious FROM documents")
 def b02(spark, sf):
     d = table(spark, sf, "documents")
     prof = ct.string_profile(F.col("text"))

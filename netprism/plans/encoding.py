@@ -84,7 +84,7 @@ def e06h(spark, sf):
 
 @query("E07_split_statistics", with_ctes(
     "SELECT split, label, n, split_rows, round(n * 1.0 / split_rows, 6) AS share FROM ("
-    " SELECT split, label, n, sum(n) OVER (PARTITION BY split) AS split_rows FROM ("
+    " SELECT split, label, n, CAST(sum(n) OVER (PARTITION BY split) AS BIGINT) AS split_rows FROM ("
     "  SELECT CASE WHEN r < round(nc * 0.2) THEN 'test' ELSE 'train' END AS split, label, count(*) AS n"
     "  FROM (SELECT label, row_number() OVER (PARTITION BY label) - 1 AS r,"
     "        count(*) OVER (PARTITION BY label) AS nc FROM flows) GROUP BY ALL))", FLOWS_SQL))

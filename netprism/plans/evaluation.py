@@ -96,7 +96,7 @@ def v04(spark, sf):
 
 @query("V05_class_hit_rates", with_ctes(
     "SELECT label, prediction, n, support, round(n * 1.0 / support, 6) AS share FROM ("
-    " SELECT label, prediction, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS support"
+    " SELECT label, prediction, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY label) AS BIGINT) AS support"
     " FROM pred WHERE split = 'test' GROUP BY label, prediction)", PRED_SQL))
 def v05(spark, sf):
     h = ev.class_hit_rates(predictions(spark, sf).where(F.col("split") == "test"))
@@ -241,7 +241,7 @@ def r08(spark, sf):
 
 
 @query("R09_run_info", with_ctes(
-    "SELECT count(*) AS total_samples, count_if(split = 'test') AS test_samples,"
+    "SELECT count(*) AS total_samples, CAST(count_if(split = 'test') AS BIGINT) AS test_samples,"
     " count(DISTINCT CASE WHEN split = 'test' THEN label END) AS classes,"
     " round(avg(CASE WHEN split = 'test' THEN CAST(label = prediction AS DOUBLE) END), 6) AS accuracy,"
     " 3 AS features FROM pred", PRED_SQL))

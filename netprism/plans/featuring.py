@@ -10,15 +10,20 @@ from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
 
 
+_INTEGRAL = {"Flag_Combination_Score", "Well_Known_Port", "Ephemeral_Port"}
+
+
 def _one(name):
     def build(spark, sf):
         df = feat.engineer_flow_features(flows(spark, sf), only=[name])
-        return df.select("flow_id", r6(name).alias(name.lower()))
+        value = F.col(name) if name in _INTEGRAL else r6(name)
+        return df.select("flow_id", value.alias(name.lower()))
     return build
 
 
 def _sql(expr, name):
-    return with_ctes(f"SELECT flow_id, round({expr}, 6) AS {name.lower()} FROM flows", FLOWS_SQL)
+    value = expr if name in _INTEGRAL else f"round({expr}, 6)"
+    return with_ctes(f"SELECT flow_id, {value} AS {name.lower()} FROM flows", FLOWS_SQL)
 
 
 _F = {

@@ -96,8 +96,8 @@ def m05(spark, sf):
 
 
 @query("M06_contamination_threshold",
-       "SELECT count(*) AS total, count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95) FROM events))"
-       " AS anomalies, round(count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95) FROM events))"
+       "SELECT count(*) AS total, CAST(count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95)"
+       " FROM events)) AS BIGINT) AS anomalies, round(count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95) FROM events))"
        " * 100.0 / count(*), 6) AS anomaly_pct FROM events")
 def m06(spark, sf):
     e = table(spark, sf, "events").select((F.col("value") / 100.0).alias("score"))

@@ -24,7 +24,7 @@ TRIM_SQL = r"lower(regexp_replace({c}, '^\s+|\s+$', '', 'g'))"
 
 def _missing_sql(c, t):
     cond = f"{c} IS NULL OR isnan({c})" if t == "double" else f"{c} IS NULL"
-    return f"SELECT '{c}' AS \"column\", count_if({cond}) AS missing_count, count(*) AS n FROM flows"
+    return f"SELECT '{c}' AS \"column\", CAST(count_if({cond}) AS BIGINT) AS missing_count, count(*) AS n FROM flows"
 
 
 MISSING_SQL = "missing AS (" + " UNION ALL ".join(
@@ -78,7 +78,7 @@ def p02(spark, sf):
 
 @query("P03_missing_totals", with_ctes(
     "SELECT CAST(sum(missing_count) AS BIGINT) AS total_missing,"
-    " count_if(missing_count > 0) AS columns_with_missing FROM missing", FLOWS_SQL, MISSING_SQL))
+    " CAST(count_if(missing_count > 0) AS BIGINT) AS columns_with_missing FROM missing", FLOWS_SQL, MISSING_SQL))
 def p03(spark, sf):
     return profile.missing_totals(flows(spark, sf))
 

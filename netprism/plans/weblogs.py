@@ -76,8 +76,8 @@ def _pages(spark, sf):
 
 
 @query("X02_path_depth_url_length", with_ctes(
-    "SELECT page_id, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) - 1 END AS path_depth,"
-    " length(url) AS url_length FROM pg", PAGES_SQL))
+    "SELECT page_id, CAST(CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) - 1 END AS INTEGER)"
+    " AS path_depth, CAST(length(url) AS INTEGER) AS url_length FROM pg", PAGES_SQL))
 def x02(spark, sf):
     p = _pages(spark, sf)
     return p.select("page_id", wl.path_depth(F.col("path")).alias("path_depth"),
@@ -103,7 +103,7 @@ def x03(spark, sf):
 
 @query("X04_extension_parameter_count", with_ctes(
     "SELECT page_id, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS extension,"
-    " CASE WHEN q = '' THEN 0 ELSE len(string_split(q, '&')) END AS parameter_count FROM pg", PAGES_SQL))
+    " CAST(CASE WHEN q = '' THEN 0 ELSE len(string_split(q, '&')) END AS INTEGER) AS parameter_count FROM pg", PAGES_SQL))
 def x04(spark, sf):
     p = _pages(spark, sf)
     return p.select("page_id", wl.file_extension(F.col("path")).alias("extension"),
@@ -111,7 +111,7 @@ def x04(spark, sf):
 
 
 def _rc(s, pat):
-    return f"len(regexp_extract_all({s}, '{pat.replace(chr(39), chr(39) * 2)}'))"
+    return f"CAST(len(regexp_extract_all({s}, '{pat.replace(chr(39), chr(39) * 2)}')) AS INTEGER)"
 
 
 @query("X05_injection_indicators",
@@ -141,7 +141,7 @@ def x05(spark, sf):
     " WHEN regexp_matches(coalesce(user_agent, ''), 'Mac OS X|Macintosh') THEN 'macOS'"
     " WHEN regexp_matches(coalesce(user_agent, ''), 'Android') THEN 'Android'"
     " WHEN regexp_matches(coalesce(user_agent, ''), 'Linux') THEN 'Linux' ELSE 'Other' END AS os,"
-    " length(coalesce(user_agent, '')) AS ua_length FROM parsed", PARSED_SQL))
+    " CAST(length(coalesce(user_agent, '')) AS INTEGER) AS ua_length FROM parsed", PARSED_SQL))
 def x06(spark, sf):
     f = wl.request_features(parsed_weblogs(spark, sf))
     return f.select("event_id", *[f"method_{m.lower()}" for m in wl.METHODS], "status_class",
@@ -184,7 +184,7 @@ def x09(spark, sf):
     return counts.join(totals, "ip").select("ip", "kind", "n", r6(F.col("n") / F.col("t")).alias("share"))
 
 
-@query("X10_time_features", "SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week,"
+@query("X10_time_features", "SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,"
        " CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend,"
        " CAST(hour(ts) >= 9 AND hour(ts) < 17 AS INTEGER) AS business_hours FROM events")
 def x10(spark, sf):

@@ -77,7 +77,7 @@ def w10(spark, sf):
 
 @query("W11_previous_rows_stats", "SELECT event_id, user_id,"
        " round(avg(value) OVER w, 6) AS prev_mean_value,"
-       " coalesce(count_if(event_type = 'error') OVER w, 0) AS prev_errors, count(*) OVER w AS prev_rows"
+       " CAST(coalesce(count_if(event_type = 'error') OVER w, 0) AS BIGINT) AS prev_errors, count(*) OVER w AS prev_rows"
        " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id"
        " ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def w11(spark, sf):

@@ -58,6 +58,24 @@ def _rows(cols, rows):
     return sorted(out, key=repr)
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "date": "DATE",
+          "smallint": "SMALLINT", "tinyint": "TINYINT", "binary": "BLOB",
+          "timestamp": "TIMESTAMP WITH TIME ZONE", "array<string>": "VARCHAR[]"}
+
+
+def type_diffs(sdf, cur) -> list:
+    """(column, spark type, duckdb type) where the two differ."""
+    d_types = {d[0]: str(d[1]) for d in cur.description}
+    out = []
+    for name, t in sdf.dtypes:
+        want = _TYPES.get(t, t.upper())
+        got = d_types.get(name)
+        if got is not None and got.upper() != want:
+            out.append((name, t, got))
+    return out
+
+
 def compare(spark, key: str, builder, sql: str | None, sf_dir: str, con=None):
     t0 = time.time()
     sdf = builder(spark, sf_dir)
@@ -71,6 +89,7 @@ def compare(spark, key: str, builder, sql: str | None, sf_dir: str, con=None):
     con = con or duck(sf_dir)
     cur = con.execute(sql)
     d_cols = [d[0] for d in cur.description]
+    res["type_diffs"] = type_diffs(sdf, cur)
     d_rows = cur.fetchall()
     res["oracle_rows"] = len(d_rows)
     if sorted(s_cols) != sorted(d_cols):
