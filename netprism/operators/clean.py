@@ -324,8 +324,17 @@ def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=list(cols))
 
 
-def forward_fill(df: DataFrame, cols: Sequence[str], key: str, order_by: Sequence[str]) -> DataFrame:
-    """Last non-null value so far within ``key`` in ``order_by`` order."""
+def forward_fill(df: DataFrame, cols: Sequence[str], key: str, order_by: Sequence[str],
+                 skew_safe: bool = True, block_rows: int | None = None) -> DataFrame:
+    """Last non-null value so far within ``key`` in ``order_by`` order.
+
+    ``skew_safe`` (default) runs the window per (key, block of rows) with a
+    carry-in from earlier blocks, so a key with a third of all rows is not one
+    task; ``skew_safe=False`` is the plain per-key window."""
+    if skew_safe:
+        from .windows import DEFAULT_BLOCK_ROWS, forward_fill_blocked
+
+        return forward_fill_blocked(df, cols, key, order_by, block_rows or DEFAULT_BLOCK_ROWS)
     w = (Window.partitionBy(key).orderBy(*order_by)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})

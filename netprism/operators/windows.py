@@ -158,24 +158,33 @@ def per_window_source_stats(df: DataFrame, ts: str, key: str, duration: str = "1
 
 
 def previous_rows_stats(df: DataFrame, key: str, order_by: Sequence[str], n: int,
-                        cols: dict[str, Column]) -> DataFrame:
+                        cols: dict[str, Column], skew_safe: bool = True,
+                        block_rows: int | None = None) -> DataFrame:
     """Statistics over the previous ``n`` rows of the same key (current row
-    excluded).  ``cols`` maps output name -> aggregate over the window frame."""
+    excluded).  ``cols`` maps output name -> aggregate over the window frame.
+    ``skew_safe`` (default) evaluates per (key, block) with an n-row halo."""
+    if skew_safe:
+        return previous_rows_stats_blocked(df, key, order_by, n, cols, block_rows or DEFAULT_BLOCK_ROWS)
     w = Window.partitionBy(key).orderBy(*order_by).rowsBetween(-n, -1)
     return df.withColumns({name: agg.over(w) for name, agg in cols.items()})
 
 
-def interarrival_stats(df: DataFrame, key: str, ts: str, order: Sequence[str] = ()) -> DataFrame:
-    """Inter-arrival mean / std / min / max per key (seconds)."""
+def interarrival_stats(df: DataFrame, key: str, ts: str, order: Sequence[str] = (),
+                       skew_safe: bool = True, block_rows: int | None = None) -> DataFrame:
+    """Inter-arrival count, mean, std, min, max, skewness per key (seconds)."""
+    if skew_safe:
+        return interarrival_blocked(df, key, ts, order, block_rows or DEFAULT_BLOCK_ROWS)
     from .features import interarrival_moments
 
     return interarrival_moments(df, key, ts, order)
 
 
 def sequences(df: DataFrame, key: str, order_by: Sequence[str], value: str, length: int,
-              name: str = "sequence") -> DataFrame:
+              name: str = "sequence", skew_safe: bool = True, block_rows: int | None = None) -> DataFrame:
     """Per row the last ``length`` values of ``value`` within ``key`` (current
     included), oldest first; rows with a full window only are complete."""
+    if skew_safe:
+        return sequences_blocked(df, key, order_by, value, length, name, block_rows or DEFAULT_BLOCK_ROWS)
     w = Window.partitionBy(key).orderBy(*order_by).rowsBetween(-(length - 1), 0)
     return df.withColumn(name, F.collect_list(F.col(value)).over(w))
 
@@ -215,3 +224,90 @@ def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[
     j = local.join(side, ["__pid", *group_by], "inner")
     return j.withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first")).drop(
         "__pid", "__mid", "__first", "__off")
+
+
+# ----------------------------------------------------------------- hot keys
+
+DEFAULT_BLOCK_ROWS = 100_000
+
+
+def keyed_blocks(df: DataFrame, key: str, order_by: Sequence[str], block_rows: int = DEFAULT_BLOCK_ROWS,
+                 halo: int = 0, rank: str = "__r") -> DataFrame:
+    """Cut every key into blocks of ``block_rows`` consecutive rows (in
+    ``order_by`` order) so that a window can run per (key, block): a key with a
+    third of all rows becomes many bounded window partitions.
+
+    ``halo`` rows - the last ``halo`` rows of each block - are copied into the
+    next block with ``__halo = true``, so frames reaching up to ``halo`` rows
+    back stay exact; drop the halo rows after the window.  The rank inside the
+    key comes from ``group_row_number`` (range partitioning, no key-sized task).
+    """
+    r = group_row_number(df, [key], order_by, name=rank)
+    blk = F.floor(F.col(rank) / block_rows)
+    base = r.withColumn("__blk", blk).withColumn("__halo", F.lit(False))
+    if halo > 0:
+        tail = (r.where(F.col(rank) % block_rows >= block_rows - halo)
+                .withColumn("__blk", blk + 1).withColumn("__halo", F.lit(True)))
+        base = base.unionByName(tail)
+    return base
+
+
+def blocked_window(key: str, rank: str = "__r") -> Window:
+    return Window.partitionBy(key, "__blk").orderBy(rank)
+
+
+def previous_rows_stats_blocked(df: DataFrame, key: str, order_by: Sequence[str], n: int,
+                                cols: dict[str, Column], block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """W11, skew safe: frames of the previous ``n`` rows evaluated per (key, block)
+    with an ``n``-row halo from the block before."""
+    b = keyed_blocks(df, key, order_by, block_rows, halo=n)
+    w = blocked_window(key).rowsBetween(-n, -1)
+    out = b.withColumns({name: agg.over(w) for name, agg in cols.items()})
+    return out.where(~F.col("__halo")).drop("__r", "__blk", "__halo")
+
+
+def sequences_blocked(df: DataFrame, key: str, order_by: Sequence[str], value: str, length: int,
+                      name: str = "sequence", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """W13, skew safe (halo of ``length - 1`` rows)."""
+    b = keyed_blocks(df, key, order_by, block_rows, halo=length - 1)
+    w = blocked_window(key).rowsBetween(-(length - 1), 0)
+    out = b.withColumn(name, F.collect_list(F.col(value)).over(w))
+    return out.where(~F.col("__halo")).drop("__r", "__blk", "__halo")
+
+
+def forward_fill_blocked(df: DataFrame, cols: Sequence[str], key: str, order_by: Sequence[str],
+                         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """C15, skew safe: last non-null value so far within the key.
+
+    Inside a block: ``last(ignorenulls)`` over the block.  Across blocks: each
+    block's last non-null value (one summary row per block, 1/block_rows of the
+    data), carried forward over the blocks of the key and joined back on
+    (key, block) - an equi-join on a key that is unique per block."""
+    b = keyed_blocks(df, key, order_by, block_rows, halo=0)
+    w_in = blocked_window(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = b.withColumns({f"__in_{c}": F.last(F.col(c), ignorenulls=True).over(w_in) for c in cols})
+    summary = b.groupBy(key, "__blk").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__r"))).alias(f"__last_{c}")
+        for c in cols])
+    w_blk = (Window.partitionBy(key).orderBy("__blk")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    carry = summary.select(key, "__blk", *[F.last(F.col(f"__last_{c}"), ignorenulls=True).over(w_blk)
+                                           .alias(f"__carry_{c}") for c in cols])
+    j = inside.join(carry, [key, "__blk"], "left")
+    return j.withColumns({c: F.coalesce(F.col(f"__in_{c}"), F.col(f"__carry_{c}")) for c in cols}).drop(
+        "__r", "__blk", "__halo", *[f"__in_{c}" for c in cols], *[f"__carry_{c}" for c in cols])
+
+
+def interarrival_blocked(df: DataFrame, key: str, ts: str, order: Sequence[str] = (),
+                         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """F16 / W12, skew safe: gaps from a 1-row halo per block, then moments per
+    key with a partially aggregated ``groupBy``."""
+    b = keyed_blocks(df.select(key, ts, *order), key, [ts, *order], block_rows, halo=1)
+    micros = epoch_micros(F.col(ts))
+    gaps = b.select(key, "__halo", (micros - F.lag(micros).over(blocked_window(key))).alias("_gap_us"))
+    g = F.col("_gap_us") / 1e6
+    return (gaps.where(~F.col("__halo") & F.col("_gap_us").isNotNull())
+            .groupBy(key)
+            .agg(F.count("*").alias("n_gaps"), F.avg(g).alias("gap_mean"),
+                 F.stddev_pop(g).alias("gap_std"), F.min(g).alias("gap_min"),
+                 F.max(g).alias("gap_max"), F.skewness(g).alias("gap_skew")))

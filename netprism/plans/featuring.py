@@ -135,7 +135,9 @@ cen AS (
     "SELECT user_id, n AS n_gaps, round(CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) END, 6) AS gap_skew"
     " FROM cen", _GAPS_SQL))
 def f16(spark, sf):
-    m = feat.interarrival_moments(table(spark, sf, "events"), "user_id", "ts", ["event_id"])
+    from ..operators.windows import interarrival_stats
+
+    m = interarrival_stats(table(spark, sf, "events"), "user_id", "ts", ["event_id"])
     return m.select("user_id", "n_gaps", r6("gap_skew").alias("gap_skew"))
 
 

@@ -141,3 +141,37 @@ def test_nsl_schema_has_difficulty():
 
     s = nsl_kdd_schema()
     assert len(s.fields) == 43 and s.fields[-1].name == "difficulty" and s.fields[-2].name == "label"
+
+
+def _hot_events(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    # one key holds a third of all rows
+    return ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+
+
+def _same(a, b):
+    return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_blocked_windows_equal_plain_windows(spark):
+    from netprism.operators import windows as win
+    from netprism.operators.clean import forward_fill
+
+    ev = _hot_events(spark)
+    gappy = ev.withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    order = ["ts", "event_id"]
+    a = forward_fill(gappy, ["value"], "user_id", order, block_rows=23).select("event_id", "value")
+    b = forward_fill(gappy, ["value"], "user_id", order, skew_safe=False).select("event_id", "value")
+    assert _same(a, b)
+    cols = {"m": F.avg("value"), "e": F.count_if(F.col("event_type") == "error")}
+    a = win.previous_rows_stats(ev, "user_id", order, 5, cols, block_rows=23).select("event_id", "m", "e")
+    b = win.previous_rows_stats(ev, "user_id", order, 5, cols, skew_safe=False).select("event_id", "m", "e")
+    assert _same(a, b)
+    a = win.sequences(ev, "user_id", order, "event_type", 4, block_rows=23).select("event_id", "sequence")
+    b = win.sequences(ev, "user_id", order, "event_type", 4, skew_safe=False).select("event_id", "sequence")
+    assert _same(a, b)
+    a = win.interarrival_stats(ev, "user_id", "ts", ["event_id"], block_rows=23)
+    b = win.interarrival_stats(ev, "user_id", "ts", ["event_id"], skew_safe=False)
+    ra = {r[0]: [None if x is None else round(x, 6) for x in r[1:]] for r in a.collect()}
+    rb = {r[0]: [None if x is None else round(x, 6) for x in r[1:]] for r in b.collect()}
+    assert ra == rb
