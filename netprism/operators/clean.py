@@ -69,16 +69,25 @@ def numeric_medians(df: DataFrame, cols: Sequence[str], exact: bool = True,
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
-def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
+def modes(df: DataFrame, cols: Sequence[str], map_limit: int = 100_000) -> dict[str, object]:
     """Most frequent non-null value, smallest on ties (pandas ``mode()[0]``).
 
-    ``mode`` keeps a value->count map per column; for high-cardinality columns
-    ``mode_by_groupby`` counts in a distributed aggregate instead.
-    """
+    ``F.mode`` keeps a value->count map per column in one buffer, so it is used
+    only for columns whose estimated distinct count is below ``map_limit``
+    (one HyperLogLog pass decides); other columns are counted with a
+    distributed ``groupBy`` (``mode_by_groupby``)."""
     if not cols:
         return {}
-    row = df.agg(*[F.mode(F.col(c), True).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    est = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if est[f"d{i}"] <= map_limit]
+    out: dict[str, object] = {}
+    if small:
+        row = df.agg(*[F.mode(F.col(c), True).alias(f"m{i}") for i, c in enumerate(small)]).first()
+        out.update({c: row[f"m{i}"] for i, c in enumerate(small)})
+    for c in cols:
+        if c not in out:
+            out[c] = mode_by_groupby(df, c)
+    return {c: out[c] for c in cols}
 
 
 def mode_by_groupby(df: DataFrame, c: str):

@@ -42,3 +42,19 @@ def test_entropy_is_pre_aggregated(spark):
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan or "HashAggregate" in plan
     assert "Window" not in plan
+
+
+def test_top_k_per_class_limits_before_shuffle(spark):
+    from netprism.operators.evaluate import per_class_sample
+    from netprism.sources.tables import table
+
+    ev = table(spark, "/root/testdata/sf0.001", "events")
+    plan = _plan(per_class_sample(ev, "event_type", ["event_id"], 2, 5))
+    assert "WindowGroupLimit" in plan
+
+
+def test_mode_of_high_cardinality_column_is_distributed(spark):
+    from netprism.operators.clean import modes
+
+    df = spark.range(0, 2000).select((F.col("id") % 1500).cast("string").alias("c"))
+    assert modes(df, ["c"], map_limit=10) == modes(df, ["c"]) == {"c": "0"}
