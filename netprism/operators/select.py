@@ -30,8 +30,15 @@ def _pair_corr(a: str, b: str):
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+def _agg_chunked(df: DataFrame, aggs: list, chunk: int) -> dict:
+    out: dict = {}
+    for s in range(0, len(aggs), chunk):
+        out.update(df.agg(*aggs[s:s + chunk]).first().asDict())
+    return out
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-                      chunk: int = 200) -> DataFrame:
+                      chunk: int = 64) -> DataFrame:
     """Long table (feature_a, feature_b, abs_r) for i < j in column order."""
     cols = list(cols or numeric_columns(df))
     pairs = list(combinations(cols, 2))
@@ -40,10 +47,27 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, method:
         method = "pairwise" if len(cols) <= 40 else "matrix"
     values: dict[tuple[str, str], float | None] = {}
     if method == "pairwise":
-        for s in range(0, len(pairs), chunk):
-            part = pairs[s:s + chunk]
-            row = df.agg(*[_pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
-            values.update({p: row[f"r{i}"] for i, p in enumerate(part)})
+        # one pass: null counts and std per column, covariance per pair
+        # (covariance already skips rows where either side is null)
+        aggs = [F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)]
+        aggs += [F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+        aggs += [F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"v{j}")
+                 for j, (a, b) in enumerate(pairs)]
+        row = _agg_chunked(df, aggs, chunk)
+        idx = {c: i for i, c in enumerate(cols)}
+        masked = []
+        for j, (a, b) in enumerate(pairs):
+            if row[f"z{idx[a]}"] or row[f"z{idx[b]}"]:
+                masked.append((a, b))  # pairwise-complete std needed
+                continue
+            sa, sb, v = row[f"s{idx[a]}"], row[f"s{idx[b]}"], row[f"v{j}"]
+            values[(a, b)] = None if v is None or not sa or not sb else v / (sa * sb)
+        # pairs with nulls: guarded pairwise-complete r, a few pairs per aggregate
+        # (very wide aggregates fall out of generated code and get slow)
+        for s in range(0, len(masked), 8):
+            part = masked[s:s + 8]
+            r = df.agg(*[_pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
+            values.update({p: r[f"r{i}"] for i, p in enumerate(part)})
     else:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.stat import Correlation
