@@ -26,7 +26,9 @@ def e02(spark, sf):
     return enc.label_codes(flows(spark, sf).select("flow_id", "label"), "label")
 
 
-@query("E03_feature_vector")
+@query("E03_feature_vector", with_ctes(
+    "SELECT flow_id, [CAST(total_fwd_packets AS DOUBLE), CAST(total_backward_packets AS DOUBLE),"
+    " flow_iat_mean, coalesce(flow_duration, 'NaN'::DOUBLE)] AS features FROM flows", FLOWS_SQL))
 def e03(spark, sf):
     from pyspark.ml.functions import vector_to_array
 

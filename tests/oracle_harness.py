@@ -61,7 +61,8 @@ def _rows(cols, rows):
 _TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
           "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "date": "DATE",
           "smallint": "SMALLINT", "tinyint": "TINYINT", "binary": "BLOB",
-          "timestamp": "TIMESTAMP WITH TIME ZONE", "array<string>": "VARCHAR[]"}
+          "timestamp": "TIMESTAMP WITH TIME ZONE", "array<string>": "VARCHAR[]",
+          "array<double>": "DOUBLE[]"}
 
 
 def type_diffs(sdf, cur) -> list:
