@@ -41,8 +41,9 @@ def source_window_counts(stream: DataFrame, ts: str, key: str, duration: str = "
                          slide: str | None = None, watermark: str = "10 minutes",
                          value: str | None = None, label: str | None = None,
                          normal: Sequence[str] = ("normal",)) -> DataFrame:
-    """Per (window, key) counts and means with a watermark; rows later
-    than the watermark are dropped, state of closed windows is evicted."""
+    """Per (window, key) counts and means with a watermark.  In append
+    and update mode rows older than the watermark are dropped and the state of
+    closed windows is evicted; complete mode keeps every window."""
     s = stream.withColumn("__et", event_time(F.col(ts))).withWatermark("__et", watermark)
     w = F.window("__et", duration, slide) if slide else F.window("__et", duration)
     aggs = {"n": F.count(F.lit(1))}

@@ -58,3 +58,26 @@ def test_mode_of_high_cardinality_column_is_distributed(spark):
 
     df = spark.range(0, 2000).select((F.col("id") % 1500).cast("string").alias("c"))
     assert modes(df, ["c"], map_limit=10) == modes(df, ["c"]) == {"c": "0"}
+
+
+def test_results_do_not_depend_on_partition_count(spark):
+    from netprism.operators.encode import stratified_split
+    from netprism.operators.windows import dense_row_id, group_row_number
+    from netprism.sources.tables import flows
+
+    f = flows(spark, "/root/testdata/sf0.001")
+    a = dense_row_id(f, ["flow_id"], partitions=3).select("row_id", "flow_id", "ts", "total_fwd_packets")
+    b = dense_row_id(f, ["flow_id"], partitions=11).select("row_id", "flow_id", "ts", "total_fwd_packets")
+    assert sorted(a.collect()) == sorted(b.collect())
+    a = group_row_number(f, ["label"], ["flow_id"], partitions=2).select("rank_in_group", "flow_id", "ts", "label")
+    b = group_row_number(f, ["label"], ["flow_id"], partitions=9).select("rank_in_group", "flow_id", "ts", "label")
+    assert sorted(a.collect()) == sorted(b.collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        s1 = sorted(stratified_split(f, "label", ["flow_id", "ts"]).select("flow_id", "ts", "split").collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        s2 = sorted(stratified_split(f, "label", ["flow_id", "ts"]).select("flow_id", "ts", "split").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert s1 == s2
