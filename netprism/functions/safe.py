@@ -59,3 +59,15 @@ def null_div(num, den) -> Column:
 def r6(c, digits: int = 6) -> Column:
     """Round a double for comparisons with another engine."""
     return F.round(col(c).cast("double"), digits)
+
+
+BROADCAST_ROW_LIMIT = 1_000_000
+
+
+def bounded_broadcast(df, limit: int = BROADCAST_ROW_LIMIT):
+    """Broadcast hint only when the side is proven small: its row count (one
+    cheap aggregate of an already small per-class / per-key table) is checked
+    first; above ``limit`` the join is left to the planner (sort-merge, AQE)."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= limit else df

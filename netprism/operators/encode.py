@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.safe import bounded_broadcast
 from .quantiles import exact_quantiles
 from .windows import dense_row_id, group_row_number
 
@@ -40,9 +41,7 @@ def label_codes(df: DataFrame, label: str, broadcast_limit: int = 1_000_000) ->
     is broadcast.  The rank over it runs on that table only."""
     classes = df.select(label).where(F.col(label).isNotNull()).distinct()
     codes = classes.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).alias("code"))
-    n = codes.count()
-    side = F.broadcast(codes) if n <= broadcast_limit else codes
-    return df.join(side, label, "left")
+    return df.join(bounded_broadcast(codes, broadcast_limit), label, "left")
 
 
 def string_indexer(label: str, output: str = "label_idx"):
@@ -158,7 +157,7 @@ def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], test_fra
     order_cols = ["__h", *id_cols] if key is not None else list(id_cols)
     ranked = group_row_number(base, [label], order_cols, name="__r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    j = ranked.join(F.broadcast(sizes), label, "inner")
+    j = ranked.join(bounded_broadcast(sizes), label, "inner")
     test = F.col("__r") < F.round(F.col("__nc") * test_fraction)
     out = j.withColumn("split", F.when(test, "test").otherwise("train"))
     return out.drop("__r", "__nc", *(["__h"] if key is not None else []))
@@ -168,7 +167,7 @@ def split_statistics(df: DataFrame, label: str, split: str = "split") -> DataFra
     """Rows per (split, class) and the class share inside each split."""
     counts = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(split).agg(F.sum("n").alias("split_rows"))
-    return counts.join(F.broadcast(totals), split).withColumn(
+    return counts.join(bounded_broadcast(totals), split).withColumn(
         "share", F.col("n") / F.col("split_rows"))
 
 
@@ -194,7 +193,7 @@ def random_split_3(df: DataFrame, id_cols: Sequence[str], label: str, seed: int
     base = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)))
     ranked = group_row_number(base, [label], ["__h", *id_cols], name="__r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    j = ranked.join(F.broadcast(sizes), label)
+    j = ranked.join(bounded_broadcast(sizes), label)
     a, b = fractions[0], fractions[0] + fractions[1]
     split = (F.when(F.col("__r") < F.round(F.col("__nc") * a), "train")
              .when(F.col("__r") < F.round(F.col("__nc") * b), "validation").otherwise("test"))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.safe import bounded_broadcast
+
 # Alert priority presets (code: >0.9 HIGH else MEDIUM; documents:
 # >0.9 HIGH, >0.7 MEDIUM, else LOW).
 PRIORITY_CODE = ((0.9, "HIGH"), (None, "MEDIUM"))
@@ -74,7 +76,7 @@ def false_positive_rates(df: DataFrame, label="label", prediction="prediction",
     sum FP / (sum FP + sum TN)) and the binary FPR (normal rows flagged as attack)."""
     truth = df.select(F.col(label).alias(prediction)).distinct()
     cm = confusion_counts(df, label, prediction)
-    inside = cm.join(F.broadcast(truth), prediction, "left_semi")  # k classes: tiny
+    inside = cm.join(bounded_broadcast(truth), prediction, "left_semi")
     pc = per_class(inside, label, prediction)
     # TN_c = T - support_c - predicted_c + tp_c; summed over k classes
     sums = pc.agg(F.sum("fp").alias("fp"), F.sum("support").alias("t"),
@@ -95,7 +97,7 @@ def class_hit_rates(df: DataFrame, label="label", prediction="prediction") -> Da
     is the diagonal); misclassifications are the rows with label != prediction."""
     cm = confusion_counts(df, label, prediction)
     tot = cm.groupBy(label).agg(F.sum("n").alias("support"))
-    return cm.join(F.broadcast(tot), label).withColumn("share", F.col("n") / F.col("support"))
+    return cm.join(bounded_broadcast(tot), label).withColumn("share", F.col("n") / F.col("support"))
 
 
 def metric_table(df: DataFrame, split="split", label="label", prediction="prediction") -> DataFrame:
@@ -110,7 +112,7 @@ def psi(df: DataFrame, period: str, category: str, expected: str, actual: str,
     """Population stability index of a categorical column between two periods."""
     counts = df.groupBy(period, category).agg(F.count(F.lit(1)).alias("n"))
     tot = counts.groupBy(period).agg(F.sum("n").alias("t"))
-    share = counts.join(F.broadcast(tot), period).select(period, category,
+    share = counts.join(bounded_broadcast(tot), period).select(period, category,
                                                          (F.col("n") / F.col("t")).alias("s"))
     wide = share.groupBy(category).pivot(period, [expected, actual]).agg(F.first("s")).fillna(eps)
     e, a = F.col(expected), F.col(actual)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import canonical, find_column
-from ..functions.safe import pandas_div
+from ..functions.safe import bounded_broadcast, pandas_div
 
 # Fixed values (reference behaviour): TCP flag weights, port ranges, epsilon.
 FLAG_WEIGHTS = (("SYN", 1), ("ACK", 2), ("FIN", 4), ("RST", 8), ("PSH", 16), ("URG", 32))
@@ -239,7 +239,7 @@ def map_labels(df: DataFrame, label: str, mapping: DataFrame, raw: str = "raw",
     ``mapping`` is a fixed label table (tens of rows, a literal): broadcast is
     safe.  Unmapped labels get ``unknown`` / -1 / 1 (attack).
     """
-    j = df.join(F.broadcast(mapping), df[label] == mapping[raw], "left").drop(raw)
+    j = df.join(bounded_broadcast(mapping), df[label] == mapping[raw], "left").drop(raw)
     return j.withColumns({
         "category": F.coalesce(F.col("category"), F.lit(unknown_category)),
         "multi_code": F.coalesce(F.col("multi_code"), F.lit(-1)),

@@ -101,6 +101,7 @@ def redundant_features(pairs: DataFrame, var: DataFrame) -> DataFrame:
     pair is judged on its own.  ``var`` has one row per feature: broadcast."""
     va = var.select(F.col("feature").alias("feature_a"), F.col("variance").alias("var_a"))
     vb = var.select(F.col("feature").alias("feature_b"), F.col("variance").alias("var_b"))
+    # one row per column of the table: bounded by the schema, not by the data
     j = pairs.join(F.broadcast(va), "feature_a").join(F.broadcast(vb), "feature_b")
     return (j.select(F.when(F.col("var_a") < F.col("var_b"), F.col("feature_a"))
                      .otherwise(F.col("feature_b")).alias("feature"))
