@@ -269,7 +269,12 @@ def fit_cleaning(df: DataFrame, exact_median: bool = True,
     m = CleaningModel(cols_before=len(df.columns))
     stats = df.agg(F.count(F.lit(1)).alias("n")).first()
     m.rows_before = stats["n"]
-    dedup = df.dropDuplicates()
+    # the statistics below read the de-duplicated rows about ten times: write
+    # them once instead of repeating the all-column shuffle for every pass
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    dedup = df.dropDuplicates().checkpoint(eager=True)
     m.rows_after = dedup.count()
     if m.rows_before > m.rows_after:
         m.log.append(("All", f"{m.rows_before - m.rows_after:,} duplicate records",

@@ -26,7 +26,7 @@ def total_order(df: DataFrame, order_by: Sequence[str]) -> list[str]:
 
 
 def dense_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, unique: bool = False) -> DataFrame:
     """0-based position of each row in ``order_by`` order (ties broken by all
     other columns, so the position is deterministic and recomputation after a lost
     executor gives the same ids).
@@ -37,7 +37,8 @@ def dense_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id",
     single-partition window.
     """
     spark = df.sparkSession
-    keys = total_order(df, order_by)
+    # ``unique=True``: the caller guarantees order_by is a key (no tie-breakers)
+    keys = list(order_by) if unique else total_order(df, order_by)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
     local = ranged.withColumn("__pid", F.spark_partition_id()).withColumn(
@@ -63,9 +64,9 @@ def dense_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id",
 
 
 def positional_groups(df: DataFrame, order_by: Sequence[str], size: int = 100,
-                      group: str = "flow_group") -> DataFrame:
+                      group: str = "flow_group", unique: bool = False) -> DataFrame:
     """``row_id // size``."""
-    return dense_row_id(df, order_by).withColumn(group, F.floor(F.col("row_id") / size))
+    return dense_row_id(df, order_by, unique=unique).withColumn(group, F.floor(F.col("row_id") / size))
 
 
 # Fixed values (reference defaults when a group statistic is missing).

@@ -14,7 +14,8 @@ from .profiling import FLOW_COLUMNS
 @query("W01_positional_groups", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_id,"
        " (row_number() OVER (ORDER BY event_id) - 1) // 100 AS flow_group FROM events")
 def w01(spark, sf):
-    g = win.positional_groups(table(spark, sf, "events"), ["event_id"], 100)
+    # event_id is the key of events: no tie-breaking columns needed
+    g = win.positional_groups(table(spark, sf, "events"), ["event_id"], 100, unique=True)
     return g.select("event_id", "row_id", F.col("flow_group").cast("bigint").alias("flow_group"))
 
 
