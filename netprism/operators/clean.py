@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import (LABEL_NAMES, categorical_columns, detect_label,
-                               identifier_columns, numeric_columns)
-from ..functions.safe import INF, bounded_broadcast, finite_or_null
+from ..functions.names import LABEL_NAMES, detect_label, identifier_columns, numeric_columns
+from ..functions.safe import bounded_broadcast, finite_or_null
 from .quantiles import exact_median, exact_quantiles
 
 UNKNOWN = "Unknown"

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import canonical, find_column
+from ..functions.names import find_column
 from ..functions.safe import bounded_broadcast, pandas_div
 
 # Fixed values (reference behaviour): TCP flag weights, port ranges, epsilon.
