@@ -43,8 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when nothing is configured (tests, a laptop) a fresh local folder
-    is taken.
+    is (a cluster session without one is an error).  Only in local mode with
+    nothing configured (tests, a laptop) a fresh local folder is taken.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints must survive lost executors)")
+        # local mode (tests, a laptop): a private folder is fine
         configured = tempfile.mkdtemp(prefix="netprism-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
