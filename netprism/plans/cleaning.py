@@ -65,7 +65,29 @@ def c07(spark, sf):
     return df.groupBy("Label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C08_cleaning_log")
+_R_MISS = "Preserve data distribution while handling missing data"
+_R_ID = "Prevent overfitting; identifiers not useful for prediction"
+C08_SQL = with_ctes(
+    "SELECT 'All' AS \"Column\", format('{:,}', n - nd) || ' duplicate records' AS Issue,"
+    " 'Removed duplicate rows' AS Action, 'Prevent model bias toward frequent patterns' AS Reason"
+    " FROM (SELECT (SELECT count(*) FROM flows) AS n, (SELECT count(*) FROM d) AS nd) WHERE n > nd"
+    " UNION ALL SELECT 'flow_duration', format('{:,}', m) || ' missing values (' || format('{:.2f}', m * 100.0 / n)"
+    " || '%)', 'Filled with median (' || format('{:.2f}', med) || ')', '" + _R_MISS + "'"
+    " FROM (SELECT count(*) - count(flow_duration) AS m, count(*) AS n,"
+    " quantile_cont(flow_duration, 0.5) AS med FROM d) WHERE m > 0"
+    " UNION ALL SELECT 'protocol', format('{:,}', m) || ' missing values (' || format('{:.2f}', m * 100.0 / n)"
+    " || '%)', 'Filled with mode (' || mode_value || ')', '" + _R_MISS + "'"
+    " FROM (SELECT count(*) - count(protocol) AS m, count(*) AS n, (SELECT protocol FROM d"
+    " WHERE protocol IS NOT NULL GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1) AS mode_value"
+    " FROM d) WHERE m > 0"
+    # identifier columns and the label rename follow from the column names of the view
+    " UNION ALL SELECT 'flow_id', 'High cardinality or identifier column', 'Removed column', '" + _R_ID + "'"
+    " UNION ALL SELECT 'source_id', 'High cardinality or identifier column', 'Removed column', '" + _R_ID + "'"
+    " UNION ALL SELECT 'label', 'Non-standard column name', 'Renamed to \"Label\"',"
+    " 'Standardize column naming across datasets'", FLOWS_SQL, DEDUP_SQL)
+
+
+@query("C08_cleaning_log", C08_SQL)
 def c08(spark, sf):
     model = clean.fit_cleaning(flows(spark, sf))
     return model.log_frame(spark)
