@@ -2,9 +2,9 @@
 
 Design rule: one aggregate pass for all columns (the reference scans once per
 column and statistic).  Per-column statistics come back as one wide row and
-are turned into long form with ``unpivot`` so that filters / orders run in
-Spark.  Very wide tables are chunked (``CHUNK`` expressions per aggregate) to
-stay under the code-generation method limit.
+are turned into long form with ``stack`` so that filters / orders run in
+Spark.  Very wide tables are chunked (``CHUNK`` columns per aggregate) to stay
+inside generated code.
 """
 
 from __future__ import annotations
@@ -34,17 +34,23 @@ def _missing_expr(df: DataFrame, c: str):
     return F.count_if(F.col(c).isNull())
 
 
-def missing_counts(df: DataFrame) -> DataFrame:
-    """Long table (column, missing_count, missing_pct) for every column, one pass.
+def missing_counts(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Long table (column, missing_count, missing_pct) for every column.
 
-    The aggregate produces one row; ``stack`` turns it into one row per column.
-    """
+    One aggregate per ``chunk`` columns (a single pass for up to ``chunk``
+    columns; very wide aggregates fall out of generated code); each one-row
+    result is turned into one row per column with ``stack``."""
     cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("__n")] + [_missing_expr(df, c).alias(f"m{i}")
-                                               for i, c in enumerate(cols)]
-    wide = df.agg(*aggs)
-    pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', m{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr("__n", f"stack({len(cols)}, {pairs}) as (column, missing_count)")
+    parts = []
+    for s in range(0, len(cols), chunk):
+        part = cols[s:s + chunk]
+        wide = df.agg(F.count(F.lit(1)).alias("__n"),
+                      *[_missing_expr(df, c).alias(f"m{i}") for i, c in enumerate(part)])
+        pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', m{i}" for i, c in enumerate(part))
+        parts.append(wide.selectExpr("__n", f"stack({len(part)}, {pairs}) as (column, missing_count)"))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
     return long.select(
         "column", "missing_count",
         (F.col("missing_count") * 100.0 / F.col("__n")).alias("missing_pct"))
