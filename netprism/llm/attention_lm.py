@@ -1,17 +1,20 @@
 """LM scoring (6): a causal self-attention model on sub-word ids, in numpy.
 
 Words (white space tokens, A-Z lower-cased) are written as sub-word ids of a
-public vocabulary; an end id closes each text.  The model gives
-P(id | context) = P(class | context) * P(id | class): the most frequent ids
-are classes of their own, the others share classes by frequency and by whether
-they end a word.  Class logits are the smoothed log bigram table of the whole
-training corpus plus an attention head over the context, with a learned bias
-per distance.  Texts are cut into blocks of ``BLOCK`` ids; a window is a block
+public vocabulary; an end id closes each text.  The model gives P(id | context)
+= P(class | context) * P(id | class, class before): the most frequent ids are
+classes of their own, the others share classes by frequency and by whether
+they end a word.  An attention head over the context, with a learned bias per
+distance, weighs ``EXPERTS`` bigram tables of the classes; each table is the
+smoothed one of the whole training corpus with learned changes.  So a
+normalised probability costs a few products per id, not one per class.  The
+weights hold for ``GROUP`` ids and are drawn from the ids before the first of
+them.  Ids within a class are counted after each class.  Texts are cut into blocks of ``BLOCK`` ids; a window is a block
 with the one before it, so windows overlap by half and each id is scored
 once, in a batch of masked attention products.
 
-What is learned: word counts, id counts and class bigrams from every word of
-every training document; the attention weights by Adam on a fixed share
+What is learned: word counts, id counts and counts of (class, id after it) from
+every word of every training document; the attention weights by Adam on a fixed share
 (``1 / rate``) of the training blocks chosen by hash, each task on its own
 blocks, weights averaged by tokens after each of ``rounds`` rounds.  All of it grows with
 the input.
@@ -46,11 +49,13 @@ from ..session import scratch_path
 from .common import binary_column, filesystem, id_bucket, stored
 from .subword import encoder
 
-#: Ids of a block (a window has two blocks), classes, width of the head.
-BLOCK, HEAD, BINS, WIDTH = 32, 160, 16, 16
+#: Ids of a block (a window has two blocks), ids that share a query, classes, width of the head, tables that it weighs.
+BLOCK, GROUP, HEAD, BINS, WIDTH, EXPERTS = 32, 4, 160, 16, 8, 8
 #: Rows of the table that share a dictionary.
 CHUNK_ROWS = 4096
 SMOOTH = 0.1
+#: Weight of the less specific distribution when counts are smoothed with it.
+BACKOFF = 4.0
 
 
 @dataclass
@@ -81,80 +86,110 @@ def make_classes(counts: np.ndarray, ends_word: np.ndarray) -> Classes:
 
 
 def start_weights(n: int, seed: int = 11) -> dict[str, np.ndarray]:
-    """Tables for the n classes, the begin mark (n) and padding (n + 1)."""
+    """Tables for the n classes, the begin mark (n) and padding (n + 1); gates;
+    changes of each expert's logits by class, and by class before and class."""
     rng = np.random.default_rng(seed)
     table = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-    return {"q": table(n + 2, WIDTH), "k": table(n + 2, WIDTH), "v": table(n + 2, WIDTH),
-            "o": table(WIDTH, n) * 0.3, "r": np.zeros(2 * BLOCK, np.float32)}
+    return {"q": table(n + 2, WIDTH), "k": table(n + 2, WIDTH), "v": table(n + 2, WIDTH), "g": table(WIDTH, EXPERTS),
+            "b": np.zeros(EXPERTS, np.float32), "r": np.zeros(2 * BLOCK, np.float32),
+            "u": table(EXPERTS, 1, n), "d": np.zeros((EXPERTS, n + 2, n), np.float32)}
 
 
-_DISTANCE = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
+_DISTANCE = np.arange(0, BLOCK, GROUP)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 
 
 def attend(w, inputs: np.ndarray):
-    """Queries of the second half of each window over all of it: (q, k, v, p, h)."""
+    """Queries of the second half of each window, one per group, over what is
+    before: (q, k, v, attention, result)."""
     pad = len(w["q"]) - 1
     bias = np.where(_DISTANCE >= 0, w["r"][np.maximum(_DISTANCE, 0)], np.float32(-1e9)).astype(np.float32)
-    q, k, v = w["q"][inputs[:, BLOCK:]], w["k"][inputs], w["v"][inputs]
+    q, k, v = w["q"][inputs[:, BLOCK::GROUP]], w["k"][inputs], w["v"][inputs]
     a = np.matmul(q, k.transpose(0, 2, 1))
     a *= np.float32(1 / math.sqrt(WIDTH))
     a += bias
     none = inputs == pad
     if none.any():
-        a += np.where(none, np.float32(-1e9), np.float32(0))[:, None, :]
+        a[np.broadcast_to(none[:, None, :], a.shape)] = np.float32(-1e9)
     a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
     return q, k, v, a, np.matmul(a, v)
 
 
-def log_probabilities(w, bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def gates(w, h: np.ndarray) -> np.ndarray:
+    """The experts' shares for each group (row of ``h``)."""
+    g = h.reshape(-1, WIDTH) @ w["g"] + w["b"]
+    g -= g.max(axis=1, keepdims=True)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
+    return g
+
+
+def expert_tables(w, bigram: np.ndarray) -> np.ndarray:
+    """P(class | class before) of each expert: (experts, classes + 2, classes)."""
+    t = bigram[None] + w["u"] + w["d"]
+    t -= t.max(axis=2, keepdims=True)
+    np.exp(t, out=t)
+    t /= t.sum(axis=2, keepdims=True)
+    return t
+
+
+def by_pair(tables: np.ndarray) -> np.ndarray:
+    """The experts' probabilities of (class before, class), side by side."""
+    return np.ascontiguousarray(tables.reshape(len(tables), -1).T)
+
+
+def log_probabilities(w, pairs: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log P(class) of each target (windows x BLOCK; 0 where the target is -1)."""
-    h = attend(w, inputs)[4]
-    logits = (h.reshape(-1, WIDTH) @ w["o"])
-    logits += bigram[inputs[:, BLOCK:].ravel()]
+    g = gates(w, attend(w, inputs)[4])
+    n = len(w["q"]) - 2
     t = targets.ravel()
-    aim = logits[np.arange(len(t)), np.maximum(t, 0)]
-    top = logits.max(axis=1)
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    out = aim - top - np.log(logits.sum(axis=1))
+    p = pairs[inputs[:, BLOCK:].ravel() * n + np.maximum(t, 0)].reshape(len(g), GROUP, EXPERTS)
+    out = np.log(np.matmul(p, g[:, :, None])).ravel()
     out[t < 0] = 0
     return out.reshape(targets.shape)
 
 
+def _sums(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``x`` added up by ``at``."""
+    return np.stack([np.bincount(at, x[:, j], minlength=size) for j in range(x.shape[1])], axis=1)
+
+
 def gradients(w, bigram, inputs, targets) -> dict[str, np.ndarray]:
     """Of the mean negative log likelihood."""
-    q, k, v, p, h = attend(w, inputs)
-    n = len(bigram[0])
-    flat = h.reshape(-1, WIDTH)
-    logits = flat @ w["o"] + bigram[inputs[:, BLOCK:].ravel()]
-    logits -= logits.max(axis=1, keepdims=True)
-    d = np.exp(logits)
-    d /= d.sum(axis=1, keepdims=True)
+    q, k, v, a, h = attend(w, inputs)
+    g = gates(w, h)
+    n = len(w["q"]) - 2
     t = targets.ravel()
-    d[np.arange(len(t)), np.maximum(t, 0)] -= 1
-    d[t < 0] = 0
-    d /= max(int((t >= 0).sum()), 1)
-    dh = (d @ w["o"].T).reshape(h.shape)
-    dp = np.matmul(dh, v.transpose(0, 2, 1))
-    da = p * (dp - (dp * p).sum(axis=2, keepdims=True))
+    real = t >= 0
+    before = inputs[:, BLOCK:].ravel()
+    tables = expert_tables(w, bigram)
+    p = tables[:, before, np.maximum(t, 0)].T
+    r = np.repeat(g, GROUP, axis=0) * p
+    r /= r.sum(axis=1, keepdims=True)
+    r[~real] = 0
+    dg = g * real.reshape(-1, GROUP).sum(axis=1)[:, None] - r.reshape(len(g), GROUP, EXPERTS).sum(axis=1)
+    count = max(int(real.sum()), 1)
+    dh = (dg @ w["g"].T).reshape(h.shape)
+    # each expert's rows: expected minus observed
+    d = _sums(before, r, n + 2).T[:, :, None].astype(np.float32) * tables
+    d -= _sums(before * n + np.maximum(t, 0), r, (n + 2) * n).T.reshape(d.shape)
+    out = {"g": h.reshape(-1, WIDTH).T @ dg, "b": dg.sum(axis=0), "d": d, "u": d.sum(axis=1, keepdims=True)}
+    da = np.matmul(dh, v.transpose(0, 2, 1))
+    da = a * (da - (da * a).sum(axis=2, keepdims=True))
     scale = np.float32(1 / math.sqrt(WIDTH))
-    parts = {"q": (inputs[:, BLOCK:], np.matmul(da, k) * scale), "k": (inputs, np.matmul(da.transpose(0, 2, 1), q) * scale),
-             "v": (inputs, np.matmul(p.transpose(0, 2, 1), dh))}
-    out = {"o": flat.T @ d}
-    for name, (at, g) in parts.items():
-        total = np.zeros_like(w[name])
-        np.add.at(total, at.ravel(), g.reshape(-1, WIDTH))
-        total[n + 1] = 0
-        out[name] = total
+    parts = {"q": (inputs[:, BLOCK::GROUP], np.matmul(da, k) * scale), "k": (inputs, np.matmul(da.transpose(0, 2, 1), q) * scale),
+             "v": (inputs, np.matmul(a.transpose(0, 2, 1), dh))}
+    for name, (at, x) in parts.items():
+        out[name] = _sums(at.ravel(), x.reshape(-1, WIDTH), n + 2)
+        out[name][n + 1] = 0
     by = da.sum(axis=0)
     seen = _DISTANCE >= 0
-    out["r"] = np.bincount(_DISTANCE[seen], by[seen], minlength=2 * BLOCK).astype(np.float32)
-    return out
+    out["r"] = np.bincount(_DISTANCE[seen], by[seen], minlength=2 * BLOCK)
+    return {name: (x / count).astype(np.float32) for name, x in out.items()}
 
 
-def descend(w, bigram, inputs, targets, rate: float = 0.01, batch: int = 64):
+def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 128):
     """One pass of Adam over the windows, in their order; changed weights."""
     w = {k: x.copy() for k, x in w.items()}
     first = {k: np.zeros_like(x) for k, x in w.items()}
@@ -162,17 +197,25 @@ def descend(w, bigram, inputs, targets, rate: float = 0.01, batch: int = 64):
     for step, i in enumerate(range(0, len(inputs), batch), 1):
         g = gradients(w, bigram, inputs[i:i + batch], targets[i:i + batch])
         for k, x in w.items():
-            first[k] = 0.9 * first[k] + 0.1 * g[k]
-            second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-            x -= (rate * first[k] / (1 - 0.9 ** step) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+            first[k] += np.float32(0.1) * (g[k] - first[k])
+            second[k] += np.float32(0.01) * (g[k] ** 2 - second[k])
+            x -= np.float32(rate / (1 - 0.9 ** step)) * first[k] / (
+                np.sqrt(second[k] * np.float32(1 / (1 - 0.99 ** step))) + np.float32(1e-6))
     return w
 
 
+def block_numbers(n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each block, its number in the text)."""
+    blocks = -(-n_ids // BLOCK)
+    text = np.repeat(np.arange(len(n_ids)), blocks)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+
+
 def windows(classes: np.ndarray, n_ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, text of each window) of texts whose classes lie end to
     end, ``n_ids`` of each."""
     blocks = -(-n_ids // BLOCK)
-    text = np.repeat(np.arange(len(n_ids)), blocks)
+    text = block_numbers(n_ids)[0]
     size = int(blocks.sum())
     targets = np.full((size, BLOCK), -1, np.int64)
     start = (np.cumsum(blocks) - blocks) * BLOCK
@@ -211,15 +254,60 @@ class Dictionary:
         numbers = np.fromiter((self.number[w] for s in split for w in s), np.int64, int(n.sum()))
         return numbers, n
 
-    def classes(self, numbers: np.ndarray, n_words: np.ndarray, classes: Classes):
-        """(classes of all ids with the end of each text, ids of each text)."""
+    def ids(self, numbers: np.ndarray, n_words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with the end id after each, ids of each text)."""
         length = self.length[numbers]
         total = np.concatenate([[0], np.cumsum(length)])
         upto = np.cumsum(n_words)
         n_ids = total[upto] - total[upto - n_words]
         place = np.repeat(self.start[numbers] - total[:-1], length) + np.arange(int(total[-1]))
-        got = classes.of[self.flat[place]]
-        return np.insert(got, np.cumsum(n_ids), classes.n - 1), n_ids + 1
+        out = np.full(len(place) + len(n_ids), end, np.int32)
+        kept = np.arange(len(place)) + np.repeat(np.arange(len(n_ids)), n_ids)
+        out[kept] = self.flat[place]
+        return out, n_ids + 1
+
+
+def class_before(classes: np.ndarray, n_ids: np.ndarray, n: int) -> np.ndarray:
+    """The class before each id; the begin mark n at the start of each text."""
+    out = np.empty_like(classes)
+    out[1:] = classes[:-1]
+    out[np.cumsum(n_ids) - n_ids] = n
+    return out
+
+
+class Within:
+    """log P(id | its class, class before it), from counts per class and id."""
+
+    def __init__(self, classes: Classes, keys: np.ndarray, counts: np.ndarray):
+        ids = len(classes.of)
+        self.classes = classes
+        mass = np.zeros((classes.n + 2) * classes.n)
+        np.add.at(mass, keys // ids * classes.n + classes.of[keys % ids], counts)
+        self.mass = mass.reshape(classes.n + 2, classes.n)
+        seen = np.unique(keys % ids)
+        self.column = np.full(ids, -1, np.int32)
+        self.column[seen] = np.arange(len(seen))
+        table = np.zeros((classes.n + 2, len(seen)))
+        table[keys // ids, self.column[keys % ids]] = counts
+        of = classes.of[seen]
+        self.table = np.log((table + BACKOFF * np.exp(classes.log_in[seen])) / (self.mass[:, of] + BACKOFF)).astype(np.float32)
+
+    def bigram(self) -> np.ndarray:
+        """Smoothed log P(class | class before)."""
+        share = (self.mass.sum(axis=0) + SMOOTH) / (self.mass.sum() + SMOOTH * self.classes.n)
+        return np.log((self.mass + BACKOFF * share) / (self.mass.sum(axis=1, keepdims=True) + BACKOFF)).astype(np.float32)
+
+    def logs(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        at = self.column[ids]
+        new = at < 0
+        if not new.any():
+            return self.table[before, at]
+        out = np.empty(len(ids), np.float32)
+        out[~new] = self.table[before[~new], at[~new]]
+        rare = ids[new]
+        out[new] = (math.log(BACKOFF) + self.classes.log_in[rare]
+                    - np.log(self.mass[before[new], self.classes.of[rare]] + BACKOFF))
+        return out
 
 
 def _pieces(batch, most: int = 1_000_000):
@@ -312,12 +400,18 @@ def _id_counts(words: DataFrame, n_ids: int) -> np.ndarray:
     return out
 
 
-def _training_blocks(rows: DataFrame, base: str, classes: Classes, rate: int) -> tuple[DataFrame, np.ndarray]:
-    """(windows chosen for training, log bigram table of all training ids)."""
-    n = classes.n
+def _training_blocks(rows: DataFrame, base: str, classes: Classes, rate: int) -> tuple[DataFrame, Within]:
+    """(windows chosen for training, counts of ids after classes in all training texts)."""
+    n, ids = classes.n, len(classes.of)
+
+    def block_rows(x, y, key, count=None):
+        none = [None] * len(key)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x or none, pa.binary()), pa.array(y or none, pa.binary()), pa.array(key, pa.int64()),
+             pa.array(none if count is None else count, pa.int64())], names=["x", "y", "key", "n"])
 
     def run(batches):
-        table = np.zeros((n + 2) * n, np.int64)
+        table = np.zeros((n + 2) * ids, np.int32)
         held, words = None, None
         for b in batches:
             inputs, targets, keys = [], [], []
@@ -326,48 +420,35 @@ def _training_blocks(rows: DataFrame, base: str, classes: Classes, rate: int) ->
                 if not pick:
                     continue
                 if chunk != held:
-                    held, words = chunk, Dictionary(base, chunk)
-                got, n_ids = words.classes(*words.texts([texts[i] for i in pick]), classes)
-                x, y, text = windows(got, n_ids, n)
-                own = x[:, BLOCK:]
-                real = y >= 0
-                table += np.bincount(own[real] * n + y[real], minlength=len(table))
-                nth = np.arange(len(text)) - np.searchsorted(text, text)
+                    held, words = chunk, _dictionary(base, chunk, texts)
+                got, n_ids = words.ids(*words.texts([texts[i] for i in pick]), ids - 1)
+                own = classes.of[got]
+                np.add.at(table, class_before(own, n_ids, n) * ids + got, 1)
+                text, nth = block_numbers(n_ids)
                 mark = np.array([zlib.crc32(b"%d" % (doc_ids[i] or 0)) for i in pick], np.uint64)[text]
                 mark = (mark + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 mark ^= mark >> np.uint64(33)
-                chosen = mark * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-                chosen = chosen % np.uint64(rate) == 0
+                chosen = (mark * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(rate) == 0
+                x, y, _ = windows(own, n_ids, n)
                 inputs.append(x[chosen])
                 targets.append(y[chosen])
                 keys.append(mark[chosen])
             if inputs:
                 x, y = np.concatenate(inputs).astype("<i2"), np.concatenate(targets).astype("<i2")
-                yield _block_rows([r.tobytes() for r in x], [r.tobytes() for r in y], np.concatenate(keys).view(np.int64))
+                yield block_rows([r.tobytes() for r in x], [r.tobytes() for r in y], np.concatenate(keys).view(np.int64))
         at = np.flatnonzero(table)
         for i in range(0, len(at), 10_000):
             part = at[i:i + 10_000]
-            yield _block_rows(None, None, part, table[part])
-
-    def _block_rows(x, y, key, count=None):
-        none = [None] * len(key)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x or none, pa.binary()), pa.array(y or none, pa.binary()), pa.array(key, pa.int64()),
-             pa.array(none if count is None else count, pa.int64())], names=["x", "y", "key", "n"])
+            yield block_rows(None, None, part, table[part].astype(np.int64))
 
     made = stored(rows.mapInArrow(run, "x binary, y binary, key long, n long"), "training-blocks")
-    # at most (classes + 2) * classes rows
+    # at most (classes + 1) * ids rows, of which few occur
     got = made.where(F.col("n").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((n + 2) * n)
-    table[got["key"].to_numpy()] = got["n"].to_numpy()
-    table = table.reshape(n + 2, n)
-    # interpolated with the class shares, so that no class is impossible
-    share = (table.sum(axis=0) + SMOOTH) / (table.sum() + SMOOTH * n)
-    smooth = (table + 4.0 * share) / (table.sum(axis=1, keepdims=True) + 4.0)
-    return made.where(F.col("x").isNotNull()).select("x", "y", "key"), np.log(smooth).astype(np.float32)
+    within = Within(classes, got["key"].to_numpy(), got["n"].to_numpy())
+    return made.where(F.col("x").isNotNull()).select("x", "y", "key"), within
 
 
-_NAMES = ("q", "k", "v", "o", "r")
+_NAMES = ("q", "k", "v", "g", "b", "r", "u", "d")
 
 
 def _train(blocks: DataFrame, bigram: np.ndarray, n: int, rounds: int) -> dict[str, np.ndarray]:
@@ -386,7 +467,7 @@ def _train(blocks: DataFrame, bigram: np.ndarray, n: int, rounds: int) -> dict[s
                 x = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i2").reshape(-1, 2 * BLOCK).astype(np.int64)
                 y = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i2").reshape(-1, BLOCK).astype(np.int64)
                 order = np.argsort(b.column(2).to_numpy(), kind="stable")
-                w = descend(w, bigram, x[order], y[order], rate=0.02 / (1 + turn))
+                w = descend(w, bigram, x[order], y[order], rate=0.03 / (1 + turn))
                 tokens += int((y >= 0).sum())
             if tokens:
                 flat = np.concatenate([w[k].ravel().astype(np.float64) for k in _NAMES]) * tokens
@@ -428,45 +509,45 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int
         ends_word[i] = token.endswith("</w>")
 
     rows = _chunked(docs, folds, held_out)
-    pairs = stored(_chunk_words(rows), "chunk-words")
-    words = stored(_word_ids(pairs.groupBy("word").agg(F.sum("n").alias("n")), tokenizer), "words")
+    used = stored(_chunk_words(rows), "chunk-words")
+    words = stored(_word_ids(used.groupBy("word").agg(F.sum("n").alias("n")), tokenizer), "words")
     known = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     trained = rows.where("train").count()
     total, distinct = int(known["n"] or 0) + trained, int(known["v"] or 0) + (trained > 0)
 
     base = scratch_path(docs.sparkSession, "dictionaries")
     # a word that every chunk has is split by adaptive execution
-    (pairs.select("chunk", "word").join(words, "word").repartition("chunk").distinct()
+    (used.select("chunk", "word").join(words, "word").repartition("chunk").distinct()
      .write.partitionBy("chunk").parquet(base))
     counts = _id_counts(words, n_ids)
     counts[-1] = trained
     classes = make_classes(counts, ends_word)
-    blocks, bigram = _training_blocks(rows, base, classes, rate)
+    blocks, within = _training_blocks(rows, base, classes, rate)
+    bigram = within.bigram()
     weights = _train(blocks, bigram, classes.n, rounds)
+    pairs = by_pair(expert_tables(weights, bigram))
     n = classes.n
     floor = total + 0.1 * (distinct + 1)
     end_base = math.log10((trained + 0.1) / floor)
 
     def run(batches):
-        held, words, inside, plain = None, None, None, None
+        held, words, plain = None, None, None
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for chunk, doc_ids, train, texts in _pieces(b):
                 if chunk != held:
                     held, words = chunk, _dictionary(base, chunk, texts)
-                    # of each word: log P(ids | their classes), and the base score
-                    inside = np.add.reduceat(np.append(classes.log_in[words.flat], 0.0), words.start) * (words.length > 0) \
-                        if len(words.start) else np.empty(0)
                     plain = np.log10((words.count + 0.1) / floor)
                 numbers, n_words = words.texts(texts)
                 owner = np.repeat(np.arange(len(texts)), n_words)
-                got, n_ids_ = words.classes(numbers, n_words, classes)
-                x, y, text = windows(got, n_ids_, n)
-                logs = np.zeros(len(texts))
-                for i in range(0, len(x), 256):
-                    p = log_probabilities(weights, bigram, x[i:i + 256], y[i:i + 256])
-                    logs += np.bincount(text[i:i + 256], p.sum(axis=1, dtype=np.float64), minlength=len(texts))
-                logs += np.bincount(owner, inside[numbers], minlength=len(texts)) + classes.log_in[-1]
+                got, n_got = words.ids(numbers, n_words, n_ids - 1)
+                own = classes.of[got]
+                x, y, text = windows(own, n_got, n)
+                inside = within.logs(got, class_before(own, n_got, n))
+                logs = np.bincount(np.repeat(np.arange(len(texts)), n_got), inside, minlength=len(texts))
+                for i in range(0, len(x), 512):
+                    p = log_probabilities(weights, pairs, x[i:i + 512], y[i:i + 512])
+                    logs += np.bincount(text[i:i + 512], p.sum(axis=1, dtype=np.float64), minlength=len(texts))
                 base_ = np.bincount(owner, plain[numbers], minlength=len(texts)) + end_base
                 seen = np.bincount(owner, words.count[numbers] > 0, minlength=len(texts)) + (trained > 0)
                 for c, v in zip(out, (doc_ids, [not t for t in train], n_words + 1, seen.astype(np.int64), base_,
@@ -489,7 +570,7 @@ class _NoWords:
     count = np.empty(0, np.int64)
     flat = np.empty(0, "<u2")
     length = start = np.empty(0, np.int64)
-    texts, classes = Dictionary.texts, Dictionary.classes
+    texts, ids = Dictionary.texts, Dictionary.ids
 
 
 def _dictionary(base: str, chunk: int, texts: list[bytes]):

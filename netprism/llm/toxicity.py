@@ -1,11 +1,13 @@
 """Toxicity (8): multiple-instance learning over sentences.
 
 A text is a bag of sentences (cut at ``.``, ``!``, ``?`` and line feeds).  A
-sentence's score is a logistic function of its words (hashed into
-``2 ** bits`` weights); a document is toxic if any sentence is, so its score
-is a noisy-or with a leak:  1 - (1 - leak) * prod(1 - p(sentence)).  Only
-document labels are known; the gradient of the document's likelihood flows
-back to the sentences, so the same weights point out the offending ones.
+sentence's score is a logistic function of its words and of their first 4, 5
+and 6 bytes (hashed into ``2 ** bits`` weights); a document is toxic if any
+sentence is, so its score is a noisy-or with a leak:
+1 - (1 - leak) * prod(1 - p(sentence)).  Only document labels are known; the
+gradient of the document's likelihood flows back to the sentences, so the same
+weights point out the offending ones.  An L1 penalty leaves a weight only to
+what occurs in more than a few toxic documents.
 
 Training takes at most ``per_class`` labelled documents of either label (the
 smallest hashes of their ids; the bound is the parameter) of the training
@@ -21,6 +23,7 @@ get equal scores; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -43,66 +46,92 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_TABLE).replace(STOP, b" \x01 ").split()
 
 
+def word_features(word: bytes, mask: int) -> list[int]:
+    """Numbers of the weights of a word: the word itself and its beginnings."""
+    return [zlib.crc32(word) & mask] + [zlib.crc32(b"^" + word[:n]) & mask for n in (4, 5, 6) if len(word) >= n]
+
+
 class _Features(dict):
-    """word -> number of its weight; -1 for the end of a sentence."""
+    """word -> numbers of its weights; none for the end of a sentence."""
 
     def __init__(self, bits: int):
-        super().__init__({STOP: -1})
+        super().__init__({STOP: []})
         self.mask = (1 << bits) - 1
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
-            self[STOP] = -1
-        k = self[word] = zlib.crc32(word) & self.mask
+            self[STOP] = []
+        k = self[word] = word_features(word, self.mask)
         return k
 
 
-def features(text: bytes, table: _Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weight number of each word, its sentence, number in the text of each
-    sentence that has words); sentences count from 0 in the second."""
+class _Weights(dict):
+    """word -> its weight in a sentence; not a number for the end of a sentence."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__({STOP: math.nan})
+        self.weights = weights.tolist()
+        self.mask = len(weights) - 1
+
+    def __missing__(self, word):
+        if len(self) > 400_000:
+            self.clear()
+            self[STOP] = math.nan
+        w = self[word] = sum(self.weights[k] for k in word_features(word, self.mask))
+        return w
+
+
+def bag(text: bytes, table: _Features) -> tuple[np.ndarray, np.ndarray]:
+    """(weight numbers of all words, the sentence of each); only sentences that
+    have words count, from 0."""
     words = words_of(text)
-    k = np.fromiter(map(table.__getitem__, words), np.int32, len(words))
-    stop = k < 0
-    place = np.cumsum(stop)[~stop]
-    kept, sentence = np.unique(place, return_inverse=True)
-    return k[~stop], sentence, kept
+    got = [table[w] for w in words]
+    place = np.cumsum([w == STOP for w in words])
+    size = np.array([len(k) for k in got], np.int64)
+    place = np.unique(np.repeat(place, size), return_inverse=True)[1] if len(words) else np.empty(0, np.int64)
+    return np.array([x for k in got for x in k], np.int32), place.astype(np.int32)
 
 
 def _softplus(z):
     return np.logaddexp(0.0, z)
 
 
-def _fit(docs, toxic, weight, bits, epochs=120, rate=0.15, l2=2e-4, least=4):
-    """Weights, bias and leak from bags.  docs: (features, sentences) pairs."""
+def _sigmoid(z):
+    return np.exp(-np.logaddexp(0.0, -z))
+
+
+def _fit(bags, toxic, weight, bits, epochs=150, rate=0.15, l1=4e-4, least=4):
+    """Weights, bias and leak from bags (features, sentences), by Adam on the
+    whole sample with a proximal step for the L1 penalty."""
     size = 1 << bits
-    bags = [(k, s) for k, s, _ in docs]
     n_sent = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in bags])
     first = np.cumsum(n_sent) - n_sent
-    words = np.concatenate([k for k, _ in bags]) if bags else np.empty(0, np.int32)
-    sent = np.concatenate([s + f for (_, s), f in zip(bags, first, strict=True)]) if bags else words
+    words = np.concatenate([k for k, _ in bags]).astype(np.int64)
+    sent = np.concatenate([s + f for (_, s), f in zip(bags, first, strict=True)]).astype(np.int64)
     doc = np.repeat(np.arange(len(bags)), n_sent)
-    # a weight is learned for words of at least ``least`` documents
-    of_doc = np.unique(doc[sent].astype(np.int64) << 32 | words) & 0xFFFFFFFF if len(words) else words
-    common = np.bincount(of_doc, minlength=size) >= least
+    # a weight is learned for what occurs in ``least`` documents or more
+    common = np.bincount(np.unique(doc[sent] << 32 | words) & 0xFFFFFFFF, minlength=size) >= least
     keep = common[words]
     words, sent = words[keep], sent[keep]
     used, words = np.unique(words, return_inverse=True)
     w, b, c = np.zeros(len(used)), -7.0, -3.5
     total = weight.sum()
-    state = [np.zeros(len(used) + 2), np.zeros(len(used) + 2)]
+    one, two = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     for step in range(1, epochs + 1):
         z = b + np.bincount(sent, w[words], minlength=len(doc))
         a = np.bincount(doc, _softplus(z), minlength=len(bags)) + _softplus(c)
         # likelihood: exp(-a) for label 0, 1 - exp(-a) for label 1
         da = weight / total * np.where(toxic, -1.0 / np.expm1(np.maximum(a, 1e-9)), 1.0)
-        dz = da[doc] / (1 + np.exp(-z))
-        g = np.concatenate([np.bincount(words, dz[sent], minlength=len(used)) + l2 / max(len(used), 1) * w,
-                            [dz.sum(), (da / (1 + np.exp(-c))).sum()]])
-        state[0] = 0.9 * state[0] + 0.1 * g
-        state[1] = 0.99 * state[1] + 0.01 * g * g
-        move = rate * (state[0] / (1 - 0.9 ** step)) / (np.sqrt(state[1] / (1 - 0.99 ** step)) + 1e-6)
-        w, b, c = w - move[:-2], min(b - move[-2], -5.0), c - move[-1]
+        dz = da[doc] * _sigmoid(z)
+        g = np.concatenate([np.bincount(words, dz[sent], minlength=len(used)), [dz.sum(), (da * _sigmoid(c)).sum()]])
+        one = 0.9 * one + 0.1 * g
+        two = 0.99 * two + 0.01 * g * g
+        size_ = rate / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-5)
+        move = size_ * one / (1 - 0.9 ** step)
+        w = w - move[:-2]
+        w = np.sign(w) * np.maximum(np.abs(w) - l1 * size_[:-2], 0.0)
+        b, c = min(b - move[-2], -5.0), c - move[-1]
     out = np.zeros(size, np.float32)
     out[used] = w
     return out, float(b), float(c)
@@ -133,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, bits: int =
             rows = []
             for y, text in zip(b.column(b.schema.get_field_index("_toxic")).to_pylist(),
                                binary_column(b, "text"), strict=True):
-                k, s, kept = features(text, table)
-                rows.append({"toxic": y, "k": k, "s": s.astype(np.int32)})
+                k, s = bag(text, table)
+                rows.append({"toxic": y, "k": k, "s": s})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
                 [("toxic", pa.int32()), ("k", pa.list_(pa.int32())), ("s", pa.list_(pa.int32()))]))
 
@@ -145,13 +174,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, bits: int =
     if toxic.all() or not toxic.any():
         return None
     weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
-    bags = [(np.asarray(k.values, np.int64), np.asarray(s.values, np.int64), None)
-            for k, s in zip(got["k"], got["s"], strict=True)]
-    order = np.argsort([zlib.crc32(k.tobytes()) for k, _, _ in bags], kind="stable")  # not the order of arrival
+    bags = [(np.asarray(k.values), np.asarray(s.values)) for k, s in zip(got["k"], got["s"], strict=True)]
+    order = np.argsort([zlib.crc32(k.tobytes()) for k, _ in bags], kind="stable")  # not the order of arrival
     return _fit([bags[i] for i in order], toxic[order], weight[order], bits)
 
 
-def score(docs: DataFrame, model, bits: int = 18, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, predicted and the offending sentences (number, score,
     text) of every document; ``keep`` names further columns to carry along, as
     ``_keep0``, ``_keep1`` and so on (their own names may clash with these)."""
@@ -162,7 +190,7 @@ def score(docs: DataFrame, model, bits: int = 18, threshold: float = 0.3, keep:
 
     def run(batches):
         fitted = handle.value
-        table = _Features(bits)
+        table = None if fitted is None else _Weights(fitted[0])
         for b in batches:
             scores, spans = [], []
             for text in binary_column(b, "text"):
@@ -178,14 +206,18 @@ def score(docs: DataFrame, model, bits: int = 18, threshold: float = 0.3, keep:
 
 
 def _score(text: bytes, fitted, table, threshold):
-    w, bias, leak = fitted
-    k, sentence, kept = features(text, table)
-    z = bias + np.bincount(sentence, w[k], minlength=len(kept)) if len(k) else np.empty(0)
-    a = float(_softplus(z).sum() + _softplus(leak))
-    p = 1 / (1 + np.exp(-z))
+    _, bias, leak = fitted
+    words = words_of(text)
+    w = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
+    stop = np.isnan(w)
+    place = np.cumsum(stop)[~stop]
+    sums = np.bincount(place, w[~stop])
+    kept = np.flatnonzero(np.bincount(place))  # sentences that have words
+    z = bias + sums[kept]
     found = []
+    p = _sigmoid(z)
     if len(p) and p.max() >= threshold:
         texts = SENTENCE.split(text)
         found = [{"sentence": int(kept[i]), "score": float(p[i]), "text": texts[kept[i]].decode("utf-8", "replace")}
                  for i in np.flatnonzero(p >= threshold)]
-    return float(-np.expm1(-a)), found
+    return float(-np.expm1(-(_softplus(z).sum() + _softplus(leak)))), found
