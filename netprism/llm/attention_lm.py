@@ -37,7 +37,7 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ from .common import binary_column, filesystem, id_bucket, stored
 from .subword import encoder
 
 #: Ids of a block (a window has two blocks), ids that share a query, classes, width of the head, tables that it weighs.
-BLOCK, GROUP, HEAD, BINS, WIDTH, EXPERTS = 32, 4, 160, 16, 8, 8
+BLOCK, GROUP, HEAD, BINS, WIDTH, EXPERTS = 32, 8, 160, 16, 8, 8
 #: Rows of the table that share a dictionary.
 CHUNK_ROWS = 4096
 SMOOTH = 0.1
@@ -73,7 +73,7 @@ def make_classes(counts: np.ndarray, ends_word: np.ndarray) -> Classes:
     equal mass, the end id (last) alone."""
     ids = len(counts) - 1
     order = np.argsort(-counts[:ids], kind="stable")
-    of = np.zeros(ids + 1, np.int64)
+    of = np.zeros(ids + 1, np.int32)
     of[order[:HEAD]] = np.arange(min(HEAD, ids))
     tail = order[HEAD:]
     mass = np.cumsum(counts[tail] + 1e-3)
@@ -211,29 +211,30 @@ def block_numbers(n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
 
 
-def windows(classes: np.ndarray, n_ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(classes: np.ndarray, n_ids: np.ndarray, n: int, chosen=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, text of each window) of texts whose classes lie end to
-    end, ``n_ids`` of each."""
-    blocks = -(-n_ids // BLOCK)
-    text = block_numbers(n_ids)[0]
-    size = int(blocks.sum())
-    targets = np.full((size, BLOCK), -1, np.int64)
-    start = (np.cumsum(blocks) - blocks) * BLOCK
-    place = np.arange(len(classes)) + np.repeat(start - (np.cumsum(n_ids) - n_ids), n_ids)
-    targets.ravel()[place] = classes
-    own = np.full(size * BLOCK, n + 1, np.int64)
-    inner = place[1:][place[1:] == place[:-1] + 1]
-    own[inner] = targets.ravel()[inner - 1]
-    own[start] = n
-    own = own.reshape(size, BLOCK)
-    before = np.full((size, BLOCK), n + 1, np.int64)
-    follows = text[1:] == text[:-1]
-    before[1:][follows] = own[:-1][follows]
-    return np.concatenate([before, own], axis=1), targets, text
+    end, ``n_ids`` of each; ``chosen`` (a mask) keeps some of the blocks."""
+    text, nth = block_numbers(n_ids)
+    if chosen is not None:
+        text, nth = text[chosen], nth[chosen]
+    begin = np.cumsum(n_ids) - n_ids
+    # position in its text of each target; the input of a position is the class before it
+    place = (nth * BLOCK).astype(np.int32)[:, None] + np.arange(-BLOCK, BLOCK, dtype=np.int32)
+    at = place + begin.astype(np.int32)[text][:, None]
+    padded = np.append(classes.astype(np.int32), np.full(2 * BLOCK, n + 1, np.int32))
+    inputs = padded[at - 1]
+    inputs[place == 0] = n
+    inputs[place < 0] = n + 1
+    targets = padded[at[:, BLOCK:]]
+    outside = place[:, BLOCK:] >= n_ids.astype(np.int32)[text][:, None]
+    targets[outside] = -1
+    inputs[:, BLOCK:][outside] = n + 1
+    return inputs, targets, text
 
 
 class Dictionary:
-    """A chunk's words: number, training count, and ids end to end."""
+    """A chunk's words: number, training count, and ids end to end.  A word may
+    be listed more than once (its rows are equal)."""
 
     def __init__(self, base: str, chunk: int):
         import pyarrow.dataset as ds
@@ -251,8 +252,7 @@ class Dictionary:
         """(word numbers end to end, words of each text)."""
         split = [t.lower().split() for t in texts]
         n = np.array([len(s) for s in split], np.int64)
-        numbers = np.fromiter((self.number[w] for s in split for w in s), np.int64, int(n.sum()))
-        return numbers, n
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int32, int(n.sum())), n
 
     def ids(self, numbers: np.ndarray, n_words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, ids of each text)."""
@@ -310,7 +310,7 @@ class Within:
         return out
 
 
-def _pieces(batch, most: int = 1_000_000):
+def _pieces(batch, most: int = 500_000):
     """(chunk, doc ids, trained on?, texts) of parts of a batch with about ``most`` bytes of text."""
     names = batch.schema.names
     col = {c: batch.column(names.index(c)).to_pylist() for c in ("chunk", "doc_id", "train")}
@@ -362,7 +362,7 @@ def _chunk_words(rows: DataFrame) -> DataFrame:
                         other.append(t)
                 for t in other:
                     seen.update(dict.fromkeys(t.lower().split(), 0))
-                if len(seen) > 300_000:
+                if len(seen) > 600_000:
                     yield flush()
                     seen = Counter()
         if seen:
@@ -429,9 +429,9 @@ def _training_blocks(rows: DataFrame, base: str, classes: Classes, rate: int) ->
                 mark = (mark + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 mark ^= mark >> np.uint64(33)
                 chosen = (mark * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(rate) == 0
-                x, y, _ = windows(own, n_ids, n)
-                inputs.append(x[chosen])
-                targets.append(y[chosen])
+                x, y, _ = windows(own, n_ids, n, chosen)
+                inputs.append(x)
+                targets.append(y)
                 keys.append(mark[chosen])
             if inputs:
                 x, y = np.concatenate(inputs).astype("<i2"), np.concatenate(targets).astype("<i2")
@@ -496,8 +496,8 @@ def _train(blocks: DataFrame, bigram: np.ndarray, n: int, rounds: int) -> dict[s
     return weights
 
 
-def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int = 0, rate: int = 16,
-                rounds: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int = 0, rate: int = 24,
+                rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     (log10 probabilities) of every text; rows whose id hashes to ``held_out``
     of ``folds`` are not learned from."""
@@ -517,7 +517,7 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int
 
     base = scratch_path(docs.sparkSession, "dictionaries")
     # a word that every chunk has is split by adaptive execution
-    (used.select("chunk", "word").join(words, "word").repartition("chunk").distinct()
+    (used.select("chunk", "word").join(words, "word").repartition("chunk")
      .write.partitionBy("chunk").parquet(base))
     counts = _id_counts(words, n_ids)
     counts[-1] = trained

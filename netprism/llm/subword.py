@@ -79,12 +79,16 @@ class WordEncoder(SubwordEncoder):
 
     one_word = re.compile(SubwordEncoder.WORD + rb"\Z")
     word_stop = re.compile(rb"(" + SubwordEncoder.WORD + rb")([.,;:!?]+)\Z")
+    # how the pre-tokenizer cuts lower-case ASCII without apostrophes and blanks
+    ascii_parts = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
     def piece(self, piece: bytes) -> bytes:
         if self.one_word.match(piece):
             return self.merged(piece.decode("utf-8").lower().encode("utf-8"))
         if m := self.word_stop.match(piece):
             return self.pieces[m[1]] + self.pieces[m[2]]
+        if piece.isascii() and b"'" not in piece and len(parts := self.ascii_parts.findall(piece)) > 1:
+            return b"".join([self.pieces[x] for x in parts])
         return self.whole(piece)
 
     def encoded(self, text: bytes) -> bytes:
@@ -101,12 +105,15 @@ class ByteEncoder(SubwordEncoder):
     # white space that may run together or is rare, and the mark used for cutting
     unsure = re.compile(rb"[ \n][ \n]|[\x00\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e"
                         rb"|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf|<\|")
+    ascii_parts = re.compile(rb" ?[A-Za-z]+| ?[0-9]+| ?[^ \nA-Za-z0-9]+")
 
     def piece(self, piece: bytes) -> bytes:
         if self.one_word.match(piece):
             return self.merged(piece)
         if m := self.word_stop.match(piece):
             return self.pieces[m[1]] + self.pieces[m[2]]
+        if piece.isascii() and b"'" not in piece and len(parts := self.ascii_parts.findall(piece)) > 1:
+            return b"".join([self.pieces[x] for x in parts])
         return self.whole(piece)
 
     def encoded(self, text: bytes) -> bytes:
