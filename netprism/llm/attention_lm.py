@@ -23,7 +23,8 @@ Word counts never meet in one place.  Rows of the table are numbered chunks
 of the scan; a chunk's distinct words are joined with the global counts (and
 the words' ids, found once per distinct word) on Spark, and each chunk's
 dictionary is written under its own name in the shared folder, where the
-tasks that scan the chunk again read it.
+tasks that scan the chunk again read it.  That second scan leaves each text's
+ids and base score; training and scoring read only those.
 
 Edge cases: a null text is an empty one (only the end); a null id is held out
 like crc32 of nothing; repeated rows are scored alike; without training rows
@@ -189,7 +190,7 @@ def gradients(w, bigram, inputs, targets) -> dict[str, np.ndarray]:
     return {name: (x / count).astype(np.float32) for name, x in out.items()}
 
 
-def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 128):
+def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256):
     """One pass of Adam over the windows, in their order; changed weights."""
     w = {k: x.copy() for k, x in w.items()}
     first = {k: np.zeros_like(x) for k, x in w.items()}
@@ -240,13 +241,14 @@ class Dictionary:
         import pyarrow.dataset as ds
 
         store, folder = filesystem(f"{base}/chunk={chunk}")
-        t = ds.dataset(folder, filesystem=store, format="parquet").to_table(columns=["word", "n", "ids"])
-        self.number = {w: i for i, w in enumerate(t["word"].to_pylist())}
+        t = ds.dataset(folder, filesystem=store, format="parquet").to_table(columns=["word", "n", "ids"]).combine_chunks()
+        self.number = dict(zip(t["word"].to_pylist(), range(t.num_rows), strict=True))
         self.count = t["n"].to_numpy()
-        ids = t["ids"].to_pylist()
-        self.flat = np.frombuffer(b"".join(ids), "<u2")
-        self.length = np.array([len(x) // 2 for x in ids], np.int64)
-        self.start = np.cumsum(self.length) - self.length
+        ids = pa.concat_arrays(t["ids"].chunks).cast(pa.large_binary()) if t.num_rows else pa.array([], pa.large_binary())
+        self.start = np.frombuffer(ids.buffers()[1], "<i8")[:t.num_rows + 1] // 2 if t.num_rows else np.zeros(1, np.int64)
+        self.flat = np.frombuffer(ids.buffers()[2], "<u2") if t.num_rows else np.empty(0, "<u2")
+        self.length = np.diff(self.start)
+        self.start = self.start[:-1]
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers end to end, words of each text)."""
@@ -400,52 +402,63 @@ def _id_counts(words: DataFrame, n_ids: int) -> np.ndarray:
     return out
 
 
-def _training_blocks(rows: DataFrame, base: str, classes: Classes, rate: int) -> tuple[DataFrame, Within]:
-    """(windows chosen for training, counts of ids after classes in all training texts)."""
+def _digest(rows: DataFrame, base: str, classes: Classes, rate: int, trained: int, floor: float):
+    """(texts, blocks, within): doc_id, held_out, n_tokens, n_known, base_score and ids of
+    every text; windows chosen for training; counts of ids after classes."""
     n, ids = classes.n, len(classes.of)
+    end_base = math.log10((trained + 0.1) / floor)
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base_score", pa.float64()), ("ids", pa.binary()), ("x", pa.binary()), ("y", pa.binary()),
+                        ("key", pa.int64()), ("n", pa.int64())])
 
-    def block_rows(x, y, key, count=None):
-        none = [None] * len(key)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x or none, pa.binary()), pa.array(y or none, pa.binary()), pa.array(key, pa.int64()),
-             pa.array(none if count is None else count, pa.int64())], names=["x", "y", "key", "n"])
+    def part(size, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type)
+                                           for f in schema], schema=schema)
 
     def run(batches):
         table = np.zeros((n + 2) * ids, np.int32)
-        held, words = None, None
+        held, words, plain = None, None, None
         for b in batches:
-            inputs, targets, keys = [], [], []
             for chunk, doc_ids, train, texts in _pieces(b):
-                pick = [i for i, t in enumerate(train) if t]
-                if not pick:
-                    continue
                 if chunk != held:
                     held, words = chunk, _dictionary(base, chunk, texts)
-                got, n_ids = words.ids(*words.texts([texts[i] for i in pick]), ids - 1)
+                    plain = np.log10((words.count + 0.1) / floor)
+                numbers, n_words = words.texts(texts)
+                owner = np.repeat(np.arange(len(texts)), n_words)
+                got, n_ids = words.ids(numbers, n_words, ids - 1)
+                stop = np.cumsum(n_ids) * 2
+                raw = got.astype("<u2").tobytes()
+                yield part(len(texts), doc_id=doc_ids, held_out=[not t for t in train], n_tokens=n_words + 1,
+                           n_known=np.bincount(owner, words.count[numbers] > 0, minlength=len(texts)).astype(np.int64) + (trained > 0),
+                           base_score=np.bincount(owner, plain[numbers], minlength=len(texts)) + end_base,
+                           ids=[raw[e - 2 * k:e] for e, k in zip(stop.tolist(), n_ids.tolist(), strict=True)])
+                learn = np.array(train)
                 own = classes.of[got]
-                np.add.at(table, class_before(own, n_ids, n) * ids + got, 1)
+                keys = class_before(own, n_ids, n) * ids + got
+                np.add.at(table, keys if learn.all() else keys[np.repeat(learn, n_ids)], 1)
                 text, nth = block_numbers(n_ids)
-                mark = np.array([zlib.crc32(b"%d" % (doc_ids[i] or 0)) for i in pick], np.uint64)[text]
+                mark = np.array([zlib.crc32(b"%d" % (i or 0)) for i in doc_ids], np.uint64)[text]
                 mark = (mark + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 mark ^= mark >> np.uint64(33)
                 chosen = (mark * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(rate) == 0
-                x, y, _ = windows(own, n_ids, n, chosen)
-                inputs.append(x)
-                targets.append(y)
-                keys.append(mark[chosen])
-            if inputs:
-                x, y = np.concatenate(inputs).astype("<i2"), np.concatenate(targets).astype("<i2")
-                yield block_rows([r.tobytes() for r in x], [r.tobytes() for r in y], np.concatenate(keys).view(np.int64))
+                chosen &= learn[text]
+                if chosen.any():
+                    x, y, _ = windows(own, n_ids, n, chosen)
+                    yield part(len(x), x=[r.tobytes() for r in x.astype("<i2")], y=[r.tobytes() for r in y.astype("<i2")],
+                               key=mark[chosen].view(np.int64))
         at = np.flatnonzero(table)
         for i in range(0, len(at), 10_000):
-            part = at[i:i + 10_000]
-            yield block_rows(None, None, part, table[part].astype(np.int64))
+            some = at[i:i + 10_000]
+            yield part(len(some), key=some, n=table[some].astype(np.int64))
 
-    made = stored(rows.mapInArrow(run, "x binary, y binary, key long, n long"), "training-blocks")
+    made = stored(rows.mapInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary, x binary,"
+        " y binary, key long, n long"), "digests")
     # at most (classes + 1) * ids rows, of which few occur
     got = made.where(F.col("n").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     within = Within(classes, got["key"].to_numpy(), got["n"].to_numpy())
-    return made.where(F.col("x").isNotNull()).select("x", "y", "key"), within
+    texts = made.where(F.col("ids").isNotNull()).select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids")
+    return texts, made.where(F.col("x").isNotNull()).select("x", "y", "key"), within
 
 
 _NAMES = ("q", "k", "v", "g", "b", "r", "u", "d")
@@ -522,45 +535,36 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int
     counts = _id_counts(words, n_ids)
     counts[-1] = trained
     classes = make_classes(counts, ends_word)
-    blocks, within = _training_blocks(rows, base, classes, rate)
+    floor = total + 0.1 * (distinct + 1)
+    texts, blocks, within = _digest(rows, base, classes, rate, trained, floor)
     bigram = within.bigram()
     weights = _train(blocks, bigram, classes.n, rounds)
     pairs = by_pair(expert_tables(weights, bigram))
     n = classes.n
-    floor = total + 0.1 * (distinct + 1)
-    end_base = math.log10((trained + 0.1) / floor)
 
     def run(batches):
-        held, words, plain = None, None, None
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for chunk, doc_ids, train, texts in _pieces(b):
-                if chunk != held:
-                    held, words = chunk, _dictionary(base, chunk, texts)
-                    plain = np.log10((words.count + 0.1) / floor)
-                numbers, n_words = words.texts(texts)
-                owner = np.repeat(np.arange(len(texts)), n_words)
-                got, n_got = words.ids(numbers, n_words, n_ids - 1)
+            ids = b.column(5).to_pylist()
+            size = np.array([len(x) // 2 for x in ids], np.int64)
+            scores = np.zeros(len(ids))
+            # texts of about 200 000 ids at a time
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // 200_000, prepend=-1))
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+                got = np.frombuffer(b"".join(ids[lo:hi]), "<u2").astype(np.int32)
                 own = classes.of[got]
-                x, y, text = windows(own, n_got, n)
-                inside = within.logs(got, class_before(own, n_got, n))
-                logs = np.bincount(np.repeat(np.arange(len(texts)), n_got), inside, minlength=len(texts))
+                x, y, text = windows(own, size[lo:hi], n)
+                inside = within.logs(got, class_before(own, size[lo:hi], n))
+                logs = np.bincount(np.repeat(np.arange(hi - lo), size[lo:hi]), inside, minlength=hi - lo)
                 for i in range(0, len(x), 512):
                     p = log_probabilities(weights, pairs, x[i:i + 512], y[i:i + 512])
-                    logs += np.bincount(text[i:i + 512], p.sum(axis=1, dtype=np.float64), minlength=len(texts))
-                base_ = np.bincount(owner, plain[numbers], minlength=len(texts)) + end_base
-                seen = np.bincount(owner, words.count[numbers] > 0, minlength=len(texts)) + (trained > 0)
-                for c, v in zip(out, (doc_ids, [not t for t in train], n_words + 1, seen.astype(np.int64), base_,
-                                      logs / math.log(10)), strict=True):
-                    c.extend(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+                    logs += np.bincount(text[i:i + 512], p.sum(axis=1, dtype=np.float64), minlength=hi - lo)
+                scores[lo:hi] = logs / math.log(10)
             yield pa.RecordBatch.from_arrays(
-                [*arrays[:4], pa.array([total] * len(out[0]), pa.int64()), *arrays[4:]],
+                [*(b.column(k) for k in range(4)), pa.array(np.full(len(ids), total, np.int64)), b.column(4), pa.array(scores)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
-                           " base_score double, score double")
+    return texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
+                            " base_score double, score double")
 
 
 class _NoWords:

@@ -21,7 +21,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     read back: cuts the lineage, survives a lost executor, and gives several
     readers the same rows."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
