@@ -11,6 +11,7 @@ tokens, runs of blanks, rare white space) goes to the library as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -18,6 +19,10 @@ from .common import process_cache
 
 #: Most pieces a worker keeps; beyond it the dictionary is emptied and refilled.
 CACHE_PIECES = 400_000
+#: Bytes of the longest piece kept; longer ones hardly come twice.
+LONGEST = 24
+#: Marks that a word often ends with.
+STOPS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,9 +43,11 @@ class _Pieces(dict):
         self.make = make
 
     def __missing__(self, piece):
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = self[piece] = self.make(piece)
+        ids = self.make(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -55,19 +62,24 @@ class SubwordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"  # native order, little-endian on all that Spark runs on
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.pieces = _Pieces(self.piece)
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: bytes) -> bytes:
         return self.pack(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids)
 
     def merged(self, piece: bytes) -> bytes:
         """Ids of a piece that is one word of the pre-tokenizer."""
-        written = piece.decode("latin-1").translate(self.letters)
+        written = piece.decode("latin-1")
+        if piece.isascii():  # printable ASCII stands for itself
+            written = written.replace(" ", self.letters[32])
+        else:
+            written = written.translate(self.letters)
         return self.pack([t.id for t in self.model.tokenize(written)])
 
     def ids(self, text: bytes) -> np.ndarray:
@@ -83,9 +95,11 @@ class WordEncoder(SubwordEncoder):
     ascii_parts = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
     def piece(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # of bytes: ASCII letters only
+            return self.merged(piece)
         if self.one_word.match(piece):
             return self.merged(piece.decode("utf-8").lower().encode("utf-8"))
-        if m := self.word_stop.match(piece):
+        if piece[-1:] in STOPS and (m := self.word_stop.match(piece)):
             return self.pieces[m[1]] + self.pieces[m[2]]
         if piece.isascii() and b"'" not in piece and len(parts := self.ascii_parts.findall(piece)) > 1:
             return b"".join([self.pieces[x] for x in parts])
@@ -108,9 +122,9 @@ class ByteEncoder(SubwordEncoder):
     ascii_parts = re.compile(rb" ?[A-Za-z]+| ?[0-9]+| ?[^ \nA-Za-z0-9]+")
 
     def piece(self, piece: bytes) -> bytes:
-        if self.one_word.match(piece):
+        if piece[1:].isalpha() and piece[0] < 128 and (piece[0] == 32 or piece[:1].isalpha()) or self.one_word.match(piece):
             return self.merged(piece)
-        if m := self.word_stop.match(piece):
+        if piece[-1:] in STOPS and (m := self.word_stop.match(piece)):
             return self.pieces[m[1]] + self.pieces[m[2]]
         if piece.isascii() and b"'" not in piece and len(parts := self.ascii_parts.findall(piece)) > 1:
             return b"".join([self.pieces[x] for x in parts])
