@@ -107,13 +107,14 @@ def _fit(bags, toxic, weight, bits, epochs=150, rate=0.15, l1=4e-4, least=4):
     size = 1 << bits
     n_sent = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in bags])
     first = np.cumsum(n_sent) - n_sent
-    words = np.concatenate([k for k, _ in bags]).astype(np.int64)
-    sent = np.concatenate([s + f for (_, s), f in zip(bags, first, strict=True)]).astype(np.int64)
-    doc = np.repeat(np.arange(len(bags)), n_sent)
     # a weight is learned for what occurs in ``least`` documents or more
-    common = np.bincount(np.unique(doc[sent] << 32 | words) & 0xFFFFFFFF, minlength=size) >= least
-    keep = common[words]
-    words, sent = words[keep], sent[keep]
+    common = np.zeros(size, np.int32)
+    for k, _ in bags:
+        common[np.unique(k)] += 1
+    kept = [common[k] >= least for k, _ in bags]
+    words = np.concatenate([k[m] for (k, _), m in zip(bags, kept, strict=True)])
+    sent = np.concatenate([(s + f)[m] for (_, s), f, m in zip(bags, first.astype(np.int32), kept, strict=True)])
+    doc = np.repeat(np.arange(len(bags)), n_sent)
     used, words = np.unique(words, return_inverse=True)
     w, b, c = np.zeros(len(used)), -7.0, -3.5
     total = weight.sum()
@@ -150,7 +151,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, held_out:
     return sample, counts
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, bits: int = 18):
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, bits: int = 18):
     """(weights, bias, leak) as numpy / floats; None if there is nothing to learn from."""
     sample, counts = training_rows(docs, labels, per_class)
     # at most 2 * per_class ids
