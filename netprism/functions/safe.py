@@ -71,3 +71,14 @@ def bounded_broadcast(df, limit: int = BROADCAST_ROW_LIMIT):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def null_safe_join(left, right, on, how: str = "inner"):
+    """Equi-join on the columns ``on`` in which a null key meets a null key.
+    The right side's key columns are dropped."""
+    renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    cond = None
+    for c in on:
+        same = left[c].eqNullSafe(renamed[f"__right_{c}"])
+        cond = same if cond is None else cond & same
+    return left.join(renamed, cond, how).drop(*[f"__right_{c}" for c in on])

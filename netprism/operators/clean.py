@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import LABEL_NAMES, detect_label, identifier_columns, numeric_columns
-from ..functions.safe import bounded_broadcast, finite_or_null
+from ..functions.safe import bounded_broadcast, finite_or_null, is_missing
+from ..session import ensure_checkpoint_dir
 from .quantiles import exact_median, exact_quantiles
 
 UNKNOWN = "Unknown"
@@ -34,25 +35,20 @@ def flag_key_duplicates(df: DataFrame, key: Sequence[str], order_by: Sequence[st
                         flag: str = "is_duplicate") -> DataFrame:
     """Per key keep the first row in ``order_by`` order, flag the others.
 
-    Skew-safe: identical rows are first collapsed with their multiplicity
-    (partial aggregation), the first row per key is found by a ``min`` over a
-    struct (again partial aggregation), and the rows are restored with
-    ``explode(sequence(1, n))``.  No window holds a key's rows in one task.
-    Ties on ``order_by`` are broken by the remaining columns, so the result
-    is deterministic; identical rows are interchangeable.
+    Skew-safe: rows are written once with a number of their own; the first row
+    of each key (a null key is a key) is a ``min`` over a struct, partially
+    aggregated, and comes back by that number.  No window or array holds a
+    key's rows in one task.  Ties on ``order_by`` are broken by the remaining
+    columns; identical rows are interchangeable.
     """
     key = list(key)
     rest = [c for c in df.columns if c not in key and c not in order_by]
     sort_cols = list(order_by) + rest
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
-    firsts = grouped.groupBy(*key).agg(
-        F.min(F.struct(*[F.col(c) for c in sort_cols])).alias("__first"))
-    j = grouped.join(firsts, key, "inner")
-    is_first = F.struct(*[F.col(c) for c in sort_cols]) == F.col("__first")
-    exploded = j.select(*df.columns, is_first.alias("__is_first"),
-                        F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
-    return exploded.select(*df.columns, (~(F.col("__is_first") & (F.col("__copy") == 1)))
-                           .alias(flag))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    firsts = rows.groupBy(*key).agg(F.min(F.struct(*sort_cols, "__id")).alias("__f")).select(
+        F.col("__f.__id").alias("__id"), F.lit(False).alias("__again"))
+    return rows.join(firsts, "__id", "left").select(*df.columns, F.coalesce("__again", F.lit(True)).alias(flag))
 
 
 # ------------------------------------------------------------------ C02 / C03 / C10
@@ -277,7 +273,7 @@ def fit_cleaning(df: DataFrame, exact_median: bool = True,
     m.rows_after = dedup.count()
     if m.rows_before > m.rows_after:
         m.log.append(("All", f"{m.rows_before - m.rows_after:,} duplicate records",
-                      "Removed duplicate rows", "Prevent model bias toward frequent patterns"))
+                      "Kept one of each", "Copies would count twice in every statistic"))
     from .profile import missing_counts
 
     miss = {r["column"]: r["missing_count"]
@@ -296,19 +292,19 @@ def fit_cleaning(df: DataFrame, exact_median: bool = True,
             else:
                 action = f"Filled with mode ({m.modes[c]})"
             m.log.append((c, f"{miss[c]:,} missing values ({pct:.2f}%)", action,
-                          "Preserve data distribution while handling missing data"))
+                          "A typical value leaves the column's centre in place"))
     filled = fill_values(dedup, {**m.medians, **m.modes})
     ids = identifier_drop_list(filled, identifier_match)
     high = high_cardinality_columns(filled)
     m.dropped = sorted(set(ids) | set(high), key=filled.columns.index)
     for c in m.dropped:
-        m.log.append((c, "High cardinality or identifier column", "Removed column",
-                      "Prevent overfitting; identifiers not useful for prediction"))
+        m.log.append((c, "Names single rows (identifier or nearly unique)", "Dropped",
+                      "A model would learn rows by heart"))
     lab = detect_label([c for c in filled.columns if c not in m.dropped])
     if lab and lab != "Label":
         m.label_from = lab
-        m.log.append((lab, "Non-standard column name", 'Renamed to "Label"',
-                      "Standardize column naming across datasets"))
+        m.log.append((lab, "Label under another name", 'Now called "Label"',
+                      "One name for the label in all data sets"))
     m.cols_after = m.cols_before - len(m.dropped)
     return m
 
@@ -351,8 +347,9 @@ def forward_fill(df: DataFrame, cols: Sequence[str], key: str, order_by: Sequenc
     return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
 
 
-def row_missing_share(cols: Sequence[str]) -> Column:
-    flags = [F.when(F.col(c).isNull(), 1).otherwise(0) for c in cols]
+def row_missing_share(cols: Sequence[str], floats: Sequence[str] = ()) -> Column:
+    """Share of ``cols`` that are null, or NaN in one of ``floats``."""
+    flags = [F.when(is_missing(c) if c in floats else F.col(c).isNull(), 1).otherwise(0) for c in cols]
     total = flags[0]
     for f in flags[1:]:
         total = total + f
@@ -364,7 +361,7 @@ def drop_sparse_rows(df: DataFrame, drop_above: float = 0.5, flag_above: float =
     """Rows with more than ``drop_above`` missing removed, rows with more than
     ``flag_above`` flagged (``sparse_flag``)."""
     cols = list(cols or df.columns)
-    share = row_missing_share(cols)
+    share = row_missing_share(cols, [c for c, t in df.dtypes if t in ("double", "float")])
     return (df.withColumn("missing_share", share)
             .where(F.col("missing_share") <= drop_above)
             .withColumn("sparse_flag", (F.col("missing_share") > flag_above).cast("int")))

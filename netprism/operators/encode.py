@@ -15,20 +15,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.safe import bounded_broadcast
+from ..functions.safe import bounded_broadcast, null_safe_join
 from .quantiles import exact_quantiles
 from .windows import dense_row_id, group_row_number
 
 
 # ----------------------------------------------------------------- E01 / E02 / E03
 
+NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?|[nN]a[nN])$"
+
+
 def numeric_strings(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """String columns whose every non-null value parses as a number become
     doubles (all or nothing per column, decided in one pass)."""
     cols = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
     if not cols:
         return df, []
-    row = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull())
+    # Spark's cast also takes '1d' and '2f'; those are words here
+    row = df.agg(*[F.count_if(F.col(c).isNotNull() & (F.col(c).try_cast("double").isNull()
+                                                      | ~F.trim(F.col(c)).rlike(NUMBER)))
                    .alias(f"b{i}") for i, c in enumerate(cols)]).first()
     ok = [c for i, c in enumerate(cols) if row[f"b{i}"] == 0]
     return df.withColumns({c: F.col(c).try_cast("double") for c in ok}), ok
@@ -157,7 +162,7 @@ def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], test_fra
     order_cols = ["__h", *id_cols] if key is not None else list(id_cols)
     ranked = group_row_number(base, [label], order_cols, name="__r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    j = ranked.join(bounded_broadcast(sizes), label, "inner")
+    j = null_safe_join(ranked, bounded_broadcast(sizes), [label])
     test = F.col("__r") < F.round(F.col("__nc") * test_fraction)
     out = j.withColumn("split", F.when(test, "test").otherwise("train"))
     return out.drop("__r", "__nc", *(["__h"] if key is not None else []))
@@ -193,7 +198,7 @@ def random_split_3(df: DataFrame, id_cols: Sequence[str], label: str, seed: int
     base = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)))
     ranked = group_row_number(base, [label], ["__h", *id_cols], name="__r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    j = ranked.join(bounded_broadcast(sizes), label)
+    j = null_safe_join(ranked, bounded_broadcast(sizes), [label])
     a, b = fractions[0], fractions[0] + fractions[1]
     split = (F.when(F.col("__r") < F.round(F.col("__nc") * a), "train")
              .when(F.col("__r") < F.round(F.col("__nc") * b), "validation").otherwise("test"))

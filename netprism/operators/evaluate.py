@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import bounded_broadcast
+from ..functions.safe import bounded_broadcast, null_safe_join
 
 # Alert priority presets (code: >0.9 HIGH else MEDIUM; documents:
 # >0.9 HIGH, >0.7 MEDIUM, else LOW).
@@ -61,10 +61,18 @@ def weighted_metrics(df: DataFrame, label="label", prediction="prediction",
         (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1"))
 
 
+#: Columns of a dense matrix; more classes than that are no label.
+MAX_CLASSES = 2_000
+
+
 def confusion_matrix(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
     """Dense matrix over the classes present in the truth: one row per true
-    class, one column per class (predictions of other classes are left out)."""
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
+    class, one column per class (predictions of other classes are left out).
+    Rows without a true class make a row of their own, but no column."""
+    found = df.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"over {MAX_CLASSES} classes: use confusion_counts, the long form")
+    classes = sorted(r[0] for r in found)
     cm = confusion_counts(df, label, prediction)
     wide = cm.groupBy(label).pivot(prediction, classes).agg(F.sum("n"))
     return wide.fillna(0, subset=classes)
@@ -97,7 +105,7 @@ def class_hit_rates(df: DataFrame, label="label", prediction="prediction") -> Da
     is the diagonal); misclassifications are the rows with label != prediction."""
     cm = confusion_counts(df, label, prediction)
     tot = cm.groupBy(label).agg(F.sum("n").alias("support"))
-    return cm.join(bounded_broadcast(tot), label).withColumn("share", F.col("n") / F.col("support"))
+    return null_safe_join(cm, bounded_broadcast(tot), [label]).withColumn("share", F.col("n") / F.col("support"))
 
 
 def metric_table(df: DataFrame, split="split", label="label", prediction="prediction") -> DataFrame:
@@ -159,8 +167,11 @@ def sample_with_normal(df: DataFrame, label: str, order_by: Sequence[str], n: in
                        normal: str = "normal") -> DataFrame:
     """One normal row (if any) plus the first others not already chosen."""
     first_normal = df.where(F.lower(F.col(label)) == normal).orderBy(*order_by).limit(1)
-    rest = df.join(first_normal, on=list(df.columns), how="left_anti").orderBy(*order_by)
-    k = first_normal.count()
+    chosen = first_normal.collect()  # one row at most
+    k = len(chosen)
+    first_normal = df.sparkSession.createDataFrame(chosen, df.schema)
+    # the chosen row is left out once, nulls compared as equal
+    rest = df.exceptAll(first_normal).orderBy(*order_by)
     return first_normal.unionByName(rest.limit(n - k))
 
 
@@ -188,9 +199,11 @@ def risk_level(ratio: Column) -> Column:
 
 
 def run_info(df: DataFrame, label="label", prediction="prediction", split="split",
-             n_features: int = 0) -> DataFrame:
-    """Samples, test samples, features, classes (in test), accuracy (test)."""
+             keys: Sequence[str] = ()) -> DataFrame:
+    """Samples, test samples, features, classes (in test), accuracy (test).
+    Features are the columns besides label, prediction, split and ``keys``."""
     test = F.col(split) == "test"
+    n_features = len([c for c in df.columns if c not in (label, prediction, split, *keys)])
     return df.agg(F.count(F.lit(1)).alias("total_samples"),
                   F.count_if(test).alias("test_samples"),
                   F.count_distinct(F.when(test, F.col(label))).alias("classes"),

@@ -172,6 +172,30 @@ def quality_gates(df: DataFrame, label: str, max_missing_pct: float = 5.0,
     return miss.unionByName(dup).unionByName(cls)
 
 
+def before_after_counts(frames: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Rows and columns of each data set before and after cleaning."""
+    out = None
+    for name, (before, after) in sorted(frames.items()):
+        one = before.agg(F.count(F.lit(1)).alias("rows_before")).crossJoin(  # two single rows
+            after.agg(F.count(F.lit(1)).alias("rows_after"))).select(
+            F.lit(name).alias("dataset"), "rows_before", "rows_after",
+            F.lit(len(before.columns)).alias("columns_before"), F.lit(len(after.columns)).alias("columns_after"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dataset_report(counts: DataFrame) -> DataFrame:
+    """One row over all data sets: sets, rows, removed rows, retention and
+    the set that lost the largest share."""
+    lost = 1 - F.col("rows_after") / F.col("rows_before")
+    return counts.agg(
+        F.count(F.lit(1)).alias("datasets"), F.sum("rows_before").alias("rows_before"), F.sum("rows_after").alias("rows_after"),
+        (F.sum("rows_before") - F.sum("rows_after")).alias("rows_removed"),
+        (F.sum("columns_before") - F.sum("columns_after")).alias("columns_removed"),
+        (F.sum("rows_after") * 100.0 / F.sum("rows_before")).alias("retention_pct"),
+        F.max_by("dataset", F.struct(lost, "dataset")).alias("largest_loss"))
+
+
 def retention(before: DataFrame, after: DataFrame, key: str = "dataset") -> DataFrame:
     """Rows before and after per dataset, retention %, plus a total
     row (``dataset`` = 'TOTAL') computed with ``rollup``."""

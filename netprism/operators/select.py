@@ -1,10 +1,10 @@
 """Feature selection.
 
-Correlations are computed in one pass for all pairs: either as guarded
-pairwise aggregates (pairwise-complete like pandas, fine up to a few dozen
-columns) or through ``pyspark.ml.stat.Correlation`` (one tree-aggregated
-Gramian, for wide tables without nulls).  Only the d x d matrix reaches the
-driver.  Per-column value shares (L06) and mutual information (L07) go
+Correlations of all pairs are pairwise complete, like pandas: every task adds
+up counts, sums, squares and products of its Arrow batches as d x d matrices
+over the rows where both columns are present (NaN counts as missing), and the
+sums per pair are added on Spark.  One method for every width; only the
+d x d result reaches the driver.  Per-column value shares (L06) and mutual information (L07) go
 through one ``stack`` + ``groupBy`` for all columns at once: a single
 shuffle with map-side combining, so a dominant value is pre-aggregated.
 """
@@ -12,85 +12,70 @@ shuffle with map-side combining, so a dominant value is pre-aggregated.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import numeric_columns
+from ..functions.safe import nan_to_null
 
 CORR_THRESHOLD = 0.95
 VAR_THRESHOLD = 1e-6
 
 
-def _pair_corr(a: str, b: str):
-    """Pearson r over rows where both are present; null when a variance is 0."""
-    x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-    y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Long table (feature_a, feature_b, abs_r) for i < j in column order;
+    null where a column does not vary over the common rows."""
+    import numpy as np
+    import pyarrow as pa
 
-
-def _agg_chunked(df: DataFrame, aggs: list, chunk: int) -> dict:
-    out: dict = {}
-    for s in range(0, len(aggs), chunk):
-        out.update(df.agg(*aggs[s:s + chunk]).first().asDict())
-    return out
-
-
-def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-                      chunk: int = 64) -> DataFrame:
-    """Long table (feature_a, feature_b, abs_r) for i < j in column order."""
     cols = list(cols or numeric_columns(df))
-    pairs = list(combinations(cols, 2))
     spark = df.sparkSession
-    if method == "auto":
-        method = "pairwise" if len(cols) <= 40 else "matrix"
-    values: dict[tuple[str, str], float | None] = {}
-    if method == "pairwise":
-        # one pass: null counts and std per column, covariance per pair
-        # (covariance already skips rows where either side is null)
-        aggs = [F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)]
-        aggs += [F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
-        aggs += [F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"v{j}")
-                 for j, (a, b) in enumerate(pairs)]
-        row = _agg_chunked(df, aggs, chunk)
-        idx = {c: i for i, c in enumerate(cols)}
-        masked = []
-        for j, (a, b) in enumerate(pairs):
-            if row[f"z{idx[a]}"] or row[f"z{idx[b]}"]:
-                masked.append((a, b))  # pairwise-complete std needed
-                continue
-            sa, sb, v = row[f"s{idx[a]}"], row[f"s{idx[b]}"], row[f"v{j}"]
-            values[(a, b)] = None if v is None or not sa or not sb else v / (sa * sb)
-        # pairs with nulls: guarded pairwise-complete r, a few pairs per aggregate
-        # (very wide aggregates fall out of generated code and get slow)
-        for s in range(0, len(masked), 8):
-            part = masked[s:s + 8]
-            r = df.agg(*[_pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
-            values.update({p: r[f"r{i}"] for i, p in enumerate(part)})
-    else:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip").transform(
-            df.select(*cols))
-        m = Correlation.corr(vec, "__v").first()[0].toArray()
-        idx = {c: i for i, c in enumerate(cols)}
-        for a, b in pairs:
-            v = float(m[idx[a], idx[b]])
-            values[(a, b)] = None if v != v else v
-    rows = [(a, b, None if r is None else abs(r)) for (a, b), r in values.items()]
+    x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    d = len(cols)
+    if d < 2:
+        return spark.createDataFrame([], "feature_a string, feature_b string, abs_r double")
+    # sums are taken around the means, which keeps their digits
+    means = x.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(d)]).first()
+    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+    upper = np.triu_indices(d, 1)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(batches):
+        total = np.zeros((len(names), d, d))
+        with np.errstate(invalid="ignore"):
+            for b in batches:
+                a = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns], 1)
+                here = np.stack([~np.asarray(c.is_null()) for c in b.columns], 1).astype(np.float64)
+                a = np.where(here > 0, a - shift, 0.0)
+                sx, sxx = a.T @ here, (a * a).T @ here
+                total += np.stack([here.T @ here, sx, sx.T, sxx, sxx.T, a.T @ a])
+        yield pa.RecordBatch.from_arrays([pa.array(upper[0]), pa.array(upper[1]), *(pa.array(t[upper]) for t in total)],
+                                         names=["i", "j", *names])
+
+    got = (x.mapInArrow(sums, "i long, j long, " + ", ".join(f"{n} double" for n in names))
+           .groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names]).collect())
+    rows = []
+    for r in sorted(got, key=lambda r: (r["i"], r["j"])):
+        n, value = r["n"], None
+        if n > 1:
+            vx, vy = r["sxx"] - r["sx"] ** 2 / n, r["syy"] - r["sy"] ** 2 / n
+            # below rounding error a column does not vary
+            if vx > 1e-14 * abs(r["sxx"]) and vy > 1e-14 * abs(r["syy"]):
+                value = abs((r["sxy"] - r["sx"] * r["sy"] / n) / (vx * vy) ** 0.5)
+                value = None if value != value else float(value)
+        rows.append((cols[r["i"]], cols[r["j"]], value))
     return spark.createDataFrame(rows, "feature_a string, feature_b string, abs_r double")
 
 
 def high_correlation_pairs(corr: DataFrame, threshold: float = CORR_THRESHOLD) -> DataFrame:
     """L02."""
-    return corr.where(F.col("abs_r") > threshold)
+    return corr.where((F.col("abs_r") > threshold) & ~F.isnan("abs_r"))
 
 
 def variances(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Sample variance of every column in one pass, long form (feature, variance)."""
-    wide = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    """Sample variance of every column in one pass, long form (feature, variance); NaN is missing."""
+    wide = df.agg(*[F.var_samp(nan_to_null(F.col(c).cast("double"))).alias(f"v{i}") for i, c in enumerate(cols)])
     pairs = ", ".join(f"'{c}', v{i}" for i, c in enumerate(cols))
     return wide.selectExpr(f"stack({len(cols)}, {pairs}) as (feature, variance)")
 
@@ -114,28 +99,28 @@ def low_variance_features(var: DataFrame, threshold: float = VAR_THRESHOLD) -> D
 
 
 def select_features(df: DataFrame, label: str = "Label", module: str = "Network Traffic",
-                    corr_threshold: float = CORR_THRESHOLD, var_threshold: float = VAR_THRESHOLD,
-                    method: str = "auto") -> tuple[DataFrame, DataFrame]:
+                    corr_threshold: float = CORR_THRESHOLD,
+                    var_threshold: float = VAR_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Returns (frame with the selected columns, selection table)."""
     spark = df.sparkSession
     num = numeric_columns(df, exclude=[label])
     excluded: list[tuple[str, str]] = []
     if len(num) > 1:
-        corr = correlation_pairs(df, num, method)
+        corr = correlation_pairs(df, num)
         var = variances(df, num)
         red = [r["feature"] for r in redundant_features(high_correlation_pairs(corr, corr_threshold),
                                                           var).collect()]
         red = [c for c in num if c in set(red)]
-        excluded += [(c, "High correlation (>0.95) with other features; redundant information")
+        excluded += [(c, "Repeats a feature with more variance (abs r above 0.95)")
                      for c in red]
         var_map = {r["feature"]: r["variance"] for r in var.collect()}
         low = [c for c in num if c not in red and var_map.get(c) is not None
                and var_map[c] < var_threshold]
-        excluded += [(c, "Very low variance (< 1e-6); no discriminative power") for c in low]
+        excluded += [(c, "Almost constant (variance below 1e-6)") for c in low]
     drop = [c for c, _ in excluded]
     kept = [c for c in df.columns if c not in drop]
     rows = [(c, module, "Included",
-             "Discriminative power, real-time extractable, low correlation with other features")
+             "Varies and does not repeat another feature")
             for c in kept if c != label]
     rows += [(c, module, "Excluded", why) for c, why in excluded]
     table = spark.createDataFrame(rows, "Feature string, Module string, Status string, "
@@ -175,7 +160,9 @@ def mutual_information(df: DataFrame, cols: Sequence[str], label: str, bins: int
             b = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))
         binned.append((c, F.coalesce(b.cast("int"), F.lit(-1))))
     pairs = ", ".join(f"'{c}', b{i}" for i, (c, _) in enumerate(binned))
-    wide = df.select(F.col(label).cast("string").alias("__y"),
+    # a null label is a class of its own
+    wide = df.select(F.when(F.col(label).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(label).cast("string")))
+                     .alias("__y"),
                      *[e.alias(f"b{i}") for i, (_, e) in enumerate(binned)])
     long = wide.selectExpr("__y", f"stack({len(cols)}, {pairs}) as (feature, bin)")
     joint = long.groupBy("feature", "bin", "__y").agg(F.count(F.lit(1)).alias("nxy"))

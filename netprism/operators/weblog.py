@@ -77,7 +77,8 @@ def read_logs(spark, path: str, fmt: str = "clf") -> DataFrame:
 # ----------------------------------------------------------------- URL features
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    """Path of an absolute url, or of a URI as logs have it (``/a/b.php?x=1``)."""
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
 
 
 def url_query(url: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import find_by_keywords, find_column
-from ..functions.safe import INF
+from ..functions.safe import INF, null_safe_join
 from ..session import ensure_checkpoint_dir
 from .features import epoch_micros
 
@@ -187,7 +187,12 @@ def sequences(df: DataFrame, key: str, order_by: Sequence[str], value: str, leng
     if skew_safe:
         return sequences_blocked(df, key, order_by, value, length, name, block_rows or DEFAULT_BLOCK_ROWS)
     w = Window.partitionBy(key).orderBy(*order_by).rowsBetween(-(length - 1), 0)
-    return df.withColumn(name, F.collect_list(F.col(value)).over(w))
+    return df.withColumn(name, _values_over(value, w))
+
+
+def _values_over(value: str, w) -> Column:
+    """All values of a frame, nulls included (``collect_list`` alone skips them)."""
+    return F.transform(F.collect_list(F.struct(F.col(value).alias("v"))).over(w), lambda x: x["v"])
 
 
 __all__ = ["dense_row_id", "positional_groups", "wids_features", "per_window_source_stats",
@@ -222,7 +227,7 @@ def group_row_number(df: DataFrame, group_by: Sequence[str], order_by: Sequence[
                             (F.sum("__n").over(w) - F.col("__n")).alias("__off"))
     n_off = offsets.count()
     side = F.broadcast(offsets) if n_off <= broadcast_limit else offsets
-    j = local.join(side, ["__pid", *group_by], "inner")
+    j = null_safe_join(local, side, ["__pid", *group_by])
     return j.withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first")).drop(
         "__pid", "__mid", "__first", "__off")
 
@@ -243,6 +248,7 @@ def keyed_blocks(df: DataFrame, key: str, order_by: Sequence[str], block_rows: i
     back stay exact; drop the halo rows after the window.  The rank inside the
     key comes from ``group_row_number`` (range partitioning, no key-sized task).
     """
+    block_rows = max(block_rows, halo, 1)  # a halo reaches one block back
     r = group_row_number(df, [key], order_by, name=rank)
     blk = F.floor(F.col(rank) / block_rows)
     base = r.withColumn("__blk", blk).withColumn("__halo", F.lit(False))
@@ -272,7 +278,7 @@ def sequences_blocked(df: DataFrame, key: str, order_by: Sequence[str], value: s
     """W13, skew safe (halo of ``length - 1`` rows)."""
     b = keyed_blocks(df, key, order_by, block_rows, halo=length - 1)
     w = blocked_window(key).rowsBetween(-(length - 1), 0)
-    out = b.withColumn(name, F.collect_list(F.col(value)).over(w))
+    out = b.withColumn(name, _values_over(value, w))
     return out.where(~F.col("__halo")).drop("__r", "__blk", "__halo")
 
 
@@ -294,7 +300,7 @@ def forward_fill_blocked(df: DataFrame, cols: Sequence[str], key: str, order_by:
              .rowsBetween(Window.unboundedPreceding, -1))
     carry = summary.select(key, "__blk", *[F.last(F.col(f"__last_{c}"), ignorenulls=True).over(w_blk)
                                            .alias(f"__carry_{c}") for c in cols])
-    j = inside.join(carry, [key, "__blk"], "left")
+    j = null_safe_join(inside, carry, [key, "__blk"], "left")
     return j.withColumns({c: F.coalesce(F.col(f"__in_{c}"), F.col(f"__carry_{c}")) for c in cols}).drop(
         "__r", "__blk", "__halo", *[f"__in_{c}" for c in cols], *[f"__carry_{c}" for c in cols])
 

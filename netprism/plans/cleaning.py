@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import pandas_div, r6
 from ..operators import clean
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
 from .profiling import DUP_INPUT_SQL, FLOW_COLUMNS, TRIM_SQL, dup_input
@@ -23,7 +24,9 @@ def c01(spark, sf):
     "SELECT flow_id, round(coalesce(flow_duration, (SELECT quantile_cont(flow_duration, 0.5) FROM d)), 6)"
     " AS flow_duration FROM d", FLOWS_SQL, DEDUP_SQL))
 def c02(spark, sf):
-    d = clean.drop_duplicates(flows(spark, sf))
+    # read by three passes: written once
+    ensure_checkpoint_dir(spark)
+    d = clean.drop_duplicates(flows(spark, sf)).checkpoint(eager=True)
     filled, _ = clean.impute_median(d, ["flow_duration"])
     return filled.select("flow_id", r6("flow_duration").alias("flow_duration"))
 
@@ -65,11 +68,11 @@ def c07(spark, sf):
     return df.groupBy("Label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_R_MISS = "Preserve data distribution while handling missing data"
-_R_ID = "Prevent overfitting; identifiers not useful for prediction"
+_R_MISS = "A typical value leaves the column''s centre in place"
+_R_ID = "A model would learn rows by heart"
 C08_SQL = with_ctes(
     "SELECT 'All' AS \"Column\", format('{:,}', n - nd) || ' duplicate records' AS Issue,"
-    " 'Removed duplicate rows' AS Action, 'Prevent model bias toward frequent patterns' AS Reason"
+    " 'Kept one of each' AS Action, 'Copies would count twice in every statistic' AS Reason"
     " FROM (SELECT (SELECT count(*) FROM flows) AS n, (SELECT count(*) FROM d) AS nd) WHERE n > nd"
     " UNION ALL SELECT 'flow_duration', format('{:,}', m) || ' missing values (' || format('{:.2f}', m * 100.0 / n)"
     " || '%)', 'Filled with median (' || format('{:.2f}', med) || ')', '" + _R_MISS + "'"
@@ -81,10 +84,10 @@ C08_SQL = with_ctes(
     " WHERE protocol IS NOT NULL GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1) AS mode_value"
     " FROM d) WHERE m > 0"
     # identifier columns and the label rename follow from the column names of the view
-    " UNION ALL SELECT 'flow_id', 'High cardinality or identifier column', 'Removed column', '" + _R_ID + "'"
-    " UNION ALL SELECT 'source_id', 'High cardinality or identifier column', 'Removed column', '" + _R_ID + "'"
-    " UNION ALL SELECT 'label', 'Non-standard column name', 'Renamed to \"Label\"',"
-    " 'Standardize column naming across datasets'", FLOWS_SQL, DEDUP_SQL)
+    " UNION ALL SELECT 'flow_id', 'Names single rows (identifier or nearly unique)', 'Dropped', '" + _R_ID + "'"
+    " UNION ALL SELECT 'source_id', 'Names single rows (identifier or nearly unique)', 'Dropped', '" + _R_ID + "'"
+    " UNION ALL SELECT 'label', 'Label under another name', 'Now called \"Label\"',"
+    " 'One name for the label in all data sets'", FLOWS_SQL, DEDUP_SQL)
 
 
 @query("C08_cleaning_log", C08_SQL)

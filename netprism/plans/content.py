@@ -41,12 +41,22 @@ def b02(spark, sf):
                                 for n, c in prof.items()])
 
 
-def _ngram_sql(n):
+def _ngram_sql(n, top=" ORDER BY n DESC, ngram LIMIT 100"):
     parts = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     return (f"SELECT ngram, count(*) AS n FROM (SELECT {parts} AS ngram FROM ("
             f" SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM ("
             "  SELECT list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"
-            f" WHERE len(w) >= {n})) GROUP BY ngram ORDER BY n DESC, ngram LIMIT 100")
+            f" WHERE len(w) >= {n})) GROUP BY ngram{top}")
+
+
+@query("B03_bigram_counts", _ngram_sql(2, ""))
+def b03_all(spark, sf):
+    return ct.ngram_counts(table(spark, sf, "documents"), "text", 2, None)
+
+
+@query("B03_trigram_counts", _ngram_sql(3, ""))
+def b03t_all(spark, sf):
+    return ct.ngram_counts(table(spark, sf, "documents"), "text", 3, None)
 
 
 @query("B03_bigram_top100", _ngram_sql(2))

@@ -13,7 +13,7 @@ from ..functions.safe import r6
 from ..operators import evaluate as ev
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
-from .profiling import RETENTION_SQL, retention_inputs
+from .profiling import REPORT_SQL, cleaned_sets
 
 PRED_SQL = """pred AS (
   SELECT event_id AS row_id, ts, user_id,
@@ -231,20 +231,20 @@ def r07(spark, sf):
     return f.select("flow_id", ev.risk_level(ratio).alias("risk"))
 
 
-@query("R08_multi_dataset_summary", RETENTION_SQL)
+@query("R08_multi_dataset_summary", REPORT_SQL)
 def r08(spark, sf):
-    from ..operators.profile import retention
+    from ..operators.profile import before_after_counts, dataset_report
 
-    before, after = retention_inputs(spark, sf)
-    r = retention(before, after)
-    return r.select("dataset", "rows_before", "rows_after", r6("retention_pct").alias("retention_pct"))
+    r = dataset_report(before_after_counts(cleaned_sets(spark, sf)))
+    return r.withColumn("retention_pct", r6("retention_pct"))
 
 
 @query("R09_run_info", with_ctes(
     "SELECT count(*) AS total_samples, CAST(count_if(split = 'test') AS BIGINT) AS test_samples,"
     " count(DISTINCT CASE WHEN split = 'test' THEN label END) AS classes,"
     " round(avg(CASE WHEN split = 'test' THEN CAST(label = prediction AS DOUBLE) END), 6) AS accuracy,"
-    " 3 AS features FROM pred", PRED_SQL))
+    " (SELECT count(*) FROM (DESCRIBE pred) WHERE column_name NOT IN ('row_id', 'label', 'prediction', 'split'))"
+    " AS features FROM pred", PRED_SQL))
 def r09(spark, sf):
-    i = ev.run_info(predictions(spark, sf), n_features=3)
+    i = ev.run_info(predictions(spark, sf), keys=["row_id"])
     return i.select("total_samples", "test_samples", "classes", r6("accuracy").alias("accuracy"), "features")

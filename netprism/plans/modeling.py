@@ -37,7 +37,8 @@ def doc_training_set(spark, sf):
 def _fit(spark, sf, min_instances=2):
     data = doc_training_set(spark, sf)
     pipe, inputs = models.forest_pipeline(DOC_FEATURES, "label", categorical=["lang", "source"],
-                                          num_trees=100, max_depth=30, min_instances=min_instances)
+                                          num_trees=100, max_depth=30, min_instances=min_instances,
+                                          max_bins=models.needed_bins(data, ["lang", "source"]))
     train = data.where(F.col("split") == "train")
     return pipe.fit(train), inputs, data
 
@@ -121,9 +122,10 @@ def m08(spark, sf):
 
     e = table(spark, sf, "embeddings")
     arr = F.col("embedding")
-    feats = [f"e{i}" for i in range(8)]
+    dims = e.select(F.max(F.size(arr))).first()[0] or 0
+    feats = [f"e{i}" for i in range(dims)]
     df = e.select("vec_id", F.col("label").cast("string").alias("label"),
-                  *[F.element_at(arr, i + 1).cast("double").alias(f"e{i}") for i in range(8)])
+                  *[F.element_at(arr, i + 1).cast("double").alias(f"e{i}") for i in range(dims)])
     s = encode.stratified_split(df, "label", ["vec_id"], 0.2, seed=42)
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     out = models.two_stage(train, test, feats, "label", "0", num_trees=30)

@@ -189,6 +189,31 @@ def retention_inputs(spark, sf):
     return before, after
 
 
+COUNTS_SQL = with_ctes(
+    "SELECT 'events' AS dataset, (SELECT count(*) FROM ev_input) AS rows_before,"
+    " (SELECT count(*) FROM (SELECT DISTINCT * FROM ev_input)) AS rows_after,"
+    " CAST((SELECT count(*) FROM (DESCRIBE ev_input)) AS INTEGER) AS columns_before,"
+    " CAST((SELECT count(*) FROM (DESCRIBE ev_input) WHERE column_name NOT LIKE '%\\_id' ESCAPE '\\') AS INTEGER) AS columns_after"
+    " UNION ALL SELECT 'lineitem', (SELECT count(*) FROM dup_input),"
+    " (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_input)),"
+    " CAST((SELECT count(*) FROM (DESCRIBE dup_input)) AS INTEGER),"
+    " CAST((SELECT count(*) FROM (DESCRIBE dup_input) WHERE column_name NOT LIKE '%\\_id' ESCAPE '\\') AS INTEGER)",
+    DUP_INPUT_SQL, "ev_input AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 10 = 0)")
+REPORT_SQL = (
+    "SELECT count(*) AS datasets, CAST(sum(rows_before) AS BIGINT) AS rows_before, CAST(sum(rows_after) AS BIGINT) AS rows_after,"
+    " CAST(sum(rows_before) - sum(rows_after) AS BIGINT) AS rows_removed,"
+    " CAST(sum(columns_before) - sum(columns_after) AS BIGINT) AS columns_removed,"
+    " round(sum(rows_after) * 100.0 / sum(rows_before), 6) AS retention_pct,"
+    " arg_max(dataset, 1 - rows_after * 1.0 / rows_before) AS largest_loss FROM (" + COUNTS_SQL + ")")
+
+
+def cleaned_sets(spark, sf):
+    """Raw and cleaned (no copies, no ``_id`` columns) frames of the two data sets."""
+    ev = table(spark, sf, "events")
+    raw = {"lineitem": dup_input(spark, sf), "events": ev.unionByName(ev.where(F.col("event_id") % 10 == 0))}
+    return {n: (d, d.dropDuplicates().drop(*[c for c in d.columns if c.endswith("_id")])) for n, d in raw.items()}
+
+
 @query("P13_retention", RETENTION_SQL)
 def p13(spark, sf):
     before, after = retention_inputs(spark, sf)

@@ -10,6 +10,7 @@ from ..functions.safe import r6
 from ..operators import select as sel
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
+from .profiling import FLOW_COLUMNS
 
 # lineitem numeric columns plus a perfectly correlated copy (FIXTURES B3) and a
 # constant column, so that L02-L04 have hits.
@@ -68,9 +69,9 @@ def l04(spark, sf):
     return v.where(F.col("variance") < sel.VAR_THRESHOLD).select("feature", r6("variance").alias("variance"))
 
 
-_JUST_IN = "Discriminative power, real-time extractable, low correlation with other features"
-_JUST_CORR = "High correlation (>0.95) with other features; redundant information"
-_JUST_VAR = "Very low variance (< 1e-6); no discriminative power"
+_JUST_IN = "Varies and does not repeat another feature"
+_JUST_CORR = "Repeats a feature with more variance (abs r above 0.95)"
+_JUST_VAR = "Almost constant (variance below 1e-6)"
 
 
 @query("L05_selection_table", with_ctes(
@@ -88,15 +89,13 @@ def l05(spark, sf):
     "SELECT feature, round(top_share, 6) AS top_share, top_share > 0.99 AS near_constant FROM ("
     + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, max(n) * 1.0 / sum(n) AS top_share FROM (SELECT count(*) AS n FROM flows"
-        f" GROUP BY {c})" for c in ["protocol", "syn_flag_count", "ack_flag_count", "fin_flag_count",
-                                    "total_fwd_packets"]) + ")", FLOWS_SQL))
+        f" GROUP BY {c})" for c in FLOW_COLUMNS) + ")", FLOWS_SQL))
 def l06(spark, sf):
-    cols = ["protocol", "syn_flag_count", "ack_flag_count", "fin_flag_count", "total_fwd_packets"]
-    nc = sel.near_constant_features(flows(spark, sf), cols)
+    nc = sel.near_constant_features(flows(spark, sf), FLOW_COLUMNS)
     return nc.select("feature", r6("top_share").alias("top_share"), "near_constant")
 
 
-_MI_COLS = ["total_fwd_packets", "total_backward_packets", "flow_iat_mean", "destination_port"]
+_MI_COLS = [c for c in FLOW_COLUMNS if c not in ("protocol", "label", "ts")]
 
 
 def _mi_sql():

@@ -11,7 +11,7 @@ from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
-from .profiling import RETENTION_SQL, retention_inputs
+from .profiling import COUNTS_SQL, cleaned_sets
 
 
 @query("S01_csv_with_header", "SELECT * FROM lineitem")
@@ -66,13 +66,11 @@ def s06(spark, sf):
     return spark.read.parquet(path).select("flow_id", "destination_port", "protocol")
 
 
-@query("S08_before_after_counts", RETENTION_SQL)
+@query("S08_before_after_counts", COUNTS_SQL)
 def s08(spark, sf):
-    from ..operators.profile import retention
+    from ..operators.profile import before_after_counts
 
-    before, after = retention_inputs(spark, sf)
-    r = retention(before, after)
-    return r.select("dataset", "rows_before", "rows_after", r6("retention_pct").alias("retention_pct"))
+    return before_after_counts(cleaned_sets(spark, sf))
 
 
 @query("S10_binary_files")

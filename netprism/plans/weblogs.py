@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.safe import r6
+from ..functions.safe import r6, null_safe_join
 from ..operators import weblog as wl
 from ..sources.tables import SITE_HOST, WEBLOG_LINES_SQL, table, weblog_lines
 from .catalog import query, with_ctes
@@ -181,7 +181,7 @@ def x09(spark, sf):
     p = parsed_weblogs(spark, sf).select("ip", wl.referer_kind(F.col("referer"), SITE_HOST).alias("kind"))
     counts = p.groupBy("ip", "kind").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("ip").agg(F.sum("n").alias("t"))
-    return counts.join(totals, "ip").select("ip", "kind", "n", r6(F.col("n") / F.col("t")).alias("share"))
+    return null_safe_join(counts, totals, ["ip"]).select("ip", "kind", "n", r6(F.col("n") / F.col("t")).alias("share"))
 
 
 @query("X10_time_features", "SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,"

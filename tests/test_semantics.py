@@ -53,7 +53,7 @@ def test_exact_quantiles_match_numpy(spark, seed):
             for _ in range(5000)]
     vals[0:1500] = [7.0] * 1500  # one value with a third of the rows
     df = spark.createDataFrame([(v,) for v in vals] + [(None,), (float("nan"),)], "x double")
-    got = exact_quantiles(df, {"x": [0.01, 0.25, 0.5, 0.75, 0.99]}, accuracy=100, max_band=50)["x"]
+    got = exact_quantiles(df, {"x": [0.01, 0.25, 0.5, 0.75, 0.99]}, accuracy=100, max_rows=50)["x"]
     want = np.quantile(np.array(vals), [0.01, 0.25, 0.5, 0.75, 0.99])
     assert np.allclose(got, want)
 
