@@ -53,7 +53,7 @@ from .subword import encoder
 #: Ids of a block (a window has two blocks), ids that share a query, classes, width of the head, tables that it weighs.
 BLOCK, GROUP, HEAD, BINS, WIDTH, EXPERTS = 32, 8, 160, 16, 8, 8
 #: Rows of the table that share a dictionary.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 2048
 SMOOTH = 0.1
 #: Weight of the less specific distribution when counts are smoothed with it.
 BACKOFF = 4.0
@@ -364,7 +364,7 @@ def _chunk_words(rows: DataFrame) -> DataFrame:
                         other.append(t)
                 for t in other:
                     seen.update(dict.fromkeys(t.lower().split(), 0))
-                if len(seen) > 600_000:
+                if len(seen) > 250_000:
                     yield flush()
                     seen = Counter()
         if seen:

@@ -18,7 +18,7 @@ import numpy as np
 from .common import process_cache
 
 #: Most pieces a worker keeps; beyond it the dictionary is emptied and refilled.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Bytes of the longest piece kept; longer ones hardly come twice.
 LONGEST = 24
 #: Marks that a word often ends with.
