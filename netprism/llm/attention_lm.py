@@ -376,7 +376,7 @@ def _chunk_words(rows: DataFrame) -> DataFrame:
 def _word_ids(words: DataFrame, tokenizer: str) -> DataFrame:
     """words(word, n) with their sub-word ids."""
     def run(batches):
-        make = encoder("word", tokenizer)
+        make = encoder("word", tokenizer, 200_000)  # distinct words: few pieces come again
         for b in batches:
             ids = [make.encoded(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())],

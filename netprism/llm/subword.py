@@ -17,8 +17,8 @@ import numpy as np
 
 from .common import process_cache
 
-#: Most pieces a worker keeps; beyond it the dictionary is emptied and refilled.
-CACHE_PIECES = 200_000
+#: Most pieces a worker keeps (about 200 bytes each); beyond it the dictionary is emptied and refilled.
+CACHE_PIECES = 600_000
 #: Bytes of the longest piece kept; longer ones hardly come twice.
 LONGEST = 24
 #: Marks that a word often ends with.
@@ -38,14 +38,14 @@ def byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     """piece (bytes) -> its ids as little-endian bytes."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, piece):
         ids = self.make(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
@@ -57,7 +57,7 @@ class SubwordEncoder:
     # letters that every version of Unicode calls letters: A-Z, a-z, U+00C0-U+00FF but x and division
     WORD = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,7 +65,7 @@ class SubwordEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # native order, little-endian on all that Spark runs on
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.pieces = _Pieces(self.piece)
+        self.pieces = _Pieces(self.piece, most)
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
@@ -137,9 +137,9 @@ class ByteEncoder(SubwordEncoder):
         return b"".join(map(self.pieces.__getitem__, cut))
 
 
-def encoder(kind: str, path: str) -> SubwordEncoder:
-    """The worker's encoder for a vocabulary file (loaded once per process)."""
+def encoder(kind: str, path: str, most: int = CACHE_PIECES) -> SubwordEncoder:
+    """The worker's encoder for a vocabulary file (loaded once per process), with room for ``most`` pieces."""
     held = process_cache("encoders")
-    if (kind, path) not in held:
-        held[kind, path] = {"word": WordEncoder, "byte": ByteEncoder}[kind](path)
-    return held[kind, path]
+    if (kind, path, most) not in held:
+        held[kind, path, most] = {"word": WordEncoder, "byte": ByteEncoder}[kind](path, most)
+    return held[kind, path, most]
