@@ -2,8 +2,8 @@
 
 The largest inner product is a nearest-neighbour question: with M at least
 the longest vector, v' = (v, sqrt(M**2 - |v|**2)) and q' = (q, 0) give
-|q' - v'|**2 = |q|**2 + M**2 - 2 <q, v>, a true metric.  Each partition of the
-vectors builds an M-tree over v': nodes are pages of at most ``page``
+|q' - v'|**2 = |q|**2 + M**2 - 2 <q, v>, a true metric.  Every ``tree_rows``
+vectors of a partition make an M-tree over v': nodes are pages of at most ``page``
 entries; an entry of an inner page has a routing vector, a covering radius
 and its distance to the parent's routing vector, an entry of a leaf page a
 vector and that distance.  A search keeps the pages in a heap by the least
@@ -12,10 +12,10 @@ Before a distance is computed, the stored ones bound it:
 |d(q, parent) - d(entry, parent)| - radius.  Bounds get a small slack for
 rounding; scores themselves are integers, computed exactly.
 
-Queries are written once to the shared folder; every task reads them in
-blocks of ``block`` rows, so neither the query set nor a group of equal
-vectors is held whole anywhere.  Each task returns its k best per query, the
-window over them is cut to k.
+Queries are written once to the shared folder; every tree reads them in
+blocks of ``block`` rows, so neither the query set, nor a partition, nor a group
+of equal vectors is held whole anywhere.  Each tree returns its k best per
+query, the window over them is cut to k.
 
 Edge cases: rows whose vector is null, empty or holds a null or non-finite
 component, or one of 2**20 or more (past what a long can score), and rows with
@@ -159,7 +159,8 @@ def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page: int = PAGE) -> DataFrame:
+def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page: int = PAGE,
+          tree_rows: int = 250_000) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of every query (rows whose
     id is divisible by ``every``) among all other rows."""
     spark = table.sparkSession
@@ -167,12 +168,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page
     place = scratch_path(spark, "queries")
     vectors.where(F.col("vec_id") % every == 0).write.parquet(place)
 
-    def run(batches):
-        import pyarrow.dataset as ds
-
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    def forest(held):
+        """{components: tree} of some batches."""
         rows = pa.Table.from_batches(held)
         ids = rows["vec_id"].to_numpy()
         size = np.array([len(v) for v in rows["v"]])
@@ -183,6 +180,11 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page
         for n in np.unique(size).tolist():
             own = np.flatnonzero(size == n)
             trees[n] = MTree(ids[own], flat[at[own][:, None] + np.arange(n)], page)
+        return trees
+
+    def answers(trees):
+        import pyarrow.dataset as ds
+
         store, folder = filesystem(place)
         files = ds.dataset(folder, filesystem=store, format="parquet")
         for b in files.to_batches(batch_size=block, batch_readahead=1, fragment_readahead=1):
@@ -195,6 +197,18 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)],
                                                  names=["query_id", "vec_id", "score"])
 
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= tree_rows:
+                yield from answers(forest(held))
+                held, rows = [], 0
+        if rows:
+            yield from answers(forest(held))
+
     near = vectors.repartition("vec_id").mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

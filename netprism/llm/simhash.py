@@ -9,11 +9,15 @@ node pairs are expanded together bit by bit, the bits in which the two paths
 differ are added up, and a pair is dropped as soon as they exceed the budget.
 A trie is a sorted array; a node is a range of it.
 
-A trie node with very many fingerprints (near copies of one text) is dealt
-into hashed cells of about ``cell`` fingerprints; every pair of cells is one
-small join, so no task holds the group.  Tasks return, instead of all pairs,
-links that connect what they found connected; components follow from
-``components``.
+A trie node with over ``cell`` fingerprints is cut once more by the same
+argument: the bits below it fall into ``errors + 1`` stretches, of which a near
+pair shares one, so its fingerprints go to that many deeper nodes.  With many
+documents every first node is that large, and a fingerprint still costs a fixed
+number of rows.  A deeper node that is too large as well (near copies of one
+text) is dealt into hashed cells of about ``cell`` fingerprints; every pair of
+cells is one small join, so no task holds the group.  Tasks return, instead of
+all pairs, links that connect what they found connected; components follow
+from ``components``.
 
 Edge cases: null and wordless texts have fingerprint 0 and link like any
 other; fewer words than a shingle make one shingle of all; repeated rows and
@@ -23,7 +27,7 @@ it are null (then the component is null); an empty table gives no rows.
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import binary_column, stored
 from .components import connected_components
 
-#: Fingerprints of a trie that one task joins with itself; more are dealt in cells.
+#: Fingerprints of a trie node that one task joins with itself; more are cut deeper, then dealt in cells.
 CELL = 1024
+#: Large nodes up to which their list is broadcast (48 bytes each).
+BROADCAST_ROWS = 300_000
 
 
 def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -80,6 +86,25 @@ def rotated(fp: np.ndarray, by: int) -> np.ndarray:
     return (fp << np.uint64(by)) | (fp >> np.uint64(64 - by))
 
 
+def stretches(errors: int) -> tuple[int, int]:
+    """Bits of a trie's first stretch, and of the second one below it."""
+    bits = 64 // (errors + 1)
+    return bits, (64 - bits) // (errors + 1)
+
+
+def trie_key(fp: np.ndarray, t: int, s: int, errors: int) -> np.ndarray:
+    """``fp`` with stretch ``t`` first and, if ``s`` is not -1, stretch ``s`` of the other bits next."""
+    bits, deep = stretches(errors)
+    turned = rotated(fp, t * bits)
+    if s <= 0:
+        return turned
+    rest = np.uint64(64 - bits)
+    low = turned & ((np.uint64(1) << rest) - np.uint64(1))
+    by = np.uint64(s * deep)
+    low = ((low << by) | (low >> (rest - by))) & ((np.uint64(1) << rest) - np.uint64(1))
+    return (turned >> rest << rest) | low
+
+
 def trie_pairs(values: np.ndarray, pairs: np.ndarray, depth: int, errors: int, most: int = 400_000):
     """Joins tries over ``values`` (uint64; sorted within each node's range).
 
@@ -159,13 +184,15 @@ def spanning_links(n: int, found) -> tuple[np.ndarray, np.ndarray]:
     return at, parent[at]
 
 
-def _join_cells(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, bits: int, errors: int):
-    """Links within each group of ``keys`` (column per row: trie number, group);
-    ``side`` 0 or 1 is the cell of a pair, 2 a group joined with itself."""
+def _join_cells(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, errors: int):
+    """Links within each group of ``keys`` (columns: trie, its first bits,
+    deeper trie or -1, its bits, pair of cells); ``side`` 0 or 1 is the cell of
+    a pair, 2 a group joined with itself."""
+    bits, deep = stretches(errors)
     turned = fps.copy()
-    for t in np.unique(keys[:, 0]):
-        own = keys[:, 0] == t
-        turned[own] = rotated(fps[own], int(t) * bits)
+    for t, s in np.unique(keys[:, [0, 2]], axis=0):
+        own = (keys[:, 0] == t) & (keys[:, 2] == s)
+        turned[own] = trie_key(fps[own], int(t), int(s), errors)
     order = np.lexsort((turned, side, *keys.T[::-1]))
     keys, side, fps, turned = keys[order], side[order], fps[order], turned[order]
     new_group = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
@@ -177,7 +204,10 @@ def _join_cells(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, bits: int,
     pair = (~own[:-1]) & (~new_group[lo[1:]]) if len(lo) > 1 else np.zeros(0, bool)
     k = np.flatnonzero(pair)
     nodes.append(np.stack([lo[k], hi[k], lo[k + 1], hi[k + 1]], 1))
-    at, root = spanning_links(len(fps), trie_pairs(turned, np.concatenate(nodes), bits, errors))
+    nodes = np.concatenate(nodes)
+    cut = keys[nodes[:, 0], 2] >= 0
+    found = chain(trie_pairs(turned, nodes[~cut], bits, errors), trie_pairs(turned, nodes[cut], bits + deep, errors))
+    at, root = spanning_links(len(fps), found)
     return fps[at], fps[root]
 
 
@@ -185,20 +215,30 @@ def near_links(distinct: DataFrame, errors: int = 3, cell: int = CELL) -> DataFr
     """Links (a, b) between fingerprints of ``distinct(fp)`` within ``errors``
     bits: enough of them to connect all that are connected."""
     tries = errors + 1
-    bits = 64 // tries
-    turned = [F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(
-        F.shiftleft("fp", t * bits) if t else F.col("fp"), 64 - bits).alias("p")) for t in range(tries)]
-    nodes = distinct.select("fp", F.inline(F.array(*turned)))
+    bits, deep = stretches(errors)
+    turned = [F.struct(F.lit(t).alias("t"), (F.shiftleft("fp", t * bits).bitwiseOR(
+        F.shiftrightunsigned("fp", 64 - t * bits)) if t else F.col("fp")).alias("_r")) for t in range(tries)]
+    nodes = distinct.select("fp", F.inline(F.array(*turned))).withColumn("p", F.shiftrightunsigned("_r", 64 - bits))
     # at most tries * 2 ** bits groups, and only those over ``cell`` are kept
     hot = nodes.groupBy("t", "p").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell)
+    below = [F.struct(F.lit(s).alias("s"), F.shiftrightunsigned("_r", 64 - bits - (s + 1) * deep).bitwiseAND(
+        F.lit((1 << deep) - 1).cast("long")).alias("q")) for s in range(tries)]
+    whole = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("q")))
+    nodes = nodes.join(F.broadcast(hot), ["t", "p"], "left").select(
+        "t", "p", "fp", F.inline(F.when(F.col("_n").isNull(), whole).otherwise(F.array(*below))))
+    node = ["t", "p", "s", "q"]
+    large = stored(nodes.where(F.col("s") >= 0).groupBy(*node).agg(F.count(F.lit(1)).alias("_n"))
+                   .where(F.col("_n") > cell), "large-nodes")
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
     cells = F.coalesce(F.ceil(F.col("_n") / cell), F.lit(1)).cast("int")
-    dealt = (nodes.join(F.broadcast(hot), ["t", "p"], "left")
+    dealt = (nodes.join(large, node, "left")
              .withColumn("_k", cells).withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_k")).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-             .select("t", "p", F.least("_c", "_o").alias("x"), F.greatest("_c", "_o").alias("y"),
+             .select(*node, F.least("_c", "_o").alias("x"), F.greatest("_c", "_o").alias("y"),
                      F.when(F.col("_k") == 1, 2).when(F.col("_c") == F.col("_o"), 2)
                      .when(F.col("_c") < F.col("_o"), 0).otherwise(1).cast("int").alias("side"), "fp"))
-    group = ["t", "p", "x", "y"]
+    group = [*node, "x", "y"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -207,7 +247,7 @@ def near_links(distinct: DataFrame, errors: int = 3, cell: int = CELL) -> DataFr
         def work(table):
             keys = np.stack([table[c].to_numpy().astype(np.int64) for c in group], 1)
             a, b = _join_cells(keys, table["side"].to_numpy(), table["fp"].to_numpy().astype(np.int64).view(np.uint64),
-                               bits, errors)
+                               errors)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for b in batches:

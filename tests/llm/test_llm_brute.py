@@ -213,7 +213,7 @@ def test_op4_against_brute_force(spark, odd, docs):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cell", [1024, 7])
+@pytest.mark.parametrize("cell", [1024, 100, 7])
 def test_op4_trie_links_connect_all_near_pairs(spark, cell):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2 ** 63, 40, dtype=np.uint64)
@@ -224,6 +224,9 @@ def test_op4_trie_links_connect_all_near_pairs(spark, cell):
             x ^= 1 << int(rng.integers(64))
             fps.append(x)
             fps.append(int(b) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))))
+    for b in rng.integers(0, 2 ** 48, 200):  # one large first node, most of it far apart below
+        x = int(b) | 0xABCD << 48
+        fps += [x, x ^ 1 << int(rng.integers(64)), x ^ 7 << int(rng.integers(45))]
     fps = sorted(set(fps))
     signed = [f - 2 ** 64 if f >= 2 ** 63 else f for f in fps]
     links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 3, cell)
@@ -234,6 +237,24 @@ def test_op4_trie_links_connect_all_near_pairs(spark, cell):
     assert [got.get(f, f) for f in signed] == want
 
 
+@pytest.mark.parametrize("errors", [1, 3, 6])
+def test_op4_near_pairs_share_two_stretches(errors):
+    rng = np.random.default_rng(2)
+    bits, deep = simhash.stretches(errors)
+    for _ in range(300):
+        a = int(rng.integers(0, 2 ** 63))
+        b = a
+        for bit in rng.integers(0, 64, errors):
+            b ^= 1 << int(bit)
+        pair = np.array([a, b], np.uint64)
+        top = {(t, s): simhash.trie_key(pair, t, s, errors) >> np.uint64(64 - (bits if s < 0 else bits + deep))
+               for t in range(errors + 1) for s in range(-1, errors + 1)}
+        shared = [t for t in range(errors + 1) if len(set(top[t, -1].tolist())) == 1]
+        assert shared
+        assert all(any(len(set(top[t, s].tolist())) == 1 for s in range(errors + 1)) for t in shared)
+        assert np.bitwise_count(simhash.trie_key(pair, 1, errors, errors)).tolist() == [a.bit_count(), b.bit_count()]
+
+
 def test_op4_trie_pairs_are_exact():
     rng = np.random.default_rng(1)
     v = np.sort(np.unique(rng.integers(0, 2 ** 12, 300, dtype=np.uint64) << np.uint64(26)))
@@ -265,8 +286,8 @@ def test_op5_against_brute_force(spark):
         if q % 50 == 0:
             best = sorted((-int(v @ c), i) for i, c in vectors.items() if i != q and len(c) == len(v))[:5]
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    for page in (48, 4):
-        got = {tuple(r) for r in mtree.top_k(table, page=page).collect()}
+    for page, tree_rows in ((48, 250_000), (4, 250_000), (48, 40)):
+        got = {tuple(r) for r in mtree.top_k(table, page=page, tree_rows=tree_rows).collect()}
         assert got == want
     assert mtree.top_k(table.limit(0)).count() == 0
 
