@@ -9,8 +9,9 @@ returns that state so the same cleaning can be applied to new data
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,6 +245,15 @@ class CleaningModel:
         df = df.drop(*[c for c in self.dropped if c in df.columns])
         return standardize_label(df)
 
+    def save(self, spark, path: str) -> None:
+        """The fitted state as one JSON row in a folder that the cluster shares."""
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "state string").write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> CleaningModel:
+        state = json.loads(spark.read.schema("state string").json(path).first()["state"])
+        return cls(**{**state, "log": [tuple(r) for r in state["log"]]})
+
     def log_frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.log, LOG_SCHEMA)
 
@@ -414,7 +424,16 @@ def semantic_defaults(df: DataFrame, defaults: Mapping[str, object] | None = Non
     return df.withColumns(exprs)
 
 
-MAGIC_NUMBERS = {"MZ": "pe", "\x7fELF": "elf", "%PDF": "pdf", "PK": "zip"}
+# Leading bytes of executable, document and archive files.
+MAGIC_NUMBERS = {b"MZ": "pe", b"\x7fELF": "elf", b"%PDF": "pdf", b"PK": "zip"}
+
+
+def file_kind(content: str = "content") -> Column:
+    """Kind of a file by its leading bytes, null if none of ``MAGIC_NUMBERS`` fits."""
+    kind = F.lit(None).cast("string")
+    for m, name in MAGIC_NUMBERS.items():
+        kind = F.when(F.substring(F.col(content), 1, len(m)) == F.lit(bytearray(m)), name).otherwise(kind)
+    return kind
 
 
 def file_filter(df: DataFrame, length: str = "length", content: str = "content",

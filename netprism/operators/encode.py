@@ -73,11 +73,16 @@ def standard_scale(df: DataFrame, cols: Sequence[str], with_mean: bool = True) -
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     stats = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
+    return apply_standard_scale(df, stats, with_mean), stats
+
+
+def apply_standard_scale(df: DataFrame, stats: dict, with_mean: bool = True) -> DataFrame:
+    """E04 with fitted ``stats`` {column: (mean, population std)}."""
     exprs = {}
     for c, (m, s) in stats.items():
         centred = F.col(c) - F.lit(m if with_mean and m is not None else 0.0)
         exprs[c] = centred / F.lit(s) if s not in (None, 0.0) else centred * 0.0
-    return df.withColumns(exprs), stats
+    return df.withColumns(exprs)
 
 
 def standard_scaler_stage(input_col: str, output_col: str):

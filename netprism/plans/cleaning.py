@@ -244,6 +244,24 @@ def c20(spark, sf):
     return clean.file_filter(files).select("doc_id", "length")
 
 
+@query("C20_magic_bytes", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pe' WHEN 1 THEN 'elf' WHEN 2 THEN 'pdf'"
+       " ELSE 'zip' END AS kind, strlen(text) + CASE doc_id % 5 WHEN 0 THEN 2 WHEN 3 THEN 2 ELSE 4 END AS length"
+       " FROM documents WHERE doc_id % 5 < 4 AND strlen(text)"
+       " + CASE doc_id % 5 WHEN 0 THEN 2 WHEN 3 THEN 2 ELSE 4 END BETWEEN 1024 AND 104857600")
+def c20_magic(spark, sf):
+    """Documents as files of five kinds: each magic number in front of every fifth one, one kind without any."""
+    from ..sources.files import documents_as_files
+
+    files = documents_as_files(spark, sf)
+    head = F.lit(bytearray(b"\x00")).cast("binary")
+    for i, m in enumerate(clean.MAGIC_NUMBERS):
+        head = F.when(F.col("doc_id") % 5 == i, F.lit(bytearray(m))).otherwise(head)
+    files = files.withColumn("content", F.concat(head, F.col("content"))).withColumn(
+        "length", F.octet_length("content").cast("long"))
+    kept = clean.file_filter(files, magic=list(clean.MAGIC_NUMBERS))
+    return kept.select("doc_id", clean.file_kind().alias("kind"), "length")
+
+
 @query("C21_mask_pii", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '"
        + clean.EMAIL_RE + "', '<EMAIL>', 'g'), '" + clean.IP_RE + "', '<IP>', 'g'), '"
        + clean.PHONE_RE + "', '<PHONE>', 'g') AS text FROM documents")

@@ -39,7 +39,7 @@ def _fit(spark, sf, min_instances=2):
     pipe, inputs = models.forest_pipeline(DOC_FEATURES, "label", categorical=["lang", "source"],
                                           num_trees=100, max_depth=30, min_instances=min_instances,
                                           max_bins=models.needed_bins(data, ["lang", "source"]))
-    train = data.where(F.col("split") == "train")
+    train = models.spread_training(data.where(F.col("split") == "train"), ["doc_id"])
     return pipe.fit(train), inputs, data
 
 
@@ -127,12 +127,65 @@ def m08(spark, sf):
     df = e.select("vec_id", F.col("label").cast("string").alias("label"),
                   *[F.element_at(arr, i + 1).cast("double").alias(f"e{i}") for i in range(dims)])
     s = encode.stratified_split(df, "label", ["vec_id"], 0.2, seed=42)
-    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    train = models.spread_training(s.where(F.col("split") == "train"), ["vec_id"])
+    test = s.where(F.col("split") == "test")
     out = models.two_stage(train, test, feats, "label", "0", num_trees=30)
     return out.select("vec_id", "label", "final_prediction")
 
 
-@query("S07_model_bundle_roundtrip")
+def flows_with_service(spark, sf):
+    """Flows with a category of 90 values beside the protocol."""
+    return flows(spark, sf).withColumn("service", F.concat(F.lit("svc"), F.col("destination_port") % 90))
+
+
+@query("M01_flows_forest", "SELECT count(*) AS n_rows, true AS beats_majority, 0 AS n_bad_confidence FROM lineitem")
+def m01_flows(spark, sf):
+    """The classifier run on all flows (50 trees of depth 10): rows predicted,
+    test accuracy above the majority class, confidences outside (0, 1]."""
+    from .runs import classify_traffic
+
+    keys = ["flow_id", "source_id", "ts"]
+    out = classify_traffic(flows_with_service(spark, sf), "label", num_trees=50, max_depth=10, id_cols=keys)
+    right = F.col("label") == F.col("prediction")
+    per = out["predictions"].groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("n_test"),
+        F.count_if((F.col("split") == "test") & right).alias("n_right"),
+        F.count_if(~F.col("confidence").between(1e-12, 1.0 + 1e-9)).alias("bad"))
+    return per.agg(F.sum("n").alias("n_rows"), (F.sum("n_right") / F.sum("n_test") > F.max("n") / F.sum("n")).alias(
+        "beats_majority"), F.sum("bad").cast("int").alias("n_bad_confidence"))
+
+
+@query("S07_score_new_rows", "SELECT count(*) AS n_rows, 0 AS n_different FROM lineitem")
+def s07_score_new(spark, sf):
+    """A saved anomaly run scores the flows again: the same scores and flags."""
+    from .runs import detect_web_anomalies, score_web_anomalies
+
+    path = scratch_path(spark, "anomaly-bundle")
+    df = flows(spark, sf)
+    fitted = detect_web_anomalies(df, ["flow_id"], model_path=path)["scored"].select(
+        "row_id", "is_anomaly", F.col("score").alias("fitted_score"))
+    again = score_web_anomalies(df, ["flow_id"], path).select("row_id", F.col("is_anomaly").alias("again"), "score")
+    same = (F.abs(F.col("score") - F.col("fitted_score")) < 1e-9) & (F.col("again") == F.col("is_anomaly"))
+    return fitted.join(again, "row_id").agg(F.count(F.lit(1)).alias("n_rows"),
+                                            F.count_if(~same).cast("int").alias("n_different"))
+
+
+@query("S07_cleaning_bundle", "SELECT count(*) AS n_rows, 0 AS n_different FROM (SELECT DISTINCT * FROM lineitem)")
+def s07_cleaning(spark, sf):
+    """A cleaning state saved and loaded again cleans the flows to the same rows."""
+    df = flows(spark, sf)
+    path = scratch_path(spark, "cleaning-bundle")
+    model = clean.fit_cleaning(df)
+    model.save(spark, path)
+    cleaned = [m.transform(df).select(F.xxhash64("*").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias(f"n{i}"))
+               for i, m in enumerate((model, clean.CleaningModel.load(spark, path)))]
+    n0, n1 = F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0))
+    return cleaned[0].join(cleaned[1], "h", "full").agg(
+        F.sum(n1).alias("n_rows"), F.sum(F.abs(n0 - n1)).cast("int").alias("n_different"))
+
+
+@query("S07_model_bundle_roundtrip",
+       "SELECT doc_id, true AS same_prediction FROM documents JOIN labels USING (doc_id)")
 def s07(spark, sf):
     from pyspark.ml import PipelineModel
 
@@ -140,7 +193,6 @@ def s07(spark, sf):
     path = scratch_path(spark, "rf-bundle")
     model.write().overwrite().save(path)
     again = PipelineModel.load(path)
-    test = data.where(F.col("split") == "test")
-    a = models.predict_with_confidence(model, test, "label").select("doc_id", F.col("prediction").alias("p1"))
-    b = models.predict_with_confidence(again, test, "label").select("doc_id", F.col("prediction").alias("p2"))
+    a = models.predict_with_confidence(model, data, "label").select("doc_id", F.col("prediction").alias("p1"))
+    b = models.predict_with_confidence(again, data, "label").select("doc_id", F.col("prediction").alias("p2"))
     return a.join(b, "doc_id").select("doc_id", (F.col("p1") == F.col("p2")).alias("same_prediction"))

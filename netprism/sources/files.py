@@ -43,6 +43,69 @@ def nsl_kdd_schema() -> T.StructType:
     return T.StructType(fields)
 
 
+# CIC-IDS-2017 column names in file order.
+CIC_IDS_FIELDS = (
+    "Destination Port", "Flow Duration", "Total Fwd Packets", "Total Backward Packets",
+    "Total Length of Fwd Packets", "Total Length of Bwd Packets", "Fwd Packet Length Max",
+    "Fwd Packet Length Min", "Fwd Packet Length Mean", "Fwd Packet Length Std",
+    "Bwd Packet Length Max", "Bwd Packet Length Min", "Bwd Packet Length Mean",
+    "Bwd Packet Length Std", "Flow Bytes/s", "Flow Packets/s", "Flow IAT Mean", "Flow IAT Std",
+    "Flow IAT Max", "Flow IAT Min", "Fwd IAT Total", "Fwd IAT Mean", "Fwd IAT Std", "Fwd IAT Max",
+    "Fwd IAT Min", "Bwd IAT Total", "Bwd IAT Mean", "Bwd IAT Std", "Bwd IAT Max", "Bwd IAT Min",
+    "Fwd PSH Flags", "Bwd PSH Flags", "Fwd URG Flags", "Bwd URG Flags", "Fwd Header Length",
+    "Bwd Header Length", "Fwd Packets/s", "Bwd Packets/s", "Min Packet Length",
+    "Max Packet Length", "Packet Length Mean", "Packet Length Std", "Packet Length Variance",
+    "FIN Flag Count", "SYN Flag Count", "RST Flag Count", "PSH Flag Count", "ACK Flag Count",
+    "URG Flag Count", "CWE Flag Count", "ECE Flag Count", "Down/Up Ratio", "Average Packet Size",
+    "Avg Fwd Segment Size", "Avg Bwd Segment Size", "Fwd Header Length.1", "Fwd Avg Bytes/Bulk",
+    "Fwd Avg Packets/Bulk", "Fwd Avg Bulk Rate", "Bwd Avg Bytes/Bulk", "Bwd Avg Packets/Bulk",
+    "Bwd Avg Bulk Rate", "Subflow Fwd Packets", "Subflow Fwd Bytes", "Subflow Bwd Packets",
+    "Subflow Bwd Bytes", "Init_Win_bytes_forward", "Init_Win_bytes_backward", "act_data_pkt_fwd",
+    "min_seg_size_forward", "Active Mean", "Active Std", "Active Max", "Active Min", "Idle Mean",
+    "Idle Std", "Idle Max", "Idle Min", "Label")
+# UNSW-NB15 column names of the training and testing files, in file order.
+UNSW_FIELDS = (
+    "id", "dur", "proto", "service", "state", "spkts", "dpkts", "sbytes", "dbytes", "rate", "sttl",
+    "dttl", "sload", "dload", "sloss", "dloss", "sinpkt", "dinpkt", "sjit", "djit", "swin",
+    "stcpb", "dtcpb", "dwin", "tcprtt", "synack", "ackdat", "smean", "dmean", "trans_depth",
+    "response_body_len", "ct_srv_src", "ct_state_ttl", "ct_dst_ltm", "ct_src_dport_ltm",
+    "ct_dst_sport_ltm", "ct_dst_src_ltm", "is_ftp_login", "ct_ftp_cmd", "ct_flw_http_mthd",
+    "ct_src_ltm", "ct_srv_dst", "is_sm_ips_ports", "attack_cat", "label")
+_UNSW_DOUBLE = {"dur", "rate", "sload", "dload", "sinpkt", "dinpkt", "sjit", "djit", "tcprtt",
+                "synack", "ackdat"}
+
+
+def cic_ids_schema() -> T.StructType:
+    """Ports and flag counts int, packet counts and the duration long, measures double."""
+    fields = []
+    for n in CIC_IDS_FIELDS:
+        if n == "Label":
+            t = T.StringType()
+        elif n == "Destination Port" or "Flag" in n:
+            t = T.IntegerType()
+        elif n in ("Flow Duration", "Total Fwd Packets", "Total Backward Packets"):
+            t = T.LongType()
+        else:
+            t = T.DoubleType()
+        fields.append(T.StructField(n, t, True))
+    return T.StructType(fields)
+
+
+def unsw_nb15_schema() -> T.StructType:
+    fields = []
+    for n in UNSW_FIELDS:
+        if n in ("proto", "service", "state", "attack_cat"):
+            t = T.StringType()
+        elif n in _UNSW_DOUBLE:
+            t = T.DoubleType()
+        elif n == "label":
+            t = T.IntegerType()
+        else:
+            t = T.LongType()
+        fields.append(T.StructField(n, t, True))
+    return T.StructType(fields)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              header: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
     """CSV with header; an explicit schema avoids the inference pass (use it at scale)."""
@@ -62,16 +125,26 @@ def read_headerless(spark: SparkSession, path: str, schema: T.StructType,
 def schema_for(name: str) -> T.StructType | None:
     """The fixed schema chosen by data set name."""
     n = name.upper().replace("-", "_")
-    return nsl_kdd_schema() if "NSL_KDD" in n else None
+    for part, schema in (("NSL_KDD", nsl_kdd_schema), ("CIC_IDS", cic_ids_schema), ("UNSW_NB15", unsw_nb15_schema)):
+        if part in n:
+            return schema()
+    return None
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet by suffix, headerless NSL-KDD by name, other CSV with header."""
+    """Parquet by suffix, headerless NSL-KDD by name, other CSV with
+    header.  Headers with all the names of the data set's schema (in its order;
+    blanks around names do not count) get its types without an inference pass."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    schema = schema_for(path.rsplit("/", 1)[-1])
-    if schema is not None:
+    name = path.rsplit("/", 1)[-1]
+    schema = schema_for(name)
+    if schema is not None and "NSL_KDD" in name.upper().replace("-", "_"):
         return read_headerless(spark, path, schema)
+    if schema is not None:
+        head = spark.read.option("header", True).csv(path).columns
+        if [c.strip().lower() for c in head] == [c.lower() for c in schema.names]:
+            return read_csv(spark, path, schema)
     return read_csv(spark, path)
 
 

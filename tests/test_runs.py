@@ -33,6 +33,34 @@ def test_detect_web_anomalies_and_bundle(spark):
     assert j.where(F.abs(F.col("score") - F.col("s2")) > 1e-12).count() == 0
 
 
+def test_cleaning_model_bundle(spark):
+    from netprism.operators import clean
+    from netprism.sources.tables import flows
+
+    df = flows(spark, "/root/testdata/sf0.001")
+    model = clean.fit_cleaning(df)
+    path = scratch_path(spark, "cleaning")
+    model.save(spark, path)
+    assert clean.CleaningModel.load(spark, path) == model
+
+
+def test_data_set_schemas(spark, tmp_path):
+    from netprism.sources import files
+
+    cic, unsw = files.cic_ids_schema(), files.unsw_nb15_schema()
+    assert len(cic) == 79 and len(unsw) == 45
+    path = tmp_path / "CIC-IDS-2017_monday.csv"
+    path.write_text(",".join(" " + n for n in cic.names) + "\n" + ",".join(["1"] * 78 + ["BENIGN"]) + "\n"
+                    + ",".join(["2"] * 14 + ["Infinity"] + ["2"] * 63 + ["DDoS"]) + "\n")
+    got = files.read_dataset(spark, str(path))
+    assert got.schema == cic
+    assert [r["Label"] for r in got.collect()] == ["BENIGN", "DDoS"]
+    assert got.where(F.col("Flow Bytes/s") == float("inf")).count() == 1
+    short = tmp_path / "UNSW-NB15_part.csv"
+    short.write_text("spkts,sbytes\n1,2\n")
+    assert files.read_dataset(spark, str(short)).columns == ["spkts", "sbytes"]
+
+
 def test_classify_traffic_invariants(spark):
     from pyspark.ml.functions import vector_to_array
 
