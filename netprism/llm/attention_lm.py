@@ -14,17 +14,17 @@ with the one before it, so windows overlap by half and each id is scored
 once, in a batch of masked attention products.
 
 What is learned: word counts, id counts and counts of (class, id after it) from
-every word of every training document; the attention weights by Adam on a fixed share
-(``1 / rate``) of the training blocks chosen by hash, each task on its own
-blocks, weights averaged by tokens after each of ``rounds`` rounds.  All of it grows with
-the input.
+every word of every training document; the attention weights by Adam on every
+training block, each task on its own texts, weights averaged by tokens after
+each of ``rounds`` passes.  All of it grows with the input.
 
 Word counts never meet in one place.  Rows of the table are numbered chunks
 of the scan; a chunk's distinct words are joined with the global counts (and
 the words' ids, found once per distinct word) on Spark, and each chunk's
 dictionary is written under its own name in the shared folder, where the
 tasks that scan the chunk again read it.  That second scan leaves each text's
-ids and base score; training and scoring read only those.
+ids and base score; training and scoring read only those, and cut the windows
+as they go.
 
 Edge cases: a null text is an empty one (only the end); a null id is held out
 like crc32 of nothing; repeated rows are scored alike; without training rows
@@ -35,7 +35,6 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain, groupby
@@ -190,12 +189,17 @@ def gradients(w, bigram, inputs, targets) -> dict[str, np.ndarray]:
     return {name: (x / count).astype(np.float32) for name, x in out.items()}
 
 
-def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256):
-    """One pass of Adam over the windows, in their order; changed weights."""
+def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256, state: dict | None = None):
+    """One pass of Adam over the windows, in their order; changed weights.
+    ``state`` (empty at first) carries moments and steps to the next call."""
     w = {k: x.copy() for k, x in w.items()}
-    first = {k: np.zeros_like(x) for k, x in w.items()}
-    second = {k: np.zeros_like(x) for k, x in w.items()}
-    for step, i in enumerate(range(0, len(inputs), batch), 1):
+    state = {} if state is None else state
+    if not state:
+        state |= {"first": {k: np.zeros_like(x) for k, x in w.items()},
+                  "second": {k: np.zeros_like(x) for k, x in w.items()}, "steps": 0}
+    first, second = state["first"], state["second"]
+    for i in range(0, len(inputs), batch):
+        state["steps"] = step = state["steps"] + 1
         g = gradients(w, bigram, inputs[i:i + batch], targets[i:i + batch])
         for k, x in w.items():
             first[k] += np.float32(0.1) * (g[k] - first[k])
@@ -212,12 +216,10 @@ def block_numbers(n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
 
 
-def windows(classes: np.ndarray, n_ids: np.ndarray, n: int, chosen=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(classes: np.ndarray, n_ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, text of each window) of texts whose classes lie end to
-    end, ``n_ids`` of each; ``chosen`` (a mask) keeps some of the blocks."""
+    end, ``n_ids`` of each."""
     text, nth = block_numbers(n_ids)
-    if chosen is not None:
-        text, nth = text[chosen], nth[chosen]
     begin = np.cumsum(n_ids) - n_ids
     # position in its text of each target; the input of a position is the class before it
     place = (nth * BLOCK).astype(np.int32)[:, None] + np.arange(-BLOCK, BLOCK, dtype=np.int32)
@@ -402,13 +404,13 @@ def _id_counts(words: DataFrame, n_ids: int) -> np.ndarray:
     return out
 
 
-def _digest(rows: DataFrame, base: str, classes: Classes, rate: int, trained: int, floor: float):
-    """(texts, blocks, within): doc_id, held_out, n_tokens, n_known, base_score and ids of
-    every text; windows chosen for training; counts of ids after classes."""
+def _digest(rows: DataFrame, base: str, classes: Classes, trained: int, floor: float):
+    """(texts, within): doc_id, held_out, n_tokens, n_known, base_score and ids of
+    every text; counts of ids after classes."""
     n, ids = classes.n, len(classes.of)
     end_base = math.log10((trained + 0.1) / floor)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                        ("base_score", pa.float64()), ("ids", pa.binary()), ("x", pa.binary()), ("y", pa.binary()),
+                        ("base_score", pa.float64()), ("ids", pa.binary()),
                         ("key", pa.int64()), ("n", pa.int64())])
 
     def part(size, **columns):
@@ -436,81 +438,80 @@ def _digest(rows: DataFrame, base: str, classes: Classes, rate: int, trained: in
                 own = classes.of[got]
                 keys = class_before(own, n_ids, n) * ids + got
                 np.add.at(table, keys if learn.all() else keys[np.repeat(learn, n_ids)], 1)
-                text, nth = block_numbers(n_ids)
-                mark = np.array([zlib.crc32(b"%d" % (i or 0)) for i in doc_ids], np.uint64)[text]
-                mark = (mark + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                mark ^= mark >> np.uint64(33)
-                chosen = (mark * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(rate) == 0
-                chosen &= learn[text]
-                if chosen.any():
-                    x, y, _ = windows(own, n_ids, n, chosen)
-                    yield part(len(x), x=[r.tobytes() for r in x.astype("<i2")], y=[r.tobytes() for r in y.astype("<i2")],
-                               key=mark[chosen].view(np.int64))
         at = np.flatnonzero(table)
         for i in range(0, len(at), 10_000):
             some = at[i:i + 10_000]
             yield part(len(some), key=some, n=table[some].astype(np.int64))
 
     made = stored(rows.mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary, x binary,"
-        " y binary, key long, n long"), "digests")
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary,"
+        " key long, n long"), "digests")
     # at most (classes + 1) * ids rows, of which few occur
     got = made.where(F.col("n").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     within = Within(classes, got["key"].to_numpy(), got["n"].to_numpy())
     texts = made.where(F.col("ids").isNotNull()).select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids")
-    return texts, made.where(F.col("x").isNotNull()).select("x", "y", "key"), within
+    return texts, within
+
+
+def _parts(ids: list[bytes], most: int = 200_000):
+    """(first, behind the last, ids end to end, ids of each) of parts of a list of texts with about ``most`` ids."""
+    size = np.array([len(x) // 2 for x in ids], np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=-1))
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+        yield lo, hi, np.frombuffer(b"".join(ids[lo:hi]), "<u2").astype(np.int32), size[lo:hi]
 
 
 _NAMES = ("q", "k", "v", "g", "b", "r", "u", "d")
 
 
-def _train(blocks: DataFrame, bigram: np.ndarray, n: int, rounds: int) -> dict[str, np.ndarray]:
-    """Rounds of Adam in each partition of ``blocks``, weights averaged by tokens."""
-    weights = start_weights(n)
+def _train(texts: DataFrame, bigram: np.ndarray, classes: Classes, rounds: int) -> tuple[dict[str, np.ndarray], int]:
+    """(weights, ids that each pass trained on): ``rounds`` passes of Adam over
+    every block of ``texts(ids)``, each partition on its own, weights averaged by tokens."""
+    weights = start_weights(classes.n)
     shapes = {k: x.shape for k, x in weights.items()}
-    blocks = stored(blocks.repartition("key"), "shuffled-blocks")
+    trained = 0
     for turn in range(rounds):
         now = weights
 
         def run(batches, now=now, turn=turn):
-            w, tokens = now, 0
+            w, tokens, state = now, 0, {}
+            mix = np.random.default_rng(turn)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i2").reshape(-1, 2 * BLOCK).astype(np.int64)
-                y = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i2").reshape(-1, BLOCK).astype(np.int64)
-                order = np.argsort(b.column(2).to_numpy(), kind="stable")
-                w = descend(w, bigram, x[order], y[order], rate=0.03 / (1 + turn))
-                tokens += int((y >= 0).sum())
+                for _, _, got, size in _parts(b.column(0).to_pylist()):
+                    x, y, _ = windows(classes.of[got], size, classes.n)
+                    order = mix.permutation(len(x))
+                    w = descend(w, bigram, x[order], y[order], rate=0.03 / (1 + turn), state=state)
+                    tokens += len(got)
             if tokens:
-                flat = np.concatenate([w[k].ravel().astype(np.float64) for k in _NAMES]) * tokens
+                # changes, as singles: half the bytes, and what no text touched is 0 and packs well
+                flat = np.concatenate([(w[k] - now[k]).ravel() for k in _NAMES]) * np.float32(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()]), pa.array([tokens])], names=["w", "tokens"])
 
         def add(batches):
             total, tokens = None, 0
             for b in batches:
                 for w, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = np.frombuffer(w, np.float64)
+                    x = np.frombuffer(w, np.float32).astype(np.float64)
                     total, tokens = x if total is None else total + x, tokens + t
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([tokens])], names=["w", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()]), pa.array([tokens])], names=["w", "tokens"])
 
         # at most 8 rows of the size of the model
-        sums = (blocks.mapInArrow(run, "w binary, tokens long").repartition(8)
+        sums = (texts.select("ids").mapInArrow(run, "w binary, tokens long").repartition(8)
                 .mapInArrow(add, "w binary, tokens long").collect())
         if not sums:
             break
-        total = sum(np.frombuffer(r["w"], np.float64) for r in sums) / sum(r["tokens"] for r in sums)
+        trained = sum(r["tokens"] for r in sums)
+        total = sum(np.frombuffer(r["w"], np.float32).astype(np.float64) for r in sums) / trained
         weights, at = {}, 0
         for k in _NAMES:
             size = math.prod(shapes[k])
-            weights[k] = total[at:at + size].reshape(shapes[k]).astype(np.float32)
+            weights[k] = now[k] + total[at:at + size].reshape(shapes[k]).astype(np.float32)
             at += size
-    return weights
+    return weights, trained
 
 
-def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int = 0, rate: int = 24,
-                rounds: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int = 0, rounds: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     (log10 probabilities) of every text; rows whose id hashes to ``held_out``
     of ``folds`` are not learned from."""
@@ -536,25 +537,21 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int
     counts[-1] = trained
     classes = make_classes(counts, ends_word)
     floor = total + 0.1 * (distinct + 1)
-    texts, blocks, within = _digest(rows, base, classes, rate, trained, floor)
+    texts, within = _digest(rows, base, classes, trained, floor)
     bigram = within.bigram()
-    weights = _train(blocks, bigram, classes.n, rounds)
+    weights, _ = _train(texts.where(~F.col("held_out")), bigram, classes, rounds)
     pairs = by_pair(expert_tables(weights, bigram))
     n = classes.n
 
     def run(batches):
         for b in batches:
             ids = b.column(5).to_pylist()
-            size = np.array([len(x) // 2 for x in ids], np.int64)
             scores = np.zeros(len(ids))
-            # texts of about 200 000 ids at a time
-            cut = np.flatnonzero(np.diff(np.cumsum(size) // 200_000, prepend=-1))
-            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
-                got = np.frombuffer(b"".join(ids[lo:hi]), "<u2").astype(np.int32)
+            for lo, hi, got, size in _parts(ids):
                 own = classes.of[got]
-                x, y, text = windows(own, size[lo:hi], n)
-                inside = within.logs(got, class_before(own, size[lo:hi], n))
-                logs = np.bincount(np.repeat(np.arange(hi - lo), size[lo:hi]), inside, minlength=hi - lo)
+                x, y, text = windows(own, size, n)
+                inside = within.logs(got, class_before(own, size, n))
+                logs = np.bincount(np.repeat(np.arange(hi - lo), size), inside, minlength=hi - lo)
                 for i in range(0, len(x), 512):
                     p = log_probabilities(weights, pairs, x[i:i + 512], y[i:i + 512])
                     logs += np.bincount(text[i:i + 512], p.sum(axis=1, dtype=np.float64), minlength=hi - lo)

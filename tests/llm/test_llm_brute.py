@@ -354,6 +354,18 @@ def test_op6_training_beats_the_start():
     assert score(attention_lm.descend(w, bigram, x, y, batch=16)) > score(w) + 100
 
 
+def test_op6_every_training_block_takes_part(spark):
+    n = 12
+    cl = attention_lm.Classes(np.arange(n, dtype=np.int32), np.zeros(n), n)
+    bigram = np.log(np.full((n + 2, n), 1 / n)).astype(np.float32)
+    # one text of one block each; the last class is in a single text
+    texts = [[i % 5] * 20 for i in range(40)] + [[9] * 20]
+    ids = spark.createDataFrame([(bytearray(np.array(t, "<u2").tobytes()),) for t in texts], "ids binary").repartition(3)
+    weights, trained = attention_lm._train(ids, bigram, cl, 1)
+    assert trained == 41 * 20
+    assert all((weights["d"][:, c] != 0).any() for c in (0, 1, 2, 3, 4, 9)) and not weights["d"][:, 7].any()
+
+
 def test_op7_pieces_cover_all_ids_with_little_padding(spark, odd, docs):
     plain = whole(queries.BYTE_TOKENIZER)
     for table, length in ((odd, 64), (docs, 1024)):
