@@ -4,12 +4,12 @@ Words (white space tokens, A-Z lower-cased) are written as sub-word ids of a
 public vocabulary; an end id closes each text.  The model gives P(id | context)
 = P(class | context) * P(id | class, class before): the most frequent ids are
 classes of their own, the others share classes by frequency and by whether
-they end a word.  An attention head over the context, with a learned bias per
-distance, weighs ``EXPERTS`` bigram tables of the classes; each table is the
-smoothed one of the whole training corpus with learned changes.  So a
-normalised probability costs a few products per id, not one per class.  The
-weights hold for ``GROUP`` ids and are drawn from the ids before the first of
-them.  Ids within a class are counted after each class.  Texts are cut into blocks of ``BLOCK`` ids; a window is a block
+they end a word.  An attention head over the context, with embeddings of the ids
+and a learned bias per distance, weighs ``EXPERTS`` bigram tables of the classes;
+each table is the smoothed one of the whole training corpus with learned changes.
+So a normalised probability costs a few products per id, not one per class.  The
+weights are drawn anew at every id, from all ids before it in its window.  An id's
+embeddings start as those of its class.  Ids within a class are counted after each class.  Texts are cut into blocks of ``BLOCK`` ids; a window is a block
 with the one before it, so windows overlap by half and each id is scored
 once, in a batch of masked attention products.
 
@@ -49,8 +49,8 @@ from ..session import scratch_path
 from .common import binary_column, filesystem, id_bucket, stored
 from .subword import encoder
 
-#: Ids of a block (a window has two blocks), ids that share a query, classes, width of the head, tables that it weighs.
-BLOCK, GROUP, HEAD, BINS, WIDTH, EXPERTS = 32, 8, 160, 16, 8, 8
+#: Ids of a block (a window has two blocks), classes, width of the head, tables that it weighs.
+BLOCK, HEAD, BINS, WIDTH, EXPERTS = 32, 160, 16, 8, 8
 #: Rows of the table that share a dictionary.
 CHUNK_ROWS = 2048
 SMOOTH = 0.1
@@ -85,39 +85,46 @@ def make_classes(counts: np.ndarray, ends_word: np.ndarray) -> Classes:
     return Classes(of, np.log((counts + SMOOTH) / total[of]), n)
 
 
-def start_weights(n: int, seed: int = 11) -> dict[str, np.ndarray]:
-    """Tables for the n classes, the begin mark (n) and padding (n + 1); gates;
-    changes of each expert's logits by class, and by class before and class."""
+def input_classes(classes: Classes) -> np.ndarray:
+    """The class of each id, of the begin mark and of padding; last, for no target (-1), -1."""
+    return np.concatenate([classes.of, [classes.n, classes.n + 1, -1]]).astype(np.int32)
+
+
+def start_weights(n: int, seed: int = 11, of: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Embeddings of the inputs, the last two the begin mark and padding (without
+    ``of``, their classes, the inputs are the n classes); gates; changes of each
+    expert's logits by class, and by class before and class."""
     rng = np.random.default_rng(seed)
     table = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-    return {"q": table(n + 2, WIDTH), "k": table(n + 2, WIDTH), "v": table(n + 2, WIDTH), "g": table(WIDTH, EXPERTS),
+    rows = slice(None) if of is None else of[:-1]
+    return {"q": table(n + 2, WIDTH)[rows], "k": table(n + 2, WIDTH)[rows], "v": table(n + 2, WIDTH)[rows], "g": table(WIDTH, EXPERTS),
             "b": np.zeros(EXPERTS, np.float32), "r": np.zeros(2 * BLOCK, np.float32),
             "u": table(EXPERTS, 1, n), "d": np.zeros((EXPERTS, n + 2, n), np.float32)}
 
 
-_DISTANCE = np.arange(0, BLOCK, GROUP)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
+_DISTANCE = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 
 
 def attend(w, inputs: np.ndarray):
-    """Queries of the second half of each window, one per group, over what is
+    """Queries of the second half of each window, one per position, over what is
     before: (q, k, v, attention, result)."""
     pad = len(w["q"]) - 1
     bias = np.where(_DISTANCE >= 0, w["r"][np.maximum(_DISTANCE, 0)], np.float32(-1e9)).astype(np.float32)
-    q, k, v = w["q"][inputs[:, BLOCK::GROUP]], w["k"][inputs], w["v"][inputs]
+    q, k, v = w["q"][inputs[:, BLOCK:]], w["k"][inputs], w["v"][inputs]
     a = np.matmul(q, k.transpose(0, 2, 1))
     a *= np.float32(1 / math.sqrt(WIDTH))
     a += bias
-    none = inputs == pad
+    none = (inputs == pad).any(axis=1)
     if none.any():
-        a[np.broadcast_to(none[:, None, :], a.shape)] = np.float32(-1e9)
+        a[none] += np.where(inputs[none] == pad, np.float32(-1e9), np.float32(0))[:, None, :]
     a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a *= 1 / np.matmul(a, np.ones((a.shape[2], 1), a.dtype))
     return q, k, v, a, np.matmul(a, v)
 
 
 def gates(w, h: np.ndarray) -> np.ndarray:
-    """The experts' shares for each group (row of ``h``)."""
+    """The experts' shares for each position (row of ``h``)."""
     g = h.reshape(-1, WIDTH) @ w["g"] + w["b"]
     g -= g.max(axis=1, keepdims=True)
     np.exp(g, out=g)
@@ -139,59 +146,78 @@ def by_pair(tables: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(tables.reshape(len(tables), -1).T)
 
 
-def log_probabilities(w, pairs: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log P(class) of each target (windows x BLOCK; 0 where the target is -1)."""
+def _before(inputs: np.ndarray, of: np.ndarray | None) -> np.ndarray:
+    """The class before each target."""
+    own = inputs[:, BLOCK:].ravel()
+    return own if of is None else of[own]
+
+
+def log_probabilities(w, pairs: np.ndarray, inputs: np.ndarray, targets: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Natural log P(class) of each target class (windows x BLOCK; 0 where the
+    target is -1); ``of`` has the inputs' classes, if they are ids."""
     g = gates(w, attend(w, inputs)[4])
-    n = len(w["q"]) - 2
     t = targets.ravel()
-    p = pairs[inputs[:, BLOCK:].ravel() * n + np.maximum(t, 0)].reshape(len(g), GROUP, EXPERTS)
-    out = np.log(np.matmul(p, g[:, :, None])).ravel()
+    p = pairs[_before(inputs, of) * w["u"].shape[2] + np.maximum(t, 0)]
+    out = np.log(np.einsum("ij,ij->i", p, g))
     out[t < 0] = 0
     return out.reshape(targets.shape)
 
 
 def _sums(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     """Rows of ``x`` added up by ``at``."""
-    return np.stack([np.bincount(at, x[:, j], minlength=size) for j in range(x.shape[1])], axis=1)
+    wide = x.shape[1]
+    cell = (at * wide)[:, None] + np.arange(wide)
+    return np.bincount(cell.ravel(), x.ravel(), minlength=size * wide).reshape(size, wide)
 
 
-def gradients(w, bigram, inputs, targets) -> dict[str, np.ndarray]:
-    """Of the mean negative log likelihood."""
+def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Of the mean negative log likelihood; those of embeddings for ``rows`` only, the inputs that occur."""
     q, k, v, a, h = attend(w, inputs)
     g = gates(w, h)
-    n = len(w["q"]) - 2
+    n = w["u"].shape[2]
     t = targets.ravel()
     real = t >= 0
-    before = inputs[:, BLOCK:].ravel()
+    before = _before(inputs, of)
+    at_pair = before * n + np.maximum(t, 0)
     tables = expert_tables(w, bigram)
-    p = tables[:, before, np.maximum(t, 0)].T
-    r = np.repeat(g, GROUP, axis=0) * p
+    r = g * by_pair(tables)[at_pair]
     r /= r.sum(axis=1, keepdims=True)
     r[~real] = 0
-    dg = g * real.reshape(-1, GROUP).sum(axis=1)[:, None] - r.reshape(len(g), GROUP, EXPERTS).sum(axis=1)
+    dg = g * real[:, None] - r
     count = max(int(real.sum()), 1)
     dh = (dg @ w["g"].T).reshape(h.shape)
     # each expert's rows: expected minus observed
     d = _sums(before, r, n + 2).T[:, :, None].astype(np.float32) * tables
-    d -= _sums(before * n + np.maximum(t, 0), r, (n + 2) * n).T.reshape(d.shape)
+    cell = at_pair[None, :] + np.arange(0, d.size, (n + 2) * n)[:, None]
+    d -= np.bincount(cell.ravel(), r.T.ravel(), minlength=d.size).reshape(d.shape)
     out = {"g": h.reshape(-1, WIDTH).T @ dg, "b": dg.sum(axis=0), "d": d, "u": d.sum(axis=1, keepdims=True)}
     da = np.matmul(dh, v.transpose(0, 2, 1))
-    da = a * (da - (da * a).sum(axis=2, keepdims=True))
+    da -= (dh * h).sum(axis=2, keepdims=True)
+    da *= a
     scale = np.float32(1 / math.sqrt(WIDTH))
-    parts = {"q": (inputs[:, BLOCK::GROUP], np.matmul(da, k) * scale), "k": (inputs, np.matmul(da.transpose(0, 2, 1), q) * scale),
-             "v": (inputs, np.matmul(a.transpose(0, 2, 1), dh))}
-    for name, (at, x) in parts.items():
-        out[name] = _sums(at.ravel(), x.reshape(-1, WIDTH), n + 2)
-        out[name][n + 1] = 0
+    size = len(w["q"])
+    there = np.zeros(size, bool)
+    there[inputs] = True
+    there[size - 1] = False  # padding learns nothing
+    rows = np.flatnonzero(there)
+    place = np.full(size, len(rows))
+    place[rows] = np.arange(len(rows))
+    at = place[inputs]
+    parts = {"q": (at[:, BLOCK:], np.matmul(da, k) * scale), "k": (at, np.matmul(da.transpose(0, 2, 1), q) * scale),
+             "v": (at, np.matmul(a.transpose(0, 2, 1), dh))}
+    for name, (to, x) in parts.items():
+        out[name] = _sums(to.ravel(), x.reshape(-1, WIDTH), len(rows) + 1)[:-1]
     by = da.sum(axis=0)
     seen = _DISTANCE >= 0
     out["r"] = np.bincount(_DISTANCE[seen], by[seen], minlength=2 * BLOCK)
-    return {name: (x / count).astype(np.float32) for name, x in out.items()}
+    return {"rows": rows} | {name: (x / count).astype(np.float32) for name, x in out.items()}
 
 
-def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256, state: dict | None = None):
-    """One pass of Adam over the windows, in their order; changed weights.
-    ``state`` (empty at first) carries moments and steps to the next call."""
+def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256, state: dict | None = None,
+            of: np.ndarray | None = None):
+    """One pass of Adam over the windows, in their order; changed weights.  A step
+    moves the embeddings of the inputs that occur in it.  ``state`` (empty at
+    first) carries moments and steps to the next call."""
     w = {k: x.copy() for k, x in w.items()}
     state = {} if state is None else state
     if not state:
@@ -200,12 +226,17 @@ def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256, st
     first, second = state["first"], state["second"]
     for i in range(0, len(inputs), batch):
         state["steps"] = step = state["steps"] + 1
-        g = gradients(w, bigram, inputs[i:i + batch], targets[i:i + batch])
+        g = gradients(w, bigram, inputs[i:i + batch], targets[i:i + batch], of)
         for k, x in w.items():
-            first[k] += np.float32(0.1) * (g[k] - first[k])
-            second[k] += np.float32(0.01) * (g[k] ** 2 - second[k])
-            x -= np.float32(rate / (1 - 0.9 ** step)) * first[k] / (
-                np.sqrt(second[k] * np.float32(1 / (1 - 0.99 ** step))) + np.float32(1e-6))
+            at = g["rows"] if k in ("q", "k", "v") else slice(None)
+            m = first[k][at] + np.float32(0.1) * (g[k] - first[k][at])
+            s = second[k][at] + np.float32(0.01) * (g[k] ** 2 - second[k][at])
+            first[k][at], second[k][at] = m, s
+            np.sqrt(s * np.float32(1 / (1 - 0.99 ** step)), out=s)
+            s += np.float32(1e-6)
+            m *= np.float32(rate / (1 - 0.9 ** step))
+            m /= s
+            x[at] -= m
     return w
 
 
@@ -217,8 +248,8 @@ def block_numbers(n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(classes: np.ndarray, n_ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, text of each window) of texts whose classes lie end to
-    end, ``n_ids`` of each."""
+    """(inputs, targets, text of each window) of texts whose classes (or ids, of
+    n) lie end to end, ``n_ids`` of each."""
     text, nth = block_numbers(n_ids)
     begin = np.cumsum(n_ids) - n_ids
     # position in its text of each target; the input of a position is the class before it
@@ -467,7 +498,8 @@ _NAMES = ("q", "k", "v", "g", "b", "r", "u", "d")
 def _train(texts: DataFrame, bigram: np.ndarray, classes: Classes, rounds: int) -> tuple[dict[str, np.ndarray], int]:
     """(weights, ids that each pass trained on): ``rounds`` passes of Adam over
     every block of ``texts(ids)``, each partition on its own, weights averaged by tokens."""
-    weights = start_weights(classes.n)
+    of, n_ids = input_classes(classes), len(classes.of)
+    weights = start_weights(classes.n, of=of)
     shapes = {k: x.shape for k, x in weights.items()}
     trained = 0
     for turn in range(rounds):
@@ -478,9 +510,9 @@ def _train(texts: DataFrame, bigram: np.ndarray, classes: Classes, rounds: int)
             mix = np.random.default_rng(turn)
             for b in batches:
                 for _, _, got, size in _parts(b.column(0).to_pylist()):
-                    x, y, _ = windows(classes.of[got], size, classes.n)
+                    x, y, _ = windows(got, size, n_ids)
                     order = mix.permutation(len(x))
-                    w = descend(w, bigram, x[order], y[order], rate=0.03 / (1 + turn), state=state)
+                    w = descend(w, bigram, x[order], of[y[order]], rate=0.03 / (1 + turn), state=state, of=of)
                     tokens += len(got)
             if tokens:
                 # changes, as singles: half the bytes, and what no text touched is 0 and packs well
@@ -541,19 +573,18 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int
     bigram = within.bigram()
     weights, _ = _train(texts.where(~F.col("held_out")), bigram, classes, rounds)
     pairs = by_pair(expert_tables(weights, bigram))
-    n = classes.n
+    n, of = classes.n, input_classes(classes)
 
     def run(batches):
         for b in batches:
             ids = b.column(5).to_pylist()
             scores = np.zeros(len(ids))
             for lo, hi, got, size in _parts(ids):
-                own = classes.of[got]
-                x, y, text = windows(own, size, n)
-                inside = within.logs(got, class_before(own, size, n))
+                x, y, text = windows(got, size, n_ids)
+                inside = within.logs(got, class_before(classes.of[got], size, n))
                 logs = np.bincount(np.repeat(np.arange(hi - lo), size), inside, minlength=hi - lo)
                 for i in range(0, len(x), 512):
-                    p = log_probabilities(weights, pairs, x[i:i + 512], y[i:i + 512])
+                    p = log_probabilities(weights, pairs, x[i:i + 512], of[y[i:i + 512]], of)
                     logs += np.bincount(text[i:i + 512], p.sum(axis=1, dtype=np.float64), minlength=hi - lo)
                 scores[lo:hi] = logs / math.log(10)
             yield pa.RecordBatch.from_arrays(

@@ -366,6 +366,52 @@ def test_op6_every_training_block_takes_part(spark):
     assert all((weights["d"][:, c] != 0).any() for c in (0, 1, 2, 3, 4, 9)) and not weights["d"][:, 7].any()
 
 
+def test_op6_attends_at_every_id_with_embeddings_of_ids(spark):
+    n, rng = 12, np.random.default_rng(5)
+    w = attention_lm.start_weights(n)
+    bigram = np.log(np.full((n + 2, n), 1 / n)).astype(np.float32)
+    pairs = attention_lm.by_pair(attention_lm.expert_tables(w, bigram))
+    seq = rng.integers(0, n, 64)
+
+    def logs(s):
+        x, y, _ = attention_lm.windows(s, np.array([len(s)]), n)
+        return attention_lm.log_probabilities(w, pairs, x, y).ravel()
+
+    for at in range(30, 60):  # beyond the class before, by attention alone
+        other = seq.copy()
+        other[at] = (seq[at] + 1) % n
+        assert (logs(other)[at + 2:at + 4] != logs(seq)[at + 2:at + 4]).all()
+    # ids 0 and 1 are one class, but what they announce differs, two ids later
+    cl = attention_lm.Classes(np.array([0, 0, 1, 2, 3], np.int32), np.zeros(5), 4)
+    flat = np.array([x for i in rng.integers(0, 2, 2000) for x in (i, 4, 2 + i)])
+    ids = spark.createDataFrame([(bytearray(flat.astype("<u2").tobytes()),)], "ids binary")
+    bigram = np.log(np.full((6, 4), 1 / 4)).astype(np.float32)
+    weights, _ = attention_lm._train(ids, bigram, cl, 2)
+    assert weights["q"].shape == (7, attention_lm.WIDTH)
+    assert all(np.abs(weights[k][0] - weights[k][1]).max() > 0 for k in ("q", "k", "v"))
+
+
+def test_op6_gradients_match_differences():
+    cl = attention_lm.Classes(np.array([0, 0, 1, 2, 3], np.int32), np.zeros(5), 4)
+    of, rng = attention_lm.input_classes(cl), np.random.default_rng(6)
+    w = {k: x.astype(np.float64) for k, x in attention_lm.start_weights(4, of=of).items()}
+    bigram = np.log(rng.dirichlet(np.ones(4), 6))
+    x, y, _ = attention_lm.windows(rng.integers(0, 5, 90), np.array([50, 40]), 5)
+    y = of[y]
+
+    def loss(w):
+        pairs = attention_lm.by_pair(attention_lm.expert_tables(w, bigram))
+        return -attention_lm.log_probabilities(w, pairs, x, y, of).sum() / (y >= 0).sum()
+
+    g = attention_lm.gradients(w, bigram, x, y, of)
+    for k, at in (("q", (1, 2)), ("k", (0, 3)), ("v", (4, 1)), ("g", (2, 2)), ("b", (3,)), ("r", (5,)), ("u", (1, 0, 2)), ("d", (2, 1, 3))):
+        up, down = ({a: b.copy() for a, b in w.items()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        got = g[k][(list(g["rows"]).index(at[0]), *at[1:])] if k in ("q", "k", "v") else g[k][at]
+        assert got == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=1e-5)
+
+
 def test_op7_pieces_cover_all_ids_with_little_padding(spark, odd, docs):
     plain = whole(queries.BYTE_TOKENIZER)
     for table, length in ((odd, 64), (docs, 1024)):
