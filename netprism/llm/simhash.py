@@ -68,15 +68,16 @@ def fingerprint(hashes: np.ndarray, step: int = 32_768) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long."""
+    """doc_id, ``fp``, the fingerprint as a signed long, and ``text_hash``."""
     def run(batches):
         for b in batches:
             fps = [fingerprint(shingle_hashes(t, width, seed)) for t in binary_column(b, "text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))],
-                names=["doc_id", "fp"])
+                [b.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), b.column(2)],
+                names=["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, fp long, text_hash long")
 
 
 def rotated(fp: np.ndarray, by: int) -> np.ndarray:
@@ -269,7 +270,8 @@ def near_links(distinct: DataFrame, errors: int = 3, cell: int = CELL) -> DataFr
 
 def near_duplicates(docs: DataFrame, width: int = 3, errors: int = 3, seed: int = 42, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id that can
-    be reached over links) and fp of every document."""
+    be reached over links), fp, root (a fingerprint that names the component) and
+    text_hash of every document."""
     marked = stored(fingerprints(docs, width, seed), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     links = near_links(classes.select("fp"), errors, cell)
@@ -277,19 +279,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, errors: int = 3, seed: int
     # only classes that have links take part
     linked = stored(classes.join(roots, "fp"), "linked")
     least = stored(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = linked.join(least, "root").select("fp", "component_id")
+    named = linked.join(least, "root").select("fp", "component_id", "root")
     names = stored(classes.join(named, "fp", "left").select(
-        "fp", F.coalesce("component_id", "rep").alias("component_id")), "names")
+        "fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root")), "names")
     # one row per fingerprint meets the documents; a hot fingerprint can be split
     return marked.join(names, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root", "text_hash")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of ``component_id``.
-
-    An id stands for one document: rows that repeat a kept id go.  Rows
-    without an id cannot be named by a component; they stay, equal ones once."""
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).distinct())
+    """``docs`` with one row of each component: the first by id (null last),
+    fingerprint and hash of the text.
+
+    A row is named by its id and text, so an id with two texts is two documents;
+    rows equal in both go but for one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_hash")).alias("first")
+    keep = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = (rows["_text_hash"] == keep["_hash"]) & rows["doc_id"].eqNullSafe(keep["_id"])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

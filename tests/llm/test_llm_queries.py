@@ -70,3 +70,12 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = simhash.keep_one(docs, simhash.near_duplicates(docs)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "x y z"), (1, "a b c d"), (3, "other words here")]
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rows = [(5, "a b c d"), (5, "quite another text of its own"), (6, "a b c d"), (None, "a b c d"), (None, "x y z"), (None, "X y  z"),
+            (7, "words that stand alone"), (8, "of this one only copies"), (7, "of this one only copies")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.keep_one(docs, simhash.near_duplicates(docs)).collect()
+    ids = sorted((r["doc_id"] or 0, r["text"].lower().split()[0]) for r in got)
+    assert ids == [(0, "x"), (5, "a"), (5, "quite"), (7, "of"), (7, "words")]
