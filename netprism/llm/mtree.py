@@ -18,8 +18,8 @@ of equal vectors is held whole anywhere.  Each tree returns its k best per
 query, the window over them is cut to k.
 
 Edge cases: rows whose vector is null, empty or holds a null or non-finite
-component, or one of 2**20 or more (past what a long can score), and rows with
-a null id take no part; rows that repeat an id are one vector (the smallest);
+component, rows whose scaled squared norm is 2**62 or more (a score might not fit
+a long), and rows with a null id take no part; rows that repeat an id are one vector (the smallest);
 vectors of different lengths never meet; ties go to the smaller id; fewer
 candidates than k give fewer rows; an empty table gives none.
 """
@@ -27,6 +27,7 @@ candidates than k give fewer rows; an empty table gives none.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from ..session import scratch_path
 from .common import filesystem, stored
 
 PAGE = 48
-SLACK = 1e-9
+#: Of bounds, as a part of the longest distance; of vectors whose squares doubles round, more.
+SLACK, SLACK_ROUNDED = 1e-9, 1e-6
 
 
 class Node:
@@ -108,8 +110,11 @@ class MTree:
         q = query.astype(np.float64)
         point = np.append(q, 0.0)
         square = float(q @ q) + self.limit
-        slack = SLACK * (1.0 + np.sqrt(square))
-        product = q if self.vectors.dtype == np.float64 else query
+        exact = self.vectors.dtype == np.float64 and float(q @ q) < 2 ** 52
+        slack = (SLACK if exact else SLACK_ROUNDED) * (1.0 + np.sqrt(square))
+        # products are exact in doubles up to 2**53; longs hold all that quantised() lets through
+        small = self.vectors.dtype == np.float64 and np.sqrt(float(q @ q) * self.limit) < 2 ** 52
+        product = q if small else query
         best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
         reach = np.inf  # distance of the k-th best
         first = float(_distances(self.centre, point))
@@ -122,7 +127,7 @@ class MTree:
             bound = np.abs(to_centre - node.to_parent)
             if node.children is None:
                 near = np.flatnonzero(bound <= reach + slack)
-                scores = node.vectors[near] @ product
+                scores = node.vectors[near] @ product if small else node.vectors[near].astype(np.int64) @ product
                 if len(best) == k:
                     # equal scores may still win by id
                     wins = scores >= best[0][0]
@@ -152,10 +157,12 @@ class MTree:
 def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and the integer vector of every row that takes part."""
     x = F.col("embedding")
-    big = float(2 ** 20)  # scores of 64 such components still fit a long
     whole = F.transform(x, lambda e: F.floor(e.cast("double") * scale))
-    sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < big))
-    rows = table.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(sound, F.lit(False)))
+    sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < math.inf))
+    # a score is at most the product of two norms
+    norm = F.aggregate(x, F.lit(0.0), lambda t, e: t + F.pow(F.abs(e.cast("double") * scale) + 1, 2.0))
+    rows = table.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(sound, F.lit(False))
+                       & (norm < float(2 ** 62)))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 

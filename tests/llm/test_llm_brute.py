@@ -292,6 +292,22 @@ def test_op5_against_brute_force(spark):
     assert mtree.top_k(table.limit(0)).count() == 0
 
 
+def test_op5_keeps_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-50, 50, 4)]) for i in range(120)]
+    rows += [(150, [2.0 ** 21, 0.0, 0.0, 0.0]), (151, [2.0 ** 21, 1.0, -3.0, 0.0]), (200, [2.0 ** 21 + 1, 5.0, 0.0, 7.0]), (152, [2.0 ** 40, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    vectors = {i: [math.floor(256 * x) for x in e] for i, e in rows if i != 152}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = set()
+    for q, v in vectors.items():
+        if q % 50 == 0:
+            best = sorted((-dot(v, c), i) for i, c in vectors.items() if i != q)[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    for page, tree_rows in ((48, 250_000), (4, 40)):
+        assert {tuple(r) for r in mtree.top_k(table, page=page, tree_rows=tree_rows).collect()} == want
+
+
 def test_op6_counts_and_base_score(spark, odd):
     rows = odd.collect()
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10
