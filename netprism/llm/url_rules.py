@@ -2,7 +2,7 @@
 
 Curated rules (host, path, verdict) decide the urls they fit.  Those urls are
 the labelled ones: each is a basket of tokens (labels of the host by their
-place, leading path segments, file extension, names of query parameters)
+place, path segments by theirs, file extension, names of query parameters)
 together with its verdict.  Spark's FP-growth mines token combinations that
 imply a verdict; rules below the least support or confidence, and rules no
 better than a rule with fewer tokens, are pruned.
@@ -54,12 +54,12 @@ def curated(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
-def url_tokens(url: Column, host: Column, path: Column, segments: int = 2) -> Column:
+def url_tokens(url: Column, host: Column, path: Column) -> Column:
     """The distinct tokens of a url (empty without a host)."""
     labels = F.reverse(F.filter(F.split(host, r"\."), lambda x: x != ""))
     host_tokens = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
     pieces = F.filter(F.split(path, "/"), lambda x: x != "")
-    path_tokens = F.transform(F.slice(pieces, 1, segments), lambda x, i: F.concat(
+    path_tokens = F.transform(pieces, lambda x, i: F.concat(
         F.lit("p"), i.cast("string"), F.lit("="), F.regexp_replace(x, r"[0-9]+", "0")))
     extension = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)

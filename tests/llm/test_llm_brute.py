@@ -156,6 +156,16 @@ def contaminated(text, items, window):
     return len(words), len(hit), found
 
 
+def test_op2_mines_and_matches_deep_segments(spark):
+    rows = [(i, f"http://a{i}.example.com/en/x{chr(97 + i % 7)}/ads") for i in range(20)]
+    rows += [(20 + i, f"http://b{i}.foo.com/en/x{chr(97 + i % 7)}/news") for i in range(20)]
+    rows += [(100, "http://other.org/de/y/ads"), (101, "http://other.org/de/y/news")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_rules.judge_urls(pages).collect()}
+    assert got[100]["rule"] is None and got[100]["verdict"] == "block" and got[100]["mined"] == ["p2=ads"]
+    assert got[101]["verdict"] == "allow"
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 40])
 def test_op3_against_brute_force(spark, odd, block_bytes):
     items = [(1, "Quick, brown fox jumps"), (10, "lazy dog and runs far away"), (2, "two words"), (3, ""), (4, None), (None, "B c"), (5, "É À"),
