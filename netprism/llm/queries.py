@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (attention_lm, decontaminate, mtree, packing, preference, sharding, simhash, token_files, toxicity,
-               url_rules)
+from . import (attention_lm, decontaminate, merkle, mixing, mtree, packing, periodic_runs, preference, sharding, simhash,
+               token_files, toxicity, url_rules)
 from .common import id_bucket, read_table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,19 @@ def op10_preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return preference.preference_segments(pairs)
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return periodic_runs.run_digests(periodic_runs.document_runs(docs, words=periodic_runs.repeated_words))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.document_manifest(read_table(spark, sf, "documents"))
+
+
+def op13_source_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.document_shares(read_table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,12 +85,60 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_arrow_token_files, op2_url_association_rules, op3_wu_manber_decontamination, op4_simhash_trie, op5_mtree_top_k,
     op6_attention_lm, op7_cost_balanced_packing, op8_toxic_sentences, op9_weighted_hash_tree, op10_preference_pairs,
-    pipeline)}
+    op11_periodic_runs, op12_merkle_manifest, op13_source_mixture, pipeline)}
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
+#: crc32 of a text, bit by bit.
+_CRC = ("xor(list_reduce([CAST(4294967295 AS BIGINT)] || CAST([ord(x) FOR x IN string_split({}, '')] AS BIGINT[]), "
+        "lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], "
+        "lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)")
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+
+
 ORACLE = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE b AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf("shown")} AS shown
+  FROM (SELECT *, CASE WHEN doc_id IS NULL OR {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0
+                       THEN replace(text, chr(10), '') ELSE text END AS shown FROM documents)),
+l AS (SELECT *, row_number() OVER () AS id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM b),
+t AS (SELECT tree, 0 AS level, idx, leaf AS hash FROM l
+      UNION ALL
+      SELECT tree, level + 1, idx // 3, sha256(string_agg(hash, '' ORDER BY idx))
+      FROM (SELECT *, max(idx) OVER (PARTITION BY tree) AS last FROM t) WHERE last > 0 GROUP BY tree, level, idx // 3),
+sub AS (SELECT tree, arg_max(hash, level) AS subroot, max(level) AS height FROM t GROUP BY tree),
+s AS (SELECT 0 AS level, tree AS idx, subroot AS hash FROM sub
+      UNION ALL
+      SELECT level + 1, idx // 3, sha256(string_agg(hash, '' ORDER BY idx))
+      FROM (SELECT *, max(idx) OVER () AS last FROM s) WHERE last > 0 GROUP BY level, idx // 3),
+top AS (SELECT arg_max(hash, level) AS root, max(level) AS height FROM s),
+runs AS (SELECT tree, level, idx // 3 AS run, list(hash ORDER BY idx) AS h FROM t GROUP BY ALL),
+crown AS (SELECT level, idx // 3 AS run, list(hash ORDER BY idx) AS h FROM s GROUP BY ALL),
+p AS (SELECT id, tree, 0 AS level, idx AS pos, '' AS sib, shown AS h FROM l
+      UNION ALL
+      SELECT id, p.tree, p.level + 1, pos // 3,
+             concat(sib, array_to_string(r.h[1:pos % 3], ''), array_to_string(r.h[pos % 3 + 2:], '')),
+             sha256(concat(array_to_string(r.h[1:pos % 3], ''), p.h, array_to_string(r.h[pos % 3 + 2:], '')))
+      FROM p JOIN sub USING (tree) JOIN runs r ON r.tree = p.tree AND r.level = p.level AND r.run = pos // 3
+      WHERE p.level < sub.height),
+q AS (SELECT id, 0 AS level, tree AS pos, sib, h FROM p JOIN sub USING (tree) WHERE level = height
+      UNION ALL
+      SELECT id, q.level + 1, pos // 3,
+             concat(sib, array_to_string(r.h[1:pos % 3], ''), array_to_string(r.h[pos % 3 + 2:], '')),
+             sha256(concat(array_to_string(r.h[1:pos % 3], ''), q.h, array_to_string(r.h[pos % 3 + 2:], '')))
+      FROM q JOIN crown r ON r.level = q.level AND r.run = pos // 3, top WHERE q.level < top.height)
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM q JOIN top ON level = height JOIN l USING (id) JOIN sub USING (tree)""",
     "op3_wu_manber_decontamination": f"""
 WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 p AS (SELECT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS pat

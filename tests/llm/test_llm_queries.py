@@ -23,7 +23,7 @@ def test_entry_registers_the_operators():
     import __spark_entry__ as entry
 
     names = [k for k in entry.queries() if k.startswith("op") or k == "pipeline"]
-    assert len(names) == 11 and set(entry.oracle_sql()) <= set(entry.queries())
+    assert len(names) == 14 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_stages_against_brute_force(spark):
