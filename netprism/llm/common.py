@@ -96,6 +96,8 @@ def running_totals(rows: DataFrame, group: str, order: list, amount: str | None,
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     ties = F.monotonically_increasing_id()
+    # the bounds of the ranges come from a sample, which is a pass of its own: not over the texts again
+    rows = stored(rows, name + "-rows")
     ranged = rows.repartitionByRange(F.col(group), *order, ties).sortWithinPartitions(F.col(group), *order)
 
     def run(batches):
