@@ -2,12 +2,14 @@
 
 A text is a bag of sentences (cut at ``.``, ``!``, ``?`` and line feeds).  A
 sentence's score is a logistic function of its words and of their first 4, 5
-and 6 bytes (hashed into ``2 ** bits`` weights); a document is toxic if any
+and 6 bytes (named by their crc32); a document is toxic if any
 sentence is, so its score is a noisy-or with a leak:
 1 - (1 - leak) * prod(1 - p(sentence)).  Only document labels are known; the
 gradient of the document's likelihood flows back to the sentences, so the same
-weights point out the offending ones.  An L1 penalty leaves a weight only to
-what occurs in more than a few toxic documents.
+weights point out the offending ones.  A weight starts at its evidence, the
+log-odds of toxic documents among those that hold it less ``z`` standard errors, and an L2
+penalty holds it there: a word that only toxic documents have tells by itself,
+though most of them hold several such words and any one would explain the label.
 
 Training takes at most ``per_class`` labelled documents of either label (the
 smallest hashes of their ids; the bound is the parameter) of the training
@@ -46,39 +48,37 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_TABLE).replace(STOP, b" \x01 ").split()
 
 
-def word_features(word: bytes, mask: int) -> list[int]:
+def word_features(word: bytes) -> list[int]:
     """Numbers of the weights of a word: the word itself and its beginnings."""
-    return [zlib.crc32(word) & mask] + [zlib.crc32(b"^" + word[:n]) & mask for n in (4, 5, 6) if len(word) >= n]
+    return [zlib.crc32(word)] + [zlib.crc32(b"^" + word[:n]) for n in (4, 5, 6) if len(word) >= n]
 
 
 class _Features(dict):
     """word -> numbers of its weights; none for the end of a sentence."""
 
-    def __init__(self, bits: int):
+    def __init__(self):
         super().__init__({STOP: []})
-        self.mask = (1 << bits) - 1
 
     def __missing__(self, word):
         if len(self) > 200_000:
             self.clear()
             self[STOP] = []
-        k = self[word] = word_features(word, self.mask)
+        k = self[word] = word_features(word)
         return k
 
 
 class _Weights(dict):
     """word -> its weight in a sentence; not a number for the end of a sentence."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, numbers: np.ndarray, weights: np.ndarray):
         super().__init__({STOP: math.nan})
-        self.weights = weights.tolist()
-        self.mask = len(weights) - 1
+        self.weights = dict(zip(numbers.tolist(), weights.tolist(), strict=True))
 
     def __missing__(self, word):
         if len(self) > 400_000:
             self.clear()
             self[STOP] = math.nan
-        w = self[word] = sum(self.weights[k] for k in word_features(word, self.mask))
+        w = self[word] = sum([self.weights.get(k, 0.0) for k in word_features(word)])
         return w
 
 
@@ -90,7 +90,7 @@ def bag(text: bytes, table: _Features) -> tuple[np.ndarray, np.ndarray]:
     place = np.cumsum([w == STOP for w in words])
     size = np.array([len(k) for k in got], np.int64)
     place = np.unique(np.repeat(place, size), return_inverse=True)[1] if len(words) else np.empty(0, np.int64)
-    return np.array([x for k in got for x in k], np.int32), place.astype(np.int32)
+    return np.array([x for k in got for x in k], np.uint32), place.astype(np.int32)
 
 
 def _softplus(z):
@@ -101,41 +101,60 @@ def _sigmoid(z):
     return np.exp(-np.logaddexp(0.0, -z))
 
 
-def _fit(bags, toxic, weight, bits, epochs=150, rate=0.15, l1=4e-4, least=4):
-    """Weights, bias and leak from bags (features, sentences), by Adam on the
-    whole sample with a proximal step for the L1 penalty."""
-    size = 1 << bits
+def evidence(seen: np.ndarray, toxic: np.ndarray, z: float) -> np.ndarray:
+    """What each weight says by itself: the log-odds of a toxic document among those that hold it, against
+    all documents, less ``z`` standard errors and at least 0 (half a document more on either side).
+    ``seen`` counts the documents of label 0 and 1 with it."""
+    t, c = seen[1] + 0.5, seen[0] + 0.5
+    odds = np.log(t / c) - np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))
+    return np.maximum(odds - z * np.sqrt(1 / t + 1 / c), 0.0)
+
+
+def loss(w, b, c, words, sent, doc, toxic, weight, start, hold):
+    """(mean negative log-likelihood of the documents plus ``hold`` / 2 times the squared distance of
+    ``w`` from ``start``; its derivatives by w, b and c).  ``words`` are numbers of weights, ``sent`` the sentence of each,
+    ``doc`` the document of each sentence."""
+    z = b + np.bincount(sent, w[words], minlength=len(doc))
+    a = np.bincount(doc, _softplus(z), minlength=len(toxic)) + _softplus(c)
+    share = weight / weight.sum()
+    # likelihood: exp(-a) for label 0, 1 - exp(-a) for label 1
+    a = np.maximum(a, 1e-9)
+    value = (share * np.where(toxic, -np.log(-np.expm1(-a)), a)).sum() + hold / 2 * ((w - start) ** 2).sum()
+    da = share * np.where(toxic, -1.0 / np.expm1(a), 1.0)
+    dz = da[doc] * _sigmoid(z)
+    by_word = np.bincount(words, dz[sent], minlength=len(w)) + hold * (w - start)
+    return value, by_word, dz.sum(), (da * _sigmoid(c)).sum()
+
+
+def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=1.5, bias=-7.0):
+    """(numbers, their weights, bias, leak) from bags (features, sentences), by Adam on the
+    whole sample from the evidence of each weight, which also holds it (an L2 penalty on the distance)."""
     n_sent = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in bags])
     first = np.cumsum(n_sent) - n_sent
     # a weight is learned for what occurs in ``least`` documents or more
-    common = np.zeros(size, np.int32)
-    for k, _ in bags:
-        common[np.unique(k)] += 1
-    kept = [common[k] >= least for k, _ in bags]
-    words = np.concatenate([k[m] for (k, _), m in zip(bags, kept, strict=True)])
-    sent = np.concatenate([(s + f)[m] for (_, s), f, m in zip(bags, first.astype(np.int32), kept, strict=True)])
+    single = [np.unique(k) for k, _ in bags]
+    used, times = np.unique(np.concatenate(single), return_counts=True)
+    used = used[times >= least]
+    seen = np.zeros((2, len(used)))
+    words, sent = [], []
+    for (k, s), one, y, f in zip(bags, single, toxic, first.tolist(), strict=True):
+        seen[int(y), np.searchsorted(used, one[np.isin(one, used, assume_unique=True)])] += 1
+        mine = np.isin(k, used)
+        words.append(np.searchsorted(used, k[mine]).astype(np.int32))
+        sent.append(s[mine] + np.int32(f))
+    words, sent = np.concatenate(words), np.concatenate(sent)
     doc = np.repeat(np.arange(len(bags)), n_sent)
-    used, words = np.unique(words, return_inverse=True)
-    w, b, c = np.zeros(len(used)), -7.0, -3.5
-    total = weight.sum()
+    start = evidence(seen, toxic, z)
+    w, b, c = start.copy(), bias, -3.5
     one, two = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     for step in range(1, epochs + 1):
-        z = b + np.bincount(sent, w[words], minlength=len(doc))
-        a = np.bincount(doc, _softplus(z), minlength=len(bags)) + _softplus(c)
-        # likelihood: exp(-a) for label 0, 1 - exp(-a) for label 1
-        da = weight / total * np.where(toxic, -1.0 / np.expm1(np.maximum(a, 1e-9)), 1.0)
-        dz = da[doc] * _sigmoid(z)
-        g = np.concatenate([np.bincount(words, dz[sent], minlength=len(used)), [dz.sum(), (da * _sigmoid(c)).sum()]])
+        _, by_word, by_b, by_c = loss(w, b, c, words, sent, doc, toxic, weight, start, hold)
+        g = np.concatenate([by_word, [by_b, by_c]])
         one = 0.9 * one + 0.1 * g
         two = 0.99 * two + 0.01 * g * g
-        size_ = rate / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-5)
-        move = size_ * one / (1 - 0.9 ** step)
-        w = w - move[:-2]
-        w = np.sign(w) * np.maximum(np.abs(w) - l1 * size_[:-2], 0.0)
-        b, c = min(b - move[-2], -5.0), c - move[-1]
-    out = np.zeros(size, np.float32)
-    out[used] = w
-    return out, float(b), float(c)
+        move = rate / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-5) * one / (1 - 0.9 ** step)
+        w, b, c = w - move[:-2], b - move[-2], c - move[-1]
+    return used, w.astype(np.float32), float(b), float(c)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, held_out: int = 2, folds: int = 4):
@@ -151,20 +170,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, held_out:
     return sample, counts
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, bits: int = 18):
-    """(weights, bias, leak) as numpy / floats; None if there is nothing to learn from."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000):
+    """(numbers, weights, bias, leak) as numpy / floats; None if there is nothing to learn from."""
     sample, counts = training_rows(docs, labels, per_class)
     # at most 2 * per_class ids
     chosen = docs.select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches):
-        table = _Features(bits)
+        table = _Features()
         for b in batches:
             rows = []
             for y, text in zip(b.column(b.schema.get_field_index("_toxic")).to_pylist(),
                                binary_column(b, "text"), strict=True):
                 k, s = bag(text, table)
-                rows.append({"toxic": y, "k": k, "s": s})
+                rows.append({"toxic": y, "k": k.view(np.int32), "s": s})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
                 [("toxic", pa.int32()), ("k", pa.list_(pa.int32())), ("s", pa.list_(pa.int32()))]))
 
@@ -175,9 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, bits: int =
     if toxic.all() or not toxic.any():
         return None
     weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
-    bags = [(np.asarray(k.values), np.asarray(s.values)) for k, s in zip(got["k"], got["s"], strict=True)]
+    bags = [(np.asarray(k.values).view(np.uint32), np.asarray(s.values)) for k, s in zip(got["k"], got["s"], strict=True)]
     order = np.argsort([zlib.crc32(k.tobytes()) for k, _ in bags], kind="stable")  # not the order of arrival
-    return _fit([bags[i] for i in order], toxic[order], weight[order], bits)
+    return _fit([bags[i] for i in order], toxic[order], weight[order])
 
 
 def score(docs: DataFrame, model, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -186,12 +205,12 @@ def score(docs: DataFrame, model, threshold: float = 0.3, keep: tuple[str, ...]
     ``_keep0``, ``_keep1`` and so on (their own names may clash with these)."""
     out = "doc_id long, score double, predicted int, offending array<struct<sentence:int,score:double,text:string>>"
     rows, kinds = with_kept(docs, keep)
-    handle = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits floats
+    handle = docs.sparkSession.sparkContext.broadcast(model)  # what few thousand documents hold, not the corpus
     part = pa.struct([("sentence", pa.int32()), ("score", pa.float64()), ("text", pa.string())])
 
     def run(batches):
         fitted = handle.value
-        table = None if fitted is None else _Weights(fitted[0])
+        table = None if fitted is None else _Weights(*fitted[:2])
         for b in batches:
             scores, spans = [], []
             for text in binary_column(b, "text"):
@@ -207,7 +226,7 @@ def score(docs: DataFrame, model, threshold: float = 0.3, keep: tuple[str, ...]
 
 
 def _score(text: bytes, fitted, table, threshold):
-    _, bias, leak = fitted
+    bias, leak = fitted[2:]
     words = words_of(text)
     w = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
     stop = np.isnan(w)
