@@ -118,7 +118,7 @@ def loss(w, b, c, words, sent, doc, toxic, weight, start, hold):
     a = np.bincount(doc, _softplus(z), minlength=len(toxic)) + _softplus(c)
     share = weight / weight.sum()
     # likelihood: exp(-a) for label 0, 1 - exp(-a) for label 1
-    a = np.maximum(a, 1e-9)
+    a = np.clip(a, 1e-9, 500.0)
     value = (share * np.where(toxic, -np.log(-np.expm1(-a)), a)).sum() + hold / 2 * ((w - start) ** 2).sum()
     da = share * np.where(toxic, -1.0 / np.expm1(a), 1.0)
     dz = da[doc] * _sigmoid(z)
@@ -126,35 +126,41 @@ def loss(w, b, c, words, sent, doc, toxic, weight, start, hold):
     return value, by_word, dz.sum(), (da * _sigmoid(c)).sum()
 
 
-def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=1.5, bias=-7.0):
+def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=1.5, bias=-7.5):
     """(numbers, their weights, bias, leak) from bags (features, sentences), by Adam on the
-    whole sample from the evidence of each weight, which also holds it (an L2 penalty on the distance)."""
+    whole sample from the evidence of each weight, which also holds it (an L2 penalty on the distance).
+    The bias of a sentence is a parameter: learned, it sinks until only several words together tell."""
     n_sent = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in bags])
     first = np.cumsum(n_sent) - n_sent
     # a weight is learned for what occurs in ``least`` documents or more
     single = [np.unique(k) for k, _ in bags]
     used, times = np.unique(np.concatenate(single), return_counts=True)
     used = used[times >= least]
+    if not len(used):
+        return used, np.zeros(0, np.float32), bias, -3.5
+    last = len(used) - 1
     seen = np.zeros((2, len(used)))
     words, sent = [], []
     for (k, s), one, y, f in zip(bags, single, toxic, first.tolist(), strict=True):
-        seen[int(y), np.searchsorted(used, one[np.isin(one, used, assume_unique=True)])] += 1
-        mine = np.isin(k, used)
-        words.append(np.searchsorted(used, k[mine]).astype(np.int32))
+        place = np.searchsorted(used, one)
+        seen[int(y), place[used[np.minimum(place, last)] == one]] += 1
+        place = np.searchsorted(used, k)
+        mine = used[np.minimum(place, last)] == k
+        words.append(place[mine].astype(np.int32))
         sent.append(s[mine] + np.int32(f))
     words, sent = np.concatenate(words), np.concatenate(sent)
     doc = np.repeat(np.arange(len(bags)), n_sent)
     start = evidence(seen, toxic, z)
-    w, b, c = start.copy(), bias, -3.5
-    one, two = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
+    w, c = start.copy(), -3.5
+    one, two = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, epochs + 1):
-        _, by_word, by_b, by_c = loss(w, b, c, words, sent, doc, toxic, weight, start, hold)
-        g = np.concatenate([by_word, [by_b, by_c]])
+        _, by_word, _, by_c = loss(w, bias, c, words, sent, doc, toxic, weight, start, hold)
+        g = np.append(by_word, by_c)
         one = 0.9 * one + 0.1 * g
         two = 0.99 * two + 0.01 * g * g
         move = rate / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-5) * one / (1 - 0.9 ** step)
-        w, b, c = w - move[:-2], b - move[-2], c - move[-1]
-    return used, w.astype(np.float32), float(b), float(c)
+        w, c = w - move[:-1], c - move[-1]
+    return used, w.astype(np.float32), bias, float(c)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, held_out: int = 2, folds: int = 4):
