@@ -126,10 +126,11 @@ def loss(w, b, c, words, sent, doc, toxic, weight, start, hold):
     return value, by_word, dz.sum(), (da * _sigmoid(c)).sum()
 
 
-def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=1.5, bias=-7.5):
+def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=2.0, bias=-8.5):
     """(numbers, their weights, bias, leak) from bags (features, sentences), by Adam on the
     whole sample from the evidence of each weight, which also holds it (an L2 penalty on the distance).
-    The bias of a sentence is a parameter: learned, it sinks until only several words together tell."""
+    The bias of a sentence is a parameter: learned, it sinks until only several words together tell.
+    No weight falls below 0, so clean words beside a toxic one do not hide it."""
     n_sent = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in bags])
     first = np.cumsum(n_sent) - n_sent
     # a weight is learned for what occurs in ``least`` documents or more
@@ -159,7 +160,7 @@ def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=1.5,
         one = 0.9 * one + 0.1 * g
         two = 0.99 * two + 0.01 * g * g
         move = rate / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-5) * one / (1 - 0.9 ** step)
-        w, c = w - move[:-1], c - move[-1]
+        w, c = np.maximum(w - move[:-1], 0.0), c - move[-1]
     return used, w.astype(np.float32), bias, float(c)
 
 
