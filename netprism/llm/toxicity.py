@@ -6,8 +6,8 @@ and 6 bytes (named by their crc32); a document is toxic if any
 sentence is, so its score is a noisy-or with a leak:
 1 - (1 - leak) * prod(1 - p(sentence)).  Only document labels are known; the
 gradient of the document's likelihood flows back to the sentences, so the same
-weights point out the offending ones.  A weight starts at its evidence, the
-log-odds of toxic documents among those that hold it less ``z`` standard errors, and an L2
+weights point out the offending ones.  A weight starts at its evidence, how
+much more often toxic documents hold it than clean ones at the low end of its confidence, and an L2
 penalty holds it there: a word that only toxic documents have tells by itself,
 though most of them hold several such words and any one would explain the label.
 
@@ -102,12 +102,13 @@ def _sigmoid(z):
 
 
 def evidence(seen: np.ndarray, toxic: np.ndarray, z: float) -> np.ndarray:
-    """What each weight says by itself: the log-odds of a toxic document among those that hold it, against
-    all documents, less ``z`` standard errors and at least 0 (half a document more on either side).
-    ``seen`` counts the documents of label 0 and 1 with it."""
-    t, c = seen[1] + 0.5, seen[0] + 0.5
-    odds = np.log(t / c) - np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))
-    return np.maximum(odds - z * np.sqrt(1 / t + 1 / c), 0.0)
+    """What each weight says by itself: how much more often toxic documents hold it than clean ones, as a
+    logarithm and at least 0, with counts at the unfavourable end of their confidence (``z`` standard
+    errors of a Poisson count, by the cube-root approximation).  ``seen`` counts the documents of label 0 and 1 with it."""
+    clean, t = seen[0] + 1, np.maximum(seen[1], 0.5)
+    high = clean * (1 - 1 / (9 * clean) + z / (3 * np.sqrt(clean))) ** 3
+    low = t * np.maximum(1 - 1 / (9 * t) - z / (3 * np.sqrt(t)), 0.01) ** 3
+    return np.maximum(np.log(low / high) - np.log((toxic.sum() + 1) / ((~toxic).sum() + 1)), 0.0)
 
 
 def loss(w, b, c, words, sent, doc, toxic, weight, start, hold):
@@ -126,7 +127,7 @@ def loss(w, b, c, words, sent, doc, toxic, weight, start, hold):
     return value, by_word, dz.sum(), (da * _sigmoid(c)).sum()
 
 
-def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=2.0, bias=-8.5):
+def _fit(bags, toxic, weight, epochs=100, rate=0.05, hold=1e-3, least=4, z=2.25, bias=-8.5):
     """(numbers, their weights, bias, leak) from bags (features, sentences), by Adam on the
     whole sample from the evidence of each weight, which also holds it (an L2 penalty on the distance).
     The bias of a sentence is a parameter: learned, it sinks until only several words together tell.

@@ -101,4 +101,5 @@ def test_evidence():
     toxic = np.array([True] * 100 + [False] * 100)
     got = toxicity.evidence(np.array([[0, 0, 30, 90], [60, 4, 60, 4]]), toxic, 1.5)
     assert got[0] > got[2] > 0 and got[3] == 0 and got[1] < 1.0
-    assert got[0] == pytest.approx(math.log(60.5 / 0.5) - 1.5 * math.sqrt(1 / 60.5 + 1 / 0.5))
+    # of none seen, at most about 2.7 are expected; of 60, at least about 49
+    assert got[0] == pytest.approx(math.log(49 / 2.7), abs=0.05)
