@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.safe import r6
-from ..operators import clean, encode, models
+from ..operators import clean, deep_forest, encode, models
 from ..operators import windows as win
 from ..session import scratch_path
 from ..sources.tables import flows, table
@@ -155,6 +155,47 @@ def m01_flows(spark, sf):
         "beats_majority"), F.sum("bad").cast("int").alias("n_bad_confidence"))
 
 
+FLOW_FEATURES = ["source_id", "destination_port", "flow_duration", "total_fwd_packets", "total_backward_packets",
+                 "total_length_of_fwd_packets", "total_length_of_bwd_packets", "flow_iat_mean", "flow_iat_std",
+                 "packet_length_mean", "packet_length_std", "syn_flag_count", "ack_flag_count", "fin_flag_count"]
+
+
+def _deep_run(spark, sf):
+    """Flows split 80/20, and the forest of the training rows: 100 trees, any depth, splits from 5 rows on."""
+    data = encode.stratified_split(flows(spark, sf), "label", ["flow_id", "ts"], 0.2, seed=42).checkpoint(eager=True)
+    forest = deep_forest.fit(data.where(F.col("split") == "train"), FLOW_FEATURES, "label", ["flow_id", "source_id", "ts"],
+                             n_trees=100, min_split=5, min_leaf=2, seed=42)
+    return data, forest
+
+
+@query("M01_deep_forest", "SELECT count(*) AS n_rows, true AS far_above_majority, 0 AS n_bad_probabilities, 100 AS n_trees"
+       " FROM lineitem")
+def m01_deep(spark, sf):
+    """The forest of unlimited depth on all flows: rows predicted, test accuracy 0.3 above the share of the largest
+    class, rows whose probabilities do not sum to 1 or whose confidence is not the largest, trees written."""
+    data, forest = _deep_run(spark, sf)
+    p = forest.predict(data)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    sound = (F.abs(total - 1) < 1e-9) & (F.abs(F.array_max("probability") - F.col("confidence")) < 1e-12)
+    test = F.col("split") == "test"
+    per = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(test).alias("n_test"),
+                                 F.count_if(test & (F.col("label") == F.col("prediction"))).alias("n_right"),
+                                 F.count_if(~sound).alias("bad"))
+    trees = forest.shape().count()
+    return per.agg(F.sum("n").alias("n_rows"),
+                   (F.sum("n_right") / F.sum("n_test") > F.max("n") / F.sum("n") + 0.3).alias("far_above_majority"),
+                   F.sum("bad").cast("int").alias("n_bad_probabilities")).withColumn("n_trees", F.lit(trees))
+
+
+@query("M04_deep_importance", "SELECT 14 AS n_features, 1.0 AS total, true AS flags_first")
+def m04_deep(spark, sf):
+    """Shares of the fall of impurity: one for each feature, together 1; two flags decide the label."""
+    _, forest = _deep_run(spark, sf)
+    first = F.max_by("feature", "importance").isin("syn_flag_count", "fin_flag_count")
+    return forest.importances().agg(F.count(F.lit(1)).cast("int").alias("n_features"), r6(F.sum("importance")).alias("total"),
+                                    first.alias("flags_first"))
+
+
 @query("S07_score_new_rows", "SELECT count(*) AS n_rows, 0 AS n_different FROM lineitem")
 def s07_score_new(spark, sf):
     """A saved anomaly run scores the flows again: the same scores and flags."""
