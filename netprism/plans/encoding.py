@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import r6
 from ..operators import encode as enc
+from ..operators import smote
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
 
@@ -135,6 +136,24 @@ def e09b(spark, sf):
                                                              "l_discount"], "l_orderkey")
 
 
+@query("E09_smote_neighbours", "SELECT count(*) AS n_synthetic, 0 AS n_off_segment, 5 AS fewest_neighbours FROM lineitem"
+       " WHERE l_returnflag = 'A'")
+def e09c(spark, sf):
+    """One synthetic row for each row of the class, in all numeric columns but the keys: rows that do not lie
+    between their base and one of its neighbours, and the fewest neighbours of a row."""
+    cols = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = table(spark, sf, "lineitem")
+    li = li.withColumn("l_linenumber", F.col("l_linenumber").cast("double"))
+    made = smote.smote(li, "l_returnflag", "A", cols, "l_orderkey", k=5, with_segment=True)
+    off = [~F.col(c).between(F.least(F.col("__x")[i], F.col("__other")[i]) - 1e-6,
+                             F.greatest(F.col("__x")[i], F.col("__other")[i]) + 1e-6) for i, c in enumerate(cols)]
+    any_off = off[0]
+    for o in off[1:]:
+        any_off = any_off | o
+    return made.agg(F.count(F.lit(1)).alias("n_synthetic"), F.count_if(any_off).cast("int").alias("n_off_segment"),
+                    F.min("__near").alias("fewest_neighbours"))
+
+
 _Q = "quantile_cont({c}, {q})"
 
 

@@ -187,7 +187,7 @@ def m01_deep(spark, sf):
                    F.sum("bad").cast("int").alias("n_bad_probabilities")).withColumn("n_trees", F.lit(trees))
 
 
-@query("M04_deep_importance", "SELECT 14 AS n_features, 1.0 AS total, true AS flags_first")
+@query("M04_deep_importance", "SELECT 14 AS n_features, CAST(1 AS DOUBLE) AS total, true AS flags_first")
 def m04_deep(spark, sf):
     """Shares of the fall of impurity: one for each feature, together 1; two flags decide the label."""
     _, forest = _deep_run(spark, sf)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.safe import r6
 from ..operators import clean
 from ..session import scratch_path
-from ..sources import files
+from ..sources import chunks, files
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
 from .profiling import COUNTS_SQL, cleaned_sets
@@ -75,7 +75,18 @@ def s08(spark, sf):
 
 @query("S10_binary_files")
 def s10(spark, sf):
-    """The given tables' own files read as a binary corpus: name, size, magic bytes."""
-    b = files.read_binary_files(spark, sf, glob="*.parquet", min_bytes=1)
-    return b.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length",
-                    F.decode(F.substring("content", 1, 4), "US-ASCII").alias("magic"))
+    """The given tables' own files read as a binary corpus, in chunks: name, size, magic bytes."""
+    b = chunks.read_chunks(spark, sf, glob="*.parquet")
+    return b.groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).agg(
+        F.sum(F.octet_length("chunk")).cast("long").alias("length"),
+        F.max(F.when(F.col("offset") == 0, F.decode(F.substring("chunk", 1, 4), "US-ASCII"))).alias("magic"))
+
+
+@query("B01_chunked_byte_counts", """SELECT CAST(('0x' || h) AS INTEGER) AS byte, count(*) AS n FROM (
+ SELECT unnest(regexp_extract_all(hex(encode(text || chr(10))), '..')) AS h FROM documents WHERE text IS NOT NULL) GROUP BY h""")
+def b01_chunks(spark, sf):
+    """The texts written as line files into the shared folder and read back in byte ranges: counts of every byte."""
+    folder = scratch_path(spark, "text-files")
+    table(spark, sf, "documents").where(F.col("text").isNotNull()).select("text").write.text(folder)
+    counts = chunks.byte_counts(chunks.read_chunks(spark, folder, glob="part-*", chunk_bytes=65_521, partition_bytes=1_000_003))
+    return counts.groupBy("byte").agg(F.sum("n").alias("n"))
