@@ -12,6 +12,7 @@ from ..functions.safe import r6
 from ..session import scratch_path
 from ..sources.tables import table
 from ..streaming import flows as zs
+from ..streaming import previous
 from .catalog import query
 
 
@@ -92,3 +93,21 @@ def z03(spark, sf):
     zs.run_available(alerts.select("doc_id", "prediction_name", "confidence", "priority"), "append",
                      zs.append_sink(out), scratch_path(spark, "z03-ckpt"))
     return spark.read.parquet(out)
+
+
+@query("Z01_previous_rows", "SELECT * FROM (SELECT event_id, user_id, round(avg(value) OVER w, 6) AS prev_mean_value,"
+       " CAST(count(*) OVER w AS INTEGER) AS prev_rows, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id"
+       " ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM events)")
+def z01_previous(spark, sf):
+    """W11 on the stream of events, with keyed state: every event the watermark has passed, with the mean and the
+    number of the up to 5 events of its user before it."""
+    def measure(rows):
+        values = [r[3] for r in rows if r[3] is not None]
+        return (sum(values) / len(values) if values else None, len(rows))
+
+    stream = events_stream(spark, sf).select("event_id", "user_id", "ts", "value")
+    result = previous.previous_rows(stream, "user_id", "ts", ["event_id"], 5, measure, "prev_mean_value double, prev_rows int")
+    out = scratch_path(spark, "z01-previous")
+    previous.run_previous_rows(spark, result, scratch_path(spark, "z01-previous-state"), out)
+    done = spark.read.schema("event_id long, user_id long, ts timestamp_ntz, value double, prev_mean_value double, prev_rows int").parquet(out)
+    return done.select("event_id", "user_id", r6("prev_mean_value").alias("prev_mean_value"), "prev_rows", "ts")
