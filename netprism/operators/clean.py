@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import LABEL_NAMES, detect_label, identifier_columns, numeric_columns
-from ..functions.safe import bounded_broadcast, finite_or_null, is_missing
+from ..functions.safe import bounded_broadcast, finite_or_null, is_missing, null_safe_join
 from ..session import ensure_checkpoint_dir
 from .quantiles import exact_median, exact_quantiles
 
@@ -153,30 +153,18 @@ def identifier_drop_list(df: DataFrame, match: str = "substring") -> list[str]:
     return [c for c in identifier_columns(df.columns, match) if c.lower() not in LABEL_NAMES]
 
 
-def distinct_ratios(df: DataFrame, cols: Sequence[str], approx_first: bool = True,
-                    threshold: float = 0.9, margin: float = 0.05) -> DataFrame:
-    """C05 helper: (column, distinct_ratio) for the given columns.
+def distinct_ratios(df: DataFrame, cols: Sequence[str], chunk: int = 4) -> DataFrame:
+    """C05 helper: (column, distinct_ratio), exact, for the given columns.
 
-    One HyperLogLog pass; only columns whose estimate lies within ``margin`` of
-    the threshold are counted exactly, so the drop decision is exact while the
-    exact distinct (a shuffle per column) runs only where it matters.
-    """
+    An exact distinct count of several columns copies every row once for each of them, so
+    they are counted ``chunk`` at a time, one pass each."""
     spark = df.sparkSession
     n = df.count()
-    if not cols or n == 0:
-        return spark.createDataFrame([], "column string, distinct_ratio double")
-    exact_cols = list(cols)
-    approx_vals: dict[str, float] = {}
-    if approx_first:
-        row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"a{i}")
-                       for i, c in enumerate(cols)]).first()
-        approx_vals = {c: row[f"a{i}"] / n for i, c in enumerate(cols)}
-        exact_cols = [c for c in cols if abs(approx_vals[c] - threshold) <= margin]
-    exact_vals = {}
-    if exact_cols:
-        row = df.agg(*[F.count_distinct(c).alias(f"e{i}") for i, c in enumerate(exact_cols)]).first()
-        exact_vals = {c: row[f"e{i}"] / n for i, c in enumerate(exact_cols)}
-    rows = [(c, float(exact_vals.get(c, approx_vals.get(c)))) for c in cols]
+    rows = []
+    for at in range(0, len(cols) if n else 0, chunk):
+        own = cols[at:at + chunk]
+        row = df.agg(*[F.count_distinct(c).alias(f"e{i}") for i, c in enumerate(own)]).first()
+        rows += [(c, row[f"e{i}"] / n) for i, c in enumerate(own)]
     return spark.createDataFrame(rows, "column string, distinct_ratio double")
 
 
@@ -187,7 +175,7 @@ def high_cardinality_columns(df: DataFrame, threshold: float = 0.9,
             and c.lower() not in LABEL_NAMES and c != label]
     if not cats:
         return []
-    ratios = distinct_ratios(df, cats, threshold=threshold).collect()
+    ratios = distinct_ratios(df, cats).collect()
     return [r["column"] for r in ratios if r["distinct_ratio"] > threshold]
 
 
@@ -325,13 +313,14 @@ def drop_rare_classes(df: DataFrame, label: str, min_count: int = 10,
                       broadcast_limit: int = 1_000_000) -> DataFrame:
     """Rows of classes with fewer than ``min_count`` rows removed.
 
+    The null label is a class like any other.
     The class table (one row per kept class) is joined with a left-semi join.
     It is broadcast only below ``broadcast_limit`` classes (checked with a
     count of the small aggregate); beyond that the join is left to the
     planner (sort-merge, AQE skew handling).
     """
     keep = df.groupBy(label).count().where(F.col("count") >= min_count).select(label)
-    return df.join(bounded_broadcast(keep, broadcast_limit), on=label, how="left_semi")
+    return null_safe_join(df, bounded_broadcast(keep, broadcast_limit), [label], "left_semi")
 
 
 # ------------------------------------------------------------------ C14 - C17

@@ -166,13 +166,13 @@ def per_class_sample(df: DataFrame, label: str, order_by: Sequence[str], per_cla
 def sample_with_normal(df: DataFrame, label: str, order_by: Sequence[str], n: int = 5,
                        normal: str = "normal") -> DataFrame:
     """One normal row (if any) plus the first others not already chosen."""
-    first_normal = df.where(F.lower(F.col(label)) == normal).orderBy(*order_by).limit(1)
-    chosen = first_normal.collect()  # one row at most
-    k = len(chosen)
-    first_normal = df.sparkSession.createDataFrame(chosen, df.schema)
-    # the chosen row is left out once, nulls compared as equal
-    rest = df.exceptAll(first_normal).orderBy(*order_by)
-    return first_normal.unionByName(rest.limit(n - k))
+    # at most n + 1 rows
+    chosen = df.where(F.lower(F.col(label)) == normal).orderBy(*order_by).limit(1).collect()
+    first = df.orderBy(*order_by).limit(n + 1).collect()
+    known = [i for i, r in enumerate(first) if (r[label] or "").lower() == normal]
+    if known:  # the first normal row of the order is among them: it leads, and the others follow
+        chosen = [first.pop(known[0])]
+    return df.sparkSession.createDataFrame((chosen + first)[:n], df.schema)
 
 
 def anomaly_report(df: DataFrame, flag: str = "is_anomaly", score: str = "score",

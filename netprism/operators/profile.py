@@ -119,17 +119,29 @@ def label_mapping(df: DataFrame, label: str) -> DataFrame:
         (F.col("count") * 100.0 / F.sum("count").over(w_all)).alias("pct"))
 
 
+#: Columns of one exact distinct pass.
+DISTINCT_CHUNK = 6
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None,
                     approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """P10: distinct values per column (nulls not counted), long form.
 
+    Exact counts copy every row once for each column, so a pass counts only
+    ``DISTINCT_CHUNK`` columns; the passes run side by side in one plan.
     ``approx=True`` uses HyperLogLog++ (bounded memory, one pass) for scale.
     """
     cols = list(cols or df.columns)
     fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    wide = df.agg(*[fn(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    pairs = ", ".join(f"'{c}', d{i}" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {pairs}) as (column, n_distinct)")
+    chunk = len(cols) if approx else DISTINCT_CHUNK
+    out = None
+    for at in range(0, len(cols), chunk):
+        own = cols[at:at + chunk]
+        wide = df.agg(*[fn(F.col(c)).alias(f"d{i}") for i, c in enumerate(own)])
+        pairs = ", ".join(f"'{c}', d{i}" for i, c in enumerate(own))
+        part = wide.selectExpr(f"stack({len(own)}, {pairs}) as (column, n_distinct)")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def final_structure(df: DataFrame, label: str = "Label") -> DataFrame:

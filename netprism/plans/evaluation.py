@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import r6
 from ..operators import evaluate as ev
+from ..operators import sketches
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
 from .profiling import REPORT_SQL, cleaned_sets
@@ -124,6 +125,20 @@ def v07(spark, sf):
     return ev.psi(p, "period", "label", "first", "second").select(r6("psi").alias("psi"))
 
 
+@query("V07_numeric_drift", "WITH v AS (SELECT value, day(ts) <= 15 AS early FROM events WHERE value IS NOT NULL),"
+       " c AS (SELECT value, count_if(early) AS e, count_if(NOT early) AS l FROM v GROUP BY value),"
+       " s AS (SELECT abs(sum(e) OVER w / sum(e) OVER () - sum(l) OVER w / sum(l) OVER ()) AS d FROM c WINDOW w AS (ORDER BY value))"
+       " SELECT 'value' AS column_name, (SELECT count(*) FROM v WHERE early) AS n_first, (SELECT count(*) FROM v WHERE NOT early)"
+       " AS n_second, max(d) > 0.1 AS drifted FROM s")
+def v07_numeric(spark, sf):
+    """Kolmogorov-Smirnov distance of the halves of the month, from one stored sketch for each day."""
+    events = table(spark, sf, "events")
+    daily = sketches.column_sketches(events, F.dayofmonth("ts"), ["value"], ["value"]).checkpoint(eager=True)
+    half = F.when(F.col("part") <= 15, "first").otherwise("second")
+    return sketches.drift(daily, half, "first", "second").select(
+        F.col("column").alias("column_name"), "n_first", "n_second", (F.col("ks") > 0.1).alias("drifted"))
+
+
 @query("V07_retrain_rule", with_ctes(
     "SELECT period, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy,"
     " round(first_value(avg(CAST(label = prediction AS DOUBLE))) OVER (ORDER BY period)"

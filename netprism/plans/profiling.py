@@ -219,3 +219,19 @@ def p13(spark, sf):
     before, after = retention_inputs(spark, sf)
     r = profile.retention(before, after)
     return r.select("dataset", "rows_before", "rows_after", r6("retention_pct").alias("retention_pct"))
+
+
+@query("P10_merged_sketches", "SELECT c AS column_name, CAST(n AS BIGINT) AS n, true AS within_bound FROM (SELECT unnest(["
+       "'l_orderkey', 'l_partkey', 'l_suppkey', 'l_quantity', 'l_extendedprice', 'l_shipdate']) AS c,"
+       " (SELECT count(*) FROM lineitem) AS n)")
+def p10_sketches(spark, sf):
+    """Distinct counts from sketches stored for each month, merged, against exact counts: within four deviations."""
+    from ..operators import sketches
+
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    li = table(spark, sf, "lineitem")
+    monthly = sketches.column_sketches(li, F.trunc("l_shipdate", "month"), cols).checkpoint(eager=True)
+    exact = profile.distinct_counts(li, cols).withColumnRenamed("n_distinct", "exact")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 4 * sketches.THETA_DEVIATION * F.col("exact") + 0.5
+    return (sketches.merged_distinct(monthly).join(exact, "column")
+            .select(F.col("column").alias("column_name"), "n", near.alias("within_bound")))
