@@ -17,9 +17,14 @@ blocks of ``block`` rows, so neither the query set, nor a partition, nor a group
 of equal vectors is held whole anywhere.  Each tree returns its k best per
 query, the window over them is cut to k.
 
-Edge cases: rows whose vector is null, empty or holds a null or non-finite
-component, rows whose scaled squared norm is 2**62 or more (a score might not fit
-a long), and rows with a null id take no part; rows that repeat an id are one vector (the smallest);
+Vectors whose scaled squared norm is 2**60 or more could overflow a long on the way;
+they stand beside the tree and are scored in Python's integers, and so are all
+candidates of such a query.  Only a score that is itself no long has no row.
+
+Edge cases: rows whose vector is null or holds a null or non-finite component take no part;
+rows that repeat an id are candidates and queries of their own (a query id has
+the k best over all of them, and rows of its own id are not its candidates); a row without an id is a
+candidate, after all others on a tie, and no query; empty vectors have score 0;
 vectors of different lengths never meet; ties go to the smaller id; fewer
 candidates than k give fewer rows; an empty table gives none.
 """
@@ -154,16 +159,42 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+#: Id of rows that have none (the largest, so they come last on a tie).
+NO_ID = 2 ** 63 - 1
+LONG = 2 ** 63
+
+
 def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and the integer vector of every row that takes part."""
-    x = F.col("embedding")
-    whole = F.transform(x, lambda e: F.floor(e.cast("double") * scale))
-    sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < math.inf))
+    """vec_id, v (the integer vector) and raw (the scaled vector, of those too long for ``v``) of every row
+    that takes part."""
+    x = F.transform("embedding", lambda e: e.cast("double") * scale)
+    sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < math.inf))
     # a score is at most the product of two norms
-    norm = F.aggregate(x, F.lit(0.0), lambda t, e: t + F.pow(F.abs(e.cast("double") * scale) + 1, 2.0))
-    rows = table.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(sound, F.lit(False))
-                       & (norm < float(2 ** 62)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    norm = F.aggregate(x, F.lit(0.0), lambda t, e: t + F.pow(F.abs(e) + 1, 2.0))
+    rows = table.where(F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False)))
+    small = norm < float(2 ** 60)
+    return rows.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"),
+                       F.when(small, F.transform(x, lambda e: F.floor(e))).alias("v"),
+                       F.when(~small, x).alias("raw"), F.col("vec_id").isNotNull().alias("named"))
+
+
+class Vectors:
+    """Vectors of one length: a tree of the short ones, the long ones as Python integers."""
+
+    def __init__(self, ids, vectors, big_ids, big, page):
+        self.tree = MTree(ids, vectors, page) if len(ids) else None
+        self.ids, self.vectors, self.big_ids, self.big = ids, vectors, big_ids, big
+
+    def search(self, query, own: int, k: int) -> list[tuple[int, int]]:
+        """The k best (score, id) without id ``own``; ``query`` is an integer vector, of Python integers if long."""
+        long = query.dtype == object
+        found = self.tree.search(query, own, k) if self.tree is not None and not long else []
+        rest = [(self.big_ids, self.big)] + ([(self.ids, self.vectors)] if long else [])
+        for ids, vectors in rest:
+            if len(ids):
+                scores = vectors.astype(object) @ query.astype(object)
+                found += [(int(s), int(i)) for s, i in zip(scores, ids.tolist(), strict=True) if i != own and -LONG <= s < LONG]
+        return sorted(found, key=lambda e: (-e[0], e[1]))[:k]
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page: int = PAGE,
@@ -171,22 +202,30 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page
     """query_id, rank, vec_id and score: the k best of every query (rows whose
     id is divisible by ``every``) among all other rows."""
     spark = table.sparkSession
-    vectors = stored(quantised(table).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    vectors = stored(quantised(table), "vectors")
     place = scratch_path(spark, "queries")
-    vectors.where(F.col("vec_id") % every == 0).write.parquet(place)
+    vectors.where(F.col("named") & (F.col("vec_id") % every == 0)).write.parquet(place)
+
+    def whole(raw):
+        """A long vector as Python integers (its components are scaled already)."""
+        return np.array([math.floor(x) for x in raw] or [0], object)
 
     def forest(held):
-        """{components: tree} of some batches."""
+        """{components: vectors} of some batches."""
         rows = pa.Table.from_batches(held)
         ids = rows["vec_id"].to_numpy()
-        size = np.array([len(v) for v in rows["v"]])
+        short = rows["v"].is_valid().to_numpy()
+        size = np.array([len(v if v.is_valid else r) for v, r in zip(rows["v"], rows["raw"], strict=True)])
+        big = {i: whole(rows["raw"][i].as_py()) for i in np.flatnonzero(~short).tolist()}
         flat = rows["v"].combine_chunks()
         flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy()
-        at = np.cumsum(size) - size
+        inside = np.where(short, size, 0)
+        at = np.cumsum(inside) - inside
         trees = {}
         for n in np.unique(size).tolist():
-            own = np.flatnonzero(size == n)
-            trees[n] = MTree(ids[own], flat[at[own][:, None] + np.arange(n)], page)
+            own, long = np.flatnonzero(short & (size == n)), np.flatnonzero(~short & (size == n))
+            cells = flat[at[own][:, None] + np.arange(n)] if n else np.zeros((len(own), 1), np.int64)
+            trees[n] = Vectors(ids[own], cells, ids[long], np.array([big[i] for i in long.tolist()], object), page)
         return trees
 
     def answers(trees):
@@ -196,9 +235,11 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page
         files = ds.dataset(folder, filesystem=store, format="parquet")
         for b in files.to_batches(batch_size=block, batch_readahead=1, fragment_readahead=1):
             found = []
-            for query_id, v in zip(b["vec_id"].to_pylist(), b["v"].to_pylist(), strict=True):
-                if len(v) in trees:
-                    best = trees[len(v)].search(np.array(v, np.int64), query_id, k)
+            for query_id, v, raw in zip(b["vec_id"].to_pylist(), b["v"].to_pylist(), b["raw"].to_pylist(), strict=True):
+                n = len(raw if v is None else v)
+                if n in trees:
+                    query = whole(raw) if v is None else np.array(v or [0], np.int64)
+                    best = trees[n].search(query, query_id, k)
                     found += [(query_id, vec_id, s) for s, vec_id in best]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)],
@@ -216,7 +257,7 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page
         if rows:
             yield from answers(forest(held))
 
-    near = vectors.repartition("vec_id").mapInArrow(run, "query_id long, vec_id long, score long")
+    near = vectors.repartition("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score"))

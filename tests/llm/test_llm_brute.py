@@ -280,42 +280,46 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
 
 
+def best_by_loops(rows, dtype=float):
+    """Top 5 of every query row against all other rows, the rows of one query id together."""
+    cells = []
+    for i, e in rows:
+        if e is not None and all(x is not None and math.isfinite(x) for x in e):
+            cells.append((i, [math.floor(256 * float(dtype(x))) for x in e]))
+    found = defaultdict(list)
+    for q, v in cells:
+        if q is not None and q % 50 == 0:
+            for i, c in cells:
+                s = sum(x * y for x, y in zip(v, c, strict=False))
+                if i != q and len(c) == len(v) and -2 ** 63 <= s < 2 ** 63:
+                    found[q].append((-s, i is None, i))
+    return Counter((q, k + 1, i, -s) for q, v in found.items() for k, (s, _, i) in enumerate(sorted(v, key=lambda e: (e[0], e[1], e[2] or 0))[:5]))
+
+
 def test_op5_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(size=6)], i) for i in range(300)]
     rows += [(1000 + i, [0.5] * 6, i) for i in range(120)]  # many equal vectors
-    rows += [(50, rows[50][1], 0), (None, [1.0] * 6, 0), (2000, None, 0), (2050, [], 0), (2100, [1.0, None, 1.0], 0),
-             (2150, [math.nan] * 6, 0), (2200, [math.inf] * 6, 0), (2250, [1.0, 2.0], 0), (2251, [2.0, 1.0], 0), (2300, [0.0] * 6, 0)]
+    rows += [(50, rows[50][1], 0), (50, [3.0] * 6, 0), (77, [4.0] * 6, 0), (None, [1.0] * 6, 0), (None, [9.0] * 6, 0), (2000, None, 0),
+             (2050, [], 0), (2051, [], 0), (2100, [1.0, None, 1.0], 0), (2150, [math.nan] * 6, 0), (2200, [math.inf] * 6, 0),
+             (2250, [1.0, 2.0], 0), (2251, [2.0, 1.0], 0), (2300, [0.0] * 6, 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
-    vectors = {}
-    for i, e, _ in rows:
-        if i is not None and e and all(x is not None and math.isfinite(x) for x in e):
-            vectors[i] = np.floor(256 * np.array(e, np.float32).astype(float)).astype(int)
-    want = set()
-    for q, v in vectors.items():
-        if q % 50 == 0:
-            best = sorted((-int(v @ c), i) for i, c in vectors.items() if i != q and len(c) == len(v))[:5]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    want = best_by_loops([r[:2] for r in rows], np.float32)
     for page, tree_rows in ((48, 250_000), (4, 250_000), (48, 40)):
-        got = {tuple(r) for r in mtree.top_k(table, page=page, tree_rows=tree_rows).collect()}
-        assert got == want
+        assert Counter(tuple(r) for r in mtree.top_k(table, page=page, tree_rows=tree_rows).collect()) == want
     assert mtree.top_k(table.limit(0)).count() == 0
 
 
 def test_op5_keeps_long_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.integers(-50, 50, 4)]) for i in range(120)]
-    rows += [(150, [2.0 ** 21, 0.0, 0.0, 0.0]), (151, [2.0 ** 21, 1.0, -3.0, 0.0]), (200, [2.0 ** 21 + 1, 5.0, 0.0, 7.0]), (152, [2.0 ** 40, 0.0, 0.0, 0.0])]
+    rows += [(150, [2.0 ** 21, 0.0, 0.0, 0.0]), (151, [2.0 ** 21, 1.0, -3.0, 0.0]), (200, [2.0 ** 21 + 1, 5.0, 0.0, 7.0]),
+             (152, [2.0 ** 40, 0.0, 0.0, 0.0]), (250, [0.0, 2.0 ** 40, 1.0, 0.0]), (153, [0.0, 1.0, 1e300, 3.0]), (300, [0.0, 1.0, 0.0, 0.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
-    vectors = {i: [math.floor(256 * x) for x in e] for i, e in rows if i != 152}
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
-    want = set()
-    for q, v in vectors.items():
-        if q % 50 == 0:
-            best = sorted((-dot(v, c), i) for i, c in vectors.items() if i != q)[:5]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     for page, tree_rows in ((48, 250_000), (4, 40)):
-        assert {tuple(r) for r in mtree.top_k(table, page=page, tree_rows=tree_rows).collect()} == want
+        assert Counter(tuple(r) for r in mtree.top_k(table, page=page, tree_rows=tree_rows).collect()) == best_by_loops(rows)
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0 ** 26, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in mtree.top_k(two).collect()] == [(0, 1, 1, 2 ** 42)]
 
 
 def test_op6_counts_and_base_score(spark, odd):
