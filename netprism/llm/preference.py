@@ -26,7 +26,7 @@ from .common import stored
 def preference_segments(turns: DataFrame) -> DataFrame:
     """Segments of ``turns(pair_id, side, turn, role, text)``, side 'chosen' or
     'rejected': pair_id, part (prompt, chosen, rejected), turn, header, text,
-    mask and prefix_turns (turns of the common prefix)."""
+    and mask."""
     empty = F.lit("")
     said = F.struct(F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     sides = stored(
@@ -49,25 +49,28 @@ def preference_segments(turns: DataFrame) -> DataFrame:
 
 
 def swapped_replies(conversations: DataFrame, step: int = 1) -> DataFrame:
-    """Pairs from plain conversations: chosen is the conversation up to its
-    last assistant turn, rejected the same with that turn's text taken from
-    conversation ``conv_id + step``.  Conversations without an assistant turn
-    give no pair; one whose partner is missing gets an empty rejected reply."""
+    """Pairs from plain conversations: chosen is the whole conversation; rejected has its turns before its first
+    assistant turn and then those of conversation ``conv_id + step`` from that one's first assistant turn on,
+    numbered to follow.  So every turn of every conversation stands in its own pair, and the sides part wherever
+    they begin to differ.  A conversation without an assistant turn is its own rejected side
+    (nothing to prefer); one without a partner has an empty rejected completion.
+    Of a turn that is given several times the smallest by role and text counts."""
+    empty = F.lit("")
+    said = F.struct(F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"),
-                                "role", "text").where(F.col("pair_id").isNotNull() & F.col("turn").isNotNull())
-    reply = F.when(F.col("role") == "assistant", F.struct(
-        "turn", F.coalesce("text", F.lit("")).alias("text")))
-    last = rows.groupBy("pair_id").agg(F.max("turn").alias("_end"), F.max(reply).alias("_reply")).where(
-        F.col("_reply").isNotNull()).select("pair_id", F.col("_reply.turn").alias("_at"), F.col("_reply.text").alias("_text"))
-    last = stored(last, "last-replies")
-    other = last.select((F.col("pair_id") - step).alias("pair_id"), F.col("_text").alias("_other"))
-    swap = stored(last.select("pair_id", "_at").join(other, "pair_id", "left"), "swaps")
-    joined = rows.join(swap, "pair_id").where(F.col("turn") <= F.col("_at"))
-    chosen = joined.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    swapped = (F.col("turn") == F.col("_at")) & (F.col("role") == "assistant")
-    rejected = joined.select("pair_id", F.lit("rejected").alias("side"), "turn", "role", F.when(
-        swapped, F.coalesce("_other", F.lit(""))).otherwise(F.col("text")).alias("text"))
-    return chosen.unionByName(rejected)
+                                said.alias("said")).where(F.col("pair_id").isNotNull() & F.col("turn").isNotNull())
+    turns = stored(rows.groupBy("pair_id", "turn").agg(F.min("said").alias("said"))
+                   .select("pair_id", "turn", "said.role", "said.text"), "turns")
+    first = stored(turns.where(F.col("role") == "assistant").groupBy("pair_id").agg(F.min("turn").alias("_at")), "replies")
+    own = turns.join(first, "pair_id", "left")
+    kept = own.where(F.col("_at").isNull() | (F.col("turn") < F.col("_at")))
+    after = own.where(F.col("turn") >= F.col("_at")).select(
+        (F.col("pair_id") - step).alias("pair_id"), (F.col("turn") - F.col("_at")).alias("_on"), "role", "text")
+    taken = after.join(first, "pair_id").withColumn("turn", F.col("_at") + F.col("_on"))
+    columns = ["pair_id", "turn", "role", "text"]
+    rejected = kept.select(columns).unionByName(taken.select(columns))
+    return (turns.withColumn("side", F.lit("chosen")).unionByName(rejected.withColumn("side", F.lit("rejected")))
+            .select("pair_id", "side", "turn", "role", "text"))
 
 
 def examples(segments: DataFrame) -> DataFrame:

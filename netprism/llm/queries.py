@@ -170,14 +170,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_preference_pairs": r"""
 WITH t AS (SELECT conv_id AS pair_id, turn, min(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))) AS said,
                   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-a AS (SELECT pair_id, max(turn) AS at FROM t WHERE said.role = 'assistant' GROUP BY pair_id),
-l AS (SELECT a.pair_id, a.at, t.said.text AS reply FROM a JOIN t ON a.pair_id = t.pair_id AND a.at = t.turn),
-s AS (SELECT l.pair_id, l.at, coalesce(o.reply, '') AS other FROM l LEFT JOIN l o ON o.pair_id = l.pair_id + 1),
-c AS (SELECT t.pair_id, t.turn, t.said, t.turn = s.at AND t.said.text <> s.other AS forked, s.other
-      FROM t JOIN s ON t.pair_id = s.pair_id AND t.turn <= s.at),
-u AS (SELECT pair_id, CASE WHEN forked THEN 'chosen' ELSE 'prompt' END AS part, turn, said.role AS role, said.text AS text FROM c
-      UNION ALL SELECT pair_id, 'rejected', turn, said.role, other FROM c WHERE forked)
-SELECT pair_id, part, turn, concat('<|', role, '|>', chr(10)) AS header, concat(text, chr(10)) AS text,
-       CAST(CASE WHEN part <> 'prompt' THEN 1 ELSE 0 END AS INTEGER) AS mask
+a AS (SELECT pair_id, min(turn) AS pos FROM t WHERE said.role = 'assistant' GROUP BY pair_id),
+r AS (SELECT t.pair_id, t.turn, t.said FROM t LEFT JOIN a USING (pair_id) WHERE pos IS NULL OR t.turn < pos
+      UNION ALL
+      SELECT own.pair_id, own.pos + t.turn - other.pos, t.said
+      FROM t JOIN a other USING (pair_id) JOIN a own ON own.pair_id + 1 = other.pair_id WHERE t.turn >= other.pos),
+s AS (SELECT coalesce(t.pair_id, r.pair_id) AS pair_id, coalesce(t.turn, r.turn) AS turn, t.said AS c, r.said AS r
+      FROM t FULL JOIN r ON t.pair_id = r.pair_id AND t.turn = r.turn),
+f AS (SELECT pair_id, min(turn) FILTER (WHERE c IS DISTINCT FROM r) AS fork FROM s GROUP BY pair_id),
+u AS (SELECT pair_id, 'prompt' AS part, turn, c AS said FROM s JOIN f USING (pair_id) WHERE fork IS NULL OR turn < fork
+      UNION ALL SELECT pair_id, 'chosen', turn, c FROM s JOIN f USING (pair_id) WHERE turn >= fork AND c IS NOT NULL
+      UNION ALL SELECT pair_id, 'rejected', turn, r FROM s JOIN f USING (pair_id) WHERE turn >= fork AND r IS NOT NULL)
+SELECT pair_id, part, turn, concat('<|', said.role, '|>', chr(10)) AS header, concat(said.text, chr(10)) AS text,
+       CAST(CASE WHEN part <> 'prompt' AND said.role = 'assistant' THEN 1 ELSE 0 END AS INTEGER) AS mask
 FROM u""",
 }

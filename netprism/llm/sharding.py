@@ -2,12 +2,11 @@
 
 Shards stand in racks and racks in regions; a node's weight is the number of
 its shards.  A document descends from the root: at each level every child
-draws ``-ln(u) / weight`` with ``u`` in (0, 1) from a hash of (doc_id, child),
-and the smallest draw wins, so a child is taken in proportion to its weight.
-A draw depends on its own child alone; when weights change, documents move
-only into or out of the subtrees whose weights changed.  Shards fill regions
-in order, so that one more shard after whole regions opens a region of its
-own, and rows move into that shard only (law ``key``).
+has a draw, and the smallest wins.  A shard draws ``-ln(u)`` with ``u`` in (0, 1) from a hash of
+(doc_id, shard), and a rack or region has the smallest draw of its shards, which is
+distributed as ``-ln(u) / weight``, so a child is taken in proportion to its weight.
+When weights change, documents move only into or out of the subtrees whose weights changed, and one more shard,
+wherever it stands, takes rows only into itself (law ``key``).
 
 All draws are Spark column expressions over md5 of the key.  ``slot`` numbers the rows
 of a shard from 0: the digest rows are written once, each written file gets
@@ -38,33 +37,33 @@ def tree(shards: int, rack: int = RACK, region: int = REGION) -> dict:
     return out
 
 
-def weight(node) -> int:
-    return len(node) if isinstance(node, list) else sum(map(weight, node.values()))
+def draw(key: Column, shard: int) -> Column:
+    """-ln(u) with u from the first 52 bits of md5(key, shard)."""
+    digest = F.md5(F.concat(key, F.lit(f"/shard{shard}")).cast("binary"))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / float(2 ** 52))
 
 
-def draw(key: Column, level: str, child: int, w: float) -> Column:
-    """-ln(u) / w with u from the first 52 bits of md5(key, level, child)."""
-    digest = F.md5(F.concat(key, F.lit(f"/{level}{child}")).cast("binary"))
-    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
-    return -F.log((bits + 0.5) / float(2 ** 52)) / F.lit(float(w))
+def smallest(draws: dict[int, Column]) -> Column:
+    """The node with the smallest draw (ties: the smaller number)."""
+    if len(draws) == 1:
+        return F.lit(next(iter(draws)))
+    return F.least(*[F.struct(d.alias("d"), F.lit(c).alias("c")) for c, d in draws.items()])["c"]
 
 
-def smallest(key: Column, level: str, weights: dict[int, int]) -> Column:
-    """The child with the smallest draw (ties: the smaller number)."""
-    if len(weights) == 1:
-        return F.lit(next(iter(weights)))
-    return F.least(*[F.struct(draw(key, level, c, w).alias("d"), F.lit(c).alias("c"))
-                     for c, w in weights.items()])["c"]
+def least_of(columns: list[Column]) -> Column:
+    return columns[0] if len(columns) == 1 else F.least(*columns)
 
 
-def descend(df: DataFrame, key: Column, shards: int, name: str) -> DataFrame:
-    """Adds the column ``name``: the shard of ``key`` among ``shards``."""
+def descend(df: DataFrame, shards: int, name: str) -> DataFrame:
+    """Adds the column ``name``: the shard among ``shards``, from the draws ``_d0``, ``_d1`` and so on."""
     top = tree(shards)
-    df = df.withColumn("_region", smallest(key, "region", {r: weight(n) for r, n in top.items()}))
-    racks = [F.when(F.col("_region") == r, smallest(key, "rack", {k: weight(n) for k, n in node.items()}))
-             for r, node in top.items()]
-    df = df.withColumn("_rack", F.coalesce(*racks))
-    leaves = [F.when(F.col("_rack") == k, smallest(key, "shard", dict.fromkeys(leaf, 1)))
+    racks = {k: least_of([F.col(f"_d{s}") for s in leaf]) for node in top.values() for k, leaf in node.items()}
+    regions = {r: least_of([racks[k] for k in node]) for r, node in top.items()}
+    df = df.withColumn("_region", smallest(regions))
+    df = df.withColumn("_rack", F.coalesce(*[F.when(F.col("_region") == r, smallest({k: racks[k] for k in node}))
+                                             for r, node in top.items()]))
+    leaves = [F.when(F.col("_rack") == k, smallest({s: F.col(f"_d{s}") for s in leaf}))
               for node in top.values() for k, leaf in node.items()]
     return df.withColumn(name, F.coalesce(*leaves).cast("int")).drop("_region", "_rack")
 
@@ -76,8 +75,9 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = descend(descend(rows, key, shards, "shard"), key, shards + 1, "grown_shard")
-    rows = stored(rows, "sharded")
+    rows = rows.withColumns({f"_d{s}": draw(key, s) for s in range(shards + 1)})
+    rows = descend(descend(rows, shards, "shard"), shards + 1, "grown_shard")
+    rows = stored(rows.drop(*[f"_d{s}" for s in range(shards + 1)]), "sharded")
     rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     # at most files x shards small rows
     counts = rows.groupBy("shard", "_file").agg(F.count(F.lit(1)).alias("_n"))

@@ -512,17 +512,16 @@ def test_op8_held_out_and_edges(spark, odd):
 
 
 def test_op9_tree_slots_and_growth(spark, odd):
-    def draw(key, level, child, w):
-        bits = int(hashlib.md5(f"{key}/{level}{child}".encode()).hexdigest()[:13], 16)
-        return -math.log((bits + 0.5) / 2 ** 52) / w
+    def draw(key, shard):
+        bits = int(hashlib.md5(f"{key}/shard{shard}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 2 ** 52)
 
     def place(key, n):
         top = sharding.tree(n)
-        region = min(top, key=lambda c: (draw(key, "region", c, sharding.weight(top[c])), c)) if len(top) > 1 else 0
-        racks = top[region]
-        rack = min(racks, key=lambda c: (draw(key, "rack", c, len(racks[c])), c)) if len(racks) > 1 else next(iter(racks))
-        leaf = racks[rack]
-        return min(leaf, key=lambda c: (draw(key, "shard", c, 1), c)) if len(leaf) > 1 else leaf[0]
+        of_rack = lambda leaf: min(draw(key, s) for s in leaf)
+        region = min(top, key=lambda r: (min(map(of_rack, top[r].values())), r))
+        rack = min(top[region], key=lambda k: (of_rack(top[region][k]), k))
+        return min(top[region][rack], key=lambda s: (draw(key, s), s))
 
     big = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     for table in (odd, big):
@@ -543,6 +542,14 @@ def test_op9_tree_slots_and_growth(spark, odd):
     assert sharding.shard_documents(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 5, 15, 18, 20, 25])
+def test_op9_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    got = sharding.shard_documents(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), shards).collect()
+    assert all(r["grown_shard"] in (r["shard"], shards) for r in got)
+    moved = sum(r["grown_shard"] == shards for r in got)
+    assert 3000 / (shards + 1) * 0.6 < moved < 3000 / (shards + 1) * 1.4
+
+
 def test_op10_prefix_masks_and_edges(spark):
     rows = [(1, "chosen", 0, "user", "q"), (1, "rejected", 0, "user", "q"), (1, "chosen", 1, "assistant", "good"), (1, "rejected", 1, "assistant", "bad"),
             (1, "rejected", 2, "user", None), (2, "chosen", 0, "user", "same"), (2, "rejected", 0, "user", "same"), (2, "rejected", 0, "user", "same"),
@@ -556,7 +563,18 @@ def test_op10_prefix_masks_and_edges(spark):
     assert one[1]["prompt"] == "<|user|>\nq\n"
     assert [(x["text"], x["mask"]) for x in one[1]["chosen"]] == [("<|assistant|>\n", 0), ("good\n", 1)]
     assert preference.preference_segments(turns.limit(0)).count() == 0
-    conv = spark.createDataFrame([(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "c"), (1, 0, "user", "a"), (1, 1, "assistant", "d"),
-                                  (2, 0, "user", "lonely"), (None, 0, "assistant", "z"), (3, None, "assistant", "z")], "conv_id long, turn long, role string, text string")
-    got = sorted((r["pair_id"], r["turn"], r["part"], r["text"]) for r in preference.preference_segments(preference.swapped_replies(conv)).collect())
-    assert got == [(0, 0, "prompt", "a\n"), (0, 1, "chosen", "b\n"), (0, 1, "rejected", "d\n"), (1, 0, "prompt", "a\n"), (1, 1, "chosen", "d\n"), (1, 1, "rejected", "\n")]
+
+
+def test_op10_pairs_of_conversations(spark):
+    conv = spark.createDataFrame([
+        (0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "c"), (0, 3, "assistant", "z"), (0, 3, "assistant", "m"),
+        (1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 4, "assistant", "e"),
+        (1, 5, "user", "f"), (2, 0, "user", "lonely"), (None, 0, "assistant", "z"), (3, None, "assistant", "z"),
+        (4, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    got = sorted((r["pair_id"], r["turn"], r["part"], r["text"], r["mask"])
+                 for r in preference.preference_segments(preference.swapped_replies(conv)).collect())
+    # the sides of 0 agree until turn 3; of the repeated turn the smallest text counts
+    assert got == [(0, 0, "prompt", "a\n", 0), (0, 1, "prompt", "b\n", 0), (0, 2, "prompt", "c\n", 0), (0, 3, "chosen", "m\n", 1),
+                   (0, 3, "rejected", "e\n", 1), (0, 4, "rejected", "f\n", 0), (1, 0, "prompt", "s\n", 0), (1, 1, "prompt", "a\n", 0),
+                   (1, 2, "chosen", "b\n", 1), (1, 3, "chosen", "c\n", 0), (1, 4, "chosen", "e\n", 1), (1, 5, "chosen", "f\n", 0),
+                   (2, 0, "prompt", "lonely\n", 0), (4, 0, "chosen", "x\n", 1)]
