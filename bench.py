@@ -21,7 +21,8 @@ HEADLINE = [
     "W12_interarrival_stats", "L01_abs_correlation", "L07_mutual_information",
     "E06_stratified_split_hash", "E10_robust_and_minmax", "V02_weighted_metrics",
     "X06_request_features", "X11_per_ip_profile", "B02_string_profile", "B03_bigram_top100",
-    "R07_risk_level", "M05_isolation_forest", "M01_flows_forest",
+    "R07_risk_level", "M05_isolation_forest", "M01_flows_forest", "M01_deep_forest",
+    "E09_smote_neighbours",
 ]
 
 
