@@ -36,6 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,7 +216,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 4096, page
         rows = pa.Table.from_batches(held)
         ids = rows["vec_id"].to_numpy()
         short = rows["v"].is_valid().to_numpy()
-        size = np.array([len(v if v.is_valid else r) for v, r in zip(rows["v"], rows["raw"], strict=True)])
+        lengths = [pc.fill_null(pc.list_value_length(rows[c]), 0).to_numpy() for c in ("v", "raw")]
+        size = np.where(short, *lengths)
         big = {i: whole(rows["raw"][i].as_py()) for i in np.flatnonzero(~short).tolist()}
         flat = rows["v"].combine_chunks()
         flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy()
