@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import find_column
-from ..functions.safe import bounded_broadcast, pandas_div
+from ..functions.safe import bounded_broadcast, finite_or_null, pandas_div
 
 # Fixed values (reference behaviour): TCP flag weights, port ranges, epsilon.
 FLAG_WEIGHTS = (("SYN", 1), ("ACK", 2), ("FIN", 4), ("RST", 8), ("PSH", 16), ("URG", 32))
@@ -21,7 +21,7 @@ WELL_KNOWN_PORT_LIMIT = 1024
 EPHEMERAL_LOW, EPHEMERAL_HIGH = 49152, 65535
 CV_EPS = 1e-6
 
-# Feature log rows (F13): name -> (type, formula, usefulness).
+# Feature log rows (F13): name -> (type, formula, usefulness).  The formulas are fixed values.
 FEATURE_DOC = {
     "Packet_Ratio": ("Statistical", "Total Fwd Packets / (Total Backward Packets + 1)",
                      "Communication asymmetry"),
@@ -130,11 +130,19 @@ def engineer_flow_features(df: DataFrame, only: Sequence[str] | None = None) ->
 
 
 def feature_log(df: DataFrame) -> DataFrame:
-    """(Feature, Type, Formula, Usefulness) for the features that apply to ``df``."""
-    rows = [(n, *FEATURE_DOC[n]) for n in flow_feature_columns(df.columns)]
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "Feature string, Type string, Formula string, "
-                                       "Usefulness string")
+    """Feature, Type, Formula and Usefulness of the features that apply to ``df``, with what its rows make of
+    them: n_rows, n_values (finite ones), lowest and highest value, from one pass."""
+    exprs = flow_feature_columns(df.columns)
+    if not exprs:
+        return df.sparkSession.createDataFrame([], "Feature string, Type string, Formula string, Usefulness string, "
+                                                   "n_rows long, n_values long, lowest double, highest double")
+    aggs, parts = [F.count(F.lit(1)).alias("n_rows")], []
+    for i, (name, e) in enumerate(exprs.items()):
+        value = finite_or_null(e.cast("double"))
+        aggs += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"a{i}"), F.max(value).alias(f"b{i}")]
+        parts.append(", ".join([*(repr(x) for x in (name, *FEATURE_DOC[name])), f"n{i}", f"a{i}", f"b{i}"]))
+    return df.agg(*aggs).selectExpr(f"stack({len(parts)}, {', '.join(parts)}) as "
+                                    "(Feature, Type, Formula, Usefulness, n_values, lowest, highest)", "n_rows")
 
 
 # ----------------------------------------------------------------- documents-only features

@@ -103,9 +103,21 @@ def f12(spark, sf):
     return df.select("flow_id", r6("Service_Count_Ratio").alias("service_count_ratio"))
 
 
-@query("F13_feature_log")
+def _log_sql():
+    parts = []
+    for name, expr in _F.values():
+        kind, formula, use = feat.FEATURE_DOC[name]
+        parts.append(f"SELECT '{name}' AS Feature, '{kind}' AS Type, '{formula}' AS Formula, '{use}' AS Usefulness, count(*) AS n_rows,"
+                     f" count({expr}) AS n_values, round(CAST(min({expr}) AS DOUBLE), 6) AS lowest,"
+                     f" round(CAST(max({expr}) AS DOUBLE), 6) AS highest FROM flows")
+    return with_ctes(" UNION ALL ".join(parts), FLOWS_SQL)
+
+
+@query("F13_feature_log", _log_sql())
 def f13(spark, sf):
-    return feat.feature_log(flows(spark, sf))
+    """The feature log of the flows, with the values that their rows give."""
+    log = feat.feature_log(flows(spark, sf))
+    return log.withColumns({"lowest": r6("lowest"), "highest": r6("highest")})
 
 
 @query("F15_half_open_window_ratio", with_ctes(
