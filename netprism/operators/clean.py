@@ -24,6 +24,12 @@ from .quantiles import exact_median, exact_quantiles
 
 UNKNOWN = "Unknown"
 
+# Texts of the cleaning log that its readers look for.
+LOG_COPIES = "{:,} duplicate records"
+LOG_MISSING = "{:,} missing values ({:.2f}%)"
+LOG_MEDIAN = "Filled with median ({:.2f})"
+LOG_MODE = "Filled with mode ({})"
+
 
 # ------------------------------------------------------------------ C01 / C13
 
@@ -270,7 +276,7 @@ def fit_cleaning(df: DataFrame, exact_median: bool = True,
     dedup = df.dropDuplicates().checkpoint(eager=True)
     m.rows_after = dedup.count()
     if m.rows_before > m.rows_after:
-        m.log.append(("All", f"{m.rows_before - m.rows_after:,} duplicate records",
+        m.log.append(("All", LOG_COPIES.format(m.rows_before - m.rows_after),
                       "Kept one of each", "Copies would count twice in every statistic"))
     from .profile import missing_counts
 
@@ -285,11 +291,10 @@ def fit_cleaning(df: DataFrame, exact_median: bool = True,
         if c in miss:
             pct = miss[c] * 100.0 / max(m.rows_after, 1)
             if c in m.medians:
-                action = f"Filled with median ({m.medians[c]:.2f})" if m.medians[c] is not None \
-                    else "Left as is (all null)"
+                action = LOG_MEDIAN.format(m.medians[c]) if m.medians[c] is not None else "Left as is (all null)"
             else:
-                action = f"Filled with mode ({m.modes[c]})"
-            m.log.append((c, f"{miss[c]:,} missing values ({pct:.2f}%)", action,
+                action = LOG_MODE.format(m.modes[c])
+            m.log.append((c, LOG_MISSING.format(miss[c], pct), action,
                           "A typical value leaves the column's centre in place"))
     filled = fill_values(dedup, {**m.medians, **m.modes})
     ids = identifier_drop_list(filled, identifier_match)
