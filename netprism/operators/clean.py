@@ -232,6 +232,9 @@ class CleaningModel:
     cols_before: int = 0
     cols_after: int = 0
 
+    # the written, de-duplicated rows of the fit (not part of the saved state)
+    fitted = None
+
     def transform(self, df: DataFrame, dedup: bool = True) -> DataFrame:
         if dedup:
             df = df.dropDuplicates()
@@ -273,7 +276,7 @@ def fit_cleaning(df: DataFrame, exact_median: bool = True,
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    dedup = df.dropDuplicates().checkpoint(eager=True)
+    dedup = m.fitted = df.dropDuplicates().checkpoint(eager=True)
     m.rows_after = dedup.count()
     if m.rows_before > m.rows_after:
         m.log.append(("All", LOG_COPIES.format(m.rows_before - m.rows_after),
