@@ -2,8 +2,9 @@
 
 Scalers are a one-row aggregate turned into literals (no join, no window);
 label codes come from the small distinct-label table joined back with a
-checked broadcast; splits rank rows inside their class without a per-class
-window (``group_row_number``), so one dominant class is spread over tasks.
+checked broadcast; splits cut the hash order of a class at one value
+(``splits``) or rank rows inside their class without a per-class window
+(``group_row_number``), so one dominant class is spread over tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.safe import bounded_broadcast, null_safe_join
 from .quantiles import exact_quantiles
+from .splits import split_by_hash
 from .windows import dense_row_id, group_row_number
 
 
@@ -158,19 +160,17 @@ def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], test_fra
     """Exact stratified split: in every class the first round(f * n_c) rows
     of a seeded hash order (or of the id order, ``order='id'``) are test rows.
 
-    Repeatable (same seed -> same split), exact per class, and skew safe: the
+    Repeatable (same seed -> same split), exact per class, and skew safe: the hash
+    order needs one cut value per class (``splits``) and no sort; in id order the
     per-class rank comes from ``group_row_number`` and the class sizes from a
     small aggregate broadcast back."""
-    key = (F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)) if order == "hash"
-           else None)
-    base = df.withColumn("__h", key) if key is not None else df
-    order_cols = ["__h", *id_cols] if key is not None else list(id_cols)
-    ranked = group_row_number(base, [label], order_cols, name="__r")
+    if order == "hash":
+        return split_by_hash(df, label, id_cols, [test_fraction], ["test", "train"], seed)
+    ranked = group_row_number(df, [label], list(id_cols), name="__r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     j = null_safe_join(ranked, bounded_broadcast(sizes), [label])
     test = F.col("__r") < F.round(F.col("__nc") * test_fraction)
-    out = j.withColumn("split", F.when(test, "test").otherwise("train"))
-    return out.drop("__r", "__nc", *(["__h"] if key is not None else []))
+    return j.withColumn("split", F.when(test, "test").otherwise("train")).drop("__r", "__nc")
 
 
 def split_statistics(df: DataFrame, label: str, split: str = "split") -> DataFrame:
@@ -199,15 +199,9 @@ def temporal_split(df: DataFrame, order_by: Sequence[str], fractions=(0.7, 0.15,
 
 def random_split_3(df: DataFrame, id_cols: Sequence[str], label: str, seed: int = 42,
                    fractions=(0.7, 0.15, 0.15)) -> DataFrame:
-    """Stratified 70/15/15 via per-class positions in a seeded hash order."""
-    base = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)))
-    ranked = group_row_number(base, [label], ["__h", *id_cols], name="__r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    j = null_safe_join(ranked, bounded_broadcast(sizes), [label])
-    a, b = fractions[0], fractions[0] + fractions[1]
-    split = (F.when(F.col("__r") < F.round(F.col("__nc") * a), "train")
-             .when(F.col("__r") < F.round(F.col("__nc") * b), "validation").otherwise("test"))
-    return j.withColumn("split", split).drop("__h", "__r", "__nc")
+    """Stratified 70/15/15 by two hash cuts per class."""
+    return split_by_hash(df, label, id_cols, [fractions[0], fractions[0] + fractions[1]],
+                         ["train", "validation", "test"], seed)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
