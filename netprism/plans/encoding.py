@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import r6
 from ..operators import encode as enc
-from ..operators import smote
+from ..operators import pca, smote
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
 
@@ -62,6 +62,38 @@ def e05(spark, sf):
                       r6("cumulative").alias("cumulative"), "kept")
 
 
+@query("E05_pca_axes", "SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(corr(a.x, b.x), 6) + 0.0 AS correlation FROM ("
+       " SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) a JOIN ("
+       " SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) b"
+       " ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+def e05_axes(spark, sf):
+    """The axes and variances of all components put together again: sum of variance * axis * axis' is the
+    correlation matrix of the vectors, which SQL computes from the rows."""
+    parts = pca.axes(table(spark, sf, "embeddings"), vector="embedding")
+    left = parts.select("component", "variance", F.posexplode("axis").alias("i", "a"))
+    right = parts.select("component", F.posexplode("axis").alias("j", "b"))
+    both = left.join(right, "component").where("i <= j")
+    return both.groupBy("i", "j").agg((r6(F.sum(F.col("variance") * F.col("a") * F.col("b"))) + 0.0).alias("correlation"))
+
+
+@query("E05_pca_invariants", "SELECT CAST(max(len(embedding)) AS INTEGER) AS n_components, max(len(embedding))::DOUBLE AS total_variance,"
+       " 0 AS n_not_orthonormal, 0 AS n_wrong_cut, 1.0::DOUBLE AS last_cumulative FROM embeddings")
+def e05_invariants(spark, sf):
+    """Components, their variances together (one for each standardised column), pairs of axes that are not
+    orthonormal, components on the wrong side of the 95 % cut, the last cumulative share."""
+    parts = pca.axes(table(spark, sf, "embeddings"), vector="embedding", threshold=0.95)
+    other = parts.select(F.col("component").alias("c2"), F.col("axis").alias("axis2"))
+    dot = F.aggregate(F.zip_with("axis", "axis2", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    pairs = parts.join(other, F.col("component") <= F.col("c2")).select(
+        (F.abs(dot - (F.col("component") == F.col("c2")).cast("double")) > 1e-9).alias("off"))
+    off = pairs.agg(F.count_if("off").cast("int").alias("n_not_orthonormal"))
+    wrong = F.col("kept") != (F.round(F.col("cumulative") - F.col("share"), 12) <= 0.95)
+    whole = parts.agg(F.count(F.lit(1)).cast("int").alias("n_components"), r6(F.sum("variance")).alias("total_variance"),
+                      F.count_if(wrong).cast("int").alias("n_wrong_cut"), r6(F.max("cumulative")).alias("last_cumulative"))
+    rows = whole.unionByName(off, allowMissingColumns=True)  # two rows, each with the columns the other lacks
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 _E06_ORDER = ", ".join(f"{c} NULLS FIRST" for c in (
     "flow_id", "ts", "source_id", "destination_port", "flow_duration", "total_fwd_packets",
     "total_backward_packets", "total_length_of_fwd_packets", "total_length_of_bwd_packets",
@@ -136,6 +168,22 @@ def e09b(spark, sf):
                                                              "l_discount"], "l_orderkey")
 
 
+@query("E09_oversampling_invariants", "SELECT count(*) AS n_synthetic, 0 AS n_outside, 0 AS n_other_class FROM lineitem"
+       " WHERE l_returnflag = 'A'")
+def e09_invariants(spark, sf):
+    """Rows made along the projection: one for each row of the class, none outside the class's range of any feature."""
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = table(spark, sf, "lineitem").select("l_orderkey", *features, "l_returnflag")
+    made = enc.oversample_minority(li, "l_returnflag", "A", features, "l_orderkey")
+    ends = li.where("l_returnflag = 'A'").agg(*[F.min(c).alias(f"lo_{c}") for c in features],
+                                              *[F.max(c).alias(f"hi_{c}") for c in features]).first()
+    inside = F.lit(True)
+    for c in features:
+        inside = inside & F.col(c).between(ends[f"lo_{c}"] - 1e-6, ends[f"hi_{c}"] + 1e-6)
+    return made.agg(F.count(F.lit(1)).alias("n_synthetic"), F.count_if(~inside).cast("int").alias("n_outside"),
+                    F.count_if(F.col("l_returnflag") != "A").cast("int").alias("n_other_class"))
+
+
 @query("E09_smote_neighbours", "SELECT count(*) AS n_synthetic, 0 AS n_off_segment, 5 AS fewest_neighbours FROM lineitem"
        " WHERE l_returnflag = 'A'")
 def e09c(spark, sf):

@@ -67,6 +67,23 @@ def m03(spark, sf):
     return p.select("doc_id", vector_to_array("probability").alias("probability"), "confidence")
 
 
+@query("M02_M03_forest_invariants", "SELECT count(*) AS n_rows, CAST(2 AS BIGINT) AS n_splits, 0 AS n_bad_probabilities,"
+       " 0 AS n_bad_confidence, 0 AS n_unknown_class FROM documents JOIN labels USING (doc_id)")
+def m02_m03_invariants(spark, sf):
+    """The forest with default leaf and split sizes on every labelled document: rows whose probabilities do not sum
+    to 1, whose confidence is not the largest of them, whose class is none of the table's."""
+    from pyspark.ml.functions import vector_to_array
+
+    model, _, data = _fit(spark, sf, min_instances=1)
+    p = models.predict_with_confidence(model, data, "label").withColumn("p", vector_to_array("probability"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    classes = [r[0] for r in data.select("label").distinct().limit(100).collect()]  # two values of quality
+    return p.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("split").alias("n_splits"),
+                 F.count_if(F.abs(total - 1) > 1e-9).cast("int").alias("n_bad_probabilities"),
+                 F.count_if(F.abs(F.array_max("p") - F.col("confidence")) > 1e-12).cast("int").alias("n_bad_confidence"),
+                 F.count_if(~F.col("predicted_label").isin(classes)).cast("int").alias("n_unknown_class"))
+
+
 @query("M04_feature_importance")
 def m04(spark, sf):
     model, inputs, _ = _fit(spark, sf)
@@ -96,6 +113,22 @@ def m05(spark, sf):
     return flagged.select("row_id", "flow_id", r6("score").alias("score"), "anomaly", "is_anomaly")
 
 
+@query("M05_anomaly_invariants", "SELECT count(*) AS n_rows, true AS share_holds, 0 AS n_bad_scores, true AS in_order"
+       " FROM lineitem")
+def m05_invariants(spark, sf):
+    """The isolation forest on all flows: rows scored, whether at most 5 % and (but for equal scores) as many are
+    flagged, scores outside (0, 1), whether every flagged row scores above every other."""
+    x, cols = wids_matrix(spark, sf)
+    forest = models.fit_isolation_forest(x, cols, n_trees=200, sample_size=256, seed=42)
+    scored = models.score_isolation_forest(x, forest).checkpoint(eager=True)
+    flagged, threshold = models.flag_by_contamination(scored, "score", 0.05)
+    n, hit, reach = F.count(F.lit(1)), F.sum("is_anomaly"), F.count_if(F.col("score") >= F.lit(threshold) - 1e-12)
+    return flagged.agg(n.alias("n_rows"), ((hit <= F.ceil(n * 0.05)) & (reach >= F.floor(n * 0.05))).alias("share_holds"),
+                       F.count_if(~F.col("score").between(1e-9, 1 - 1e-9)).cast("int").alias("n_bad_scores"),
+                       (F.max(F.when(F.col("is_anomaly") == 0, F.col("score")))
+                        < F.min(F.when(F.col("is_anomaly") == 1, F.col("score")))).alias("in_order"))
+
+
 @query("M06_contamination_threshold",
        "SELECT count(*) AS total, CAST(count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95)"
        " FROM events)) AS BIGINT) AS anomalies, round(count_if(value / 100.0 > (SELECT quantile_cont(value / 100.0, 0.95) FROM events))"
@@ -116,8 +149,7 @@ def m07(spark, sf):
                  r6(1.0 / F.count(F.lit(1))).alias("random_accuracy"))
 
 
-@query("M08_two_stage_cascade")
-def m08(spark, sf):
+def _cascade(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     e = table(spark, sf, "embeddings")
@@ -129,8 +161,24 @@ def m08(spark, sf):
     s = encode.stratified_split(df, "label", ["vec_id"], 0.2, seed=42)
     train = models.spread_training(s.where(F.col("split") == "train"), ["vec_id"])
     test = s.where(F.col("split") == "test")
-    out = models.two_stage(train, test, feats, "label", "0", num_trees=30)
-    return out.select("vec_id", "label", "final_prediction")
+    return models.two_stage(train, test, feats, "label", "0", num_trees=30)
+
+
+@query("M08_two_stage_cascade")
+def m08(spark, sf):
+    return _cascade(spark, sf).select("vec_id", "label", "final_prediction")
+
+
+@query("M08_cascade_invariants", "SELECT CAST(sum(CAST(round(n * 0.2) AS BIGINT)) AS BIGINT) AS n_rows, 0 AS n_without_class,"
+       " 0 AS n_unknown_class FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+def m08_invariants(spark, sf):
+    """The cascade on the test rows of every class: each has a prediction, and it is a class of the table."""
+    out = _cascade(spark, sf).select("vec_id", "final_prediction")
+    known = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("known")).distinct()
+    j = out.join(known, out["final_prediction"] == known["known"], "left")
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("final_prediction").isNull()).cast("int")
+                 .alias("n_without_class"), F.count_if(F.col("final_prediction").isNotNull() & F.col("known").isNull())
+                 .cast("int").alias("n_unknown_class"))
 
 
 def flows_with_service(spark, sf):

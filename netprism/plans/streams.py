@@ -77,8 +77,8 @@ def z05(spark, sf):
     return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
 
 
-@query("Z03_score_stream_alerts")
-def z03(spark, sf):
+def _stream_alerts(spark, sf):
+    """The model, and the alerts that the stream of documents wrote."""
     from ..operators import evaluate as ev
     from ..operators import models
     from .modeling import _fit, doc_features
@@ -92,7 +92,28 @@ def z03(spark, sf):
     out = scratch_path(spark, "z03-out")
     zs.run_available(alerts.select("doc_id", "prediction_name", "confidence", "priority"), "append",
                      zs.append_sink(out), scratch_path(spark, "z03-ckpt"))
-    return spark.read.parquet(out)
+    return model, spark.read.schema("doc_id long, prediction_name string, confidence double, priority string").parquet(out)
+
+
+@query("Z03_score_stream_alerts")
+def z03(spark, sf):
+    return _stream_alerts(spark, sf)[1]
+
+
+@query("Z03_stream_equals_batch", "SELECT count(*) AS n_documents, 0 AS n_different, 0 AS n_repeated FROM documents")
+def z03_equals_batch(spark, sf):
+    """Every document scored in batch by the same model: documents whose alert on the stream is missing, should not be
+    there or names another class, and documents with more than one alert."""
+    from ..operators import models
+    from .modeling import doc_features
+
+    model, alerts = _stream_alerts(spark, sf)
+    batch = models.predict_with_confidence(model, doc_features(table(spark, sf, "documents")), "label")
+    wanted = batch.select("doc_id", F.when(F.col("predicted_label") != "1", F.col("predicted_label")).alias("wanted"))
+    got = alerts.groupBy("doc_id").agg(F.max("prediction_name").alias("got"), F.count(F.lit(1)).alias("n"))
+    return wanted.join(got, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if(~F.col("wanted").eqNullSafe(F.col("got"))).cast("int")
+        .alias("n_different"), F.count_if(F.col("n") > 1).cast("int").alias("n_repeated"))
 
 
 @query("Z01_previous_rows", "SELECT * FROM (SELECT event_id, user_id, round(avg(value) OVER w, 6) AS prev_mean_value,"
