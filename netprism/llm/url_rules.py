@@ -5,7 +5,10 @@ the labelled ones: each is a basket of tokens (labels of the host by their
 place, path segments by theirs, file extension, names of query parameters)
 together with its verdict.  Spark's FP-growth mines token combinations that
 imply a verdict; rules below the least support or confidence, and rules no
-better than a rule with fewer tokens, are pruned.
+better than a rule with fewer tokens, are pruned.  Tokens that stand in the very
+same baskets (the segments of one deep path) are mined as one item: a rule with
+two of them is never better than with one, and n of them would make 2**n
+combinations.  Such an item is met by any of its tokens.
 
 Other urls are matched by an inverted index: a url keeps its tokens that occur
 in some rule, the few different token sets that remain meet the index token by
@@ -72,8 +75,9 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
-    """Pruned rules (rule_id, items, size, verdict, confidence, support) from
-    ``baskets(items, label)``, label 'allow' or 'block'."""
+    """Pruned rules (rule_id, items, size, verdict, confidence, support, alternatives) from
+    ``baskets(items, label)``, label 'allow' or 'block'.  ``alternatives`` has for each item
+    the tokens that stand in the same baskets, the item (their smallest) included."""
     from pyspark.ml.fpm import FPGrowth
 
     verdicts = ["v=allow", "v=block"]
@@ -82,8 +86,12 @@ def mine_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: fl
     total = rows.count()
     frequent = rows.select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= min_support * total)
     names = F.lit([r["t"] for r in frequent.toLocalIterator()]).cast("array<string>")
-    rows = stored(rows.select(F.array_intersect("items", names).alias("items")).where(F.size("items") > 0), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    rows = stored(rows.select(F.array_intersect("items", names).alias("items")).where(F.size("items") > 0)
+                  .withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    equal = equal_tokens(rows)
+    items = F.lit([g[0] for g in equal] + verdicts).cast("array<string>")
+    single = stored(rows.select(F.array_intersect("items", items).alias("items")), "single-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(single)
     rules = (model.associationRules.where(F.array_contains(F.lit(verdicts), F.col("consequent")[0]))
              .select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("size"),
                      F.substring(F.col("consequent")[0], 3, 5).alias("verdict"), "confidence", "support")
@@ -94,17 +102,43 @@ def mine_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: fl
         F.transform("items", lambda t: F.array_except("items", F.array(t)))).alias("part"))
     less = rules.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("c"))
     idle = parts.join(less, ["part", "verdict"]).where(F.col("c") >= F.col("confidence")).select("rule_id").distinct()
-    return stored(rules.join(idle, "rule_id", "left_anti"), "pruned-rules")
+    kept = rules.join(idle, "rule_id", "left_anti")
+    several = [g for g in equal if len(g) > 1]
+    heads = F.lit([g[0] for g in several]).cast("array<string>")
+    tokens = F.array(*[F.lit(g) for g in several]).cast("array<array<string>>")
+
+    def alternatives(t):
+        place = F.array_position(heads, t).cast("int")
+        return F.when(place > 0, F.get(tokens, place - 1)).otherwise(F.array(t))
+
+    return stored(kept.withColumn("alternatives", F.transform("items", alternatives)), "pruned-rules")
+
+
+def equal_tokens(rows: DataFrame) -> list[list[str]]:
+    """The tokens of ``rows(basket, items)`` but the verdicts, in sorted lists of those that stand in the
+    same baskets: as many baskets, and equal 128 bits of hash over them.  ``items`` holds frequent
+    tokens only, so their number is at most the mean tokens of a basket / the least support."""
+    marks = rows.select("basket", F.explode("items").alias("t")).where(~F.startswith("t", F.lit("v="))).groupBy("t").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("basket", F.lit(1))).alias("a"),
+        F.bit_xor(F.xxhash64("basket", F.lit(2))).alias("b"))
+    groups: dict[tuple, list[str]] = {}
+    for r in marks.toLocalIterator():
+        groups.setdefault((r["n"], r["a"], r["b"]), []).append(r["t"])
+    return sorted(sorted(g) for g in groups.values())
 
 
 def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, verdict, items) of the best rule for each token set that some rule fits."""
-    postings = rules.select(F.explode("items").alias("t"), "rule_id")
+    """(tokens, verdict, items) of the best rule for each token set that some rule fits; ``items``
+    are tokens of the set.  ``rules`` may have ``alternatives`` (see ``mine_rules``)."""
+    any_of = F.col("alternatives") if "alternatives" in rules.columns else F.transform("items", lambda t: F.array(t))
+    postings = (rules.select("rule_id", F.posexplode(any_of).alias("place", "any_of"))
+                .select("rule_id", "place", F.explode("any_of").alias("t")))
     if postings.count() <= BROADCAST_ROWS:
         postings = F.broadcast(postings)
     met = (sets.select("tokens", F.explode("tokens").alias("t")).join(postings, "t")
-           .groupBy("tokens", "rule_id").agg(F.count(F.lit(1)).alias("met")))
-    full = met.join(rules, (met["rule_id"] == rules["rule_id"]) & (met["met"] == rules["size"]))
+           .groupBy("tokens", "rule_id", "place").agg(F.min("t").alias("t"))
+           .groupBy("tokens", "rule_id").agg(F.count(F.lit(1)).alias("met"), F.sort_array(F.collect_list("t")).alias("items")))
+    full = met.join(rules.drop("items"), (met["rule_id"] == rules["rule_id"]) & (met["met"] == rules["size"]))
     best = F.max(F.struct("confidence", "support", -F.col("size"), "verdict", "items"))
     return full.groupBy("tokens").agg(best.alias("b")).select("tokens", "b.verdict", "b.items")
 
@@ -121,7 +155,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
                                                           F.col("fit.verdict").alias("label"))
     mined = mine_rules(baskets, min_support, min_confidence)
     # the names that occur in rules: at most (mean tokens of a url) / min_support
-    known = F.lit(sorted(r["t"] for r in mined.select(F.explode("items").alias("t")).distinct().toLocalIterator()))
+    known = F.lit(sorted(r["t"] for r in mined.select(F.explode(F.flatten("alternatives")).alias("t")).distinct().toLocalIterator()))
     rows = rows.withColumn("tokens", F.when(F.col("fit").isNull(), F.array_sort(
         F.array_intersect("tokens", known.cast("array<string>")))))
     sets = rows.where(F.size("tokens") > 0).select("tokens").distinct()
