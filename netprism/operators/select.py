@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import numeric_columns
@@ -159,12 +159,17 @@ def mutual_information(df: DataFrame, cols: Sequence[str], label: str, bins: int
         else:
             b = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))
         binned.append((c, F.coalesce(b.cast("int"), F.lit(-1))))
+    return information(df, binned, label)
+
+
+def information(df: DataFrame, binned: Sequence[tuple[str, Column]], label: str) -> DataFrame:
+    """(feature, mutual_information in nats) of binned columns (name, bin number) and the label."""
     pairs = ", ".join(f"'{c}', b{i}" for i, (c, _) in enumerate(binned))
     # a null label is a class of its own
     wide = df.select(F.when(F.col(label).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(label).cast("string")))
                      .alias("__y"),
                      *[e.alias(f"b{i}") for i, (_, e) in enumerate(binned)])
-    long = wide.selectExpr("__y", f"stack({len(cols)}, {pairs}) as (feature, bin)")
+    long = wide.selectExpr("__y", f"stack({len(binned)}, {pairs}) as (feature, bin)")
     joint = long.groupBy("feature", "bin", "__y").agg(F.count(F.lit(1)).alias("nxy"))
     px = joint.groupBy("feature", "bin").agg(F.sum("nxy").alias("nx"))
     py = joint.groupBy("feature", "__y").agg(F.sum("nxy").alias("ny"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import r6
 from ..operators import content as ct
+from ..operators import heavy_hitters
 from ..sources.tables import table
 from .catalog import query
 
@@ -69,6 +70,12 @@ def b03t(spark, sf):
     return ct.ngram_counts(table(spark, sf, "documents"), "text", 3, 100)
 
 
+@query("B03_bigram_heavy_hitters", _ngram_sql(2))
+def b03_heavy(spark, sf):
+    """The same by summaries of fixed size and an exact count of the candidates."""
+    return heavy_hitters.top_ngrams(table(spark, sf, "documents"), "text", 2, 100)
+
+
 @query("B04_size_category", "SELECT doc_id, CASE WHEN n_chars < 1000 THEN 'tiny' WHEN n_chars < 10000 THEN 'small'"
        " WHEN n_chars < 100000 THEN 'medium' ELSE 'large' END AS size_category,"
        " round((n_chars - (SELECT min(n_chars) FROM documents)) * 1.0 / ((SELECT max(n_chars) FROM documents)"

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions.safe import r6
+from ..operators import discretize
 from ..operators import select as sel
 from ..sources.tables import FLOWS_SQL, flows, table
 from .catalog import query, with_ctes
@@ -120,3 +121,39 @@ def l07(spark, sf):
     mi = sel.mutual_information(flows(spark, sf), _MI_COLS, "label", bins=10)
     return mi.select("feature", r6("mutual_information").alias("mutual_information"),
                      (F.col("mutual_information") > 0.01).alias("selected"))
+
+
+_CUT_COLS = ["syn_flag_count", "ack_flag_count", "fin_flag_count", "total_fwd_packets", "total_backward_packets"]
+
+
+def _cut_sql():
+    """The best first cut over all values of a column, and whether its gain pays for it."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, coalesce(label, '') AS y FROM flows"
+                              for c in _CUT_COLS)
+    return ("lng AS (SELECT * FROM (" + long + """) WHERE x IS NOT NULL),
+cls AS (SELECT feature, y, count(*) AS ny FROM lng GROUP BY ALL),
+grid AS (SELECT v.feature, v.x, c.y, c.ny, (SELECT count(*) FROM lng l WHERE l.feature = v.feature AND l.y = c.y AND l.x < v.x) AS lo
+  FROM (SELECT DISTINCT feature, x FROM lng) v JOIN cls c ON c.feature = v.feature),
+sums AS (SELECT feature, x, sum(ny) AS n, sum(lo) AS nl, sum(ny - lo) AS nr, count(*) AS k,
+  count(*) FILTER (lo > 0) AS kl, count(*) FILTER (ny > lo) AS kr,
+  log2(sum(ny)) - sum(ny * log2(ny)) / sum(ny) AS h,
+  log2(sum(lo)) - sum(CASE WHEN lo > 0 THEN lo * log2(lo) ELSE 0 END) / sum(lo) AS hl,
+  log2(sum(ny - lo)) - sum(CASE WHEN ny > lo THEN (ny - lo) * log2(ny - lo) ELSE 0 END) / sum(ny - lo) AS hr
+  FROM (SELECT *, sum(lo) OVER (PARTITION BY feature, x) AS below FROM grid) WHERE below > 0 GROUP BY feature, x),
+gains AS (SELECT *, h - (nl * hl + nr * hr) / n AS gain FROM sums),
+firsts AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, x) = 1)""")
+
+
+@query("L07_supervised_first_cut", with_ctes(
+    "SELECT feature, x AS cut, round(gain, 6) AS gain, gain > (log2(n - 1) + log2(pow(3, k) - 2)"
+    " - (k * h - kl * hl - kr * hr)) / n AS accepted FROM firsts", FLOWS_SQL, _cut_sql()))
+def l07_first_cut(spark, sf):
+    cuts = discretize.mdl_cuts(flows(spark, sf), _CUT_COLS, "label").where("level = 0")
+    return cuts.select("feature", "cut", r6("gain").alias("gain"), "accepted")
+
+
+@query("L07_supervised_information")
+def l07_supervised(spark, sf):
+    """Mutual information of all numeric columns with the label, cut at their accepted cut points."""
+    mi = discretize.mdl_information(flows(spark, sf), _MI_COLS, "label")
+    return mi.select("feature", "n_bins", r6("mutual_information").alias("mutual_information"))
