@@ -240,16 +240,36 @@ def merge_datasets(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+# The documented multi-class codes of each module (code = place in the list; code 0 is no attack).
+LABEL_CODES = {
+    "network": ("Normal", "DDoS", "PortScan", "WebAttack", "Infiltration", "Probe", "R2L", "U2R", "Other"),
+    "web": ("Normal", "SQL Injection", "XSS", "Path Traversal", "Command Injection", "Brute Force", "CSRF", "Other"),
+    "malware": ("Benign", "Trojan", "Worm", "Ransomware", "Rootkit", "Backdoor", "Spyware", "Other"),
+}
+
+
+def label_table(spark, module: str) -> DataFrame:
+    """(raw, category, multi_code, binary_code) of a module of ``LABEL_CODES``; ``raw`` is the category
+    in lower case without spaces (see ``label_key``)."""
+    rows = [(c.lower().replace(" ", ""), c, i, int(i > 0)) for i, c in enumerate(LABEL_CODES[module])]
+    return spark.createDataFrame(rows, "raw string, category string, multi_code int, binary_code int")
+
+
+def label_key(label: Column) -> Column:
+    """A label as ``label_table`` spells it: 'SQL_Injection', ' sql injection' and 'Sql-Injection' are one."""
+    return F.regexp_replace(F.lower(label), r"[\s_-]+", "")
+
+
 def map_labels(df: DataFrame, label: str, mapping: DataFrame, raw: str = "raw",
-               unknown_category: str = "unknown") -> DataFrame:
+               unknown_category: str = "unknown", unknown_code: int = -1) -> DataFrame:
     """raw label -> (category, multi-class code, binary code).
 
     ``mapping`` is a fixed label table (tens of rows, a literal): broadcast is
-    safe.  Unmapped labels get ``unknown`` / -1 / 1 (attack).
+    safe.  Unmapped labels get ``unknown_category`` / ``unknown_code`` / 1 (attack).
     """
     j = df.join(bounded_broadcast(mapping), df[label] == mapping[raw], "left").drop(raw)
     return j.withColumns({
         "category": F.coalesce(F.col("category"), F.lit(unknown_category)),
-        "multi_code": F.coalesce(F.col("multi_code"), F.lit(-1)),
+        "multi_code": F.coalesce(F.col("multi_code"), F.lit(unknown_code)),
         "binary_code": F.coalesce(F.col("binary_code"), F.lit(1)),
     })

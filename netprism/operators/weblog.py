@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # Fixed values (log formats, keyword lists).
 CLF_RE = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d{3}) (\S+)(?: "([^"]*)" "([^"]*)")?$'
 CLF_FIELDS = ("ip", "time", "method", "uri", "version", "status", "size", "referer", "user_agent")
+ELF_FIELDS = ("date", "time", "c-ip", "cs-method", "cs-uri-stem", "cs-uri-query", "cs-version", "sc-status", "sc-bytes",
+              "cs(Referer)", "cs(User-Agent)")
 SPECIAL_TOKENS = ("'", '"', ";", "--", "/*", "*/", "%", "&", "=")
 SQLI_RE = r"(?i)(union\s+select|select\s.+\sfrom|insert\s+into|drop\s+table|\bor\s+1=1|'--|;--)"
 XSS_RE = r"(?i)(<script|javascript:|onerror\s*=|onload\s*=|<iframe|alert\()"
@@ -68,10 +70,45 @@ def parse_json_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] =
         "j.method", "j.uri", "j.version", "j.status", "j.size", "j.referer", "j.user_agent")
 
 
+def elf_fields(lines: DataFrame, line: str = "line") -> list[str] | None:
+    """The names of the first ``#Fields:`` directive (files of one table share it), or None."""
+    row = lines.where(F.startswith(F.col(line), F.lit("#Fields:"))).select(line).first()
+    return row[0][len("#Fields:"):].split() if row else None
+
+
+def parse_elf(lines: DataFrame, fields: Sequence[str] | None = None, line: str = "line",
+              keep: Sequence[str] = ()) -> DataFrame:
+    """W3C extended log lines -> the schema of ``parse_clf``; dates and times are UTC by definition.
+
+    ``fields`` are the directive's names (default: the first one among the lines).  Directives
+    are no rows; a ``-``, an absent field and a value of the wrong type are null.  A ``+`` in the
+    user agent or referer stands for a space."""
+    names = list(fields or elf_fields(lines, line) or ELF_FIELDS)
+    parts = F.split(F.trim(F.col(line)), r"\s+")
+
+    def value(name):
+        if name not in names:
+            return F.lit(None).cast("string")
+        got = F.get(parts, names.index(name))
+        return F.when(got != "-", got)
+
+    stamp = F.concat_ws(" ", value("date"), value("time"))
+    stem, query = value("cs-uri-stem"), value("cs-uri-query")
+    uri = F.coalesce(value("cs-uri"), F.when(query.isNull(), stem).otherwise(F.concat_ws("?", stem, query)))
+    rows = lines.where(~F.startswith(F.col(line), F.lit("#")) | F.col(line).isNull())
+    return rows.select(
+        *keep, value("c-ip").alias("ip"),
+        F.when(stamp.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"), stamp).try_cast("timestamp_ntz").alias("ts"),
+        value("cs-method").alias("method"), uri.alias("uri"), value("cs-version").alias("version"),
+        value("sc-status").try_cast("int").alias("status"), value("sc-bytes").try_cast("bigint").alias("size"),
+        F.translate(value("cs(Referer)"), "+", " ").alias("referer"),
+        F.translate(value("cs(User-Agent)"), "+", " ").alias("user_agent"))
+
+
 def read_logs(spark, path: str, fmt: str = "clf") -> DataFrame:
-    """Text files of log lines (one line per row; files are split by Spark)."""
+    """Text files of log lines (one line per row; files are split by Spark): clf, json or elf."""
     lines = spark.read.text(path).withColumnRenamed("value", "line")
-    return parse_json_lines(lines) if fmt == "json" else parse_clf(lines)
+    return {"json": parse_json_lines, "elf": parse_elf}.get(fmt, parse_clf)(lines)
 
 
 # ----------------------------------------------------------------- URL features

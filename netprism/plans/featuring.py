@@ -224,3 +224,19 @@ def f20(spark, sf):
     return (mapped.groupBy("dataset", "label", "category", "multi_code", "binary_code")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("spkts").alias("spkts"),
                  F.round(F.sum("src_bytes"), 2).alias("src_bytes_sum")))
+
+
+_SPELLED = ["normal", "DDoS", "Port-Scan", "web_attack", "Infiltration", "PROBE", "r2l", "U2R ", "other", "Zero Day"]
+
+
+@query("F20_documented_codes", "SELECT CASE l_orderkey % 10 " + " ".join(
+    f"WHEN {i} THEN '{c}'" for i, c in enumerate(feat.LABEL_CODES["network"])) + " ELSE 'Other' END AS category,"
+    " CAST(least(l_orderkey % 10, 8) AS INTEGER) AS multi_code, CAST(least(l_orderkey % 10, 1) AS INTEGER) AS binary_code,"
+    " count(*) AS n FROM lineitem GROUP BY ALL")
+def f20_codes(spark, sf):
+    """Labels in several spellings, and one that no table has, to the nine documented network classes."""
+    spelled = F.array(*[F.lit(x) for x in _SPELLED])
+    rows = table(spark, sf, "lineitem").select(F.get(spelled, (F.col("l_orderkey") % 10).cast("int")).alias("label"))
+    mapped = feat.map_labels(rows.withColumn("key", feat.label_key(F.col("label"))), "key", feat.label_table(spark, "network"),
+                             unknown_category="Other", unknown_code=8)
+    return mapped.groupBy("category", "multi_code", "binary_code").agg(F.count(F.lit(1)).alias("n"))

@@ -64,6 +64,28 @@ def x01(spark, sf):
     return wl.parse_json_lines(lines, keep=["event_id"])
 
 
+@query("X01_parse_json_all_fields", with_ctes("SELECT * FROM parsed", PARSED_SQL))
+def x01_all(spark, sf):
+    """Every field of the log as JSON lines: the same rows as from the access-log lines."""
+    rows = parsed_weblogs(spark, sf).withColumn("time", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).drop("ts")
+    lines = rows.select("event_id", F.to_json(F.struct(*[c for c in rows.columns if c != "event_id"])).alias("line"))
+    return wl.parse_json_lines(lines, keep=["event_id"])
+
+
+@query("X01_parse_extended_log", with_ctes(
+    "SELECT * REPLACE (CASE WHEN referer = '-' THEN NULL ELSE referer END AS referer) FROM parsed", PARSED_SQL))
+def x01_elf(spark, sf):
+    """The same rows from W3C extended log lines, whose fields a directive among the lines names."""
+    r = parsed_weblogs(spark, sf)
+    names = "date time c-ip cs-method sc-status cs-uri-stem cs-uri-query cs-version sc-bytes cs(Referer) cs(User-Agent)"
+    lines = r.select("event_id", F.concat_ws(
+        " ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "ip", "method", F.col("status").cast("string"),
+        F.substring_index("uri", "?", 1), F.substring_index("uri", "?", -1), "version", F.col("size").cast("string"),
+        F.coalesce("referer", F.lit("-")), F.translate("user_agent", " ", "+")).alias("line"))
+    head = spark.createDataFrame([(None, "#Version: 1.0"), (None, f"#Fields: {names}")], "event_id long, line string")
+    return wl.parse_elf(head.unionByName(lines), keep=["event_id"])
+
+
 PAGES_SQL = r"""pg AS (
   SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
          regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)"""
