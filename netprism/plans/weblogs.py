@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import r6, null_safe_join
 from ..operators import weblog as wl
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import SITE_HOST, WEBLOG_LINES_SQL, table, weblog_lines
 from .catalog import query, with_ctes
 
@@ -83,7 +84,9 @@ def x01_elf(spark, sf):
         F.substring_index("uri", "?", 1), F.substring_index("uri", "?", -1), "version", F.col("size").cast("string"),
         F.coalesce("referer", F.lit("-")), F.translate("user_agent", " ", "+")).alias("line"))
     head = spark.createDataFrame([(None, "#Version: 1.0"), (None, f"#Fields: {names}")], "event_id long, line string")
-    return wl.parse_elf(head.unionByName(lines), keep=["event_id"])
+    # the lines stand for files: written, so that parsing reads a column and not the expressions that made it
+    ensure_checkpoint_dir(spark)
+    return wl.parse_elf(head.unionByName(lines).checkpoint(eager=True), keep=["event_id"])
 
 
 PAGES_SQL = r"""pg AS (
