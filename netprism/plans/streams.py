@@ -80,14 +80,12 @@ def z05(spark, sf):
 def _stream_alerts(spark, sf):
     """The model, and the alerts that the stream of documents wrote."""
     from ..operators import evaluate as ev
-    from ..operators import models
     from .modeling import _fit, doc_features
 
-    model, _, _ = _fit(spark, sf)
+    model, _ = _fit(spark, sf)
     schema = table(spark, sf, "documents").schema
     stream = zs.file_stream(spark, sf, schema, glob="documents.parquet")
-    scored = models.predict_with_confidence(model, doc_features(stream), "label")
-    alerts = ev.attack_alerts(scored.withColumn("prediction_name", F.col("predicted_label")),
+    alerts = ev.attack_alerts(model.predict(doc_features(stream)).withColumnRenamed("prediction", "prediction_name"),
                               prediction="prediction_name", normal=("1",))
     out = scratch_path(spark, "z03-out")
     zs.run_available(alerts.select("doc_id", "prediction_name", "confidence", "priority"), "append",
@@ -104,12 +102,11 @@ def z03(spark, sf):
 def z03_equals_batch(spark, sf):
     """Every document scored in batch by the same model: documents whose alert on the stream is missing, should not be
     there or names another class, and documents with more than one alert."""
-    from ..operators import models
     from .modeling import doc_features
 
     model, alerts = _stream_alerts(spark, sf)
-    batch = models.predict_with_confidence(model, doc_features(table(spark, sf, "documents")), "label")
-    wanted = batch.select("doc_id", F.when(F.col("predicted_label") != "1", F.col("predicted_label")).alias("wanted"))
+    batch = model.predict(doc_features(table(spark, sf, "documents")))
+    wanted = batch.select("doc_id", F.when(F.col("prediction") != "1", F.col("prediction")).alias("wanted"))
     got = alerts.groupBy("doc_id").agg(F.max("prediction_name").alias("got"), F.count(F.lit(1)).alias("n"))
     return wanted.join(got, "doc_id", "left").agg(
         F.count(F.lit(1)).alias("n_documents"), F.count_if(~F.col("wanted").eqNullSafe(F.col("got"))).cast("int")
