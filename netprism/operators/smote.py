@@ -6,8 +6,8 @@ consecutive rows into blocks of ``block`` and each block, by medians along furth
 directions, into leaves of at most ``leaf`` rows.  Only rows of one leaf are
 compared, by exact distances, so the candidates of a row are at most
 ``tables * leaf`` however the data are spread, and equal rows fall into many leaves.  The
-best ``k`` of all tables are kept for each row, with the neighbour's features, so
-nothing is joined back.
+best ``k`` of all tables are kept for each row as distances and row numbers; only the features
+of the neighbour that is drawn are joined back.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +60,7 @@ def scaled_minority(df: DataFrame, label: str, minority, features: Sequence[str]
 
 def neighbours(rows: DataFrame, k: int = 5, tables: int = 8, leaf: int = 128, block: int = 32_768,
                seed: int = 42) -> DataFrame:
-    """``__row`` and ``near``: its k nearest others (distance in scaled features, row, features), nearest first."""
+    """``__row`` and ``near``: its k nearest others (distance in scaled features, row), nearest first."""
     found = None
     first = rows.select(F.size("__z").alias("n")).first()
     d = first["n"] if first else 1
@@ -69,36 +68,43 @@ def neighbours(rows: DataFrame, k: int = 5, tables: int = 8, leaf: int = 128, bl
         way = np.random.default_rng([seed, t]).normal(size=d)
         along = F.aggregate(F.zip_with("__z", F.array(*[F.lit(float(w)) for w in way]), lambda a, b: a * b),
                             F.lit(0.0), lambda a, b: a + b)
-        dealt = (rows.select("__row", "__x", "__z", along.alias("__p")).repartitionByRange("__p", "__row")
-                 .sortWithinPartitions("__p", "__row").select("__row", "__x", "__z"))
+        dealt = (rows.select("__row", "__z", along.alias("__p")).repartitionByRange("__p", "__row")
+                 .sortWithinPartitions("__p", "__row").select("__row", "__z"))
 
         def run(batches, t=t):
             held, size = [], 0
-            for pdf in batches:
-                held.append(pdf)
-                size += len(pdf)
+            for b in batches:
+                held.append(b)
+                size += b.num_rows
                 if size >= block:
-                    yield compared(pd.concat(held), t)
+                    yield compared(held, t)
                     held, size = [], 0
             if size:
-                yield compared(pd.concat(held), t)
+                yield compared(held, t)
 
-        def compared(pdf, t):
-            z = np.stack(pdf["__z"].to_numpy())
-            x, ids = pdf["__x"].to_numpy(), pdf["__row"].to_numpy()
-            out = []
+        def compared(held, t):
+            import pyarrow as pa
+
+            ids = np.concatenate([b.column(0).to_numpy() for b in held])
+            z = np.concatenate([b.column(1).flatten().to_numpy() for b in held]).reshape(len(ids), -1)
+            base, n, far, other = [], [], [], []
             for part in leaves(z, np.random.default_rng([seed, t, 1]), leaf):
                 near, square = nearest(z[part], k)
-                base = np.repeat(ids[part], near.shape[1])
-                other = part[near.ravel()]
-                out.append(pd.DataFrame({"__row": base, "d": np.sqrt(square.ravel()), "row": ids[other], "x": x[other]}))
-            return pd.concat(out)
-
-        one = dealt.mapInPandas(run, "__row long, d double, row long, x array<double>")
+                base.append(ids[part])
+                n.append(np.full(len(part), near.shape[1]))
+                far.append(np.sqrt(square.ravel()))
+                other.append(ids[part[near.ravel()]])
+            ends = pa.array(np.concatenate([[0], *n]).cumsum(), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(base)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(far))),
+                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(other)))], names=["__row", "d", "row"])
+
+        one = dealt.mapInArrow(run, "__row long, d array<double>, row array<long>")
         found = one if found is None else found.unionByName(one)
-    # at most tables * k structs for each row
-    best = F.array_sort(F.array_distinct(F.collect_list(F.struct("d", "row", "x"))))
-    return found.groupBy("__row").agg(F.slice(best, 1, k).alias("near"))
+    # at most tables * k structs for each row; dealt out first, as lists have nothing to combine before the shuffle
+    all_ = F.flatten(F.collect_list(F.arrays_zip("d", "row")))
+    return (found.repartition("__row").groupBy("__row")
+            .agg(F.slice(F.array_sort(F.array_distinct(all_)), 1, k).alias("near")))
 
 
 def smote(df: DataFrame, label: str, minority, features: Sequence[str], id_col: str, k: int = 5, copies: int = 1,
@@ -109,13 +115,15 @@ def smote(df: DataFrame, label: str, minority, features: Sequence[str], id_col:
     Fewer than two minority rows give none; missing features count as the mean; ``with_segment`` adds
     ``__x`` and ``__other`` (the ends of the segment) and ``__near`` (how many neighbours there were to draw from)."""
     rows = scaled_minority(df, label, minority, features)
-    j = rows.join(neighbours(rows, k, seed=seed, **search), "__row")
+    near = neighbours(rows, k, seed=seed, **search).where(F.size("near") > 0)
+    j = rows.drop("__z").join(near.select("__row", F.col("near.row").alias("near")), "__row")
     j = j.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     draw = F.pmod(F.xxhash64("__row", "__copy", F.lit(seed)), F.size("near")).cast("int")
     gap = F.pmod(F.xxhash64("__row", "__copy", F.lit(seed + 1)), F.lit(1_000_000)) / 1e6
-    j = j.withColumn("__other", F.element_at("near", draw + 1)["x"]).withColumn("__gap", gap)
+    j = j.withColumns({"__at": F.element_at("near", draw + 1), "__near": F.size("near"), "__gap": gap}).drop("near")
+    j = j.join(rows.select(F.col("__row").alias("__at"), F.col("__x").alias("__other")), "__at")
     place = {c: i for i, c in enumerate(features)}
     made = [(F.col("__x")[place[c]] + F.col("__gap") * (F.col("__other")[place[c]] - F.col("__x")[place[c]])).alias(c) if c in place
             else F.lit(None).cast(df.schema[c].dataType).alias(c) if c == id_col else F.col(c) for c in df.columns]
-    more = [F.col("__x"), F.col("__other"), F.size("near").alias("__near")] if with_segment else []
+    more = [F.col("__x"), F.col("__other"), F.col("__near")] if with_segment else []
     return j.select(*made, *more)
