@@ -45,20 +45,23 @@ def parse_clf(lines: DataFrame, line: str = "line", keep: Sequence[str] = ()) ->
     """Common and combined log format -> one typed schema.
 
     Lines that do not match keep nulls in every field (filter with C18)."""
-    g = {name: F.regexp_extract(F.col(line), CLF_RE, i + 1) for i, name in enumerate(CLF_FIELDS)}
+    # the groups are columns of their own: what reads one twice does not match the line again
+    found = lines.select(*keep, *[F.regexp_extract(F.col(line), CLF_RE, i + 1).alias(f"__{name}")
+                                  for i, name in enumerate(CLF_FIELDS)])
 
-    def nz(c):  # empty group -> null
+    def nz(name):  # empty group -> null
+        c = F.col(f"__{name}")
         return F.when(c != "", c)
 
-    return lines.select(
-        *keep,
-        nz(g["ip"]).alias("ip"),
-        clf_time_to_utc(nz(g["time"])).alias("ts"),
-        nz(g["method"]).alias("method"), nz(g["uri"]).alias("uri"),
-        nz(g["version"]).alias("version"),
-        nz(g["status"]).cast("int").alias("status"),
-        nz(g["size"]).try_cast("bigint").alias("size"),
-        nz(g["referer"]).alias("referer"), nz(g["user_agent"]).alias("user_agent"))
+    return found.select(
+        *[F.col(f"`{c}`") for c in found.columns[:len(keep)]],
+        nz("ip").alias("ip"),
+        clf_time_to_utc(nz("time")).alias("ts"),
+        nz("method").alias("method"), nz("uri").alias("uri"),
+        nz("version").alias("version"),
+        nz("status").cast("int").alias("status"),
+        nz("size").try_cast("bigint").alias("size"),
+        nz("referer").alias("referer"), nz("user_agent").alias("user_agent"))
 
 
 def parse_json_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = ()) -> DataFrame:
@@ -200,8 +203,14 @@ def join_back(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
 
 
 def requests_per_minute(df: DataFrame, key: str, ts: str = "ts", duration: str = "1 minute") -> DataFrame:
-    """X08."""
-    return (df.groupBy(F.window(ts, duration).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    """X08.  Rows without a time are in no window.
+
+    ``window`` drops these with a filter on the time, which Spark would move below every step that
+    made it and so make the time, and what it is made from, anew in every part of the filter; it
+    does not move a filter below the explode that made the filtered column."""
+    row = F.struct(F.col(ts).alias("t"), F.col(key).alias("k"))
+    rows = df.select(F.explode(F.array(row)).alias("r")).select("r.t", F.col("r.k").alias(key))
+    return (rows.groupBy(F.window("t", duration).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("window_start"), key, "n"))
 
 
