@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,23 +40,38 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def flag_key_duplicates(df: DataFrame, key: Sequence[str], order_by: Sequence[str],
-                        flag: str = "is_duplicate") -> DataFrame:
+                        flag: str = "is_duplicate", hot: int = 100_000) -> DataFrame:
     """Per key keep the first row in ``order_by`` order, flag the others.
 
-    Skew-safe: rows are written once with a number of their own; the first row
-    of each key (a null key is a key) is a ``min`` over a struct, partially
-    aggregated, and comes back by that number.  No window or array holds a
-    key's rows in one task.  Ties on ``order_by`` are broken by the remaining
-    columns; identical rows are interchangeable.
+    Ties on ``order_by`` are broken by the remaining columns; identical rows are
+    interchangeable; a null key is a key.  Rows are numbered within their key, so
+    whole rows travel once.  Skew-safe: keys of more than ``hot`` rows, which a
+    count of the keys finds first, are left out of that.  If there are any, rows are
+    written with a number of their own; the firsts of these keys are a ``min`` over a
+    struct, partially aggregated, and meet the rows by key as a small table.
     """
     key = list(key)
     rest = [c for c in df.columns if c not in key and c not in order_by]
     sort_cols = list(order_by) + rest
     ensure_checkpoint_dir(df.sparkSession)
+
+    def numbered(rows):
+        w = Window.partitionBy(*key).orderBy(*sort_cols)
+        return rows.select(*df.columns, (F.row_number().over(w) > 1).alias(flag))
+
+    large = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select(*key)
+             .checkpoint(eager=True))
+    if large.isEmpty():
+        return numbered(df)
+    renamed = F.broadcast(large.withColumnsRenamed({c: f"__hot_{c}" for c in key}))
+    among = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__hot_{c}")) for c in key])
     rows = df.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
-    firsts = rows.groupBy(*key).agg(F.min(F.struct(*sort_cols, "__id")).alias("__f")).select(
-        F.col("__f.__id").alias("__id"), F.lit(False).alias("__again"))
-    return rows.join(firsts, "__id", "left").select(*df.columns, F.coalesce("__again", F.lit(True)).alias(flag))
+    crowded = rows.join(renamed, among, "left_semi")
+    firsts = crowded.groupBy(*key).agg(F.min(F.struct(*sort_cols, "__id")).alias("__f")).select(
+        *key, F.col("__f.__id").alias("__first"))
+    again = null_safe_join(crowded, F.broadcast(firsts), key).select(
+        *df.columns, (F.col("__id") != F.col("__first")).alias(flag))
+    return numbered(rows.join(renamed, among, "left_anti")).unionByName(again)
 
 
 # ------------------------------------------------------------------ C02 / C03 / C10

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from netprism.operators import clean
 from netprism.operators import weblog as wl
 
 
@@ -13,3 +14,16 @@ def test_window_filter_does_not_parse_lines_anew(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(wl.CLF_RE) == 2  # the time and the uri, once each, and no filter that makes them anew
     assert sorted((r["window_start"].minute, r["uri"], r["n"]) for r in got.collect()) == [(0, "/a", 3), (1, "/a", 2)]
+
+
+def test_rows_travel_once_to_be_flagged(spark):
+    df = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 7, "a"), (2, 1, "z"), (None, 3, "q"), (None, None, "r")] * 2,
+                               "k long, t long, x string")
+    for hot in (100_000, 3, 0):
+        got = clean.flag_key_duplicates(df, ["k"], ["t"], hot=hot)
+        assert got.columns == ["k", "t", "x", "is_duplicate"] and got.count() == 12
+        first = {tuple(r)[:3] for r in got.where(~F.col("is_duplicate")).collect()}
+        assert first == {(1, 5, "a"), (2, 1, "z"), (None, None, "r")}
+        assert got.where(~F.col("is_duplicate")).count() == 3
+    plan = clean.flag_key_duplicates(df, ["k"], ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
