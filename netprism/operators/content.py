@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # String classes and size categories.
 PRINTABLE_RUN = r"[\x20-\x7e]{4,}"
 NON_PRINTABLE = r"[^\x20-\x7e\t\n\r]"
@@ -73,26 +75,122 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _token_grams(texts, n: int):
+    """(tokens, hash of each; starts, counts and hashes of the distinct n-grams) of an Arrow array of
+    texts.  Token n-grams that share a hash are told apart by their tokens."""
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    # the same white space as ``tokens``: ASCII only
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    words, text = pc.list_flatten(split), pc.list_parent_indices(split)
+    there = pc.not_equal(words, "")
+    coded = words.filter(there).dictionary_encode()
+    text = text.filter(there).to_numpy(zero_copy_only=False)
+    start = np.flatnonzero(text[:-(n - 1) or None] == text[n - 1:]) if len(text) >= n else np.zeros(0, np.int64)
+    code, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    key = code[start]
+    for k in range(1, n):
+        if k > 1:  # numbered anew: products stay far below 2**63
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * known + code[start + k]
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    start = start[first]
+    one = pd.util.hash_array(np.array(coded.dictionary.cast(pa.large_binary()).to_pylist(), dtype=object), categorize=False) if known else np.zeros(0, np.uint64)
+    h = np.zeros(len(start), np.uint64)
+    for k in range(n):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + one[code[start + k]]
+    return coded, start, counts, (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def _gram_texts(coded, start, n: int):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = [coded.dictionary.take(coded.indices.take(pa.array(start + k))) for k in range(n)]
+    return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def _text_pieces(batches, most: int = 16_000_000):
+    """Arrays of the batches' texts with about ``most`` bytes each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for b in batches:
+        texts = b.column(0)
+        length = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            upto = int(np.searchsorted(length, (length[at - 1] if at else 0) + most - size, side="right"))
+            upto = min(max(upto, at + 1), len(texts))
+            held.append(texts.slice(at, upto - at))
+            size += int(length[upto - 1] - (length[at - 1] if at else 0))
+            at = upto
+            if size >= most or at < len(texts):
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
 def ngram_counts(df: DataFrame, text: str, n: int = 2, top: int | None = 100) -> DataFrame:
     """Frequencies of token n-grams over the whole corpus.
 
-    n-grams are built inside each row with array functions (no shuffle, no
-    window), exploded and counted with map-side combining; ``top`` keeps the
-    k most frequent (ties by the n-gram text)."""
-    # tokens are materialised once per row (a lambda over an inline split would
-    # re-split the text for every element); n-grams are shifted slices zipped
-    toks = df.select(tokens(F.col(text)).alias("__w")).where(F.size("__w") >= n)
-    w = F.col("__w")
-    m = F.size(w) - n + 1
-    parts = [F.slice(w, k + 1, m) for k in range(n)]
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = F.zip_with(grams, p, lambda a, b: F.concat_ws(" ", a, b))
-    counts = (toks.select(F.explode(grams).alias("ngram"))
-              .groupBy("ngram").agg(F.count(F.lit(1)).alias("n")))
+    n-grams are counted in pieces of many texts by numbers of their tokens, so text is made
+    only for the distinct ones of a piece; the pieces' counts are added up on Spark.  ``top``
+    keeps the k most frequent (ties by the n-gram text): 64-bit hashes are counted first, and
+    then the texts of the hashes that reach the k-th count, an upper bound of what any of their
+    n-grams reach.  Where that does not prove the result, or too many tie, all texts are counted."""
+    texts = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
     if top:
-        counts = counts.orderBy(F.desc("n"), F.asc("ngram")).limit(top)
-    return counts
+        found = _top_by_hash(texts, n, top)
+        return _counted(texts, n).orderBy(F.desc("n"), F.asc("ngram")).limit(top) if found is None else found
+    return _counted(texts, n)
+
+
+def _counted(texts: DataFrame, n: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(ngram, n) of all n-grams, or of those whose hash is one of ``wanted``."""
+    def run(batches):
+        import pyarrow as pa
+
+        for piece in _text_pieces(batches):
+            coded, start, counts, h = _token_grams(piece, n)
+            if wanted is not None:
+                some = np.isin(h, wanted)
+                start, counts = start[some], counts[some]
+            for i in range(0, len(start), 100_000):
+                yield pa.RecordBatch.from_arrays([_gram_texts(coded, start[i:i + 100_000], n), pa.array(counts[i:i + 100_000], pa.int64())],
+                                                 names=["ngram", "n"])
+
+    return texts.mapInArrow(run, "ngram string, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
+
+
+def _top_by_hash(texts: DataFrame, n: int, k: int, most: int = 2_000) -> DataFrame | None:
+    """The ``k`` most frequent n-grams, or None if the hashes do not prove them."""
+    def run(batches):
+        import pyarrow as pa
+
+        for piece in _text_pieces(batches):
+            _, _, counts, h = _token_grams(piece, n)
+            for i in range(0, len(h), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i:i + 500_000]), pa.array(counts[i:i + 500_000], pa.int64())],
+                                                 names=["h", "n"])
+
+    ensure_checkpoint_dir(texts.sparkSession)
+    sums = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # one pass for the k-th count and all that tie with it, ``most`` + 1 of them at the most
+    best = sums.orderBy(F.desc("n")).limit(max(most, k) + 1).toArrow()
+    count = best["n"].to_numpy()
+    least = int(count[k - 1]) if len(count) >= k else 0
+    if len(count) > max(most, k) and count[-1] >= least:
+        return None
+    found = _counted(texts, n, best["h"].to_numpy()[count >= least]).orderBy(F.desc("n"), F.asc("ngram")).limit(k).checkpoint(eager=True)
+    # n-grams that share a hash count as one above: then the k-th may lie below what was left out
+    if least and found.agg(F.min("n")).first()[0] < least:
+        return None
+    return found
 
 
 def ngram_stage(n: int = 2):
