@@ -75,10 +75,9 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def _token_grams(texts, n: int):
-    """(tokens, hash of each; starts, counts and hashes of the distinct n-grams) of an Arrow array of
+def _token_grams(texts, n: int, hashed: bool = True):
+    """(tokens; starts, counts and, if asked for, hashes of the distinct n-grams) of an Arrow array of
     texts.  Token n-grams that share a hash are told apart by their tokens."""
-    import pandas as pd
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -90,13 +89,16 @@ def _token_grams(texts, n: int):
     text = text.filter(there).to_numpy(zero_copy_only=False)
     start = np.flatnonzero(text[:-(n - 1) or None] == text[n - 1:]) if len(text) >= n else np.zeros(0, np.int64)
     code, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
-    key = code[start]
+    key, most = code[start], known
     for k in range(1, n):
-        if k > 1:  # numbered anew: products stay far below 2**63
-            key = np.unique(key, return_inverse=True)[1]
-        key = key * known + code[start + k]
+        if most * known >= 2 ** 62:  # numbered anew
+            numbers, key = np.unique(key, return_inverse=True)
+            most = len(numbers)
+        key, most = key * known + code[start + k], most * known
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     start = start[first]
+    if not hashed:
+        return coded, start, counts, None
     one = pd.util.hash_array(np.array(coded.dictionary.cast(pa.large_binary()).to_pylist(), dtype=object), categorize=False) if known else np.zeros(0, np.uint64)
     h = np.zeros(len(start), np.uint64)
     for k in range(n):
@@ -156,7 +158,7 @@ def _counted(texts: DataFrame, n: int, wanted: np.ndarray | None = None) -> Data
         import pyarrow as pa
 
         for piece in _text_pieces(batches):
-            coded, start, counts, h = _token_grams(piece, n)
+            coded, start, counts, h = _token_grams(piece, n, wanted is not None)
             if wanted is not None:
                 some = np.isin(h, wanted)
                 start, counts = start[some], counts[some]
