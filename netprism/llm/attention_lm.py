@@ -110,7 +110,7 @@ def attend(w, inputs: np.ndarray):
     before: (q, k, v, attention, result)."""
     pad = len(w["q"]) - 1
     bias = np.where(_DISTANCE >= 0, w["r"][np.maximum(_DISTANCE, 0)], np.float32(-1e9)).astype(np.float32)
-    q, k, v = w["q"][inputs[:, BLOCK:]], w["k"][inputs], w["v"][inputs]
+    q, k, v = w["q"].take(inputs[:, BLOCK:], axis=0), w["k"].take(inputs, axis=0), w["v"].take(inputs, axis=0)
     a = np.matmul(q, k.transpose(0, 2, 1))
     a *= np.float32(1 / math.sqrt(WIDTH))
     a += bias
@@ -126,7 +126,10 @@ def attend(w, inputs: np.ndarray):
 def gates(w, h: np.ndarray) -> np.ndarray:
     """The experts' shares for each position (row of ``h``)."""
     g = h.reshape(-1, WIDTH) @ w["g"] + w["b"]
-    g -= g.max(axis=1, keepdims=True)
+    most = g[:, 0].copy()
+    for i in range(1, EXPERTS):  # a maximum along rows of eight is slow
+        np.maximum(most, g[:, i], out=most)
+    g -= most[:, None]
     np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     return g
@@ -157,17 +160,15 @@ def log_probabilities(w, pairs: np.ndarray, inputs: np.ndarray, targets: np.ndar
     target is -1); ``of`` has the inputs' classes, if they are ids."""
     g = gates(w, attend(w, inputs)[4])
     t = targets.ravel()
-    p = pairs[_before(inputs, of) * w["u"].shape[2] + np.maximum(t, 0)]
+    p = pairs.take(_before(inputs, of) * w["u"].shape[2] + np.maximum(t, 0), axis=0)
     out = np.log(np.einsum("ij,ij->i", p, g))
     out[t < 0] = 0
     return out.reshape(targets.shape)
 
 
 def _sums(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
-    """Rows of ``x`` added up by ``at``."""
-    wide = x.shape[1]
-    cell = (at * wide)[:, None] + np.arange(wide)
-    return np.bincount(cell.ravel(), x.ravel(), minlength=size * wide).reshape(size, wide)
+    """Rows of ``x`` added up by ``at``, column by column: each column's sums stay in the processor's cache."""
+    return np.stack([np.bincount(at, column, minlength=size) for column in np.ascontiguousarray(x.T)], axis=1)
 
 
 def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -180,7 +181,7 @@ def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None) -> dict[
     before = _before(inputs, of)
     at_pair = before * n + np.maximum(t, 0)
     tables = expert_tables(w, bigram)
-    r = g * by_pair(tables)[at_pair]
+    r = g * np.ascontiguousarray(tables.reshape(len(tables), -1)[:, at_pair].T)
     r /= r.sum(axis=1, keepdims=True)
     r[~real] = 0
     dg = g * real[:, None] - r
@@ -188,8 +189,8 @@ def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None) -> dict[
     dh = (dg @ w["g"].T).reshape(h.shape)
     # each expert's rows: expected minus observed
     d = _sums(before, r, n + 2).T[:, :, None].astype(np.float32) * tables
-    cell = at_pair[None, :] + np.arange(0, d.size, (n + 2) * n)[:, None]
-    d -= np.bincount(cell.ravel(), r.T.ravel(), minlength=d.size).reshape(d.shape)
+    for own, share in zip(d, np.ascontiguousarray(r.T), strict=True):
+        own -= np.bincount(at_pair, share, minlength=own.size).reshape(own.shape)
     out = {"g": h.reshape(-1, WIDTH).T @ dg, "b": dg.sum(axis=0), "d": d, "u": d.sum(axis=1, keepdims=True)}
     da = np.matmul(dh, v.transpose(0, 2, 1))
     da -= (dh * h).sum(axis=2, keepdims=True)
@@ -210,7 +211,7 @@ def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None) -> dict[
     by = da.sum(axis=0)
     seen = _DISTANCE >= 0
     out["r"] = np.bincount(_DISTANCE[seen], by[seen], minlength=2 * BLOCK)
-    return {"rows": rows} | {name: (x / count).astype(np.float32) for name, x in out.items()}
+    return {"rows": rows} | {name: (x / count).astype(np.float32, copy=False) for name, x in out.items()}
 
 
 def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256, state: dict | None = None,
@@ -228,15 +229,27 @@ def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256, st
         state["steps"] = step = state["steps"] + 1
         g = gradients(w, bigram, inputs[i:i + batch], targets[i:i + batch], of)
         for k, x in w.items():
-            at = g["rows"] if k in ("q", "k", "v") else slice(None)
-            m = first[k][at] + np.float32(0.1) * (g[k] - first[k][at])
-            s = second[k][at] + np.float32(0.01) * (g[k] ** 2 - second[k][at])
-            first[k][at], second[k][at] = m, s
-            np.sqrt(s * np.float32(1 / (1 - 0.99 ** step)), out=s)
-            s += np.float32(1e-6)
-            m *= np.float32(rate / (1 - 0.9 ** step))
-            m /= s
-            x[at] -= m
+            at = g["rows"] if k in ("q", "k", "v") else None
+            # whole arrays are changed in place, rows on copies that go back
+            m, s = (first[k], second[k]) if at is None else (first[k].take(at, axis=0), second[k].take(at, axis=0))
+            change = g[k] - m
+            change *= np.float32(0.1)
+            m += change
+            np.multiply(g[k], g[k], out=change)
+            change -= s
+            change *= np.float32(0.01)
+            s += change
+            if at is not None:
+                first[k][at], second[k][at] = m, s
+            np.multiply(s, np.float32(1 / (1 - 0.99 ** step)), out=change)
+            np.sqrt(change, out=change)
+            change += np.float32(1e-6)
+            move = np.multiply(m, np.float32(rate / (1 - 0.9 ** step)), out=g[k])
+            move /= change
+            if at is None:
+                x -= move
+            else:
+                x[at] -= move
     return w
 
 
