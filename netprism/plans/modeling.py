@@ -61,7 +61,7 @@ def m03(spark, sf):
     return forest.predict(data.where(F.col("split") == "test")).select("doc_id", "probability", "confidence")
 
 
-@query("M02_M03_forest_invariants", "SELECT count(*) AS n_rows, CAST(2 AS BIGINT) AS n_splits, 0 AS n_bad_probabilities,"
+@query("M02_m03_forest_invariants", "SELECT count(*) AS n_rows, CAST(2 AS BIGINT) AS n_splits, 0 AS n_bad_probabilities,"
        " 0 AS n_bad_confidence, 0 AS n_unknown_class FROM documents JOIN labels USING (doc_id)")
 def m02_m03_invariants(spark, sf):
     """The forest with default leaf and split sizes on every labelled document: rows whose probabilities do not sum
