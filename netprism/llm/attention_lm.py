@@ -56,6 +56,10 @@ CHUNK_ROWS = 2048
 SMOOTH = 0.1
 #: Weight of the less specific distribution when counts are smoothed with it.
 BACKOFF = 4.0
+#: Logits of no larger size are exponentiated as they are: their sums stay within single precision.
+SAFE = 60.0
+#: Windows whose attention is worked on at once, so that its weights stay in the processor's cache.
+PART = 128
 
 
 @dataclass
@@ -103,50 +107,71 @@ def start_weights(n: int, seed: int = 11, of: np.ndarray | None = None) -> dict[
 
 
 _DISTANCE = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
+_SEEN = _DISTANCE >= 0
+#: Weights with a row for each input.
+_ROWS = ("q", "k", "v")
 
 
-def attend(w, inputs: np.ndarray):
+def attend(w, inputs: np.ndarray, room: np.ndarray | None = None):
     """Queries of the second half of each window, one per position, over what is
-    before: (q, k, v, attention, result)."""
-    pad = len(w["q"]) - 1
-    bias = np.where(_DISTANCE >= 0, w["r"][np.maximum(_DISTANCE, 0)], np.float32(-1e9)).astype(np.float32)
-    q, k, v = w["q"].take(inputs[:, BLOCK:], axis=0), w["k"].take(inputs, axis=0), w["v"].take(inputs, axis=0)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(1 / math.sqrt(WIDTH))
-    a += bias
-    none = (inputs == pad).any(axis=1)
-    if none.any():
-        a[none] += np.where(inputs[none] == pad, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a *= 1 / np.matmul(a, np.ones((a.shape[2], 1), a.dtype))
-    return q, k, v, a, np.matmul(a, v)
+    before: (scaled q, k, v and a column of ones, weights, sums, result).  The weights
+    (kept in ``room``) are not divided by their sums; the result is."""
+    kind = w["q"].dtype
+    q, k = w["q"].take(inputs[:, BLOCK:], axis=0), w["k"].take(inputs, axis=0)
+    q *= kind.type(1 / math.sqrt(WIDTH))
+    v = np.hstack([w["v"], np.ones((len(w["v"]), 1), kind)]).take(inputs, axis=0)
+    weights = np.empty((len(inputs), *_SEEN.shape), kind) if room is None else room
+    h = np.empty((*q.shape[:2], WIDTH + 1), kind)
+    none = inputs[:, 0] == len(w["q"]) - 1  # first blocks of texts: padding before them
+    bias = w["r"][np.maximum(_DISTANCE, 0)]
+    most, factor = SAFE - np.abs(bias).max(), np.exp(bias) * _SEEN
+    for i in range(0, len(inputs), PART):
+        at = slice(i, i + PART)
+        a = weights[at]
+        np.matmul(q[at], k[at].transpose(0, 2, 1), out=a)
+        if max(a.max(), -a.min()) < most:
+            np.exp(a, out=a)
+            a *= factor
+            a[none[at], :, :BLOCK] = 0
+        else:
+            a += np.where(_SEEN, bias, kind.type(-1e9))
+            a[none[at], :, :BLOCK] = -1e9
+            a -= a.max(axis=2, keepdims=True)
+            np.exp(a, out=a)
+        np.matmul(a, v[at], out=h[at])
+    return q, k, v, weights, h[:, :, WIDTH:], h[:, :, :WIDTH] / h[:, :, WIDTH:]
 
 
 def gates(w, h: np.ndarray) -> np.ndarray:
-    """The experts' shares for each position (row of ``h``)."""
-    g = h.reshape(-1, WIDTH) @ w["g"] + w["b"]
-    most = g[:, 0].copy()
-    for i in range(1, EXPERTS):  # a maximum along rows of eight is slow
-        np.maximum(most, g[:, i], out=most)
-    g -= most[:, None]
+    """The experts' shares (rows) for each position (row of ``h``)."""
+    g = w["g"].T @ h.reshape(-1, WIDTH).T
+    g += w["b"][:, None]
+    g -= g.max(axis=0)
     np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    g /= g.sum(axis=0)
     return g
 
 
+def _exp_tables(w, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each expert's P(class | class before) before division by its sums, the sums)."""
+    t = bigram + w["u"]
+    t += w["d"]
+    if max(t.max(), -t.min()) > SAFE:
+        t -= t.max(axis=2, keepdims=True)
+    np.exp(t, out=t)
+    return t, np.matmul(t, np.ones(t.shape[2], t.dtype))
+
+
 def expert_tables(w, bigram: np.ndarray) -> np.ndarray:
     """P(class | class before) of each expert: (experts, classes + 2, classes)."""
-    t = bigram[None] + w["u"] + w["d"]
-    t -= t.max(axis=2, keepdims=True)
-    np.exp(t, out=t)
-    t /= t.sum(axis=2, keepdims=True)
+    t, total = _exp_tables(w, bigram)
+    t /= total[:, :, None]
     return t
 
 
 def by_pair(tables: np.ndarray) -> np.ndarray:
-    """The experts' probabilities of (class before, class), side by side."""
-    return np.ascontiguousarray(tables.reshape(len(tables), -1).T)
+    """The experts' (rows) probabilities of each pair (class before, class)."""
+    return tables.reshape(len(tables), -1)
 
 
 def _before(inputs: np.ndarray, of: np.ndarray | None) -> np.ndarray:
@@ -155,47 +180,65 @@ def _before(inputs: np.ndarray, of: np.ndarray | None) -> np.ndarray:
     return own if of is None else of[own]
 
 
-def log_probabilities(w, pairs: np.ndarray, inputs: np.ndarray, targets: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+def log_probabilities(w, pairs: np.ndarray, inputs: np.ndarray, targets: np.ndarray, of: np.ndarray | None = None,
+                      room: np.ndarray | None = None) -> np.ndarray:
     """Natural log P(class) of each target class (windows x BLOCK; 0 where the
     target is -1); ``of`` has the inputs' classes, if they are ids."""
-    g = gates(w, attend(w, inputs)[4])
+    g = gates(w, attend(w, inputs, room)[5])
     t = targets.ravel()
-    p = pairs.take(_before(inputs, of) * w["u"].shape[2] + np.maximum(t, 0), axis=0)
-    out = np.log(np.einsum("ij,ij->i", p, g))
+    g *= pairs.take(_before(inputs, of) * w["u"].shape[2] + np.maximum(t, 0), axis=1)
+    out = np.log(g.sum(axis=0))
     out[t < 0] = 0
     return out.reshape(targets.shape)
 
 
 def _sums(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     """Rows of ``x`` added up by ``at``, column by column: each column's sums stay in the processor's cache."""
-    return np.stack([np.bincount(at, column, minlength=size) for column in np.ascontiguousarray(x.T)], axis=1)
+    out = np.zeros((x.shape[1], size))
+    for own, column in zip(out, x.T.astype(np.float64, order="C"), strict=True):
+        np.add.at(own, at, column)
+    return out.T
 
 
-def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Of the mean negative log likelihood; those of embeddings for ``rows`` only, the inputs that occur."""
-    q, k, v, a, h = attend(w, inputs)
+def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None, room=(None, None)) -> dict[str, np.ndarray]:
+    """Of the mean negative log likelihood; those of embeddings for ``rows`` only, the inputs that occur.
+    ``room``: two arrays for the weights of attention and their gradients."""
+    q, k, v, a, sums, h = attend(w, inputs, room[0])
     g = gates(w, h)
     n = w["u"].shape[2]
     t = targets.ravel()
     real = t >= 0
-    before = _before(inputs, of)
+    before = _before(inputs, of).astype(np.int64)
     at_pair = before * n + np.maximum(t, 0)
-    tables = expert_tables(w, bigram)
-    r = g * np.ascontiguousarray(tables.reshape(len(tables), -1)[:, at_pair].T)
-    r /= r.sum(axis=1, keepdims=True)
-    r[~real] = 0
-    dg = g * real[:, None] - r
-    count = max(int(real.sum()), 1)
-    dh = (dg @ w["g"].T).reshape(h.shape)
+    d, total = _exp_tables(w, bigram)
+    r = d.reshape(EXPERTS, -1).take(at_pair, axis=1)
+    r *= g
+    r /= total.take(before, axis=1)
+    scale = real * (1 / max(int(real.sum()), 1))
+    r *= (scale / r.sum(axis=0)).astype(r.dtype)
+    g *= scale.astype(r.dtype)
+    g -= r
+    dh = (g.T @ w["g"].T).reshape(h.shape)
     # each expert's rows: expected minus observed
-    d = _sums(before, r, n + 2).T[:, :, None].astype(np.float32) * tables
-    for own, share in zip(d, np.ascontiguousarray(r.T), strict=True):
-        own -= np.bincount(at_pair, share, minlength=own.size).reshape(own.shape)
-    out = {"g": h.reshape(-1, WIDTH).T @ dg, "b": dg.sum(axis=0), "d": d, "u": d.sum(axis=1, keepdims=True)}
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    da -= (dh * h).sum(axis=2, keepdims=True)
-    da *= a
-    scale = np.float32(1 / math.sqrt(WIDTH))
+    d *= (_sums(before, r.T, n + 2).T / total).astype(d.dtype)[:, :, None]
+    for own, share in zip(d.reshape(EXPERTS, -1), r, strict=True):
+        np.subtract.at(own, at_pair, share)
+    out = {"g": h.reshape(-1, WIDTH).T @ g.T, "b": g.sum(axis=1), "d": d, "u": np.matmul(np.ones((1, n + 2), d.dtype), d)}
+    # a column for the ones beside v: what the division by the sums adds
+    back = np.empty((*h.shape[:2], WIDTH + 1), h.dtype)
+    np.divide(dh, sums, out=back[:, :, :WIDTH])
+    np.negative(np.einsum("ijk,ijk->ij", back[:, :, :WIDTH], h), out=back[:, :, WIDTH])
+    dq, dk, dv = np.empty_like(q), np.empty_like(k), np.empty_like(k)
+    by = 0
+    for i in range(0, len(inputs), PART):
+        own = slice(i, i + PART)
+        da = np.matmul(back[own], v[own].transpose(0, 2, 1), out=None if room[1] is None else room[1][:len(q[own])])
+        da *= a[own]
+        np.matmul(da, k[own], out=dq[own])
+        np.matmul(da.transpose(0, 2, 1), q[own], out=dk[own])
+        np.matmul(a[own].transpose(0, 2, 1), back[own, :, :WIDTH], out=dv[own])
+        by = by + np.ones(len(da), da.dtype) @ da.reshape(len(da), -1)
+    dq *= q.dtype.type(1 / math.sqrt(WIDTH))
     size = len(w["q"])
     there = np.zeros(size, bool)
     there[inputs] = True
@@ -204,53 +247,84 @@ def gradients(w, bigram, inputs, targets, of: np.ndarray | None = None) -> dict[
     place = np.full(size, len(rows))
     place[rows] = np.arange(len(rows))
     at = place[inputs]
-    parts = {"q": (at[:, BLOCK:], np.matmul(da, k) * scale), "k": (at, np.matmul(da.transpose(0, 2, 1), q) * scale),
-             "v": (at, np.matmul(a.transpose(0, 2, 1), dh))}
-    for name, (to, x) in parts.items():
-        out[name] = _sums(to.ravel(), x.reshape(-1, WIDTH), len(rows) + 1)[:-1]
-    by = da.sum(axis=0)
-    seen = _DISTANCE >= 0
-    out["r"] = np.bincount(_DISTANCE[seen], by[seen], minlength=2 * BLOCK)
-    return {"rows": rows} | {name: (x / count).astype(np.float32, copy=False) for name, x in out.items()}
+    for name, to, x in (("q", at[:, BLOCK:], dq), ("k", at, dk), ("v", at, dv)):
+        x = x.view(np.result_type(x, np.complex64))  # two columns are added up as one complex number
+        to, found = to.ravel(), np.zeros((WIDTH // 2, len(rows) + 1), x.dtype)
+        for i, own in enumerate(found):
+            np.add.at(own, to, x[:, :, i].ravel())
+        out[name] = np.ascontiguousarray(found[:, :-1].T).view(dq.dtype)
+    out["r"] = np.bincount(_DISTANCE[_SEEN], by.reshape(_SEEN.shape)[_SEEN], minlength=2 * BLOCK).astype(by.dtype)
+    return {"rows": rows} | out
+
+
+def _adam(x, g, m, s, step: int, rate: float) -> None:
+    """One step in place; ``m`` and ``s`` are 10 and 100 times Adam's moments, ``g`` is used up."""
+    spread = math.sqrt(0.01 / (1 - 0.99 ** step))
+    m *= np.float32(0.9)
+    m += g
+    s *= np.float32(0.99)
+    g *= g
+    s += g
+    np.sqrt(s, out=g)
+    g += np.float32(1e-6 / spread)
+    np.divide(m, g, out=g)
+    g *= np.float32(rate * 0.1 / (1 - 0.9 ** step) / spread)
+    x -= g
+
+
+def start_state(w) -> dict:
+    """Weights and moments for ``steps``."""
+    whole = {k: x.copy() for k, x in w.items() if k not in _ROWS}
+    # an input's embeddings and their moments lie side by side
+    rows = np.zeros((len(w["q"]), 3, len(_ROWS), WIDTH), w["q"].dtype)
+    rows[:, 0] = np.stack([w[k] for k in _ROWS], axis=1)
+    return {"whole": whole, "first": {k: np.zeros_like(x) for k, x in whole.items()},
+            "second": {k: np.zeros_like(x) for k, x in whole.items()}, "rows": rows, "steps": 0}
+
+
+def weights_of(state) -> dict[str, np.ndarray]:
+    return {k: x.copy() for k, x in state["whole"].items()} | {k: state["rows"][:, 0, i].copy() for i, k in enumerate(_ROWS)}
+
+
+def steps(state, bigram, inputs, targets, rate: float, batch: int = 256, of: np.ndarray | None = None) -> None:
+    """One pass of Adam over the windows, in their order.  A step moves the
+    embeddings of the inputs that occur in it."""
+    table, whole = state["rows"], state["whole"]
+    of = np.arange(len(table)) if of is None else of
+    room = np.empty((2, min(batch, len(inputs)), *_SEEN.shape), table.dtype)
+    place = np.empty(len(table), np.int64)
+    for i in range(0, len(inputs), batch):
+        state["steps"] = step = state["steps"] + 1
+        x = inputs[i:i + batch]
+        there = np.zeros(len(table), bool)
+        there[x] = True
+        there[-1] = True  # padding stays the last row
+        rows = np.flatnonzero(there)
+        place[rows] = np.arange(len(rows))
+        own = table.take(rows, axis=0)
+        w = whole | {k: np.ascontiguousarray(own[:, 0, j]) for j, k in enumerate(_ROWS)}
+        g = gradients(w, bigram, place.take(x), targets[i:i + batch], of.take(rows), room[:, :len(x)])
+        for k, x in whole.items():
+            parts = (x, g[k], state["first"][k], state["second"][k])
+            for part in zip(*parts, strict=True) if x.ndim == 3 else [parts]:  # a part stays in the processor's cache
+                _adam(*part, step, rate)
+        now, first, second = (np.ascontiguousarray(own[:-1, j]) for j in range(3))
+        _adam(now, np.stack([g[k] for k in _ROWS], axis=1), first, second, step, rate)
+        table[rows[:-1]] = np.stack([now, first, second], axis=1)
 
 
 def descend(w, bigram, inputs, targets, rate: float = 0.02, batch: int = 256, state: dict | None = None,
             of: np.ndarray | None = None):
-    """One pass of Adam over the windows, in their order; changed weights.  A step
-    moves the embeddings of the inputs that occur in it.  ``state`` (empty at
-    first) carries moments and steps to the next call."""
-    w = {k: x.copy() for k, x in w.items()}
+    """``steps`` from weights w; changed weights.  ``state`` (empty at first)
+    carries moments and steps to the next call."""
     state = {} if state is None else state
-    if not state:
-        state |= {"first": {k: np.zeros_like(x) for k, x in w.items()},
-                  "second": {k: np.zeros_like(x) for k, x in w.items()}, "steps": 0}
-    first, second = state["first"], state["second"]
-    for i in range(0, len(inputs), batch):
-        state["steps"] = step = state["steps"] + 1
-        g = gradients(w, bigram, inputs[i:i + batch], targets[i:i + batch], of)
-        for k, x in w.items():
-            at = g["rows"] if k in ("q", "k", "v") else None
-            # whole arrays are changed in place, rows on copies that go back
-            m, s = (first[k], second[k]) if at is None else (first[k].take(at, axis=0), second[k].take(at, axis=0))
-            change = g[k] - m
-            change *= np.float32(0.1)
-            m += change
-            np.multiply(g[k], g[k], out=change)
-            change -= s
-            change *= np.float32(0.01)
-            s += change
-            if at is not None:
-                first[k][at], second[k][at] = m, s
-            np.multiply(s, np.float32(1 / (1 - 0.99 ** step)), out=change)
-            np.sqrt(change, out=change)
-            change += np.float32(1e-6)
-            move = np.multiply(m, np.float32(rate / (1 - 0.9 ** step)), out=g[k])
-            move /= change
-            if at is None:
-                x -= move
-            else:
-                x[at] -= move
-    return w
+    moments = dict(state)
+    state |= start_state(w)
+    if moments:
+        state["rows"][:, 1:] = moments["rows"][:, 1:]
+        state |= {k: moments[k] for k in ("first", "second", "steps")}
+    steps(state, bigram, inputs, targets, rate, batch, of)
+    return weights_of(state)
 
 
 def block_numbers(n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,19 +338,19 @@ def windows(classes: np.ndarray, n_ids: np.ndarray, n: int) -> tuple[np.ndarray,
     """(inputs, targets, text of each window) of texts whose classes (or ids, of
     n) lie end to end, ``n_ids`` of each."""
     text, nth = block_numbers(n_ids)
-    begin = np.cumsum(n_ids) - n_ids
-    # position in its text of each target; the input of a position is the class before it
-    place = (nth * BLOCK).astype(np.int32)[:, None] + np.arange(-BLOCK, BLOCK, dtype=np.int32)
-    at = place + begin.astype(np.int32)[text][:, None]
-    padded = np.append(classes.astype(np.int32), np.full(2 * BLOCK, n + 1, np.int32))
-    inputs = padded[at - 1]
-    inputs[place == 0] = n
-    inputs[place < 0] = n + 1
-    targets = padded[at[:, BLOCK:]]
-    outside = place[:, BLOCK:] >= n_ids.astype(np.int32)[text][:, None]
-    targets[outside] = -1
-    inputs[:, BLOCK:][outside] = n + 1
-    return inputs, targets, text
+    first = np.searchsorted(text, np.arange(len(n_ids))) * BLOCK
+    # each id's place when the blocks lie end to end; the input of a place is the class before it
+    place = np.arange(len(classes)) + np.repeat(first - np.cumsum(n_ids) + n_ids, n_ids)
+    targets, own = np.full(len(text) * BLOCK, -1, np.int32), np.full(len(text) * BLOCK, n + 1, np.int32)
+    targets[place] = classes
+    own[place[1:]] = classes[:-1]
+    own[first[n_ids > 0]] = n
+    own = own.reshape(-1, BLOCK)
+    inputs = np.empty((len(text), 2 * BLOCK), np.int32)
+    inputs[:, BLOCK:] = own
+    inputs[1:, :BLOCK] = own[:-1]
+    inputs[nth == 0, :BLOCK] = n + 1
+    return inputs, targets.reshape(-1, BLOCK), text
 
 
 class Dictionary:
@@ -315,6 +389,11 @@ class Dictionary:
         return out, n_ids + 1
 
 
+def count_up(table: np.ndarray, at: np.ndarray) -> None:
+    """Adds 1 to ``table[i]`` for each i; numbers of other kinds than numpy's own are 20 times slower."""
+    np.add.at(table, at.astype(np.intp, copy=False), table.dtype.type(1))
+
+
 def class_before(classes: np.ndarray, n_ids: np.ndarray, n: int) -> np.ndarray:
     """The class before each id; the begin mark n at the start of each text."""
     out = np.empty_like(classes)
@@ -335,10 +414,14 @@ class Within:
         seen = np.unique(keys % ids)
         self.column = np.full(ids, -1, np.int32)
         self.column[seen] = np.arange(len(seen))
-        table = np.zeros((classes.n + 2, len(seen)))
-        table[keys // ids, self.column[keys % ids]] = counts
-        of = classes.of[seen]
-        self.table = np.log((table + BACKOFF * np.exp(classes.log_in[seen])) / (self.mass[:, of] + BACKOFF)).astype(np.float32)
+        of, prior = classes.of[seen], BACKOFF * np.exp(classes.log_in[seen])
+        self.table = np.empty((classes.n + 2, len(seen)), np.float32)
+        order = np.argsort(keys // ids, kind="stable")
+        parts = np.split(order, np.searchsorted((keys // ids)[order], np.arange(1, classes.n + 2)))
+        for i, own in enumerate(parts):  # row by row: the whole in doubles is several times as large
+            found = np.zeros(len(seen))
+            found[self.column[keys[own] % ids]] = counts[own]
+            self.table[i] = np.log((found + prior) / (self.mass[i, of] + BACKOFF))
 
     def bigram(self) -> np.ndarray:
         """Smoothed log P(class | class before)."""
@@ -480,8 +563,8 @@ def _digest(rows: DataFrame, base: str, classes: Classes, trained: int, floor: f
                            ids=[raw[e - 2 * k:e] for e, k in zip(stop.tolist(), n_ids.tolist(), strict=True)])
                 learn = np.array(train)
                 own = classes.of[got]
-                keys = class_before(own, n_ids, n) * ids + got
-                np.add.at(table, keys if learn.all() else keys[np.repeat(learn, n_ids)], 1)
+                keys = class_before(own, n_ids, n).astype(np.int64) * ids + got
+                count_up(table, keys if learn.all() else keys[np.repeat(learn, n_ids)])
         at = np.flatnonzero(table)
         for i in range(0, len(at), 10_000):
             some = at[i:i + 10_000]
@@ -519,16 +602,17 @@ def _train(texts: DataFrame, bigram: np.ndarray, classes: Classes, rounds: int)
         now = weights
 
         def run(batches, now=now, turn=turn):
-            w, tokens, state = now, 0, {}
+            state, tokens = start_state(now), 0
             mix = np.random.default_rng(turn)
             for b in batches:
                 for _, _, got, size in _parts(b.column(0).to_pylist()):
                     x, y, _ = windows(got, size, n_ids)
                     order = mix.permutation(len(x))
-                    w = descend(w, bigram, x[order], of[y[order]], rate=0.03 / (1 + turn), state=state, of=of)
+                    steps(state, bigram, x[order], of[y[order]], rate=0.03 / (1 + turn), of=of)
                     tokens += len(got)
             if tokens:
                 # changes, as singles: half the bytes, and what no text touched is 0 and packs well
+                w = weights_of(state)
                 flat = np.concatenate([(w[k] - now[k]).ravel() for k in _NAMES]) * np.float32(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()]), pa.array([tokens])], names=["w", "tokens"])
 
@@ -589,6 +673,7 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int
     n, of = classes.n, input_classes(classes)
 
     def run(batches):
+        room = np.empty((512, *_SEEN.shape), np.float32)
         for b in batches:
             ids = b.column(5).to_pylist()
             scores = np.zeros(len(ids))
@@ -597,7 +682,7 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 10, held_out: int
                 inside = within.logs(got, class_before(classes.of[got], size, n))
                 logs = np.bincount(np.repeat(np.arange(hi - lo), size), inside, minlength=hi - lo)
                 for i in range(0, len(x), 512):
-                    p = log_probabilities(weights, pairs, x[i:i + 512], of[y[i:i + 512]], of)
+                    p = log_probabilities(weights, pairs, x[i:i + 512], of[y[i:i + 512]], of, room[:len(x) - i])
                     logs += np.bincount(text[i:i + 512], p.sum(axis=1, dtype=np.float64), minlength=hi - lo)
                 scores[lo:hi] = logs / math.log(10)
             yield pa.RecordBatch.from_arrays(
