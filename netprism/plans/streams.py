@@ -17,8 +17,7 @@ from .catalog import query
 
 
 def events_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return zs.file_stream(spark, sf, schema, glob="events.parquet")
+    return zs.table_stream(spark, f"{sf.rstrip('/')}/events.parquet")
 
 
 @query("Z01_incremental_windows", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, user_id,"
@@ -83,8 +82,7 @@ def _stream_alerts(spark, sf):
     from .modeling import _fit, doc_features
 
     model, _ = _fit(spark, sf)
-    schema = table(spark, sf, "documents").schema
-    stream = zs.file_stream(spark, sf, schema, glob="documents.parquet")
+    stream = zs.table_stream(spark, f"{sf.rstrip('/')}/documents.parquet")
     alerts = ev.attack_alerts(model.predict(doc_features(stream)).withColumnRenamed("prediction", "prediction_name"),
                               prediction="prediction_name", normal=("1",))
     out = scratch_path(spark, "z03-out")

@@ -9,6 +9,7 @@ independent ``timestamp`` (watermarks need it) from the wall-clock value.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,18 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return r.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a file stream; the table is one file or a folder of files.
+
+    A stream's base path cannot be a file, so one file is a pattern that only it meets."""
+    rows = spark.read.parquet(path)
+    place = path.rstrip("/").split("/")
+    files = [unquote(f).split("/") for f in rows.inputFiles()]
+    if len(files) == 1 and files[0][-2:] == place[-2:]:
+        path = "/".join([*place[:-1], f"{{{place[-1]}}}"])
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 def source_window_counts(stream: DataFrame, ts: str, key: str, duration: str = "1 minute",
                          slide: str | None = None, watermark: str = "10 minutes",
                          value: str | None = None, label: str | None = None,
