@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on for results that do not depend on the
 # machine: UTC wall clock, adaptive execution for skew and partition sizing.
@@ -68,3 +68,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: Shuffle files of a query made under this setting go when it has ended, not when the driver's garbage is collected.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written once to ``path`` (a fresh folder under the checkpoint folder by default) and read back.
+
+    Unlike ``checkpoint`` the copy is compressed, its readers scan only their columns, and the shuffles that made it
+    take no disk afterwards."""
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN_UP, None)
+    names = [f"c{i}" for i in range(len(df.columns))]  # any names a table may have
+    if before is not None:
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        plain = df.toDF(*names)
+        schema = plain.schema
+        plain.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(schema).parquet(path).toDF(*df.columns)
+
+
+def remove_path(path: str) -> None:
+    """Deletes a written intermediate that nothing reads any more."""
+    from pyarrow import fs
+
+    uri = "file://" + path[len("file:"):] if path.startswith("file:") and "://" not in path else path
+    store, folder = fs.FileSystem.from_uri(uri)
+    store.delete_dir(folder)

@@ -62,3 +62,42 @@ def test_few_rows(points):
     two = smote.smote(points.where("id in (1, 2)"), "kind", "rare", ["a"], "id", with_segment=True).collect()
     assert len(two) == 2 and all(r["__near"] == 1 for r in two)
     assert points.where(F.col("kind") == "none").count() == 0
+
+
+def test_tables_are_searched_one_after_another(spark, points):
+    """All tables' lists lay on disk together, with their shuffles and the rows as they are in memory."""
+    import os
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = size(top)
+    rows = smote.scaled_minority(points, "kind", "rare", ["a", "b", "c", "same"])
+    after_rows = size(top)
+    two = smote.neighbours(rows, 5, tables=2)
+    after_two = size(top)
+    eight = smote.neighbours(rows, 5, tables=8)
+    assert size(top) - after_two < 1.3 * (after_two - after_rows)
+    assert after_rows - before < 4300 * 60
+    a, b = ({r["__row"]: [n["d"] for n in r["near"]] for r in x.collect()} for x in (two, eight))
+    assert all(len(b[i]) == 5 and b[i][4] <= a[i][4] for i in a)
+
+
+def test_nearest_is_a_stable_sort():
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=(90, 5)), rng.integers(0, 3, (90, 4)).astype(float), np.zeros((7, 2)), np.zeros((1, 3))):
+        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        want = np.argsort(d, axis=1, kind="stable")[:, :min(5, len(x) - 1)]
+        order, square = smote.nearest(x, 5)
+        assert (order == want).all() and (square == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_lists_of_two_tables_are_merged():
+    far = np.array([[1.0, 3.0, 0, 1.0, 2.0, 3.0], [0, 0, 0, 5.0, 0, 0]])
+    row = np.array([[7, 8, 0, 7, 4, 2], [0, 0, 0, 3, 0, 0]])
+    there = np.array([[1, 1, 0, 1, 1, 1], [0, 0, 0, 1, 0, 0]], bool)
+    far, row, there = smote._nearer(far, row, there, 3)
+    assert row[0].tolist() == [7, 4, 2] and far[0].tolist() == [1.0, 2.0, 3.0] and there[0].all()
+    assert there[1].tolist() == [True, False, False] and row[1, 0] == 3
