@@ -147,7 +147,7 @@ def neighbours(rows: DataFrame, k: int = 5, tables: int = 8, leaf: int = 128, bl
         path = scratch_path(rows.sparkSession, "neighbours")
         found = written(dealt.mapInArrow(run, "__row long, __z array<double>, d array<double>, row array<long>"), "neighbours", path)
         if old:
-            remove_path(old)
+            remove_path(rows.sparkSession, old)
         old = path
     return found.select("__row", F.arrays_zip("d", "row").alias("near"))
 

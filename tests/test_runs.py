@@ -99,3 +99,40 @@ def test_pca_keeps_95_percent(spark):
 
     pc = model.pc.toArray()
     assert np.allclose(pc.T @ pc, np.eye(pc.shape[1]), atol=1e-8)
+
+
+def test_an_anomaly_run_scored_again_writes_few_bytes(spark):
+    """Rows lay on disk with all columns, as they are in memory, five times."""
+    import os
+
+    from netprism.plans import modeling
+    from netprism.session import scratch_path
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+
+    n, top = 20_000, scratch_path(spark, "tables")
+    k = F.col("id")
+    spark.range(n).select(
+        k.alias("l_orderkey"), (k * 7919 % 2000).alias("l_partkey"), (k % 100).alias("l_suppkey"), (k % 7).cast("int").alias("l_linenumber"),
+        (k % 50 + 1).cast("double").alias("l_quantity"), (F.rand(3) * 1e5).alias("l_extendedprice"), (k % 11 / 100).alias("l_discount"),
+        (k % 9 / 100).alias("l_tax"), F.when(k % 3 == 0, "A").otherwise("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00'").alias("l_shipdate")).write.parquet(f"{top}/lineitem.parquet")
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = size(folder)
+    assert tuple(modeling.s07_score_new(spark, top).first()) == (n, 0)
+    assert size(folder) - before < 200 * n
+
+
+def test_columns_kept_change_no_position_and_no_feature(spark):
+    from netprism.plans.runs import detect_web_anomalies
+    from netprism.sources.tables import flows
+
+    df = flows(spark, "/root/testdata/sf0.001").where("flow_id < 15000")
+    whole = detect_web_anomalies(df, ["flow_id"], n_trees=20)["scored"]
+    few = detect_web_anomalies(df, ["flow_id"], n_trees=20, keep=["label"])["scored"]
+    assert set(few.columns) < set(whole.columns) and "label" in few.columns and "source_id" in whole.columns
+    features = ["unique_dst_ports", "mean_bytes_sent", "request_rate", "byte_ratio"]
+    a, b = (sorted((r["row_id"], r["flow_id"], r["label"], *(round(r[c], 9) for c in features)) for r in x.collect())
+            for x in (whole, few))
+    assert len(a) == df.count() and a == b
